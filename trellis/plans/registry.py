@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from trellis.plans import (  # noqa: F401
         rollups,
+        tree_queries,
     )
 
 
