@@ -29,6 +29,7 @@ def load_all() -> None:
     from trellis.plans import (  # noqa: F401
         rollups,
         tree_queries,
+        read_queries,
     )
 
 
