@@ -16,6 +16,7 @@ class CodeCorpus:
     packages: DataFrame   # package rows incl. parent and stored analysis
     modules: DataFrame
     projects: DataFrame
+    contexts: DataFrame   # project_id, context
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> CodeCorpus:
@@ -25,7 +26,8 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> CodeCorpus:
     packages = corpus.level_analysis(corpus.vc_packages(base), "package")
     modules = corpus.level_analysis(corpus.vc_modules(base), "module")
     projects = corpus.level_analysis(corpus.vc_projects(base), "project")
-    return CodeCorpus(files, packages, modules, projects)
+    contexts = corpus.vc_contexts(corpus.vc_files(spark, sf_dir).select("project_id", "file_id", "content"))
+    return CodeCorpus(files, packages, modules, projects, contexts)
 
 
 def file_level(files: DataFrame) -> DataFrame:

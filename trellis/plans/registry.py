@@ -30,6 +30,7 @@ def load_all() -> None:
         rollups,
         tree_queries,
         read_queries,
+        summary_queries,
     )
 
 

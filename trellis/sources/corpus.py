@@ -127,6 +127,12 @@ def level_analysis(df: DataFrame, level: str) -> DataFrame:
     return df.withColumn("analysis", a).withColumn("analysis_token_count", text.pre_token_count("analysis"))
 
 
+def vc_contexts(files: DataFrame) -> DataFrame:
+    """Project context: the opening 200 characters of the project's first file (by id)."""
+    return (files.groupBy("project_id")
+            .agg(F.min_by(F.substring("content", 1, 200), "file_id").alias("context")))
+
+
 # ---------------------------------------------------------------- VR corpus
 
 def vr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
