@@ -31,6 +31,8 @@ def load_all() -> None:
         tree_queries,
         read_queries,
         summary_queries,
+        state_queries,
+        ops_queries,
     )
 
 
