@@ -33,6 +33,7 @@ def load_all() -> None:
         summary_queries,
         state_queries,
         ops_queries,
+        stream_queries,
     )
 
 

@@ -1,0 +1,59 @@
+"""Stage health from streaming progress: a query is healthy while it runs or ended cleanly.
+
+A ``StreamingQueryListener`` records per-batch progress metadata (a few
+numbers per micro-batch, never data rows) and termination; ``health_rows``
+turns it into a small health table.
+"""
+
+from __future__ import annotations
+
+import threading
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
+
+HEALTH_SCHEMA = T.StructType([
+    T.StructField("query_name", T.StringType()),
+    T.StructField("batches", T.LongType()),
+    T.StructField("input_rows", T.LongType()),
+    T.StructField("terminated", T.BooleanType()),
+    T.StructField("healthy", T.BooleanType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+class HealthListener(StreamingQueryListener):
+    def __init__(self):
+        self._lock = threading.Lock()
+        self.names: dict[str, str] = {}
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event):
+        with self._lock:
+            self.names[str(event.id)] = event.name or str(event.id)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        with self._lock:
+            k = str(p.id)
+            self.batches[k] = self.batches.get(k, 0) + 1
+            self.rows[k] = self.rows.get(k, 0) + int(p.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        with self._lock:
+            self.ended[str(event.id)] = event.exception
+
+    def health_rows(self, spark: SparkSession) -> DataFrame:
+        with self._lock:
+            rows = []
+            for k, name in self.names.items():
+                term = k in self.ended
+                err = self.ended.get(k)
+                rows.append((name, self.batches.get(k, 0), self.rows.get(k, 0), term, err is None, err))
+        return spark.createDataFrame(rows, HEALTH_SCHEMA)
