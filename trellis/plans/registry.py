@@ -34,6 +34,7 @@ def load_all() -> None:
         state_queries,
         ops_queries,
         stream_queries,
+        source_queries,
     )
 
 
