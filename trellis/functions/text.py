@@ -19,11 +19,21 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _count_literal(t: Column, lit: str) -> Column:
+    """Occurrences of a one-byte literal: byte-length difference after removing it (no regex)."""
+    return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(lit), F.lit("")))
+
+
 def raw_line_count(text) -> Column:
     """Lines as a line reader sees them: ``\\r\\n``, ``\\r`` and ``\\n`` end a line,
-    a trailing break adds no line, the empty text has 0 lines."""
+    a trailing break adds no line, the empty text has 0 lines.
+
+    Breaks are counted as ``#\\n + #\\r − #\\r\\n`` with literal replaces (each a
+    single byte in UTF-8), which equals a regex count of ``\\r\\n|\\r|\\n``.
+    """
     t = _c(text)
-    breaks = F.regexp_count(t, F.lit(LINE_BREAK_REGEX))
+    crlf = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\r\n"), F.lit("")))) / 2
+    breaks = _count_literal(t, "\n") + _count_literal(t, "\r") - crlf.cast("bigint")
     ends_with_break = F.substring(t, -1, 1).isin("\n", "\r")
     return (F.when(t.isNull(), F.lit(None).cast("bigint"))
             .when(F.length(t) == 0, F.lit(0).cast("bigint"))
@@ -31,9 +41,16 @@ def raw_line_count(text) -> Column:
 
 
 def pre_token_count(text) -> Column:
-    """Number of pre-tokens (letter runs, 1-3 digit groups, symbol runs)."""
+    """Number of pre-tokens (letter runs, 1-3 digit groups, symbol runs).
+
+    The three token classes cover every non-whitespace character, so replacing
+    each token by ``x`` leaves one ``x`` per token plus the original
+    whitespace; counting the ``x`` bytes gives the match count without
+    materialising an array of matches.
+    """
     t = _c(text)
-    return F.coalesce(F.regexp_count(t, F.lit(PRE_TOKEN_REGEX)).cast("bigint"), F.lit(0).cast("bigint"))
+    marked = F.regexp_replace(t, PRE_TOKEN_REGEX, "x")
+    return F.coalesce(_count_literal(marked, "x").cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def fill_template(template, pairs) -> Column:

@@ -55,14 +55,26 @@ def _concat(df: DataFrame, key: list[str], order: list[str], text_col: str, sep:
 
 
 def ordered_concat(df: DataFrame, key: list[str], order: list[str], text_col: str, sep: str,
-                   out: str = "text", budget_chars: int = DEFAULT_BUDGET_CHARS) -> DataFrame:
+                   out: str = "text", budget_chars: int = DEFAULT_BUDGET_CHARS,
+                   check_size: bool = True) -> DataFrame:
     """Concatenate ``text_col`` per ``key`` in ``order`` with ``sep``.
 
     Returns ``key + [chunk, n_chunks, out, n_entries]``. Groups under the
     budget have a single chunk 0 holding the whole concatenation.
+
+    With ``check_size`` the largest group size is measured first (one scalar
+    aggregate, like a broadcast size check); when every group fits, the plan
+    is a single grouped aggregate and the chunking branch is not planned.
     """
     sized = df.withColumn("__len", F.length(F.col(text_col)) + F.lit(len(sep)))
     totals = sized.groupBy(*key).agg(F.sum("__len").alias("__total"), F.count(F.lit(1)).alias("__cnt"))
+    cols = key + ["chunk", "n_chunks", out, "n_entries"]
+    if check_size:
+        largest = totals.agg(F.max("__total")).first()[0]
+        if largest is None or largest <= budget_chars:
+            return (_concat(df, key, order, text_col, sep, out)
+                    .withColumn("chunk", F.lit(0).cast("bigint"))
+                    .withColumn("n_chunks", F.lit(1).cast("bigint")).select(*cols))
     tagged = sized.join(totals, key)
     small = tagged.where(F.col("__total") <= budget_chars)
     big = tagged.where(F.col("__total") > budget_chars)
@@ -71,6 +83,5 @@ def ordered_concat(df: DataFrame, key: list[str], order: list[str], text_col: st
     big = big.withColumn("n_chunks", F.ceil(F.col("__total") / F.lit(budget_chars)).cast("bigint"))
     big = ordinals(big, key, order)
     big = big.withColumn("chunk", F.floor(F.col("ordinal") * F.col("n_chunks") / F.col("__cnt")).cast("bigint"))
-    big_out = (_concat(big, key + ["chunk", "n_chunks"], order, text_col, sep, out))
-    cols = key + ["chunk", "n_chunks", out, "n_entries"]
+    big_out = _concat(big, key + ["chunk", "n_chunks"], order, text_col, sep, out)
     return small_out.select(*cols).unionByName(big_out.select(*cols))

@@ -82,11 +82,9 @@ def vc_packages(files: DataFrame) -> DataFrame:
     search explodes each package's ancestor directories and joins back to the
     (small, per-module) package list — no recursion.
     """
-    pk = (files.groupBy("package_id")
-          .agg(F.first("module_id").alias("module_id"),
-               F.first("project_id").alias("project_id"),
-               F.first("dir").alias("dir"),
-               F.first("package_name").alias("package_name")))
+    # descriptive columns are functions of the package id: grouping by all of
+    # them is a plain hash distinct (no first() buffers, no sort aggregate)
+    pk = files.select("package_id", "module_id", "project_id", "dir", "package_name").distinct()
     anc = (pk.select("package_id", "module_id",
                      F.posexplode(paths.ancestors("dir")).alias("pos", "anc_dir"),
                      paths.depth("dir").alias("d"))
@@ -100,9 +98,7 @@ def vc_packages(files: DataFrame) -> DataFrame:
 
 
 def vc_modules(files: DataFrame) -> DataFrame:
-    return (files.groupBy("module_id")
-            .agg(F.first("project_id").alias("project_id"),
-                 F.first("module_name").alias("module_name"))
+    return (files.select("module_id", "project_id", "module_name").distinct()
             .withColumn("module_path", F.concat(F.lit(VC_ROOT), F.col("module_id"))))
 
 
