@@ -112,6 +112,21 @@ def analyze_projects(modules: DataFrame, projects: DataFrame) -> DataFrame:
             .drop("first_child"))
 
 
+def analyze_modules_direct(commands: DataFrame, packages: DataFrame, modules: DataFrame,
+                           projects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Command bypass: re-analyse the commanded modules now (no barrier), then their projects.
+
+    ``commands`` has ``module_id``; only those modules are recomputed, and the
+    project stage runs for the projects they belong to, over all their modules.
+    """
+    wanted = modules.join(commands.select("module_id").distinct(), "module_id", "left_semi")
+    fresh = analyze_modules(packages, wanted)
+    all_mods = apply_patch(modules, fresh.select("module_id", "analysis", "analysis_token_count"),
+                           ["module_id"], ["analysis", "analysis_token_count"])
+    touched = projects.join(fresh.select("project_id").distinct(), "project_id", "left_semi")
+    return fresh, analyze_projects(all_mods, touched)
+
+
 def apply_patch(base: DataFrame, patch: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
     """Keyed field update: patched columns win where the patch has a row and a value."""
     p = patch.select(*key, *[F.col(c).alias(f"__p_{c}") for c in cols])

@@ -187,6 +187,9 @@ def write_digest(blocks: DataFrame, out_dir: str, n_files: int | None = None) ->
     no project is materialised as a single value.
     """
     n = n_files or max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # every block ends in a line break; the writer's line separator restores it
+    value = F.when(F.col("block").endswith("\n"), F.expr("substr(block, 1, length(block) - 1)")) \
+        .otherwise(F.col("block"))
     (blocks.repartitionByRange(n, *DIGEST_ORDER).sortWithinPartitions(*DIGEST_ORDER)
-     .select("project_id", F.col("block").alias("value"))
-     .write.mode("overwrite").option("lineSep", "").partitionBy("project_id").text(out_dir))
+     .select("project_id", value.alias("value"))
+     .write.mode("overwrite").option("lineSep", "\n").partitionBy("project_id").text(out_dir))

@@ -21,31 +21,50 @@ from trellis.streaming.topics import drain, publish, run_folder, subscribe
 N_TOPIC_FILES = 4
 
 
-@register("stream_package_ready", lambda: with_vc(PAIRS_SQL + """
-SELECT package_id, module_id, subtree_files, done_files, true AS ready FROM pr WHERE done_files = subtree_files"""))
-def stream_package_ready(spark, sf_dir):
-    """Package barrier as a stream of file-analysed and discovery events (stateful, built-in state)."""
+def _run_barrier(spark, sf_dir, levels):
     c = code_corpus(spark, sf_dir)
-    run = run_folder(spark, "package_ready")
-    files = c.files.select("file_id", "module_id", "dir", "short_analysis")
+    run = run_folder(spark, "barrier")
+    files = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
     events = files.where(F.col("short_analysis").isNotNull()).select(
-        "file_id", "module_id", "dir", F.lit(0).cast("bigint").alias("event_ms"))
+        "file_id", "project_id", "module_id", "dir", F.lit(0).cast("bigint").alias("event_ms"))
     publish(events, f"{run}/topics/file_analyzed", N_TOPIC_FILES)
     publish(c.packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
             f"{run}/topics/package_discovery", 1)
-    expected = barrier_stream.expected_counts(files, c.packages)
-    q = barrier_stream.package_barrier_stream(
+    # the static side is written once to the run folder (a lineage cut in shared
+    # storage) instead of being recomputed in every micro-batch
+    barrier_stream.expected_counts(files, c.packages, levels).write.parquet(f"{run}/static/expected")
+    expected = spark.read.parquet(f"{run}/static/expected")
+    q = barrier_stream.barrier_stream(
         subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
         subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
-        c.packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready")
+        c.packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
     drain(q)
-    ready = barrier_stream.ready_packages(spark, f"{run}/sink/ready")
-    return (ready.join(expected, "package_id")
-            .join(c.packages.select("package_id", "module_id"), "package_id")
-            .select("package_id", "module_id", F.col("expected").cast("bigint").alias("subtree_files"),
+    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, ["level", "entity_id"])
+
+
+@register("stream_package_ready", lambda: with_vc(PAIRS_SQL + """
+SELECT package_id, module_id, subtree_files, done_files, true AS ready FROM pr WHERE done_files = subtree_files"""))
+def stream_package_ready(spark, sf_dir):
+    """Package barrier as a stream of file-analysed and discovery events (stateful, built-in state)."""
+    c, ready = _run_barrier(spark, sf_dir, ("package",))
+    return (ready.join(c.packages.select(F.col("package_id").alias("entity_id"), "module_id"), "entity_id")
+            .select(F.col("entity_id").alias("package_id"), "module_id",
+                    F.col("expected").cast("bigint").alias("subtree_files"),
                     F.col("done_files").cast("bigint"), F.lit(True).alias("ready")))
 
 
+@register("stream_levels_ready", lambda: with_vc(PAIRS_SQL + """
+SELECT 'package' AS level, package_id AS entity_id, subtree_files AS expected FROM pr
+  WHERE done_files = subtree_files
+UNION ALL SELECT 'module', module_id, n_files FROM mr WHERE done_files = n_files
+UNION ALL SELECT 'project', project_id, sum(n_files)::BIGINT FROM mr GROUP BY project_id
+  HAVING bool_and(done_files = n_files)"""))
+def stream_levels_ready(spark, sf_dir):
+    """Package, module and project barriers from one stream (one keyed count per level and id)."""
+    _, ready = _run_barrier(spark, sf_dir, barrier_stream.LEVELS)
+    return ready.select("level", "entity_id", F.col("expected").cast("bigint").alias("expected"))
+
+
 @register("stream_metrics", lambda: with_vc("SELECT * FROM pm", metrics=True))
 def stream_metrics(spark, sf_dir):
     """Package metrics maintained by a stream (update mode, fan-out sink); newest snapshot = batch metrics."""

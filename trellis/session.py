@@ -88,3 +88,20 @@ def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) ->
     except Exception:
         return df
     return F.broadcast(df) if size <= limit else df
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Spread a narrow scan over the cluster when it yields too few input partitions.
+
+    Large inputs already split into far more partitions than there are cores,
+    and are returned unchanged (no shuffle). Small inputs stored as one row
+    group per file arrive in one task; a round-robin repartition of the
+    (already column-pruned) rows lets CPU-heavy text expressions use every core.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism * factor
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(par) if n < par else df

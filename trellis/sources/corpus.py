@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions import paths, text
-from trellis.session import size_checked_broadcast
+from trellis.session import ensure_parallelism, size_checked_broadcast
 from trellis.sources.tables import read_table
 
 # Fixed values of the VC mapping: directory by (second md5 hex digit % 4),
@@ -33,7 +33,7 @@ def _hex_digit(h, pos: int):
 
 def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the virtual code corpus, one row per document (narrow, no shuffle)."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     h = F.md5(F.col("doc_id").cast("string"))
     doc = F.col("doc_id")
     fid = F.col("file_id")

@@ -1,12 +1,13 @@
-"""Streaming package barrier: emit a package once every file in its subtree is analysed.
+"""Streaming completeness barrier: emit a package, module or project once every file under it is analysed.
 
-Three event streams (file analysed, child package analysed, package
-discovered) are merged with ``unionByName``; each file event is expanded
-to the packages on its ancestor path. State is built-in only:
+File-analysed and package-discovery streams are merged with
+``unionByName``; each file event is expanded to its barrier keys (the
+packages on its ancestor path, its module, its project). State is
+built-in only:
 
-* ``dropDuplicates(package_id, file_id)`` makes replays harmless (state is
-  spread over (package, file) keys, so a hot package is not one big value);
-* a streaming ``count`` per package is the countdown (one long per key);
+* ``dropDuplicates(level, entity_id, file_id)`` makes replays harmless (state
+  is spread over (key, file) pairs, so a hot package is not one big value);
+* a streaming ``count`` per key is the countdown (one long per key);
 * ``foreachBatch`` compares the updated counts with the expected subtree
   size from the static scan table and appends newly complete packages to
   the sink, keyed by package id, so a re-run of a batch is idempotent.
@@ -23,6 +24,7 @@ from trellis.streaming.topics import drain
 
 FILE_EVENT = T.StructType([
     T.StructField("file_id", T.LongType()),
+    T.StructField("project_id", T.StringType()),
     T.StructField("module_id", T.StringType()),
     T.StructField("dir", T.StringType()),
     T.StructField("event_ms", T.LongType()),
@@ -32,33 +34,49 @@ DISCOVERY_EVENT = T.StructType([
     T.StructField("module_id", T.StringType()),
     T.StructField("event_ms", T.LongType()),
 ])
-
-
-def expected_counts(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """Static side: number of files in each package's subtree (from the scan table)."""
-    ex = files.select("file_id", "module_id", F.explode(paths.ancestors("dir")).alias("anc_dir"))
-    pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
-    return (ex.join(pk, (ex.module_id == pk["__m"]) & (ex.anc_dir == pk["__d"]))
-            .groupBy("package_id").agg(F.count(F.lit(1)).alias("expected")))
-
-
-def package_barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages: DataFrame,
-                           expected: DataFrame, sink_dir: str, checkpoint_dir: str):
-    """Start the barrier query; returns the StreamingQuery (``availableNow`` trigger)."""
-    pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
-    per_pkg = (file_events.select("file_id", "module_id", F.explode(paths.ancestors("dir")).alias("anc_dir"))
-               .join(pk, (F.col("module_id") == pk["__m"]) & (F.col("anc_dir") == pk["__d"]))
-               .select("package_id", "file_id"))
+LEVELS = ("package", "module", "project")
+
+
+def _keys(files: DataFrame, packages: DataFrame, levels) -> DataFrame:
+    """(level, entity_id, file_id): the barrier keys a file counts towards."""
+    parts = []
+    if "package" in levels:
+        pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
+        ex = files.select("file_id", "module_id", F.explode(paths.ancestors("dir")).alias("anc_dir"))
+        parts.append(ex.join(pk, (F.col("module_id") == pk["__m"]) & (F.col("anc_dir") == pk["__d"]))
+                     .select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), "file_id"))
+    if "module" in levels:
+        parts.append(files.select(F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), "file_id"))
+    if "project" in levels:
+        parts.append(files.select(F.lit("project").alias("level"), F.col("project_id").alias("entity_id"),
+                                  "file_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def expected_counts(files: DataFrame, packages: DataFrame, levels=LEVELS) -> DataFrame:
+    """Static side: number of files under each barrier key (from the scan table)."""
+    return (_keys(files, packages, levels).groupBy("level", "entity_id")
+            .agg(F.count(F.lit(1)).alias("expected")))
+
+
+def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages: DataFrame,
+                   expected: DataFrame, sink_dir: str, checkpoint_dir: str, levels=LEVELS):
+    """Start the barrier query over the merged event streams (``availableNow`` trigger)."""
+    per_key = _keys(file_events, packages, levels)
     # discovery events carry no file; they only open the package's key (count 0)
-    opened = discovery_events.select("package_id", F.lit(None).cast("long").alias("file_id"))
-    merged = per_pkg.unionByName(opened)
-    counts = (merged.dropDuplicates(["package_id", "file_id"])
-              .groupBy("package_id").agg(F.count("file_id").alias("seen")))
+    opened = discovery_events.select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"),
+                                     F.lit(None).cast("long").alias("file_id"))
+    merged = per_key.unionByName(opened) if "package" in levels else per_key
+    counts = (merged.dropDuplicates(["level", "entity_id", "file_id"])
+              .groupBy("level", "entity_id").agg(F.count("file_id").alias("seen")))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        ready = (batch.join(expected, "package_id")
+        ready = (batch.join(expected, ["level", "entity_id"])
                  .where(F.col("seen") == F.col("expected"))
-                 .select("package_id", F.col("seen").cast("bigint").alias("done_files"),
+                 .select("level", "entity_id", F.col("seen").cast("bigint").alias("done_files"),
                          F.lit(batch_id).cast("bigint").alias("batch_id")))
         ready.write.mode("append").parquet(sink_dir)
 
@@ -69,11 +87,7 @@ def package_barrier_stream(file_events: DataFrame, discovery_events: DataFrame,
             .start())
 
 
-def ready_packages(spark, sink_dir: str) -> DataFrame:
-    """Sink read-back, deduplicated by package (a re-run batch may append twice)."""
-    return (spark.read.parquet(sink_dir).groupBy("package_id")
+def ready_keys(spark, sink_dir: str) -> DataFrame:
+    """Sink read-back, deduplicated by key (a re-run batch may append twice)."""
+    return (spark.read.parquet(sink_dir).groupBy("level", "entity_id")
             .agg(F.min("batch_id").alias("batch_id"), F.max("done_files").alias("done_files")))
-
-
-__all__ = ["FILE_EVENT", "DISCOVERY_EVENT", "expected_counts", "package_barrier_stream",
-           "ready_packages", "drain"]
