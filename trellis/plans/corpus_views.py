@@ -20,13 +20,13 @@ class CodeCorpus:
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> CodeCorpus:
-    files = corpus.with_file_metrics(corpus.vc_files(spark, sf_dir))
-    base = corpus.vc_files(spark, sf_dir).select("package_id", "module_id", "module_name",
-                                                 "project_id", "dir", "package_name")
+    raw = corpus.vc_files(spark, sf_dir)  # one scan plan, shared by every level below
+    files = corpus.with_file_metrics(raw)
+    base = raw.select("package_id", "module_id", "module_name", "project_id", "dir", "package_name")
     packages = corpus.level_analysis(corpus.vc_packages(base), "package")
     modules = corpus.level_analysis(corpus.vc_modules(base), "module")
     projects = corpus.level_analysis(corpus.vc_projects(base), "project")
-    contexts = corpus.vc_contexts(corpus.vc_files(spark, sf_dir).select("project_id", "file_id", "content"))
+    contexts = corpus.vc_contexts(raw.select("project_id", "file_id", "content"))
     return CodeCorpus(files, packages, modules, projects, contexts)
 
 

@@ -18,7 +18,7 @@ from trellis.streaming import barrier_stream, metrics_stream
 from trellis.streaming.health import HealthListener
 from trellis.streaming.topics import drain, publish, run_folder, subscribe
 
-N_TOPIC_FILES = 4
+N_TOPIC_FILES = 2  # two micro-batches: enough to exercise state across batches
 
 
 def _run_barrier(spark, sf_dir, levels):
@@ -28,16 +28,18 @@ def _run_barrier(spark, sf_dir, levels):
     events = files.where(F.col("short_analysis").isNotNull()).select(
         "file_id", "project_id", "module_id", "dir", F.lit(0).cast("bigint").alias("event_ms"))
     publish(events, f"{run}/topics/file_analyzed", N_TOPIC_FILES)
-    publish(c.packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
-            f"{run}/topics/package_discovery", 1)
-    # the static side is written once to the run folder (a lineage cut in shared
+    # the static sides are written once to the run folder (a lineage cut in shared
     # storage) instead of being recomputed in every micro-batch
-    barrier_stream.expected_counts(files, c.packages, levels).write.parquet(f"{run}/static/expected")
+    c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/packages")
+    packages = spark.read.parquet(f"{run}/static/packages")
+    barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/expected")
     expected = spark.read.parquet(f"{run}/static/expected")
+    publish(packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
+            f"{run}/topics/package_discovery", 1)
     q = barrier_stream.barrier_stream(
         subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
         subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
-        c.packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
+        packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
     drain(q)
     return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, ["level", "entity_id"])
 

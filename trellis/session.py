@@ -90,7 +90,10 @@ def size_checked_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) ->
     return F.broadcast(df) if size <= limit else df
 
 
-def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
+_SCAN_PARTITIONS: dict[tuple, int] = {}
+
+
+def ensure_parallelism(df: DataFrame, factor: int = 1, cache_key: tuple | None = None) -> DataFrame:
     """Spread a narrow scan over the cluster when it yields too few input partitions.
 
     Large inputs already split into far more partitions than there are cores,
@@ -100,8 +103,12 @@ def ensure_parallelism(df: DataFrame, factor: int = 1) -> DataFrame:
     """
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism * factor
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:
-        return df
+    n = _SCAN_PARTITIONS.get(cache_key) if cache_key else None
+    if n is None:
+        try:
+            n = df.rdd.getNumPartitions()  # planning only, no job
+        except Exception:
+            return df
+        if cache_key:
+            _SCAN_PARTITIONS[cache_key] = n
     return df.repartition(par) if n < par else df

@@ -33,7 +33,8 @@ def _hex_digit(h, pos: int):
 
 def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the virtual code corpus, one row per document (narrow, no shuffle)."""
-    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
+                           cache_key=("documents", sf_dir))
     h = F.md5(F.col("doc_id").cast("string"))
     doc = F.col("doc_id")
     fid = F.col("file_id")
