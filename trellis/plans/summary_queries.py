@@ -28,11 +28,6 @@ def _fill_sql(level: str, which: str, values: dict[str, str]) -> str:
     return out
 
 
-def _digest_cols(df):
-    return df.select(F.md5("user_prompt").alias("prompt_md5"), F.length("user_prompt").alias("prompt_len"),
-                     F.md5("system_prompt").alias("system_md5"))
-
-
 def _package_prompt_sql() -> str:
     user = _fill_sql("package", "user", {"{packageName}": "p.package_name", "{fileAnalyses}": "k.fa",
                                          "{projectContext}": "c.context"})
@@ -49,7 +44,7 @@ pp AS (SELECT p.package_id, coalesce(k.n_files, 0)::BIGINT AS n_files, coalesce(
 SELECT package_id, n_files, needs AS needs_analysis, 0::BIGINT AS chunk, 1::BIGINT AS n_chunks,
   CASE WHEN needs THEN md5(up) END AS prompt_md5, CASE WHEN needs THEN length(up) END AS prompt_len,
   CASE WHEN needs THEN md5(sp) END AS system_md5
-FROM pp""").replace("WITH \n,", "WITH ").replace(")\n, ctx AS", "),\nctx AS")
+FROM pp""")
 
 
 @register("package_prompt", _package_prompt_sql)
@@ -81,7 +76,7 @@ mk AS (SELECT module_id, string_agg(entry, {NL} || {NL} ORDER BY package_id) AS
 SELECT m.module_id, 0::BIGINT AS chunk, 1::BIGINT AS n_chunks, md5({user}) AS prompt_md5,
   length({user})::BIGINT AS prompt_len, md5({system}) AS system_md5
 FROM vmod m LEFT JOIN vproj pr ON pr.project_id = m.project_id LEFT JOIN mk ON mk.module_id = m.module_id
-LEFT JOIN ctx c ON c.project_id = m.project_id""").replace(")\n, ctx AS", "),\nctx AS")
+LEFT JOIN ctx c ON c.project_id = m.project_id""")
 
 
 @register("module_prompt", _module_prompt_sql)
@@ -104,7 +99,7 @@ k AS (SELECT project_id, count(*) AS n, string_agg('Module: ' || module_name ||
 SELECT p.project_id, coalesce(k.n, 0)::BIGINT AS n_entries, 0::BIGINT AS chunk, 1::BIGINT AS n_chunks,
   md5({user}) AS prompt_md5, length({user})::BIGINT AS prompt_len, md5({system}) AS system_md5
 FROM vproj p LEFT JOIN k ON k.project_id = p.project_id LEFT JOIN ctx c ON c.project_id = p.project_id
-""").replace(")\n, ctx AS", "),\nctx AS")
+""")
 
 
 @register("project_prompt", _project_prompt_sql)
@@ -135,7 +130,7 @@ blocks AS (
   SELECT project_id, module_id, package_id, file_path, file_id::BIGINT,
     '#### File: ' || string_split(file_path, '/')[-1] || {NL} || {NL} || coalesce(short_analysis, {na}) ||
     {NL} || {NL} FROM vc)
-{body}""").replace("WITH \n,", "WITH ").replace(")\n,\nblocks AS", "),\nblocks AS")
+{body}""")
 
 
 @register("digest_markdown", lambda: _digest_sql("SELECT * FROM blocks"))
@@ -262,8 +257,7 @@ allv AS (
   UNION ALL SELECT 'package', package_id, analysis, {tokens_sql('analysis')} FROM pa
   UNION ALL SELECT 'module', module_id, analysis, {tokens_sql('analysis')} FROM ma
   UNION ALL SELECT 'project', project_id, analysis, {tokens_sql('analysis')} FROM ja)
-SELECT level, entity_id, analysis, analysis_token_count::BIGINT AS analysis_token_count FROM allv""").replace(
-        "WITH \n,", "WITH ").replace(")\n,\nfa AS", "),\nfa AS")
+SELECT level, entity_id, analysis, analysis_token_count::BIGINT AS analysis_token_count FROM allv""")
 
 
 @register("analyze_levels", _analyze_levels_sql)
