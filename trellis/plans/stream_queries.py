@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from trellis.plans.corpus_views import code_corpus, file_level
 from trellis.plans.oracle_base import with_vc
 from trellis.plans.registry import register
-from trellis.plans.state_queries import PAIRS_SQL
+from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log
 from trellis.sources.tables import read_table
-from trellis.streaming import barrier_stream, metrics_stream
+from trellis.streaming import barrier_stream, metrics_stream, status_stream
 from trellis.streaming.health import HealthListener
 from trellis.streaming.topics import drain, publish, run_folder, subscribe
 
@@ -94,6 +94,22 @@ def stream_metrics(spark, sf_dir):
                     z("code_token_count").alias("code_token_count")))
 
 
+@register("stream_status_feed", LOG_SQL + """
+SELECT l.import_id, l.seq, l.status, l.progress FROM log l
+LEFT JOIN (SELECT import_id, min((ts, seq)) AS stop FROM log WHERE status IN ('completed', 'failed')
+           GROUP BY 1) t ON t.import_id = l.import_id
+WHERE t.stop IS NULL OR (l.ts, l.seq) <= t.stop""")
+def stream_status_feed(spark, sf_dir):
+    """Import status feed as a stream, cut after each import's first terminal state (keyed flag state)."""
+    run = run_folder(spark, "status_feed")
+    log = status_log(spark, sf_dir).select("import_id", "seq", "ts", "status", "progress")
+    status_stream.publish_in_time_order(log, f"{run}/topics/status", "ts", N_TOPIC_FILES)
+    q = status_stream.status_feed_stream(subscribe(spark, f"{run}/topics/status", log.schema),
+                                         f"{run}/sink/feed", f"{run}/checkpoints/feed")
+    drain(q)
+    return spark.read.parquet(f"{run}/sink/feed")
+
+
 @register("health_report")
 def health_report(spark, sf_dir):
     """Health of a streaming stage (event counters over ``events``) from listener progress."""
