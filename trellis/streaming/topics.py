@@ -26,8 +26,20 @@ def publish(df: DataFrame, topic_dir: str, n_files: int) -> None:
     df.repartition(n_files).write.mode("append").parquet(topic_dir)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Large keyed state (dedup pairs, per-key counts) lives in RocksDB, off-heap and spillable.
+
+    Takes effect for queries started afterwards with a fresh checkpoint.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def subscribe(spark: SparkSession, topic_dir: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
     """Streaming read of a topic: explicit schema, bounded files per micro-batch."""
+    use_rocksdb_state(spark)
     return (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(topic_dir))
