@@ -21,7 +21,7 @@ class CodeCorpus:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> CodeCorpus:
     raw = corpus.vc_files(spark, sf_dir)  # one scan plan, shared by every level below
-    files = corpus.with_file_metrics(raw)
+    files = corpus.with_file_metrics(raw, cache_key=("documents", sf_dir))
     base = raw.select("package_id", "module_id", "module_name", "project_id", "dir", "package_name")
     packages = corpus.level_analysis(corpus.vc_packages(base), "package")
     modules = corpus.level_analysis(corpus.vc_modules(base), "module")

@@ -33,8 +33,7 @@ def _hex_digit(h, pos: int):
 
 def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the virtual code corpus, one row per document (narrow, no shuffle)."""
-    d = ensure_parallelism(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
-                           cache_key=("documents", sf_dir))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     h = F.md5(F.col("doc_id").cast("string"))
     doc = F.col("doc_id")
     fid = F.col("file_id")
@@ -65,8 +64,13 @@ def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.substring("content", 1, 80)).alias("short_analysis")))
 
 
-def with_file_metrics(files: DataFrame) -> DataFrame:
-    """Per-file derived metadata: type, validity, raw lines, code and analysis tokens."""
+def with_file_metrics(files: DataFrame, cache_key: tuple | None = None) -> DataFrame:
+    """Per-file derived metadata: type, validity, raw lines, code and analysis tokens.
+
+    Only this text-heavy projection goes through the scan-parallelism guard;
+    the narrow id/level derivations read the scan directly.
+    """
+    files = ensure_parallelism(files, cache_key=cache_key)
     return files.select(
         "*",
         paths.file_type("file_path").alias("file_type"),
