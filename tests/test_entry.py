@@ -20,3 +20,14 @@ def test_rollup_conservation(spark):
     pr = q["project_metrics"](spark, "/root/testdata/sf0.001").groupBy().sum("lines_of_code").first()[0]
     lc = q["line_counts"](spark, "/root/testdata/sf0.001").groupBy().sum("lines_of_code").first()[0]
     assert pm == mm == pr == lc
+
+
+def test_relational_rollup_equals_file_level_chain(spark):
+    from trellis.operators.metrics import count_rollup
+    from trellis.plans import registry
+    from trellis.plans.corpus_views import relational_files
+    sf = "/root/testdata/sf0.01"
+    fast = {r.project_id: r.asDict() for r in registry.all_queries()["relational_rollup"](spark, sf).collect()}
+    chain = count_rollup(relational_files(spark, sf), ["package_id", "module_id", "project_id"])
+    slow = {r.project_id: r.asDict() for r in chain.collect()}
+    assert fast == slow

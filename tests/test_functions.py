@@ -99,3 +99,28 @@ def test_command_parse(spark):
     assert (rows[0].status, rows[0].cmd_ts_ms, rows[0].cmd_project_context) == ("ok", 5, "")
     assert (rows[1].status, rows[1].reason) == ("quarantined", "Missing required field: import_id")
     assert (rows[2].cmd_ts_ms, rows[2].cmd_project_context) == (99, "c")
+
+
+def test_point_read_pushes_filter(spark):
+    from trellis.sources.tables import point_read
+    df = point_read(spark, "/root/testdata/sf0.01", "events", F.col("user_id") == 7, newest_by="ts",
+                    columns=["event_id", "ts", "user_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
+    rows = df.collect()
+    assert len(rows) == 1 and rows[0].user_id == 7
+
+
+def test_token_distribution_close_to_numpy(spark):
+    import numpy as np
+    from trellis.operators.metrics import token_distribution
+    from trellis.plans.corpus_views import code_corpus
+    f = code_corpus(spark, "/root/testdata/sf0.01").files.select("project_id", "code_token_count")
+    got = {r.project_id: r for r in token_distribution(f).collect()}
+    pdf = f.toPandas()
+    for pid, g in pdf.groupby("project_id"):
+        vals = np.sort(g["code_token_count"].to_numpy())
+        assert got[pid].n == len(vals) and got[pid].max == vals[-1]
+        p50 = got[pid].p[0]
+        rank = np.searchsorted(vals, p50, side="right") / len(vals)
+        assert abs(rank - 0.5) <= 0.02

@@ -94,3 +94,15 @@ def count_rollup(files: DataFrame, levels: list[str], measure: str = "lines_of_c
         cur = cur.groupBy(*keep).agg(*aggs)
         counts = [name] + counts
     return cur.select(levels[-1], *[F.col(c).cast("bigint").alias(c) for c in counts])
+
+
+def token_distribution(files: DataFrame, key: str = "project_id", col: str = "code_token_count",
+                       accuracy: int = 10000) -> DataFrame:
+    """Count, sum, max and approximate p50/p90/p99 of a token count per key.
+
+    ``percentile_approx`` keeps a bounded sketch per group (exact percentiles
+    would hold every distinct value of a hot group in one buffer).
+    """
+    return (files.groupBy(key)
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(col).alias("total"), F.max(col).alias("max"),
+                 F.percentile_approx(col, [0.5, 0.9, 0.99], accuracy).alias("p")))
