@@ -120,7 +120,7 @@ FROM vmod m LEFT JOIN vpk p ON p.module_id = m.module_id LEFT JOIN pm ON pm.pack
 def module_detail(spark, sf_dir):
     """Module ⟕ packages ⟕ package metrics (unwind keeps modules without packages)."""
     c = code_corpus(spark, sf_dir)
-    pm = metrics.package_metrics(file_level(c.files), c.packages)
+    pm = metrics.package_metrics(file_level(c.text_files), c.packages)
     return (c.modules.select("module_id", "module_name")
             .join(c.packages.select("module_id", "package_id", "package_name"), "module_id", "left")
             .join(pm.select("package_id", "file_count", "lines_of_code", "combined_analysis_token_count"),
@@ -141,7 +141,7 @@ FROM vpk p JOIN (
 def package_detail(spark, sf_dir):
     """Package page: projected fields, metric with zero-as-missing fallback, lenient line sum."""
     c = code_corpus(spark, sf_dir)
-    f = (c.files.groupBy("package_id")
+    f = (c.text_files.groupBy("package_id")
          .agg(F.count_if("is_valid").alias("valid_files"),
               F.count(F.lit(1)).alias("files_listed"),
               F.coalesce(F.sum(text.safe_int("lines_of_code")), F.lit(0)).alias("total_lines"),

@@ -15,7 +15,7 @@ from trellis.session import size_checked_broadcast
 
 def _levels(spark, sf_dir):
     c = code_corpus(spark, sf_dir)
-    pm = metrics.package_metrics(file_level(c.files), c.packages)
+    pm = metrics.package_metrics(file_level(c.text_files), c.packages)
     mm = metrics.module_metrics(pm, c.modules)
     prm = metrics.project_metrics(mm, c.projects)
     return pm, mm, prm
@@ -122,13 +122,13 @@ def file_type_counts(spark, sf_dir):
 
 @register("line_counts", lambda: with_vc("SELECT file_id, lines_of_code FROM vc"))
 def line_counts(spark, sf_dir):
-    return code_corpus(spark, sf_dir).files.select("file_id", "lines_of_code")
+    return code_corpus(spark, sf_dir).text_files.select("file_id", "lines_of_code")
 
 
 @register("token_counts", lambda: with_vc(
     "SELECT file_id, code_token_count, analysis_token_count FROM vc"))
 def token_counts(spark, sf_dir):
-    return code_corpus(spark, sf_dir).files.select("file_id", "code_token_count", "analysis_token_count")
+    return code_corpus(spark, sf_dir).text_files.select("file_id", "code_token_count", "analysis_token_count")
 
 
 @register("token_summary", lambda: with_vc("""
@@ -140,7 +140,7 @@ SELECT project_id, count(*)::BIGINT AS n_files,
 FROM vc GROUP BY project_id"""))
 def token_summary(spark, sf_dir):
     """Distribution summary of token counts per project (count, sum, max)."""
-    f = code_corpus(spark, sf_dir).files
+    f = code_corpus(spark, sf_dir).text_files
     return (f.groupBy("project_id")
             .agg(F.count(F.lit(1)).alias("n_files"),
                  F.sum("code_token_count").alias("code_tokens"),

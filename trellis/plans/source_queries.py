@@ -14,7 +14,7 @@ from trellis.plans.registry import register
 def java_metadata(spark, sf_dir):
     """Code lines, declared package and public methods of every ``.java`` file, plus the
     directory package chosen by the first file (declared package, else directory name)."""
-    f = code_corpus(spark, sf_dir).files
+    f = code_corpus(spark, sf_dir).text_files
     meta = java_meta.java_metadata(f.select("file_id", "file_path", "content"))
     fm = (f.select(F.col("file_id").cast("long").alias("file_id"), "module_id", "file_path")
           .join(meta, "file_id")

@@ -72,7 +72,7 @@ def stream_metrics(spark, sf_dir):
     """Package metrics maintained by a stream (update mode, fan-out sink); newest snapshot = batch metrics."""
     c = code_corpus(spark, sf_dir)
     run = run_folder(spark, "metrics")
-    ev = file_level(c.files).select(
+    ev = file_level(c.text_files).select(
         F.col("file_id").cast("long"), "package_id", "module_id", "project_id",
         F.col("lines_of_code").cast("long"), F.col("code_token_count").cast("long"),
         F.col("analysis_token_count").cast("long"))

@@ -217,7 +217,7 @@ SELECT file_id, contains(file_path, 'Record') AS skipped,
 FROM vc"""))
 def record_skip(spark, sf_dir):
     """Files whose path contains ``Record`` are not analysed: placeholder text, zero tokens."""
-    f = code_corpus(spark, sf_dir).files
+    f = code_corpus(spark, sf_dir).text_files
     rec = analyze.is_record_file("file_path")
     zero = F.lit(0).cast("bigint")
     return f.select("file_id", rec.alias("skipped"),

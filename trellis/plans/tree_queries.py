@@ -14,9 +14,10 @@ from trellis.sources.corpus import VC_ROOT
 KEY = ["module_id"]
 
 
-def _files_rel(spark, sf_dir):
-    """Files with their directory relative to the module root."""
-    f = code_corpus(spark, sf_dir).files
+def _files_rel(spark, sf_dir, text: bool = False):
+    """Files with their directory relative to the module root (``text``: line/token counts used)."""
+    c = code_corpus(spark, sf_dir)
+    f = c.text_files if text else c.files
     module_path = F.concat(F.lit(VC_ROOT), F.col("module_id"))
     return f.withColumn("rel_dir", paths.relative_to(module_path, paths.dirname("file_path")))
 
@@ -118,7 +119,7 @@ FROM vmod m LEFT JOIN (
 def module_metrics_direct(spark, sf_dir):
     """Module metrics straight from files: counts, sums, distinct directories, top-level child modules."""
     c = code_corpus(spark, sf_dir)
-    f = _files_rel(spark, sf_dir)
+    f = _files_rel(spark, sf_dir, text=True)
     agg = (f.groupBy("module_id")
            .agg(F.count(F.lit(1)).alias("file_count"),
                 F.sum("lines_of_code").alias("lines_of_code"),

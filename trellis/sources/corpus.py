@@ -64,13 +64,14 @@ def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.substring("content", 1, 80)).alias("short_analysis")))
 
 
-def with_file_metrics(files: DataFrame, cache_key: tuple | None = None) -> DataFrame:
+def with_file_metrics(files: DataFrame, cache_key: tuple | None = None, spread: bool = False) -> DataFrame:
     """Per-file derived metadata: type, validity, raw lines, code and analysis tokens.
 
-    Only this text-heavy projection goes through the scan-parallelism guard;
-    the narrow id/level derivations read the scan directly.
+    With ``spread`` the rows pass the scan-parallelism guard first (for
+    queries whose work is the text expressions themselves).
     """
-    files = ensure_parallelism(files, cache_key=cache_key)
+    if spread:
+        files = ensure_parallelism(files, cache_key=cache_key)
     return files.select(
         "*",
         paths.file_type("file_path").alias("file_type"),
