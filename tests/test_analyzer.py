@@ -30,3 +30,25 @@ def test_apply_patch(spark):
     patch = spark.createDataFrame([("a", "new", None)], "id string, s string, n int")
     got = {r.id: (r.s, r.n) for r in apply_patch(base, patch, ["id"], ["s", "n"]).collect()}
     assert got == {"a": ("new", 1), "b": ("y", 2)}
+
+
+def test_analyze_prompts_covers_every_chunk(spark):
+    from trellis.operators.analyze import analyze_prompts
+    from trellis.operators.summaries import package_prompts
+    from trellis.plans.corpus_views import code_corpus
+    c = code_corpus(spark, "/root/testdata/sf0.001")
+    prompts = package_prompts(c.files, c.packages, c.contexts, budget_chars=400)
+    assert prompts.where("n_chunks > 1").count() > 0
+
+    def fn(system, user):
+        if user.startswith("Combine"):
+            return "combined " + str(user.count("Part "))
+        return "files " + str(user.count("File: "))
+
+    out = {r.package_id: r for r in analyze_prompts(prompts, fn, ["package_id"], parallelism=2).collect()}
+    multi = {r.package_id: r.n_chunks for r in prompts.where("n_chunks > 1").select("package_id", "n_chunks")
+             .distinct().collect()}
+    for pid, n in multi.items():
+        assert out[pid].analysis == f"combined {n}" and out[pid].status == "ok"
+    needs = {r.package_id for r in prompts.where("needs_analysis").select("package_id").distinct().collect()}
+    assert set(out) == needs

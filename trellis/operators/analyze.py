@@ -171,3 +171,40 @@ def run_analyzer(prompts: DataFrame, fn: Callable[[str, str], str], id_col: str,
     return (prompts.select(id_col, "system_prompt", "user_prompt")
             .repartition(parallelism)
             .mapInPandas(part, schema))
+
+
+COMBINE_PREFIX = "Combine these partial analyses of one unit, in order, into a single analysis:\n\n"
+
+
+def analyze_prompts(prompts: DataFrame, fn: Callable[[str, str], str], key: list[str],
+                    parallelism: int = 5, retries: int = 3) -> DataFrame:
+    """Run the analyzer over level prompts, including groups split into chunks.
+
+    ``prompts`` has ``key + [chunk, n_chunks, system_prompt, user_prompt]``.
+    Single-chunk prompts are analysed directly. An oversized group is analysed
+    chunk by chunk, then its chunk summaries (in chunk order, one short text
+    each) form a combine prompt that is analysed once more, so every child of
+    the group contributes and no prompt exceeds the budget.
+    Returns ``key + [analysis, status, error]``.
+    """
+    rid = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key], F.col("chunk").cast("string"))
+    rows = prompts.where(F.col("user_prompt").isNotNull()).withColumn("__rid", rid)
+    first = run_analyzer(rows, fn, "__rid", parallelism, retries)
+    first = rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid").join(first, "__rid")
+    single = first.where(F.col("n_chunks") == 1).select(*key, "analysis", "status", "error")
+    parts = first.where(F.col("n_chunks") > 1)
+    combined = (parts.groupBy(*key)
+                .agg(F.first("system_prompt").alias("system_prompt"),
+                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "analysis"))),
+                                              lambda x: F.concat(F.lit("Part "), (x["chunk"] + 1).cast("string"),
+                                                                 F.lit(":\n"), F.coalesce(x["analysis"], F.lit("")))),
+                                  "\n\n").alias("joined"),
+                     F.bool_and(F.col("status") == "ok").alias("parts_ok"))
+                .withColumn("user_prompt", F.concat(F.lit(COMBINE_PREFIX), F.col("joined")))
+                .withColumn("__rid", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key])))
+    second = run_analyzer(combined, fn, "__rid", parallelism, retries)
+    merged = (combined.select(*key, "__rid", "parts_ok").join(second, "__rid")
+              .select(*key, "analysis",
+                      F.when(F.col("parts_ok"), F.col("status")).otherwise(F.lit("failed")).alias("status"),
+                      F.when(F.col("parts_ok"), F.col("error")).otherwise(F.lit("a chunk failed")).alias("error")))
+    return single.unionByName(merged)
