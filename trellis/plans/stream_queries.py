@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from trellis.plans.corpus_views import code_corpus, file_level
 from trellis.plans.oracle_base import with_vc
+from trellis.plans.ops_queries import AS_OF_MS, _json_commands_sql, command_bodies
 from trellis.plans.registry import register
 from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log
 from trellis.sources.tables import read_table
-from trellis.streaming import barrier_stream, metrics_stream, status_stream
+from trellis.streaming import barrier_stream, command_stream, metrics_stream, status_stream
 from trellis.streaming.health import HealthListener
 from trellis.streaming.topics import drain, publish, run_folder, subscribe
 
@@ -110,6 +111,22 @@ def stream_status_feed(spark, sf_dir):
     return spark.read.parquet(f"{run}/sink/feed")
 
 
+@register("stream_json_commands", _json_commands_sql)
+def stream_json_commands(spark, sf_dir):
+    """Import commands as a stream: parse, drop replays within the watermark, route bad rows aside."""
+    run = run_folder(spark, "commands")
+    events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    bodies = command_bodies(spark, sf_dir).join(events, "event_id")
+    status_stream.publish_in_time_order(bodies, f"{run}/topics/commands", "ts", N_TOPIC_FILES)
+    q = command_stream.command_stream(subscribe(spark, f"{run}/topics/commands", bodies.schema), AS_OF_MS,
+                                      f"{run}/sink/good", f"{run}/sink/quarantine",
+                                      f"{run}/checkpoints/commands")
+    drain(q)
+    return (command_stream.read_routed(spark, f"{run}/sink/good", f"{run}/sink/quarantine")
+            .select("event_id", "cmd_project_name", "cmd_github_url", "cmd_project_context",
+                    "cmd_import_id", "cmd_ts_ms", "reason", "status"))
+
+
 @register("health_report")
 def health_report(spark, sf_dir):
     """Health of a streaming stage (event counters over ``events``) from listener progress."""
