@@ -124,3 +124,9 @@ def test_token_distribution_close_to_numpy(spark):
         p50 = got[pid].p[0]
         rank = np.searchsorted(vals, p50, side="right") / len(vals)
         assert abs(rank - 0.5) <= 0.02
+
+
+def test_truncate_trims_like_the_ui(spark):
+    s = "x" * 99 + "\n" + "tail that is cut"
+    t = " " + "y" * 120
+    assert one_col(spark, [s, t], text.truncate_text) == ["x" * 99 + "... ", "y" * 99 + "... "]

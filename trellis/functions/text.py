@@ -13,6 +13,8 @@ GITHUB_URL_REGEX = r"^https://github\.com/[\w.-]+/[\w.-]+(\.git)?$"
 REPO_NAME_REGEX = r"github\.com/[\w.-]+/([\w.-]+)(\.git)?"
 TRUNCATE_AT = 100
 TRUNCATE_SUFFIX = "... "
+# Whitespace removed by the UI's trim: tab, LF, VT, FF, CR, BOM and Unicode separators.
+UI_TRIM_REGEX = r"^[\t\n\x0B\f\r\x{FEFF}\p{Z}]+|[\t\n\x0B\f\r\x{FEFF}\p{Z}]+$"
 
 
 def _c(col) -> Column:
@@ -66,12 +68,17 @@ def fill_template(template, pairs) -> Column:
     return out
 
 
+def ui_trim(text) -> Column:
+    """Trim as the UI does (all Unicode whitespace and line terminators, both ends)."""
+    return F.regexp_replace(_c(text), UI_TRIM_REGEX, "")
+
+
 def truncate_text(text) -> Column:
     """First 100 chars, trimmed, plus ``'... '``; shorter text unchanged; NULL → ''."""
     t = _c(text)
     return (F.when(t.isNull(), F.lit(""))
             .when(F.length(t) <= TRUNCATE_AT, t)
-            .otherwise(F.concat(F.trim(F.substring(t, 1, TRUNCATE_AT)), F.lit(TRUNCATE_SUFFIX))))
+            .otherwise(F.concat(ui_trim(F.substring(t, 1, TRUNCATE_AT)), F.lit(TRUNCATE_SUFFIX))))
 
 
 def format_count(x) -> Column:

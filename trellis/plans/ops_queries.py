@@ -114,9 +114,10 @@ def repo_name(spark, sf_dir):
     return c.select("page_id", "github_url", text.repo_name("github_url").alias("repo_name"))
 
 
-@register("truncate_text", """
+@register("truncate_text", f"""
 SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN '' WHEN length(text) <= 100 THEN text
-  ELSE trim(substr(text, 1, 100)) || '... ' END AS description FROM documents""")
+  ELSE regexp_replace(substr(text, 1, 100), {q(text.UI_TRIM_REGEX)}, '', 'g') || '... ' END AS description
+FROM documents""")
 def truncate_text(spark, sf_dir):
     """Card description: 100 chars, trimmed, ``'... '`` appended; NULL → ''."""
     d = read_table(spark, sf_dir, "documents")
