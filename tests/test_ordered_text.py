@@ -30,3 +30,14 @@ def test_chunked_concat_matches_whole(spark):
         assert "\n\n".join(p[1] for p in parts) == expected
     assert chunks["hot"][0][2] > 1
     assert all(len(t) <= 500 for _, t, _ in chunks["hot"])
+
+
+def test_ordinals_stable_when_branches_prune_differently(spark):
+    from pyspark.sql import Window
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    r = ordinals(e, ["user_id"], ["ts", "event_id"])
+    ref = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    j = r.select("event_id", "event_type", (F.col("ordinal") % 10).alias("step"), "ordinal").join(
+        ref.select("event_id", "rn"), "event_id")
+    assert j.where(F.col("ordinal") != F.col("rn")).count() == 0
+    assert j.agg(F.min("step")).first()[0] == 0

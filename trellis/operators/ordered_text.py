@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.session import cut_lineage
+
 DEFAULT_BUDGET_CHARS = 128 * 1024  # ≈ 32k tokens, the analyzer context of the reference
 
 
@@ -35,6 +37,10 @@ def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "ordina
          .withColumn("__pid", F.spark_partition_id())
          .withColumn("__mid", F.monotonically_increasing_id()))
     s = s.withColumn("__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33))
+    # The layout (range bounds are sampled with a per-RDD seed) must be computed
+    # once: the counts, offsets and group minimums below all read the same rows.
+    # A reliable checkpoint in the shared folder fixes it, also across executor loss.
+    s = cut_lineage(s.drop("__mid"))
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per shuffle partition: a proven size bound for the broadcast
@@ -44,7 +50,7 @@ def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "ordina
     first = ranked.groupBy(*key).agg(F.min("__rank").alias("__first"))
     return (ranked.join(first, key)
             .withColumn(out, F.col("__rank") - F.col("__first"))
-            .drop("__pid", "__mid", "__pos", "__off", "__rank", "__first"))
+            .drop("__pid", "__pos", "__off", "__rank", "__first"))
 
 
 def _concat(df: DataFrame, key: list[str], order: list[str], text_col: str, sep: str,

@@ -11,9 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Terminal states and the UI's progress steps.
+# Terminal states, the UI's progress steps, and the import status
+# machine (status, message, progress) in the order an import passes through it.
 TERMINAL = ("completed", "failed")
 PROGRESS_STEPS = (20, 50, 80, 100)
+STATUS_MACHINE = [
+    ("pending", "Import request received", 0),
+    ("in_progress", "Processing import...", 5),
+    ("in_progress", "Initiating GitHub repository clone", 10),
+    ("in_progress", "Cloning repository...", 20),
+    ("in_progress", "Repository cloned successfully", 40),
+    ("in_progress", "Detecting project type...", 50),
+    ("in_progress", "Project detected as {TYPE} project", 60),
+    ("in_progress", "Importing project...", 70),
+    ("in_progress", "Project imported, starting analysis...", 80),
+    ("completed", "Analysis complete", 100),
+]
+FAILED = ("failed", "Import failed: ", 0)
+
+
+def machine_step(step, project_type, failure_message=None):
+    """(status, message, progress, error) columns for a 0-based machine step; a failure wins."""
+    st = F.element_at(F.array(*[F.lit(x[0]) for x in STATUS_MACHINE]), step + 1)
+    msg = F.replace(F.element_at(F.array(*[F.lit(x[1]) for x in STATUS_MACHINE]), step + 1),
+                    F.lit("{TYPE}"), F.upper(project_type))
+    prog = F.element_at(F.array(*[F.lit(x[2]) for x in STATUS_MACHINE]), step + 1)
+    if failure_message is None:
+        return st, msg, prog, F.lit(None).cast("string")
+    failed = failure_message.isNotNull()
+    return (F.when(failed, F.lit(FAILED[0])).otherwise(st),
+            F.when(failed, F.concat(F.lit(FAILED[1]), failure_message)).otherwise(msg),
+            F.when(failed, F.lit(FAILED[2])).otherwise(prog),
+            F.when(failed, failure_message))
 
 
 def latest_status(log: DataFrame) -> DataFrame:

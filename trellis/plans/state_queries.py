@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trellis.operators import barrier, snapshots, status
 from trellis.plans.corpus_views import code_corpus
-from trellis.plans.oracle_base import with_vc
+from trellis.operators.ordered_text import ordinals
+from trellis.plans.oracle_base import q, with_vc
 from trellis.plans.registry import register
 from trellis.sources.tables import read_table
 
@@ -75,34 +76,46 @@ def open_children(spark, sf_dir):
 
 # ------------------------------------------------------------------ import status
 
+PROJECT_TYPES = ["maven", "gradle", "ant", "sbt", "java"]  # detection outcomes, by user id mod 5
+
+
 def status_log(spark, sf_dir):
-    """Status changelog: one ``events`` row = one status update of import ``imp-<user>``."""
-    e = read_table(spark, sf_dir, "events")
-    t = F.col("event_type")
-    st = (F.when(t == "signup", "pending").when(t == "view", "in_progress").when(t == "click", "in_progress")
-          .when(t == "purchase", "completed").otherwise("failed"))
-    prog = (F.when(t == "view", 20).when(t == "click", 50).when(t == "purchase", 100).otherwise(0))
-    msg = (F.when(t == "signup", "Import request received").when(t == "view", "Cloning repository")
-           .when(t == "click", "Validating project").when(t == "purchase", "Import completed")
-           .otherwise("Import failed"))
-    return e.select(F.concat(F.lit("imp-"), F.col("user_id").cast("string")).alias("import_id"),
-                    F.col("event_id").alias("seq"), "ts", st.alias("status"), prog.alias("progress"),
-                    msg.alias("message"),
-                    F.when(t == "error", F.concat(F.lit("error "), F.col("event_id").cast("string")))
-                    .alias("error"))
-
-
-LOG_SQL = """
-WITH log AS (
-  SELECT 'imp-' || cast(user_id AS varchar) AS import_id, event_id AS seq, ts,
-    CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'in_progress' WHEN 'click' THEN 'in_progress'
-      WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
-    CASE event_type WHEN 'view' THEN 20 WHEN 'click' THEN 50 WHEN 'purchase' THEN 100 ELSE 0 END AS progress,
-    CASE event_type WHEN 'signup' THEN 'Import request received' WHEN 'view' THEN 'Cloning repository'
-      WHEN 'click' THEN 'Validating project' WHEN 'purchase' THEN 'Import completed' ELSE 'Import failed' END
-      AS message,
+    """Status changelog from ``events``: each user's events, in time order, walk the import
+    status machine; every 10 events start a new import; an ``error`` event fails its step.
+
+    The per-user position is an exact ordinal from a global range sort
+    (``ordinals``), so a very active user is not sorted in one task.
+    """
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    r = ordinals(e, ["user_id"], ["ts", "event_id"])
+    step = (F.col("ordinal") % len(status.STATUS_MACHINE)).cast("int")
+    ptype = F.element_at(F.array(*[F.lit(t) for t in PROJECT_TYPES]), (F.col("user_id") % 5).cast("int") + 1)
+    fail = F.when(F.col("event_type") == "error", F.concat(F.lit("error "), F.col("event_id").cast("string")))
+    st, msg, prog, err = status.machine_step(step, ptype, fail)
+    return r.select(F.concat(F.lit("imp-"), F.col("user_id").cast("string"), F.lit("-"),
+                             F.floor(F.col("ordinal") / len(status.STATUS_MACHINE)).cast("string")).alias("import_id"),
+                    F.col("event_id").alias("seq"), "ts", st.alias("status"), prog.cast("int").alias("progress"),
+                    msg.alias("message"), err.alias("error"))
+
+
+def _log_sql() -> str:
+    n = len(status.STATUS_MACHINE)
+    sts = ", ".join(q(x[0]) for x in status.STATUS_MACHINE)
+    msgs = ", ".join(q(x[1]) for x in status.STATUS_MACHINE)
+    progs = ", ".join(str(x[2]) for x in status.STATUS_MACHINE)
+    types = ", ".join(q(t) for t in PROJECT_TYPES)
+    return f"""
+WITH o AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ordinal FROM events),
+log AS (
+  SELECT 'imp-' || cast(user_id AS varchar) || '-' || cast(ordinal // {n} AS varchar) AS import_id,
+    event_id AS seq, ts,
+    CASE WHEN event_type = 'error' THEN 'failed' ELSE [{sts}][ordinal % {n} + 1] END AS status,
+    CASE WHEN event_type = 'error' THEN 0 ELSE [{progs}][ordinal % {n} + 1] END::INT AS progress,
+    CASE WHEN event_type = 'error' THEN 'Import failed: error ' || cast(event_id AS varchar)
+      ELSE replace([{msgs}][ordinal % {n} + 1], '{{TYPE}}', upper([{types}][user_id % 5 + 1])) END AS message,
     CASE WHEN event_type = 'error' THEN 'error ' || cast(event_id AS varchar) END AS error
-  FROM events),
+  FROM o),
 latest AS (
   SELECT import_id, last(status ORDER BY ts, seq) AS status, last(message ORDER BY ts, seq) AS message,
     last(progress ORDER BY ts, seq) AS progress,
@@ -113,6 +126,9 @@ latest AS (
 """
 
 
+LOG_SQL = _log_sql()
+
+
 def _latest(spark, sf_dir):
     s = status.latest_status(status_log(spark, sf_dir))
     return s.select("import_id", "status", "message", "progress", "error",
