@@ -53,3 +53,24 @@ def drain(query: StreamingQuery, timeout_s: int = 600) -> None:
         raise TimeoutError(f"stream {query.name} did not finish in {timeout_s}s")
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+
+
+def subscribe_kafka(spark: SparkSession, servers: str, topic: str, schema,
+                    max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """Typed events from a Kafka topic whose values are JSON records of ``schema``.
+
+    Needs the Kafka connector on the cluster's classpath (it is not part of
+    this installation); the folder-backed ``subscribe`` is the default.
+    ``maxOffsetsPerTrigger`` bounds each micro-batch like ``maxFilesPerTrigger``.
+    """
+    from pyspark.sql import functions as F
+    reader = (spark.readStream.format("kafka")
+              .option("kafka.bootstrap.servers", servers)
+              .option("subscribe", topic)
+              .option("startingOffsets", "earliest"))
+    if max_offsets_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    use_rocksdb_state(spark)
+    raw = reader.load()
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"),
+                      F.col("partition"), F.col("offset")).select("e.*", "partition", "offset")
