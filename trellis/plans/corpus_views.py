@@ -13,10 +13,9 @@ from trellis.sources import corpus
 class CodeCorpus:
     """Level tables of the code corpus, built lazily from one shared scan plan.
 
-    All members are lazy plans. (Cutting ``packages`` with an eager
-    ``checkpoint()`` was measured: the extra write job costs more than the
-    re-derivation it saves at these sizes, so the plan is left whole for AQE
-    to reuse identical exchanges.)
+    ``files``/``text_files`` are lazy plans over the scan; the small level
+    tables are persisted once per session (see ``_dimension``). An eager
+    ``checkpoint()`` of them was measured and cost more than it saved.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -42,20 +41,50 @@ class CodeCorpus:
     @cached_property
     def packages(self) -> DataFrame:
         """Package rows incl. parent and stored analysis."""
-        return corpus.level_analysis(corpus.vc_packages(self._base), "package")
+        return _dimension(self._spark, self._sf, "packages",
+                          lambda: corpus.level_analysis(corpus.vc_packages(self._base), "package"))
 
     @cached_property
     def modules(self) -> DataFrame:
-        return corpus.level_analysis(corpus.vc_modules(self._base), "module")
+        return _dimension(self._spark, self._sf, "modules",
+                          lambda: corpus.level_analysis(corpus.vc_modules(self._base), "module"))
 
     @cached_property
     def projects(self) -> DataFrame:
-        return corpus.level_analysis(corpus.vc_projects(self._base), "project")
+        return _dimension(self._spark, self._sf, "projects",
+                          lambda: corpus.level_analysis(corpus.vc_projects(self._base), "project"))
 
     @cached_property
     def contexts(self) -> DataFrame:
         """project_id, context."""
-        return corpus.vc_contexts(self._raw.select("project_id", "file_id", "content"))
+        return _dimension(self._spark, self._sf, "contexts",
+                          lambda: corpus.vc_contexts(self._raw.select("project_id", "file_id", "content")))
+
+
+_DIMENSIONS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _dimension(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Persist a small derived dimension once per session and source folder.
+
+    Level tables (packages with parents, modules, projects, contexts) are
+    referenced by many branches of one plan and by many queries; persisting
+    them (memory, spilling to disk) lets every branch read one copy instead
+    of re-deriving it. They are recomputed from lineage if blocks are lost.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    memo = _DIMENSIONS.setdefault(key, {})
+    if name not in memo:
+        memo[name] = build().persist()
+    return memo[name]
+
+
+def release_dimensions() -> None:
+    """Unpersist every memoised dimension (e.g. after the source folder changed)."""
+    for memo in _DIMENSIONS.values():
+        for df in memo.values():
+            df.unpersist()
+    _DIMENSIONS.clear()
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> CodeCorpus:
