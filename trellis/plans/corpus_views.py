@@ -61,7 +61,7 @@ class CodeCorpus:
                           lambda: corpus.vc_contexts(self._raw.select("project_id", "file_id", "content")))
 
 
-_DIMENSIONS: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_DIMENSIONS: dict[tuple[str, int, str], dict[str, DataFrame]] = {}
 
 
 def _dimension(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -72,7 +72,7 @@ def _dimension(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     them (memory, spilling to disk) lets every branch read one copy instead
     of re-deriving it. They are recomputed from lineage if blocks are lost.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     memo = _DIMENSIONS.setdefault(key, {})
     if name not in memo:
         memo[name] = build().persist()
