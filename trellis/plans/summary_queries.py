@@ -16,7 +16,7 @@ from trellis.plans.oracle_base import q, tokens_sql, with_vc
 from trellis.plans.registry import register
 
 NL = "chr(10)"
-CTX_SQL = "ctx AS (SELECT project_id, arg_min(substr(content, 1, 200), file_id) AS context FROM vc GROUP BY 1)"
+CTX_SQL = "ctx AS (SELECT project_id, arg_min(content, file_id) AS context FROM vc GROUP BY 1)"
 
 
 def _fill_sql(level: str, which: str, values: dict[str, str]) -> str:

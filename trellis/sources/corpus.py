@@ -130,9 +130,9 @@ def level_analysis(df: DataFrame, level: str) -> DataFrame:
 
 
 def vc_contexts(files: DataFrame) -> DataFrame:
-    """Project context: the opening 200 characters of the project's first file (by id)."""
+    """Project context: the whole text of the project's first file (by id), like a README."""
     return (files.groupBy("project_id")
-            .agg(F.min_by(F.substring("content", 1, 200), "file_id").alias("context")))
+            .agg(F.min_by("content", "file_id").alias("context")))
 
 
 # ---------------------------------------------------------------- VR corpus
