@@ -130,3 +130,19 @@ def test_truncate_trims_like_the_ui(spark):
     s = "x" * 99 + "\n" + "tail that is cut"
     t = " " + "y" * 120
     assert one_col(spark, [s, t], text.truncate_text) == ["x" * 99 + "... ", "y" * 99 + "... "]
+
+
+def test_latest_left_defaults_and_nulls(spark):
+    from trellis.operators import snapshots
+    base = spark.createDataFrame([("p1",), ("p2",)], "project_id string")
+    snaps = spark.createDataFrame([("p1", 1, 10, "2024-01-01 00:00:00"), ("p1", 2, 20, "2024-01-02 00:00:00"),
+                                   ("p1", 3, 5, "2024-01-01 12:00:00")],
+                                  "project_id string, snapshot_id long, file_count int, ts string") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.project_id: r for r in snapshots.latest_left(base, snaps, ["project_id"], ["ts", "snapshot_id"],
+                                                          ["snapshot_id", "file_count"],
+                                                          defaults={"file_count": 0, "n_snapshots": 0}).collect()}
+    assert (got["p1"].snapshot_id, got["p1"].file_count, got["p1"].n_snapshots) == (2, 20, 3)
+    assert (got["p2"].snapshot_id, got["p2"].file_count, got["p2"].n_snapshots) == (None, 0, 0)
+    oldest = snapshots.pick_per_key(snaps, ["project_id"], ["ts", "snapshot_id"], ["snapshot_id"], newest=False)
+    assert oldest.first().snapshot_id == 1

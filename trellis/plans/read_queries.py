@@ -1,10 +1,9 @@
 """Read views: project list/detail over snapshot logs, module/package detail, breadcrumbs.
 
 Snapshot logs come from ``events`` (one event = one metrics snapshot):
-project = ``proj-<user_id div 10>``, module = ``mod-<user_id>``; purchases
-are project snapshots (projects 0, 5, 10 have none), views are module
-snapshots (users divisible by 3 have none). ``file_count`` is the JSON
-field ``k`` through a safe integer conversion.
+project = ``proj-<user_id div 10>``, module = ``mod-<user_id>``; every
+purchase is a project snapshot and every view a module snapshot.
+``file_count`` is the JSON field ``k`` through a safe integer conversion.
 """
 
 from __future__ import annotations
@@ -34,11 +33,11 @@ def event_snapshots(spark, sf_dir):
 
 
 def project_snaps(s):
-    return s.where((F.col("event_type") == "purchase") & (F.expr("(user_id div 10) % 5") != 0))
+    return s.where(F.col("event_type") == "purchase")
 
 
 def module_snaps(s):
-    return s.where((F.col("event_type") == "view") & (F.col("user_id") % 3 != 0))
+    return s.where(F.col("event_type") == "view")
 
 
 SNAP_SQL = """
@@ -49,8 +48,8 @@ WITH s AS (
     coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) AS file_count,
     cast(round(value * 100) AS BIGINT) AS lines_of_code
   FROM events),
-ps AS (SELECT * FROM s WHERE event_type = 'purchase' AND (user_id // 10) % 5 <> 0),
-ms AS (SELECT * FROM s WHERE event_type = 'view' AND user_id % 3 <> 0),
+ps AS (SELECT * FROM s WHERE event_type = 'purchase'),
+ms AS (SELECT * FROM s WHERE event_type = 'view'),
 ml AS (SELECT module_id, snapshot_id, ts_ms, file_count, lines_of_code, n_snapshots FROM (
   SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY ts DESC, snapshot_id DESC) AS rn,
     count(*) OVER (PARTITION BY module_id) AS n_snapshots FROM ms) t WHERE rn = 1),
