@@ -52,3 +52,23 @@ def test_analyze_prompts_covers_every_chunk(spark):
         assert out[pid].analysis == f"combined {n}" and out[pid].status == "ok"
     needs = {r.package_id for r in prompts.where("needs_analysis").select("package_id").distinct().collect()}
     assert set(out) == needs
+
+
+def test_analyze_prompts_recursive_combine(spark):
+    from pyspark.sql import functions as F
+    from trellis.operators.analyze import analyze_prompts
+    # one unit with 40 chunks and a budget that fits ~10 chunk summaries per combine prompt
+    rows = [("u1", i, 40, "sys", f"chunk text {i}") for i in range(40)] + [("u2", 0, 1, "sys", "small unit")]
+    prompts = spark.createDataFrame(rows, "unit string, chunk long, n_chunks long, system_prompt string, user_prompt string")
+    seen = []
+
+    def fn(system, user):
+        if user.startswith("Combine"):
+            parts = user.count("Part ")
+            seen.append(parts)
+            return f"sum({parts})"
+        return "leaf"
+
+    out = {r.unit: r for r in analyze_prompts(prompts, fn, ["unit"], parallelism=2, budget_chars=120).collect()}
+    assert out["u2"].analysis == "leaf" and out["u1"].status == "ok"
+    assert out["u1"].analysis.startswith("sum(")

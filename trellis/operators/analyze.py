@@ -177,34 +177,48 @@ COMBINE_PREFIX = "Combine these partial analyses of one unit, in order, into a s
 
 
 def analyze_prompts(prompts: DataFrame, fn: Callable[[str, str], str], key: list[str],
-                    parallelism: int = 5, retries: int = 3) -> DataFrame:
+                    parallelism: int = 5, retries: int = 3, budget_chars: int | None = None,
+                    max_rounds: int = 8) -> DataFrame:
     """Run the analyzer over level prompts, including groups split into chunks.
 
     ``prompts`` has ``key + [chunk, n_chunks, system_prompt, user_prompt]``.
     Single-chunk prompts are analysed directly. An oversized group is analysed
-    chunk by chunk, then its chunk summaries (in chunk order, one short text
-    each) form a combine prompt that is analysed once more, so every child of
-    the group contributes and no prompt exceeds the budget.
+    chunk by chunk; its chunk summaries then become the ordered entries of a
+    combine prompt, itself built with the same size budget, and the round
+    repeats until every group has one summary. Each round divides the number
+    of pieces by roughly budget / summary length, so no combine prompt and
+    no group row ever holds more than the budget.
     Returns ``key + [analysis, status, error]``.
     """
-    rid = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key], F.col("chunk").cast("string"))
-    rows = prompts.where(F.col("user_prompt").isNotNull()).withColumn("__rid", rid)
-    first = run_analyzer(rows, fn, "__rid", parallelism, retries)
-    first = rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid").join(first, "__rid")
-    single = first.where(F.col("n_chunks") == 1).select(*key, "analysis", "status", "error")
-    parts = first.where(F.col("n_chunks") > 1)
-    combined = (parts.groupBy(*key)
-                .agg(F.first("system_prompt").alias("system_prompt"),
-                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "analysis"))),
-                                              lambda x: F.concat(F.lit("Part "), (x["chunk"] + 1).cast("string"),
-                                                                 F.lit(":\n"), F.coalesce(x["analysis"], F.lit("")))),
-                                  "\n\n").alias("joined"),
-                     F.bool_and(F.col("status") == "ok").alias("parts_ok"))
-                .withColumn("user_prompt", F.concat(F.lit(COMBINE_PREFIX), F.col("joined")))
-                .withColumn("__rid", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in key])))
-    second = run_analyzer(combined, fn, "__rid", parallelism, retries)
-    merged = (combined.select(*key, "__rid", "parts_ok").join(second, "__rid")
-              .select(*key, "analysis",
-                      F.when(F.col("parts_ok"), F.col("status")).otherwise(F.lit("failed")).alias("status"),
-                      F.when(F.col("parts_ok"), F.col("error")).otherwise(F.lit("a chunk failed")).alias("error")))
-    return single.unionByName(merged)
+    from trellis.operators.ordered_text import DEFAULT_BUDGET_CHARS, ordered_concat
+    budget = budget_chars or DEFAULT_BUDGET_CHARS
+
+    def rid(cols):
+        return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in cols])
+
+    rows = prompts.where(F.col("user_prompt").isNotNull()).withColumn("__rid", rid(key + ["chunk"]))
+    res = run_analyzer(rows, fn, "__rid", parallelism, retries)
+    cur = rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid").join(res, "__rid")
+    done = cur.where(F.col("n_chunks") == 1).select(*key, "analysis", "status", "error")
+    pending = cur.where(F.col("n_chunks") > 1).withColumn("ok", F.col("status") == "ok")
+    system = pending.groupBy(*key).agg(F.first("system_prompt").alias("system_prompt"),
+                                       F.bool_and("ok").alias("parts_ok"))
+    for _ in range(max_rounds):
+        entries = pending.select(*key, "chunk", F.concat(F.lit("Part "), (F.col("chunk") + 1).cast("string"),
+                                                         F.lit(":\n"), F.coalesce("analysis", F.lit(""))).alias("e"))
+        combined = ordered_concat(entries, key, ["chunk"], "e", "\n\n", out="joined", budget_chars=budget)
+        combined = (combined.join(system, key)
+                    .withColumn("user_prompt", F.concat(F.lit(COMBINE_PREFIX), F.col("joined")))
+                    .withColumn("__rid", rid(key + ["chunk"])))
+        res = run_analyzer(combined, fn, "__rid", parallelism, retries)
+        cur = combined.select(*key, "chunk", "n_chunks", "parts_ok", "__rid").join(res, "__rid")
+        finished = (cur.where(F.col("n_chunks") == 1)
+                    .select(*key, "analysis",
+                            F.when(F.col("parts_ok"), F.col("status")).otherwise(F.lit("failed")).alias("status"),
+                            F.when(F.col("parts_ok"), F.col("error")).otherwise(F.lit("a chunk failed")).alias("error")))
+        done = done.unionByName(finished)
+        pending = cur.where(F.col("n_chunks") > 1).select(*key, "chunk", "analysis")
+        system = system.join(pending.select(*key).distinct(), key, "left_semi")
+        if pending.isEmpty():
+            break
+    return done
