@@ -17,7 +17,7 @@ from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log
 from trellis.sources.tables import read_table
 from trellis.streaming import barrier_stream, command_stream, metrics_stream, status_stream
 from trellis.streaming.health import HealthListener
-from trellis.streaming.topics import drain, publish, run_folder, subscribe
+from trellis.streaming.topics import drain, publish, run_folder, state_partitions, subscribe
 
 N_TOPIC_FILES = 2  # two micro-batches: enough to exercise state across batches
 
@@ -37,11 +37,12 @@ def _run_barrier(spark, sf_dir, levels):
     expected = spark.read.parquet(f"{run}/static/expected")
     publish(packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
             f"{run}/topics/package_discovery", 1)
-    q = barrier_stream.barrier_stream(
-        subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
-        subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
-        packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
-    drain(q)
+    with state_partitions(spark):
+        q = barrier_stream.barrier_stream(
+            subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
+            subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
+            packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
+        drain(q)
     return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, ["level", "entity_id"])
 
 
@@ -78,10 +79,11 @@ def stream_metrics(spark, sf_dir):
         F.col("lines_of_code").cast("long"), F.col("code_token_count").cast("long"),
         F.col("analysis_token_count").cast("long"))
     publish(ev, f"{run}/topics/module_file_scanned", N_TOPIC_FILES)
-    q = metrics_stream.metrics_stream(
-        subscribe(spark, f"{run}/topics/module_file_scanned", metrics_stream.FILE_SCANNED),
-        f"{run}/out", f"{run}/checkpoints/metrics")
-    drain(q)
+    with state_partitions(spark):
+        q = metrics_stream.metrics_stream(
+            subscribe(spark, f"{run}/topics/module_file_scanned", metrics_stream.FILE_SCANNED),
+            f"{run}/out", f"{run}/checkpoints/metrics")
+        drain(q)
     latest = metrics_stream.latest_metrics(spark, f"{run}/out")
     own = c.packages.select("package_id", "module_id", "project_id",
                             F.coalesce("analysis_token_count", F.lit(0)).cast("bigint")
@@ -105,9 +107,10 @@ def stream_status_feed(spark, sf_dir):
     run = run_folder(spark, "status_feed")
     log = status_log(spark, sf_dir).select("import_id", "seq", "ts", "status", "progress")
     status_stream.publish_in_time_order(log, f"{run}/topics/status", "ts", N_TOPIC_FILES)
-    q = status_stream.status_feed_stream(subscribe(spark, f"{run}/topics/status", log.schema),
-                                         f"{run}/sink/feed", f"{run}/checkpoints/feed")
-    drain(q)
+    with state_partitions(spark):
+        q = status_stream.status_feed_stream(subscribe(spark, f"{run}/topics/status", log.schema),
+                                             f"{run}/sink/feed", f"{run}/checkpoints/feed")
+        drain(q)
     return spark.read.parquet(f"{run}/sink/feed")
 
 
@@ -118,10 +121,11 @@ def stream_json_commands(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     bodies = command_bodies(spark, sf_dir).join(events, "event_id")
     status_stream.publish_in_time_order(bodies, f"{run}/topics/commands", "ts", N_TOPIC_FILES)
-    q = command_stream.command_stream(subscribe(spark, f"{run}/topics/commands", bodies.schema), AS_OF_MS,
-                                      f"{run}/sink/good", f"{run}/sink/quarantine",
-                                      f"{run}/checkpoints/commands")
-    drain(q)
+    with state_partitions(spark):
+        q = command_stream.command_stream(subscribe(spark, f"{run}/topics/commands", bodies.schema), AS_OF_MS,
+                                          f"{run}/sink/good", f"{run}/sink/quarantine",
+                                          f"{run}/checkpoints/commands")
+        drain(q)
     return (command_stream.read_routed(spark, f"{run}/sink/good", f"{run}/sink/quarantine")
             .select("event_id", "cmd_project_name", "cmd_github_url", "cmd_project_context",
                     "cmd_import_id", "cmd_ts_ms", "reason", "status"))
@@ -138,11 +142,12 @@ def health_report(spark, sf_dir):
     try:
         counts = (subscribe(spark, f"{run}/topics/events", e.schema)
                   .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-        q = (counts.writeStream.queryName(f"event_counters_{run.rsplit('/', 1)[-1][:8]}")
-             .outputMode("update").format("noop")
-             .option("checkpointLocation", f"{run}/checkpoints/counters")
-             .trigger(availableNow=True).start())
-        drain(q)
+        with state_partitions(spark):
+            q = (counts.writeStream.queryName(f"event_counters_{run.rsplit('/', 1)[-1][:8]}")
+                 .outputMode("update").format("noop")
+                 .option("checkpointLocation", f"{run}/checkpoints/counters")
+                 .trigger(availableNow=True).start())
+            drain(q)
         spark.streams.resetTerminated()
         return listener.health_rows(spark).cache()
     finally:

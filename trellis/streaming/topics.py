@@ -9,6 +9,7 @@ never collide and a restarted run resumes from its own checkpoint.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,19 @@ from pyspark.sql.streaming import StreamingQuery
 from trellis.session import ensure_checkpoint_dir
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Stateful streams keep one state store per shuffle partition; size that to the cluster's
+    cores (``defaultParallelism``) for the run, then restore the caller's setting."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(spark.sparkContext.defaultParallelism, 1)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_folder(spark: SparkSession, name: str, run_id: str | None = None) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/trellis-runs/{name}/{run_id or uuid.uuid4().hex}"
