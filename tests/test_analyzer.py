@@ -72,3 +72,18 @@ def test_analyze_prompts_recursive_combine(spark):
     out = {r.unit: r for r in analyze_prompts(prompts, fn, ["unit"], parallelism=2, budget_chars=120).collect()}
     assert out["u2"].analysis == "leaf" and out["u1"].status == "ok"
     assert out["u1"].analysis.startswith("sum(")
+
+
+def test_model_called_once_per_prompt(spark):
+    from trellis.operators.analyze import analyze_prompts
+    acc = spark.sparkContext.accumulator(0)
+    rows = [(f"u{i}", 0, 1, "sys", f"prompt {i}") for i in range(30)]
+    prompts = spark.createDataFrame(rows, "unit string, chunk long, n_chunks long, system_prompt string, user_prompt string")
+
+    def fn(system, user):
+        acc.add(1)
+        return "x"
+
+    out = analyze_prompts(prompts, fn, ["unit"], parallelism=2)
+    assert out.count() == 30 and len(out.collect()) == 30
+    assert acc.value == 30

@@ -191,27 +191,32 @@ def analyze_prompts(prompts: DataFrame, fn: Callable[[str, str], str], key: list
     Returns ``key + [analysis, status, error]``.
     """
     from trellis.operators.ordered_text import DEFAULT_BUDGET_CHARS, ordered_concat
+    from trellis.session import cut_lineage
     budget = budget_chars or DEFAULT_BUDGET_CHARS
 
     def rid(cols):
         return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in cols])
 
     rows = prompts.where(F.col("user_prompt").isNotNull()).withColumn("__rid", rid(key + ["chunk"]))
-    res = run_analyzer(rows, fn, "__rid", parallelism, retries)
-    cur = rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid").join(res, "__rid")
+    # model calls are costly and not repeatable: each round's answers are written
+    # once (reliable checkpoint) and every later step reads them from there
+    cur = cut_lineage(rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid")
+                      .join(run_analyzer(rows, fn, "__rid", parallelism, retries), "__rid"))
     done = cur.where(F.col("n_chunks") == 1).select(*key, "analysis", "status", "error")
     pending = cur.where(F.col("n_chunks") > 1).withColumn("ok", F.col("status") == "ok")
     system = pending.groupBy(*key).agg(F.first("system_prompt").alias("system_prompt"),
                                        F.bool_and("ok").alias("parts_ok"))
     for _ in range(max_rounds):
+        if pending.isEmpty():
+            break
         entries = pending.select(*key, "chunk", F.concat(F.lit("Part "), (F.col("chunk") + 1).cast("string"),
                                                          F.lit(":\n"), F.coalesce("analysis", F.lit(""))).alias("e"))
         combined = ordered_concat(entries, key, ["chunk"], "e", "\n\n", out="joined", budget_chars=budget)
         combined = (combined.join(system, key)
                     .withColumn("user_prompt", F.concat(F.lit(COMBINE_PREFIX), F.col("joined")))
                     .withColumn("__rid", rid(key + ["chunk"])))
-        res = run_analyzer(combined, fn, "__rid", parallelism, retries)
-        cur = combined.select(*key, "chunk", "n_chunks", "parts_ok", "__rid").join(res, "__rid")
+        cur = cut_lineage(combined.select(*key, "chunk", "n_chunks", "parts_ok", "__rid")
+                          .join(run_analyzer(combined, fn, "__rid", parallelism, retries), "__rid"))
         finished = (cur.where(F.col("n_chunks") == 1)
                     .select(*key, "analysis",
                             F.when(F.col("parts_ok"), F.col("status")).otherwise(F.lit("failed")).alias("status"),
@@ -219,6 +224,4 @@ def analyze_prompts(prompts: DataFrame, fn: Callable[[str, str], str], key: list
         done = done.unionByName(finished)
         pending = cur.where(F.col("n_chunks") > 1).select(*key, "chunk", "analysis")
         system = system.join(pending.select(*key).distinct(), key, "left_semi")
-        if pending.isEmpty():
-            break
     return done

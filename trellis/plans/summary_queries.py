@@ -58,6 +58,30 @@ def package_prompt(spark, sf_dir):
                     F.md5("system_prompt").alias("system_md5"))
 
 
+def prompt_digest_analyzer(system: str, user: str) -> str:
+    """Deterministic stand-in for the remote model: a digest of the prompt it was given."""
+    import hashlib
+    return "This package digest " + hashlib.md5(user.encode("utf-8")).hexdigest()[:12]
+
+
+def _package_analysis_sql() -> str:
+    base = _package_prompt_sql()
+    head, _, _ = base.rpartition("SELECT package_id, n_files, needs AS needs_analysis")
+    return head + """SELECT package_id, 'This package digest ' || substr(md5(up), 1, 12) AS analysis, 'ok' AS status
+FROM pp WHERE needs"""
+
+
+@register("package_analysis", _package_analysis_sql)
+def package_analysis(spark, sf_dir):
+    """Package prompts through the pluggable batch analyzer (Arrow batches, retries, bounded
+    parallelism) with a deterministic prompt-digest function in place of the remote model."""
+    c = code_corpus(spark, sf_dir)
+    p = summaries.package_prompts(c.files, c.packages, c.contexts)
+    out = analyze.analyze_prompts(p, prompt_digest_analyzer, ["package_id"],
+                                  parallelism=spark.sparkContext.defaultParallelism)
+    return out.select("package_id", "analysis", "status")
+
+
 def _module_prompt_sql() -> str:
     user = _fill_sql("module", "user", {"{moduleName}": "m.module_name",
                                         "{projectName}": "coalesce(pr.project_name, 'unknown-project')",
