@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.functions import paths
-from trellis.streaming.topics import drain
 
 FILE_EVENT = T.StructType([
     T.StructField("file_id", T.LongType()),
