@@ -135,3 +135,34 @@ def test_directory_packages(spark, tree):
     assert got == {"core/src": "com.acme.core", "core/src/util": "util", "web/src": "src"}
     missing = [os.path.basename(r.file_path) for r in java_meta.files_without_package(fm).collect()]
     assert missing == ["Empty.java"]
+
+
+def test_repository_corpus_end_to_end(spark, root):
+    from trellis.operators import metrics, summaries
+    from trellis.plans.corpus_views import file_level
+    from trellis.sources.corpus import with_file_metrics
+    from trellis.sources.repo_corpus import repository_corpus
+
+    c = repository_corpus(spark, root)
+    acme_pk = {r.package_name: r for r in c.packages.where("project_id = 'acme'").collect()}
+    assert set(acme_pk) == {"com.acme.core", "util", "src"}
+    assert acme_pk["util"].parent_package_id == acme_pk["com.acme.core"].package_id
+    assert acme_pk["com.acme.core"].parent_package_id is None and acme_pk["src"].parent_package_id is None
+    mods = {r.module_name for r in c.modules.where("project_id = 'acme'").collect()}
+    assert mods == {"core", "web"}
+
+    files = with_file_metrics(c.files)
+    pm = {r.package_id: r for r in metrics.package_metrics(file_level(files), c.packages).collect()}
+    by_name = {n: pm[p.package_id].file_count for n, p in acme_pk.items()}
+    assert by_name == {"com.acme.core": 2, "util": 1, "src": 2}
+    assert pm[acme_pk["com.acme.core"].package_id].lines_of_code == 13
+
+    ctx = {r.project_id: r.context for r in c.contexts.collect()}
+    assert ctx["acme"] == "Acme\n"
+    prompts = summaries.package_prompts(c.files, c.packages, c.contexts)
+    needs = {r.package_name: r.needs_analysis for r in prompts.where("project_id = 'acme'").collect()}
+    # files per package by (module, package name): com.acme.core 1 (Empty declares none), util 1, src 2
+    assert needs == {"com.acme.core": False, "util": False, "src": True}
+    blocks = summaries.digest_rows(c.files, c.packages, c.modules, c.projects).where("project_id = 'acme'")
+    text = "".join(r.block for r in blocks.orderBy(*summaries.DIGEST_ORDER).collect())
+    assert text.startswith("# acme - ") and "#### File: App.java" in text and "No analysis available" in text
