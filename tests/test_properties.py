@@ -31,19 +31,19 @@ def test_fill_template_equals_python_replace(spark, template, values):
     assert got == want
 
 
-def _stream_ready(spark, c, events, levels=("package",)):
+def _stream_ready(spark, c, events, levels=("package",), replay_window=None):
     run = run_folder(spark, "prop")
     publish(events, f"{run}/topics/f", 3)
     c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/p")
     packages = spark.read.parquet(f"{run}/static/p")
     files = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
     barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/e")
-    publish(packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
+    publish(packages.select("package_id", "module_id", F.lit(1706745600000).cast("bigint").alias("event_ms")),
             f"{run}/topics/d", 1)
     q = barrier_stream.barrier_stream(subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT),
                                       subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT),
                                       packages, spark.read.parquet(f"{run}/static/e"),
-                                      f"{run}/sink", f"{run}/ck", levels)
+                                      f"{run}/sink", f"{run}/ck", levels, replay_window=replay_window)
     drain(q)
     return {r.entity_id for r in barrier_stream.ready_keys(spark, f"{run}/sink").collect()}
 
@@ -51,10 +51,11 @@ def _stream_ready(spark, c, events, levels=("package",)):
 def test_barrier_stream_replay_safe_and_equals_batch(spark):
     c = code_corpus(spark, SF001)
     ev = (c.files.where(F.col("short_analysis").isNotNull())
-          .select("file_id", "project_id", "module_id", "dir", F.lit(0).cast("bigint").alias("event_ms")))
+          .select("file_id", "project_id", "module_id", "dir", F.lit(1706745600000).cast("bigint").alias("event_ms")))
     once = _stream_ready(spark, c, ev)
     twice = _stream_ready(spark, c, ev.unionByName(ev))  # every event replayed
+    windowed = _stream_ready(spark, c, ev.unionByName(ev), replay_window="1 hour")
     batch = {r.package_id for r in barrier.package_ready(
         c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages).where("ready").collect()}
-    assert once == twice == batch
+    assert once == twice == windowed == batch
     assert 0 < len(batch) < c.packages.count()

@@ -27,7 +27,7 @@ def _run_barrier(spark, sf_dir, levels):
     run = run_folder(spark, "barrier")
     files = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
     events = files.where(F.col("short_analysis").isNotNull()).select(
-        "file_id", "project_id", "module_id", "dir", F.lit(0).cast("bigint").alias("event_ms"))
+        "file_id", "project_id", "module_id", "dir", F.lit(AS_OF_MS).cast("bigint").alias("event_ms"))
     publish(events, f"{run}/topics/file_analyzed", N_TOPIC_FILES)
     # the static sides are written once to the run folder (a lineage cut in shared
     # storage) instead of being recomputed in every micro-batch
@@ -35,7 +35,7 @@ def _run_barrier(spark, sf_dir, levels):
     packages = spark.read.parquet(f"{run}/static/packages")
     barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/expected")
     expected = spark.read.parquet(f"{run}/static/expected")
-    publish(packages.select("package_id", "module_id", F.lit(0).cast("bigint").alias("event_ms")),
+    publish(packages.select("package_id", "module_id", F.lit(AS_OF_MS).cast("bigint").alias("event_ms")),
             f"{run}/topics/package_discovery", 1)
     with state_partitions(spark):
         q = barrier_stream.barrier_stream(

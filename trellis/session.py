@@ -14,9 +14,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Conservative ceiling for a broadcast side. Small lookup sides (prompt
-# table, rank table, region/nation) are checked against it before a
-# broadcast hint is added; everything else goes through a shuffle join.
+# Conservative ceiling for a broadcast side. Small lookup sides (region,
+# nation) are checked against it before a broadcast hint is added; all other
+# joins are left to Catalyst/AQE.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 BASE_CONF = {

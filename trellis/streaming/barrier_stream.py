@@ -36,19 +36,22 @@ DISCOVERY_EVENT = T.StructType([
 LEVELS = ("package", "module", "project")
 
 
-def _keys(files: DataFrame, packages: DataFrame, levels) -> DataFrame:
-    """(level, entity_id, file_id): the barrier keys a file counts towards."""
+def _keys(files: DataFrame, packages: DataFrame, levels, extra: list[str] | None = None) -> DataFrame:
+    """(level, entity_id, file_id, *extra): the barrier keys a file counts towards."""
+    extra = extra or []
     parts = []
     if "package" in levels:
         pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
-        ex = files.select("file_id", "module_id", F.explode(paths.ancestors("dir")).alias("anc_dir"))
+        ex = files.select("file_id", "module_id", *extra, F.explode(paths.ancestors("dir")).alias("anc_dir"))
         parts.append(ex.join(pk, (F.col("module_id") == pk["__m"]) & (F.col("anc_dir") == pk["__d"]))
-                     .select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), "file_id"))
+                     .select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), "file_id",
+                             *extra))
     if "module" in levels:
-        parts.append(files.select(F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), "file_id"))
+        parts.append(files.select(F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), "file_id",
+                                  *extra))
     if "project" in levels:
         parts.append(files.select(F.lit("project").alias("level"), F.col("project_id").alias("entity_id"),
-                                  "file_id"))
+                                  "file_id", *extra))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -62,15 +65,27 @@ def expected_counts(files: DataFrame, packages: DataFrame, levels=LEVELS) -> Dat
 
 
 def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages: DataFrame,
-                   expected: DataFrame, sink_dir: str, checkpoint_dir: str, levels=LEVELS):
-    """Start the barrier query over the merged event streams (``availableNow`` trigger)."""
-    per_key = _keys(file_events, packages, levels)
+                   expected: DataFrame, sink_dir: str, checkpoint_dir: str, levels=LEVELS,
+                   replay_window: str | None = None):
+    """Start the barrier query over the merged event streams (``availableNow`` trigger).
+
+    With ``replay_window`` (e.g. ``"1 hour"``) replays are dropped with
+    ``dropDuplicatesWithinWatermark`` on the events' time, so the dedup state
+    expires; without it the dedup state is kept for the life of the stream.
+    """
+    timed = file_events.withColumn("__t", F.timestamp_millis("event_ms"))
+    per_key = _keys(timed, packages, levels, extra=["__t"])
     # discovery events carry no file; they only open the package's key (count 0)
     opened = discovery_events.select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"),
-                                     F.lit(None).cast("long").alias("file_id"))
+                                     F.lit(None).cast("long").alias("file_id"),
+                                     F.timestamp_millis("event_ms").alias("__t"))
     merged = per_key.unionByName(opened) if "package" in levels else per_key
-    counts = (merged.dropDuplicates(["level", "entity_id", "file_id"])
-              .groupBy("level", "entity_id").agg(F.count("file_id").alias("seen")))
+    dedup_key = ["level", "entity_id", "file_id"]
+    if replay_window:
+        merged = merged.withWatermark("__t", replay_window).dropDuplicatesWithinWatermark(dedup_key)
+    else:
+        merged = merged.dropDuplicates(dedup_key)
+    counts = merged.groupBy("level", "entity_id").agg(F.count("file_id").alias("seen"))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         ready = (batch.join(expected, ["level", "entity_id"])
