@@ -36,9 +36,11 @@ def _stream_ready(spark, c, events, levels=("package",), replay_window=None):
     publish(events, f"{run}/topics/f", 3)
     c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/p")
     packages = spark.read.parquet(f"{run}/static/p")
-    files = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
+    files = c.files.select(F.lit("s1").alias("scan_id"), "file_id", "project_id", "module_id", "dir",
+                           "short_analysis")
     barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/e")
-    publish(packages.select("package_id", "module_id", F.lit(1706745600000).cast("bigint").alias("event_ms")),
+    publish(packages.select(F.lit("s1").alias("scan_id"), "package_id", "module_id",
+                            F.lit(1706745600000).cast("bigint").alias("event_ms")),
             f"{run}/topics/d", 1)
     q = barrier_stream.barrier_stream(subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT),
                                       subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT),
@@ -51,7 +53,8 @@ def _stream_ready(spark, c, events, levels=("package",), replay_window=None):
 def test_barrier_stream_replay_safe_and_equals_batch(spark):
     c = code_corpus(spark, SF001)
     ev = (c.files.where(F.col("short_analysis").isNotNull())
-          .select("file_id", "project_id", "module_id", "dir", F.lit(1706745600000).cast("bigint").alias("event_ms")))
+          .select(F.lit("s1").alias("scan_id"), "file_id", "project_id", "module_id", "dir",
+                  F.lit(1706745600000).cast("bigint").alias("event_ms")))
     once = _stream_ready(spark, c, ev)
     twice = _stream_ready(spark, c, ev.unionByName(ev))  # every event replayed
     windowed = _stream_ready(spark, c, ev.unionByName(ev), replay_window="1 hour")

@@ -25,9 +25,10 @@ N_TOPIC_FILES = 2  # two micro-batches: enough to exercise state across batches
 def _run_barrier(spark, sf_dir, levels):
     c = code_corpus(spark, sf_dir)
     run = run_folder(spark, "barrier")
-    files = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
+    scan = F.lit(f"scan:{sf_dir}")  # one scan of the corpus per run
+    files = c.files.select(scan.alias("scan_id"), "file_id", "project_id", "module_id", "dir", "short_analysis")
     events = files.where(F.col("short_analysis").isNotNull()).select(
-        "file_id", "project_id", "module_id", "dir", F.lit(AS_OF_MS).cast("bigint").alias("event_ms"))
+        "scan_id", "file_id", "project_id", "module_id", "dir", F.lit(AS_OF_MS).cast("bigint").alias("event_ms"))
     publish(events, f"{run}/topics/file_analyzed", N_TOPIC_FILES)
     # the static sides are written once to the run folder (a lineage cut in shared
     # storage) instead of being recomputed in every micro-batch
@@ -35,7 +36,8 @@ def _run_barrier(spark, sf_dir, levels):
     packages = spark.read.parquet(f"{run}/static/packages")
     barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/expected")
     expected = spark.read.parquet(f"{run}/static/expected")
-    publish(packages.select("package_id", "module_id", F.lit(AS_OF_MS).cast("bigint").alias("event_ms")),
+    publish(packages.select(scan.alias("scan_id"), "package_id", "module_id",
+                            F.lit(AS_OF_MS).cast("bigint").alias("event_ms")),
             f"{run}/topics/package_discovery", 1)
     with state_partitions(spark):
         q = barrier_stream.barrier_stream(
@@ -43,7 +45,7 @@ def _run_barrier(spark, sf_dir, levels):
             subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
             packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
         drain(q)
-    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, ["level", "entity_id"])
+    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, barrier_stream.KEY)
 
 
 @register("stream_package_ready", lambda: with_vc(PAIRS_SQL + """

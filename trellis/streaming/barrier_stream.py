@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from trellis.functions import paths
 
 FILE_EVENT = T.StructType([
+    T.StructField("scan_id", T.StringType()),
     T.StructField("file_id", T.LongType()),
     T.StructField("project_id", T.StringType()),
     T.StructField("module_id", T.StringType()),
@@ -29,6 +30,7 @@ FILE_EVENT = T.StructType([
     T.StructField("event_ms", T.LongType()),
 ])
 DISCOVERY_EVENT = T.StructType([
+    T.StructField("scan_id", T.StringType()),
     T.StructField("package_id", T.StringType()),
     T.StructField("module_id", T.StringType()),
     T.StructField("event_ms", T.LongType()),
@@ -58,9 +60,16 @@ def _keys(files: DataFrame, packages: DataFrame, levels, extra: list[str] | None
     return out
 
 
+KEY = ["level", "entity_id", "scan_id"]
+
+
 def expected_counts(files: DataFrame, packages: DataFrame, levels=LEVELS) -> DataFrame:
-    """Static side: number of files under each barrier key (from the scan table)."""
-    return (_keys(files, packages, levels).groupBy("level", "entity_id")
+    """Static side: number of files under each barrier key of each scan (from the scan table).
+
+    ``files`` carries ``scan_id``: a re-scan of a project opens new barrier keys
+    instead of adding to the counts of the previous scan.
+    """
+    return (_keys(files, packages, levels, extra=["scan_id"]).groupBy(*KEY)
             .agg(F.count(F.lit(1)).alias("expected")))
 
 
@@ -74,23 +83,23 @@ def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages
     expires; without it the dedup state is kept for the life of the stream.
     """
     timed = file_events.withColumn("__t", F.timestamp_millis("event_ms"))
-    per_key = _keys(timed, packages, levels, extra=["__t"])
+    per_key = _keys(timed, packages, levels, extra=["__t", "scan_id"])
     # discovery events carry no file; they only open the package's key (count 0)
     opened = discovery_events.select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"),
                                      F.lit(None).cast("long").alias("file_id"),
-                                     F.timestamp_millis("event_ms").alias("__t"))
+                                     F.timestamp_millis("event_ms").alias("__t"), "scan_id")
     merged = per_key.unionByName(opened) if "package" in levels else per_key
-    dedup_key = ["level", "entity_id", "file_id"]
+    dedup_key = KEY + ["file_id"]
     if replay_window:
         merged = merged.withWatermark("__t", replay_window).dropDuplicatesWithinWatermark(dedup_key)
     else:
         merged = merged.dropDuplicates(dedup_key)
-    counts = merged.groupBy("level", "entity_id").agg(F.count("file_id").alias("seen"))
+    counts = merged.groupBy(*KEY).agg(F.count("file_id").alias("seen"))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        ready = (batch.join(expected, ["level", "entity_id"])
+        ready = (batch.join(expected, KEY)
                  .where(F.col("seen") == F.col("expected"))
-                 .select("level", "entity_id", F.col("seen").cast("bigint").alias("done_files"),
+                 .select(*KEY, F.col("seen").cast("bigint").alias("done_files"),
                          F.lit(batch_id).cast("bigint").alias("batch_id")))
         ready.write.mode("append").parquet(sink_dir)
 
@@ -103,5 +112,5 @@ def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages
 
 def ready_keys(spark, sink_dir: str) -> DataFrame:
     """Sink read-back, deduplicated by key (a re-run batch may append twice)."""
-    return (spark.read.parquet(sink_dir).groupBy("level", "entity_id")
+    return (spark.read.parquet(sink_dir).groupBy(*KEY)
             .agg(F.min("batch_id").alias("batch_id"), F.max("done_files").alias("done_files")))
