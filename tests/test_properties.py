@@ -62,3 +62,30 @@ def test_barrier_stream_replay_safe_and_equals_batch(spark):
         c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages).where("ready").collect()}
     assert once == twice == windowed == batch
     assert 0 < len(batch) < c.packages.count()
+
+
+def test_rescan_opens_new_barriers(spark):
+    c = code_corpus(spark, SF001)
+    run = run_folder(spark, "rescan")
+    base = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
+    files = base.select(F.lit("s1").alias("scan_id"), "*").unionByName(base.select(F.lit("s2").alias("scan_id"), "*"))
+    ev = files.where(F.col("short_analysis").isNotNull()).select(
+        "scan_id", "file_id", "project_id", "module_id", "dir", F.lit(1706745600000).cast("bigint").alias("event_ms"))
+    publish(ev, f"{run}/topics/f", 2)
+    c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/p")
+    packages = spark.read.parquet(f"{run}/static/p")
+    barrier_stream.expected_counts(files, packages, ("package",)).write.parquet(f"{run}/static/e")
+    publish(packages.select(F.lit("s1").alias("scan_id"), "package_id", "module_id",
+                            F.lit(1706745600000).cast("bigint").alias("event_ms")), f"{run}/topics/d", 1)
+    q = barrier_stream.barrier_stream(subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT),
+                                      subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT),
+                                      packages, spark.read.parquet(f"{run}/static/e"),
+                                      f"{run}/sink", f"{run}/ck", ("package",))
+    drain(q)
+    ready = barrier_stream.ready_keys(spark, f"{run}/sink").collect()
+    by_scan = {}
+    for r in ready:
+        by_scan.setdefault(r.scan_id, set()).add(r.entity_id)
+    batch = {r.package_id for r in barrier.package_ready(
+        c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages).where("ready").collect()}
+    assert by_scan == {"s1": batch, "s2": batch}
