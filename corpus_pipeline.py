@@ -10,11 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trellis.llm import exact_dedup, simhash
+from trellis.llm import exact_dedup, mixing, pieces, quality, simhash
 from trellis.llm.common import prepare
 from trellis.session import ensure_checkpoint_dir
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    prepare(spark)
+    return quality.keep_good(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays (smallest ``doc_id``)."""
     prepare(spark)
@@ -27,9 +33,24 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (zero to three times)."""
+    prepare(spark)
+    return mixing.mix_rows(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ``token_ids``."""
+    prepare(spark)
+    return pieces.encode(docs)
+
+
 STAGES = [
+    ("quality_rules", good),
     ("exact_dedup", exact),
     ("simhash_near_dedup", near),
+    ("mix_sources", mixed),
+    ("sentencepiece", tokenised),
 ]
 
 #: Fingerprints, the balanced sample and the tokeniser have no SQL form; tests hold the run against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import exact_dedup, simhash
+from trellis.llm import exact_dedup, mixing, pieces, quality, simhash
 from trellis.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,80 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_mix_sources")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced draw of every document against its source's target."""
+    out = mixing.draw(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _quality_sql() -> str:
+    """Counts, bucket sketches and fences of the quality rules, stated on their own."""
+    return r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+c AS (
+  SELECT doc_id, lang, source, w, len(w) AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines
+  FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS k
+        FROM (SELECT doc_id, w, unnest(range(1, n_words - 6)) AS i FROM c WHERE n_words > 8)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
+        FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM hit) GROUP BY doc_id),
+m AS (
+  SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         1000 * word_chars // greatest(n_words, 1) AS m1, 1000 * n_symbols // greatest(word_chars, 1) AS m2,
+         1000 * n_dup_lines // greatest(n_lines, 1) AS m3, 1000 * n_upper // greatest(word_chars, 1) AS m4
+  FROM c LEFT JOIN rep USING (doc_id)),
+v AS (SELECT lang, source, unnest(['a', 'b', 'c', 'd']) AS metric, unnest([m1, m2, m3, m4]) AS x FROM m WHERE n_words >= 20),
+b AS (SELECT lang, source, metric, CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) END AS x FROM v),
+f1 AS (SELECT lang, source, metric, count(*) AS n, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM b GROUP BY ALL),
+f2 AS (SELECT lang, metric, count(*) AS n, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM b GROUP BY ALL),
+f3 AS (SELECT metric, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM b GROUP BY ALL),
+q AS (SELECT f1.lang, f1.source, f1.metric,
+             CASE WHEN f1.n >= 100 THEN f1.q1 WHEN f2.n >= 100 THEN f2.q1 ELSE f3.q1 END AS q1,
+             CASE WHEN f1.n >= 100 THEN f1.q3 WHEN f2.n >= 100 THEN f2.q3 ELSE f3.q3 END AS q3
+      FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.metric = f2.metric JOIN f3 ON f1.metric = f3.metric),
+r AS (SELECT lang, source, metric, q1 - k * greatest(q3 - q1, least_w) AS low, q3 + k * greatest(q3 - q1, least_w) AS high
+      FROM q JOIN (VALUES ('a', 6, 250), ('b', 4, 12), ('c', 4, 100), ('d', 4, 75)) AS z(metric, k, least_w) USING (metric)),
+t AS (SELECT lang, source, max(low) FILTER (metric = 'a') AS la, max(high) FILTER (metric = 'a') AS ha,
+             max(low) FILTER (metric = 'b') AS lb, max(high) FILTER (metric = 'b') AS hb,
+             max(low) FILTER (metric = 'c') AS lc, max(high) FILTER (metric = 'c') AS hc,
+             max(low) FILTER (metric = 'd') AS ld, max(high) FILTER (metric = 'd') AS hd FROM r GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+       AND coalesce(m1 BETWEEN la AND ha, true) AND coalesce(m2 BETWEEN lb AND hb, true)
+       AND coalesce(m3 BETWEEN lc AND hc, true) AND coalesce(m4 BETWEEN ld AND hd, true) AS kept
+FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"""
+
+
+@query("op2_quality_rules", _quality_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                      F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether decoding them gives the text back."""
+    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pieces.decode(ids)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.size("token_ids").cast("bigint").alias("n_pieces"),
+                      F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
+                      (F.col("decoded") == F.translate(text, pieces.MARK, " ")).alias("round_trip"))
+
+
 @query("op9_exact_dedup", r"""
 WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
