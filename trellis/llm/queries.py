@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, mixing, pieces, quality, simhash, toxicity, warc
+from trellis.llm import chat, exact_dedup, html_text, mixing, pieces, quality, simhash, toxicity, warc
 from trellis.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("decoded") == F.translate(text, pieces.MARK, " ")).alias("round_trip"))
 
 
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op6_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
