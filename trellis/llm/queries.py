@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, html_text, mixing, pieces, quality, simhash, toxicity, warc
+from trellis.llm import chat, exact_dedup, html_text, lm_score, mixing, pieces, quality, simhash, toxicity, warc
 from trellis.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query("op6_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 g AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
