@@ -10,7 +10,9 @@ from trellis.functions.text import fill_template
 from trellis.operators import barrier
 from trellis.plans.corpus_views import code_corpus
 from trellis.streaming import barrier_stream
-from trellis.streaming.topics import drain, publish, run_folder, subscribe
+from trellis.streaming.topics import drain, publish, release, run_folder, subscribe
+
+from trellis.session import path_exists
 
 from conftest import SF001
 
@@ -31,61 +33,88 @@ def test_fill_template_equals_python_replace(spark, template, values):
     assert got == want
 
 
-def _stream_ready(spark, c, events, levels=("package",), replay_window=None):
+def _scan(c, scan):
+    return c.files.select(F.lit(scan).alias("scan_id"), "file_id", "project_id", "module_id", "dir", "analysed")
+
+
+def _run(spark, c, files, events, discovered, batches=1):
+    """The package barrier over ``events`` published as several files; with ``batches`` > 1 it is stopped and resumed."""
     run = run_folder(spark, "prop")
-    publish(events, f"{run}/topics/f", 3)
-    c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/p")
+    c.packages.select("package_id", "module_id", "dir", "parent_package_id").write.parquet(f"{run}/static/p")
     packages = spark.read.parquet(f"{run}/static/p")
-    files = c.files.select(F.lit("s1").alias("scan_id"), "file_id", "project_id", "module_id", "dir",
-                           "short_analysis")
-    barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/e")
-    publish(packages.select(F.lit("s1").alias("scan_id"), "package_id", "module_id",
-                            F.lit(1706745600000).cast("bigint").alias("event_ms")),
-            f"{run}/topics/d", 1)
-    q = barrier_stream.barrier_stream(subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT),
-                                      subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT),
-                                      packages, spark.read.parquet(f"{run}/static/e"),
-                                      f"{run}/sink", f"{run}/ck", levels, replay_window=replay_window)
-    drain(q)
-    return {r.entity_id for r in barrier_stream.ready_keys(spark, f"{run}/sink").collect()}
-
-
-def test_barrier_stream_replay_safe_and_equals_batch(spark):
+    barrier_stream.expected_counts(files, packages, c.modules, ("package",)).write.parquet(f"{run}/static/e")
+    none = spark.createDataFrame([], barrier_stream.SUMMARY_EVENT)
+    publish(none, f"{run}/topics/s")
+    publish(discovered, f"{run}/topics/d")
+    for b in range(batches):
+        publish(events.where(F.col("file_id") % batches == b).repartition(3), f"{run}/topics/f")
+        drain(barrier_stream.barrier_stream(
+            subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT, 1), subscribe(spark, f"{run}/topics/s", barrier_stream.SUMMARY_EVENT),
+            subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT), packages, spark.read.parquet(f"{run}/static/e"),
+            f"{run}/sink", f"{run}/checkpoints", ("package",)))
+    release(spark, run)
+    assert not path_exists(spark, f"{run}/topics") and path_exists(spark, f"{run}/sink")
+    return {(r.scan_id, r.entity_id) for r in barrier_stream.ready_keys(spark, f"{run}/sink").collect()}
+
+
+def test_barrier_stream_equals_batch_under_replay_restart_and_missing_keys(spark):
     c = code_corpus(spark, SF001)
-    ev = (c.files.where(F.col("short_analysis").isNotNull())
-          .select(F.lit("s1").alias("scan_id"), "file_id", "project_id", "module_id", "dir",
-                  F.lit(1706745600000).cast("bigint").alias("event_ms")))
-    once = _stream_ready(spark, c, ev)
-    twice = _stream_ready(spark, c, ev.unionByName(ev))  # every event replayed
-    windowed = _stream_ready(spark, c, ev.unionByName(ev), replay_window="1 hour")
-    batch = {r.package_id for r in barrier.package_ready(
-        c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages).where("ready").collect()}
-    assert once == twice == windowed == batch
+    files = _scan(c, "s1")
+    ev = files.where("analysed").select("scan_id", F.col("file_id").cast("long").alias("file_id"), "project_id", "module_id", "dir")
+    disc = c.packages.select(F.lit("s1").alias("scan_id"), "package_id")
+    batch = {("s1", r.package_id) for r in barrier.package_ready(
+        c.files.select("module_id", "dir", "analysed"), c.packages).where("ready").collect()}
+    keyless = ev.limit(3).withColumn("file_id", F.lit(None).cast("long"))
+    assert _run(spark, c, files, ev, disc) == batch
+    assert _run(spark, c, files, ev.unionByName(ev).unionByName(keyless), disc, batches=2) == batch
     assert 0 < len(batch) < c.packages.count()
+    one = sorted(batch)[0][1]
+    assert _run(spark, c, files, ev, disc.where(F.col("package_id") != one)) == batch - {("s1", one)}
 
 
 def test_rescan_opens_new_barriers(spark):
     c = code_corpus(spark, SF001)
-    run = run_folder(spark, "rescan")
-    base = c.files.select("file_id", "project_id", "module_id", "dir", "short_analysis")
-    files = base.select(F.lit("s1").alias("scan_id"), "*").unionByName(base.select(F.lit("s2").alias("scan_id"), "*"))
-    ev = files.where(F.col("short_analysis").isNotNull()).select(
-        "scan_id", "file_id", "project_id", "module_id", "dir", F.lit(1706745600000).cast("bigint").alias("event_ms"))
-    publish(ev, f"{run}/topics/f", 2)
-    c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/p")
-    packages = spark.read.parquet(f"{run}/static/p")
-    barrier_stream.expected_counts(files, packages, ("package",)).write.parquet(f"{run}/static/e")
-    publish(packages.select(F.lit("s1").alias("scan_id"), "package_id", "module_id",
-                            F.lit(1706745600000).cast("bigint").alias("event_ms")), f"{run}/topics/d", 1)
-    q = barrier_stream.barrier_stream(subscribe(spark, f"{run}/topics/f", barrier_stream.FILE_EVENT),
-                                      subscribe(spark, f"{run}/topics/d", barrier_stream.DISCOVERY_EVENT),
-                                      packages, spark.read.parquet(f"{run}/static/e"),
-                                      f"{run}/sink", f"{run}/ck", ("package",))
-    drain(q)
-    ready = barrier_stream.ready_keys(spark, f"{run}/sink").collect()
-    by_scan = {}
-    for r in ready:
-        by_scan.setdefault(r.scan_id, set()).add(r.entity_id)
+    files = _scan(c, "s1").unionByName(_scan(c, "s2"))
+    ev = files.where("analysed").select("scan_id", F.col("file_id").cast("long").alias("file_id"), "project_id", "module_id", "dir")
+    disc = files.select("scan_id").distinct().join(c.packages.select("package_id"))
     batch = {r.package_id for r in barrier.package_ready(
-        c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages).where("ready").collect()}
-    assert by_scan == {"s1": batch, "s2": batch}
+        c.files.select("module_id", "dir", "analysed"), c.packages).where("ready").collect()}
+    assert _run(spark, c, files, ev, disc) == {(s, p) for s in ("s1", "s2") for p in batch}
+
+
+def test_status_feed_in_any_arrival_order(spark):
+    from trellis.streaming import status_stream
+    rows = [("a", 1, 1, "pending"), ("a", 2, 2, "failed"), ("a", 3, 3, "completed"), ("b", 4, 1, "pending"), (None, 5, 1, "failed")]
+    schema = "import_id string, seq long, ts long, status string"
+    run = run_folder(spark, "feed")
+    for r in reversed(rows):  # the latest update arrives first, each in its own file and run
+        publish(spark.createDataFrame([r], schema).coalesce(1), f"{run}/topics")
+        up = subscribe(spark, f"{run}/topics", spark.createDataFrame([], schema).schema, 1)
+        drain(status_stream.feed_stream(up, f"{run}/feed", f"{run}/c1"))
+        drain(status_stream.stop_stream(up, f"{run}/stops", f"{run}/c2"))
+    got = sorted((r.import_id, r.seq) for r in status_stream.read_feed(spark, f"{run}/feed", f"{run}/stops").collect())
+    assert got == [("a", 1), ("a", 2), ("b", 4)]
+
+
+def test_late_commands_are_kept(spark):
+    from trellis.streaming import command_stream
+    run = run_folder(spark, "late")
+    body = '{{"project_name": "p{0}", "github_url": "https://github.com/u/r{0}", "import_id": "i{0}"}}'
+    schema = "event_id long, ts timestamp, body string"
+    import datetime as dt
+    for day, ids in ((20, [1, 2]), (1, [3, 1])):  # the second file is 19 days older; event 1 is replayed
+        rows = [(i + (10 if day == 1 and i == 1 else 0), dt.datetime(2024, 1, day), body.format(i)) for i in ids]
+        publish(spark.createDataFrame(rows, schema).coalesce(1), f"{run}/topics")
+        lines = subscribe(spark, f"{run}/topics", spark.createDataFrame([], schema).schema, 1)
+        drain(command_stream.command_stream(lines, 0, f"{run}/good", f"{run}/bad", f"{run}/ck"))
+    out = command_stream.read_routed(spark, f"{run}/good", f"{run}/bad")
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 3]
+    assert command_stream.read_routed(spark, f"{run}/nothing", f"{run}/none") is None
+
+
+def test_release_runs(spark):
+    from trellis.streaming.topics import release_runs
+    run = run_folder(spark, "gone")
+    publish(spark.range(3), f"{run}/topics")
+    release_runs(spark)
+    assert not path_exists(spark, run)

@@ -2,13 +2,15 @@
 
 A package is ready when every file in its subtree is analysed (its own
 files and, recursively, its child packages' files); a module when every
-file under it is analysed; a project when all its modules are. '' counts
-as analysed (a singleton package's empty summary is a finished summary).
-
-Each file is exploded to the existing packages on its ancestor path
-(bounded by depth) and the test is a ``count_if = count`` aggregate with
-map-side partial aggregation — there is no counter that can pass zero
-early, and replays or reorderings give the same answer.
+file under it is analysed and every root package has a stored summary ('' is
+one: a singleton package's empty summary is finished); a project when every file
+under it is analysed and every module has a non-empty summary.
+
+Files are counted per directory first; each distinct directory is exploded to
+the existing packages on its ancestor path (bounded by depth) and the counts
+are summed. There is no counter that can pass zero early, and replays or
+reorderings give the same answer. Frames of files carry a boolean ``analysed``,
+so no barrier reads a text.
 """
 
 from __future__ import annotations
@@ -19,23 +21,20 @@ from pyspark.sql import functions as F
 from trellis.functions import paths
 
 
-def analysed(col: str = "short_analysis"):
-    return F.col(col).isNotNull()
+def directory_counts(files: DataFrame) -> DataFrame:
+    """Files and analysed files per (module, directory)."""
+    return files.groupBy("module_id", "dir").agg(F.count(F.lit(1)).alias("n"), F.count_if("analysed").alias("done"))
 
 
-def package_file_pairs(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """(package_id, file_id, done) for every package on the file's ancestor-or-self path."""
-    ex = files.select("file_id", "module_id", analysed().alias("done"),
-                      F.explode(paths.ancestors("dir")).alias("anc_dir"))
-    pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
-    return (ex.join(pk, (ex.module_id == pk["__m"]) & (ex.anc_dir == pk["__d"]))
-            .select("package_id", "file_id", "done"))
+def subtree_counts(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(package_id, subtree_files, done_files) of packages with files below them."""
+    ex = directory_counts(files).select("module_id", "n", "done", F.explode(paths.ancestors("dir")).alias("dir"))
+    return (ex.join(packages.select("package_id", "module_id", "dir"), ["module_id", "dir"])
+            .groupBy("package_id").agg(F.sum("n").alias("subtree_files"), F.sum("done").alias("done_files")))
 
 
 def package_ready(files: DataFrame, packages: DataFrame) -> DataFrame:
-    pairs = package_file_pairs(files, packages)
-    agg = (pairs.groupBy("package_id")
-           .agg(F.count(F.lit(1)).alias("subtree_files"), F.count_if("done").alias("done_files")))
+    agg = subtree_counts(files, packages)
     return (packages.select("package_id", "module_id").join(agg, "package_id", "left")
             .select("package_id", "module_id",
                     F.coalesce("subtree_files", F.lit(0)).cast("bigint").alias("subtree_files"),
@@ -43,25 +42,29 @@ def package_ready(files: DataFrame, packages: DataFrame) -> DataFrame:
             .withColumn("ready", F.col("done_files") == F.col("subtree_files")))
 
 
-def module_ready(files: DataFrame, modules: DataFrame) -> DataFrame:
-    agg = (files.groupBy("module_id")
-           .agg(F.count(F.lit(1)).alias("n_files"), F.count_if(analysed()).alias("done_files")))
-    return (modules.select("module_id", "project_id").join(agg, "module_id", "left")
-            .select("module_id", "project_id",
-                    F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files"),
-                    F.coalesce("done_files", F.lit(0)).cast("bigint").alias("done_files"))
-            .withColumn("ready", F.col("done_files") == F.col("n_files")))
-
-
-def project_ready(mod_ready: DataFrame, projects: DataFrame) -> DataFrame:
-    """All modules ready (vacuously true for a project without modules)."""
-    agg = (mod_ready.groupBy("project_id")
-           .agg(F.count(F.lit(1)).alias("n_modules"), F.count_if("ready").alias("ready_modules"),
-                F.bool_and("ready").alias("all_ready")))
-    return (projects.select("project_id").join(agg, "project_id", "left")
-            .select("project_id", F.coalesce("n_modules", F.lit(0)).cast("bigint").alias("n_modules"),
-                    F.coalesce("ready_modules", F.lit(0)).cast("bigint").alias("ready_modules"),
-                    F.coalesce("all_ready", F.lit(True)).alias("ready")))
+def _file_counts(files: DataFrame, key: str) -> DataFrame:
+    return files.groupBy(key).agg(F.count(F.lit(1)).alias("n_files"), F.count_if("analysed").alias("done_files"))
+
+
+def _ready(df: DataFrame, key: list[str], parts: str, done_parts: str) -> DataFrame:
+    cols = ["n_files", "done_files", parts, done_parts]
+    return (df.select(*key, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in cols])
+            .withColumn("ready", (F.col("n_files") == F.col("done_files")) & (F.col(parts) == F.col(done_parts))))
+
+
+def module_ready(files: DataFrame, packages: DataFrame, modules: DataFrame) -> DataFrame:
+    roots = (packages.where(F.col("parent_package_id").isNull()).groupBy("module_id")
+             .agg(F.count(F.lit(1)).alias("n_roots"), F.count_if(F.col("analysis").isNotNull()).alias("done_roots")))
+    return _ready(modules.select("module_id", "project_id").join(_file_counts(files, "module_id"), "module_id", "left")
+                  .join(roots, "module_id", "left"), ["module_id", "project_id"], "n_roots", "done_roots")
+
+
+def project_ready(files: DataFrame, modules: DataFrame, projects: DataFrame) -> DataFrame:
+    """A project without modules is ready."""
+    mods = (modules.groupBy("project_id")
+            .agg(F.count(F.lit(1)).alias("n_modules"), F.count_if(F.coalesce("analysis", F.lit("")) != "").alias("done_modules")))
+    return _ready(projects.select("project_id").join(_file_counts(files, "project_id"), "project_id", "left")
+                  .join(mods, "project_id", "left"), ["project_id"], "n_modules", "done_modules")
 
 
 def unfinished_children(packages: DataFrame) -> DataFrame:

@@ -11,17 +11,32 @@ from trellis.plans.oracle_base import q, with_vc
 from trellis.plans.registry import register
 from trellis.sources.tables import read_table
 
+# Fixture: the summaries of some packages (NULL) and modules ('') failed, by a digit of their id's md5.
+def with_failures(packages, modules):
+    digit = lambda c, at: F.conv(F.substring(F.md5(c), at, 1), 16, 10).cast("int")
+    return (packages.withColumn("analysis", F.when(digit("package_id", 6) % 8 != 0, F.col("analysis"))),
+            modules.withColumn("analysis", F.when(digit("module_id", 6) % 8 == 0, F.lit("")).otherwise(F.col("analysis"))))
+
+
 PAIRS_SQL = """,
-pairs AS (SELECT p.package_id, f.file_id, f.short_analysis IS NOT NULL AS done
+fpk AS (SELECT * REPLACE (CASE WHEN (instr('0123456789abcdef', substr(md5(package_id), 6, 1)) - 1) % 8 <> 0 THEN analysis END AS analysis) FROM vpk),
+fmod AS (SELECT * REPLACE (CASE WHEN (instr('0123456789abcdef', substr(md5(module_id), 6, 1)) - 1) % 8 = 0 THEN '' ELSE analysis END AS analysis) FROM vmod),
+pairs AS (SELECT p.package_id, f.file_id, f.analysed AS done
   FROM vc f JOIN vpk p ON p.module_id = f.module_id AND (f.dir = p.dir OR starts_with(f.dir, p.dir || '/'))),
 pr AS (SELECT p.package_id, p.module_id, coalesce(a.n, 0)::BIGINT AS subtree_files,
          coalesce(a.d, 0)::BIGINT AS done_files
        FROM vpk p LEFT JOIN (SELECT package_id, count(*) AS n, count(*) FILTER (WHERE done) AS d
                              FROM pairs GROUP BY 1) a ON a.package_id = p.package_id),
-mr AS (SELECT m.module_id, m.project_id, coalesce(a.n, 0)::BIGINT AS n_files, coalesce(a.d, 0)::BIGINT AS done_files
-       FROM vmod m LEFT JOIN (SELECT module_id, count(*) AS n,
-                                     count(*) FILTER (WHERE short_analysis IS NOT NULL) AS d
-                              FROM vc GROUP BY 1) a ON a.module_id = m.module_id)
+mr0 AS (SELECT m.module_id, m.project_id, coalesce(a.n, 0)::BIGINT AS n_files, coalesce(a.d, 0)::BIGINT AS done_files,
+          coalesce(r.n, 0)::BIGINT AS n_roots, coalesce(r.d, 0)::BIGINT AS done_roots
+       FROM vmod m LEFT JOIN (SELECT module_id, count(*) AS n, count(*) FILTER (WHERE analysed) AS d FROM vc GROUP BY 1) a USING (module_id)
+       LEFT JOIN (SELECT module_id, count(*) AS n, count(analysis) AS d FROM fpk WHERE parent_package_id IS NULL GROUP BY 1) r USING (module_id)),
+mr AS (SELECT *, n_files = done_files AND n_roots = done_roots AS ready FROM mr0),
+jr0 AS (SELECT p.project_id, coalesce(a.n, 0)::BIGINT AS n_files, coalesce(a.d, 0)::BIGINT AS done_files,
+          coalesce(r.n, 0)::BIGINT AS n_modules, coalesce(r.d, 0)::BIGINT AS done_modules
+       FROM vproj p LEFT JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE analysed) AS d FROM vc GROUP BY 1) a USING (project_id)
+       LEFT JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE coalesce(analysis, '') <> '') AS d FROM fmod GROUP BY 1) r USING (project_id)),
+jr AS (SELECT *, n_files = done_files AND n_modules = done_modules AS ready FROM jr0)
 """
 
 
@@ -34,27 +49,23 @@ def _vc_state(body: str) -> str:
 def package_ready(spark, sf_dir):
     """Package barrier: every file in the package's subtree has been analysed."""
     c = code_corpus(spark, sf_dir)
-    return barrier.package_ready(c.files.select("file_id", "module_id", "dir", "short_analysis"), c.packages)
+    return barrier.package_ready(c.files.select("module_id", "dir", "analysed"), c.packages)
 
 
-@register("module_ready", lambda: _vc_state("SELECT *, done_files = n_files AS ready FROM mr"))
+@register("module_ready", lambda: _vc_state("SELECT * FROM mr"))
 def module_ready(spark, sf_dir):
-    """Module barrier: every file under the module's root packages is analysed."""
+    """Module barrier: every file under the module is analysed, every root package has its summary."""
     c = code_corpus(spark, sf_dir)
-    return barrier.module_ready(c.files.select("module_id", "short_analysis"), c.modules)
+    pk, md = with_failures(c.packages, c.modules)
+    return barrier.module_ready(c.files.select("module_id", "analysed"), pk, md)
 
 
-@register("project_ready", lambda: _vc_state("""
-SELECT p.project_id, coalesce(a.n, 0)::BIGINT AS n_modules, coalesce(a.r, 0)::BIGINT AS ready_modules,
-  coalesce(a.allr, true) AS ready
-FROM vproj p LEFT JOIN (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE done_files = n_files) AS r,
-                               bool_and(done_files = n_files) AS allr FROM mr GROUP BY 1) a
-ON a.project_id = p.project_id"""))
+@register("project_ready", lambda: _vc_state("SELECT * FROM jr"))
 def project_ready(spark, sf_dir):
-    """Project barrier: all modules ready; a project without modules is ready."""
+    """Project barrier: every file is analysed and every module has a non-empty summary."""
     c = code_corpus(spark, sf_dir)
-    mr = barrier.module_ready(c.files.select("module_id", "short_analysis"), c.modules)
-    return barrier.project_ready(mr, c.projects)
+    pk, md = with_failures(c.packages, c.modules)
+    return barrier.project_ready(c.files.select("project_id", "analysed"), md, c.projects)
 
 
 @register("open_children", lambda: with_vc("""
@@ -83,7 +94,7 @@ def status_log(spark, sf_dir):
     """Status changelog from ``events``: each user's events, in time order, walk the import
     status machine; every 10 events start a new import; an ``error`` event fails its step.
 
-    The per-user position is an exact ordinal from a global range sort
+    (The walk is this fixture's mapping of 10 events to one import.) The per-user position is an exact ordinal from a global range sort
     (``ordinals``), so a very active user is not sorted in one task.
     """
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
@@ -159,3 +170,23 @@ def progress_step(spark, sf_dir):
     """Active UI step of each import's current progress."""
     return _latest(spark, sf_dir).select("import_id", "progress",
                                          status.progress_step("progress").alias("step"))
+
+
+# The answer for an import id that does not exist.
+UNKNOWN_IMPORT = ("failed", "Import not found", 0, "No import with the provided ID exists")
+
+
+@register("import_status_lookup", LOG_SQL + f"""
+SELECT a.import_id, coalesce(l.status, {q(UNKNOWN_IMPORT[0])}) AS status, coalesce(l.message, {q(UNKNOWN_IMPORT[1])}) AS message,
+  coalesce(l.progress, {UNKNOWN_IMPORT[2]}) AS progress, CASE WHEN l.import_id IS NULL THEN {q(UNKNOWN_IMPORT[3])} ELSE l.error END AS error
+FROM (SELECT DISTINCT 'imp-' || cast(c_custkey AS varchar) || '-0' AS import_id FROM customer) a
+LEFT JOIN latest l ON l.import_id = a.import_id""")
+def import_status_lookup(spark, sf_dir):
+    """Status of asked-for imports (the first import of every customer); an unknown id gives one error row."""
+    asked = read_table(spark, sf_dir, "customer").select(F.concat(F.lit("imp-"), F.col("c_custkey").cast("string"), F.lit("-0")).alias("import_id")).distinct()
+    st, msg, prog, err = UNKNOWN_IMPORT
+    known = _latest(spark, sf_dir).select("import_id", "status", "message", "progress", "error", F.lit(True).alias("known"))
+    return asked.join(known, "import_id", "left").select(
+        "import_id", F.coalesce("status", F.lit(st)).alias("status"), F.coalesce("message", F.lit(msg)).alias("message"),
+        F.coalesce("progress", F.lit(prog)).alias("progress"),
+        F.when(F.col("known").isNull(), F.lit(err)).otherwise(F.col("error")).alias("error"))

@@ -13,39 +13,41 @@ from trellis.plans.corpus_views import code_corpus, file_level
 from trellis.plans.oracle_base import with_vc
 from trellis.plans.ops_queries import AS_OF_MS, _json_commands_sql, command_bodies
 from trellis.plans.registry import register
-from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log
+from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log, with_failures
 from trellis.sources.tables import read_table
 from trellis.streaming import barrier_stream, command_stream, metrics_stream, status_stream
-from trellis.streaming.health import HealthListener
-from trellis.streaming.topics import drain, publish, run_folder, state_partitions, subscribe
-
-N_TOPIC_FILES = 2  # two micro-batches: enough to exercise state across batches
+from trellis.streaming.topics import drain, publish, release, run_folder, state_partitions, subscribe
 
 
 def _run_barrier(spark, sf_dir, levels):
     c = code_corpus(spark, sf_dir)
     run = run_folder(spark, "barrier")
-    scan = F.lit(f"scan:{sf_dir}")  # one scan of the corpus per run
-    files = c.files.select(scan.alias("scan_id"), "file_id", "project_id", "module_id", "dir", "short_analysis")
-    events = files.where(F.col("short_analysis").isNotNull()).select(
-        "scan_id", "file_id", "project_id", "module_id", "dir", F.lit(AS_OF_MS).cast("bigint").alias("event_ms"))
-    publish(events, f"{run}/topics/file_analyzed", N_TOPIC_FILES)
+    scan = F.lit(f"scan:{sf_dir}").alias("scan_id")  # one scan of the corpus per run
+    files = c.files.select(scan, "file_id", "project_id", "module_id", "dir", "analysed")
+    publish(files.where("analysed").select("scan_id", F.col("file_id").cast("long").alias("file_id"), "project_id", "module_id", "dir"),
+            f"{run}/topics/file_analyzed")
+    packages, modules = with_failures(c.packages, c.modules)
+    done = (packages.where(F.col("parent_package_id").isNull() & F.col("analysis").isNotNull())
+            .select(scan, F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), F.col("module_id").alias("parent_id"))
+            .unionByName(modules.where(F.coalesce("analysis", F.lit("")) != "").select(
+                scan, F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), F.col("project_id").alias("parent_id"))))
+    publish(done, f"{run}/topics/summary_stored")
     # the static sides are written once to the run folder (a lineage cut in shared
     # storage) instead of being recomputed in every micro-batch
-    c.packages.select("package_id", "module_id", "dir").write.parquet(f"{run}/static/packages")
+    c.packages.select("package_id", "module_id", "dir", "parent_package_id").write.parquet(f"{run}/static/packages")
     packages = spark.read.parquet(f"{run}/static/packages")
-    barrier_stream.expected_counts(files, packages, levels).write.parquet(f"{run}/static/expected")
+    barrier_stream.expected_counts(files, packages, c.modules, levels).write.parquet(f"{run}/static/expected")
     expected = spark.read.parquet(f"{run}/static/expected")
-    publish(packages.select(scan.alias("scan_id"), "package_id", "module_id",
-                            F.lit(AS_OF_MS).cast("bigint").alias("event_ms")),
-            f"{run}/topics/package_discovery", 1)
+    publish(packages.select(scan, "package_id"), f"{run}/topics/package_discovery")
     with state_partitions(spark):
         q = barrier_stream.barrier_stream(
             subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
+            subscribe(spark, f"{run}/topics/summary_stored", barrier_stream.SUMMARY_EVENT),
             subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
             packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
         drain(q)
-    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready").join(expected, barrier_stream.KEY)
+    release(spark, run)
+    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready")
 
 
 @register("stream_package_ready", lambda: with_vc(PAIRS_SQL + """
@@ -54,39 +56,43 @@ def stream_package_ready(spark, sf_dir):
     """Package barrier as a stream of file-analysed and discovery events (stateful, built-in state)."""
     c, ready = _run_barrier(spark, sf_dir, ("package",))
     return (ready.join(c.packages.select(F.col("package_id").alias("entity_id"), "module_id"), "entity_id")
-            .select(F.col("entity_id").alias("package_id"), "module_id",
-                    F.col("expected").cast("bigint").alias("subtree_files"),
-                    F.col("done_files").cast("bigint"), F.lit(True).alias("ready")))
+            .select(F.col("entity_id").alias("package_id"), "module_id", F.col("n_files").alias("subtree_files"),
+                    F.col("n_files").alias("done_files"), F.lit(True).alias("ready")))
 
 
 @register("stream_levels_ready", lambda: with_vc(PAIRS_SQL + """
-SELECT 'package' AS level, package_id AS entity_id, subtree_files AS expected FROM pr
+SELECT 'package' AS level, package_id AS entity_id, subtree_files AS expected, 0 AS parts FROM pr
   WHERE done_files = subtree_files
-UNION ALL SELECT 'module', module_id, n_files FROM mr WHERE done_files = n_files
-UNION ALL SELECT 'project', project_id, sum(n_files)::BIGINT FROM mr GROUP BY project_id
-  HAVING bool_and(done_files = n_files)"""))
+UNION ALL SELECT 'module', module_id, n_files, n_roots FROM mr WHERE ready
+UNION ALL SELECT 'project', project_id, n_files, n_modules FROM jr WHERE ready"""))
 def stream_levels_ready(spark, sf_dir):
-    """Package, module and project barriers from one stream (one keyed count per level and id)."""
+    """Package, module and project barriers from one merged stream of files, summaries and discoveries."""
     _, ready = _run_barrier(spark, sf_dir, barrier_stream.LEVELS)
-    return ready.select("level", "entity_id", F.col("expected").cast("bigint").alias("expected"))
+    return ready.select("level", "entity_id", F.col("n_files").alias("expected"), F.col("n_parts").alias("parts"))
 
 
-@register("stream_metrics", lambda: with_vc("SELECT * FROM pm", metrics=True))
-def stream_metrics(spark, sf_dir):
-    """Package metrics maintained by a stream (update mode, fan-out sink); newest snapshot = batch metrics."""
+def _run_metrics(spark, sf_dir, levels):
     c = code_corpus(spark, sf_dir)
     run = run_folder(spark, "metrics")
     ev = file_level(c.text_files).select(
         F.col("file_id").cast("long"), "package_id", "module_id", "project_id",
         F.col("lines_of_code").cast("long"), F.col("code_token_count").cast("long"),
         F.col("analysis_token_count").cast("long"))
-    publish(ev, f"{run}/topics/module_file_scanned", N_TOPIC_FILES)
+    publish(ev, f"{run}/topics/module_file_scanned")
     with state_partitions(spark):
         q = metrics_stream.metrics_stream(
             subscribe(spark, f"{run}/topics/module_file_scanned", metrics_stream.FILE_SCANNED),
-            f"{run}/out", f"{run}/checkpoints/metrics")
+            f"{run}/out", f"{run}/checkpoints/metrics", levels)
         drain(q)
-    latest = metrics_stream.latest_metrics(spark, f"{run}/out")
+    release(spark, run)
+    return c, metrics_stream.latest_metrics(spark, f"{run}/out")
+
+
+@register("stream_metrics", lambda: with_vc("SELECT * FROM pm", metrics=True))
+def stream_metrics(spark, sf_dir):
+    """Package metrics maintained by a stream (update mode, fan-out sink); newest snapshot = batch metrics."""
+    c, latest = _run_metrics(spark, sf_dir, ("package",))
+    latest = latest.withColumnRenamed("entity_id", "package_id")
     own = c.packages.select("package_id", "module_id", "project_id",
                             F.coalesce("analysis_token_count", F.lit(0)).cast("bigint")
                             .alias("package_analysis_token_count"))
@@ -99,58 +105,45 @@ def stream_metrics(spark, sf_dir):
                     z("code_token_count").alias("code_token_count")))
 
 
+@register("stream_level_metrics", lambda: with_vc("""
+SELECT 'module' AS level, module_id AS entity_id, count(*) AS file_count, sum(lines_of_code)::BIGINT AS lines_of_code,
+  sum(analysis_token_count)::BIGINT AS files_analysis_token_count, sum(code_token_count)::BIGINT AS code_token_count FROM vc GROUP BY module_id
+UNION ALL SELECT 'project', project_id, count(*), sum(lines_of_code)::BIGINT, sum(analysis_token_count)::BIGINT,
+  sum(code_token_count)::BIGINT FROM vc GROUP BY project_id"""))
+def stream_level_metrics(spark, sf_dir):
+    """Module and project metrics maintained by the same stream."""
+    return _run_metrics(spark, sf_dir, ("module", "project"))[1]
+
+
 @register("stream_status_feed", LOG_SQL + """
 SELECT l.import_id, l.seq, l.status, l.progress FROM log l
 LEFT JOIN (SELECT import_id, min((ts, seq)) AS stop FROM log WHERE status IN ('completed', 'failed')
            GROUP BY 1) t ON t.import_id = l.import_id
 WHERE t.stop IS NULL OR (l.ts, l.seq) <= t.stop""")
 def stream_status_feed(spark, sf_dir):
-    """Import status feed as a stream, cut after each import's first terminal state (keyed flag state)."""
+    """Import status feed as a stream in any arrival order, cut after each import's first terminal state."""
     run = run_folder(spark, "status_feed")
     log = status_log(spark, sf_dir).select("import_id", "seq", "ts", "status", "progress")
-    status_stream.publish_in_time_order(log, f"{run}/topics/status", "ts", N_TOPIC_FILES)
+    publish(log, f"{run}/topics/status")
     with state_partitions(spark):
-        q = status_stream.status_feed_stream(subscribe(spark, f"{run}/topics/status", log.schema),
-                                             f"{run}/sink/feed", f"{run}/checkpoints/feed")
-        drain(q)
-    return spark.read.parquet(f"{run}/sink/feed")
+        updates = subscribe(spark, f"{run}/topics/status", log.schema)
+        drain(status_stream.feed_stream(updates, f"{run}/sink/feed", f"{run}/checkpoints/feed"))
+        drain(status_stream.stop_stream(updates, f"{run}/sink/stops", f"{run}/checkpoints/stops"))
+    release(spark, run)
+    return status_stream.read_feed(spark, f"{run}/sink/feed", f"{run}/sink/stops").select("import_id", "seq", "status", "progress")
 
 
 @register("stream_json_commands", _json_commands_sql)
 def stream_json_commands(spark, sf_dir):
-    """Import commands as a stream: parse, drop replays within the watermark, route bad rows aside."""
+    """Import commands as a stream: parse, route bad rows aside, resolve replays on read."""
     run = run_folder(spark, "commands")
     events = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     bodies = command_bodies(spark, sf_dir).join(events, "event_id")
-    status_stream.publish_in_time_order(bodies, f"{run}/topics/commands", "ts", N_TOPIC_FILES)
-    with state_partitions(spark):
-        q = command_stream.command_stream(subscribe(spark, f"{run}/topics/commands", bodies.schema), AS_OF_MS,
-                                          f"{run}/sink/good", f"{run}/sink/quarantine",
-                                          f"{run}/checkpoints/commands")
-        drain(q)
+    publish(bodies, f"{run}/topics/commands")
+    q = command_stream.command_stream(subscribe(spark, f"{run}/topics/commands", bodies.schema), AS_OF_MS,
+                                      f"{run}/sink/good", f"{run}/sink/quarantine", f"{run}/checkpoints/commands")
+    drain(q)
+    release(spark, run)
     return (command_stream.read_routed(spark, f"{run}/sink/good", f"{run}/sink/quarantine")
             .select("event_id", "cmd_project_name", "cmd_github_url", "cmd_project_context",
                     "cmd_import_id", "cmd_ts_ms", "reason", "status"))
-
-
-@register("health_report")
-def health_report(spark, sf_dir):
-    """Health of a streaming stage (event counters over ``events``) from listener progress."""
-    run = run_folder(spark, "health")
-    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
-    publish(e, f"{run}/topics/events", N_TOPIC_FILES)
-    listener = HealthListener()
-    spark.streams.addListener(listener)
-    try:
-        counts = (subscribe(spark, f"{run}/topics/events", e.schema)
-                  .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-        with state_partitions(spark):
-            q = (counts.writeStream.queryName(f"event_counters_{run.rsplit('/', 1)[-1][:8]}")
-                 .outputMode("update").format("noop")
-                 .option("checkpointLocation", f"{run}/checkpoints/counters")
-                 .trigger(availableNow=True).start())
-            drain(q)
-        spark.streams.resetTerminated()
-        return listener.health_rows(spark).cache()
-    finally:
-        spark.streams.removeListener(listener)

@@ -33,13 +33,18 @@ BASE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "trellis") -> SparkSession:
+    """A session for tests and laptops; a submitted master, driver memory or partition count is kept."""
+    from pyspark import SparkConf
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
-    for k, v in BASE_CONF.items():
-        builder = builder.config(k, v)
-    builder = (builder.config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "16g")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus))))
+    given = SparkConf()
+    builder = SparkSession.builder.appName(app)
+    if master or not given.contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
+    ours = BASE_CONF | {"spark.ui.enabled": "false", "spark.driver.memory": "16g",
+                        "spark.sql.shuffle.partitions": str(shuffle_partitions or int(cpus))}
+    for k, v in ours.items():
+        if k in BASE_CONF or shuffle_partitions and k.endswith("shuffle.partitions") or not given.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     apply_conf(spark)
@@ -85,18 +90,36 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, installing a local one only if unset."""
+    """Return the shared checkpoint folder; a local default is installed only on a local master.
+
+    On a cluster a machine-local folder would be lost with its machine, so there an unset
+    ``spark.checkpoint.dir`` is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="trellis-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file exists, asked of the path's own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine's own runs, through its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local one."""
     ensure_checkpoint_dir(df.sparkSession)

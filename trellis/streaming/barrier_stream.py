@@ -1,16 +1,19 @@
-"""Streaming completeness barrier: emit a package, module or project once every file under it is analysed.
-
-File-analysed and package-discovery streams are merged with
-``unionByName``; each file event is expanded to its barrier keys (the
-packages on its ancestor path, its module, its project). State is
-built-in only:
-
-* ``dropDuplicates(level, entity_id, file_id)`` makes replays harmless (state
-  is spread over (key, file) pairs, so a hot package is not one big value);
-* a streaming ``count`` per key is the countdown (one long per key);
-* ``foreachBatch`` compares the updated counts with the expected subtree
-  size from the static scan table and appends newly complete packages to
-  the sink, keyed by package id, so a re-run of a batch is idempotent.
+"""Streaming completeness barrier: emit a package, module or project once all that it waits for has come.
+
+Three event streams are merged with ``unionByName``:
+
+* file-analysed events count towards the packages on the file's ancestor path, its module and its project;
+* summary events (a root package or module whose summary was stored) count towards the parent;
+* discovery events open a package: without one it is never emitted.
+
+Events without a key are ignored. Replays are dropped by ``dropDuplicates`` over (scan, kind, id) before
+anything is expanded, so the state has one entry per event, not one per event and ancestor. Per
+key a running count (update mode) is the countdown. ``foreachBatch`` compares the touched keys with
+the expected counts of the static scan table and appends newly complete keys to the sink; a re-run of
+a batch appends the same keys again and the read view is idempotent.
+
+A scan's state lives as long as its run: it has its own checkpoint, which is removed when the
+scan is over. Keys carry the scan id, so a re-scan opens new barriers.
 """
 
 from __future__ import annotations
@@ -27,80 +30,93 @@ FILE_EVENT = T.StructType([
     T.StructField("project_id", T.StringType()),
     T.StructField("module_id", T.StringType()),
     T.StructField("dir", T.StringType()),
-    T.StructField("event_ms", T.LongType()),
+])
+SUMMARY_EVENT = T.StructType([
+    T.StructField("scan_id", T.StringType()),
+    T.StructField("level", T.StringType()),      # whose summary: package or module
+    T.StructField("entity_id", T.StringType()),
+    T.StructField("parent_id", T.StringType()),  # module of a root package, project of a module
 ])
 DISCOVERY_EVENT = T.StructType([
     T.StructField("scan_id", T.StringType()),
     T.StructField("package_id", T.StringType()),
-    T.StructField("module_id", T.StringType()),
-    T.StructField("event_ms", T.LongType()),
 ])
 LEVELS = ("package", "module", "project")
+KEY = ["level", "entity_id", "scan_id"]
 
 
-def _keys(files: DataFrame, packages: DataFrame, levels, extra: list[str] | None = None) -> DataFrame:
-    """(level, entity_id, file_id, *extra): the barrier keys a file counts towards."""
-    extra = extra or []
+def expected_counts(files: DataFrame, packages: DataFrame, modules: DataFrame, levels=LEVELS) -> DataFrame:
+    """Static side per barrier key: files below it and summaries it waits for.
+
+    ``files (scan_id, module_id, project_id, dir)``, ``packages (package_id, module_id, dir, parent_package_id)``,
+    ``modules (module_id, project_id)``. Files are counted per directory before anything is expanded.
+    A package or module without files is expected with 0.
+    """
+    scans = files.select("scan_id").distinct()
+    d = (files.withColumn("analysed", F.lit(True)).groupBy("scan_id", "module_id", "project_id", "dir")
+         .agg(F.count(F.lit(1)).alias("n")))
+    zero = F.lit(0).cast("bigint")
     parts = []
     if "package" in levels:
-        pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
-        ex = files.select("file_id", "module_id", *extra, F.explode(paths.ancestors("dir")).alias("anc_dir"))
-        parts.append(ex.join(pk, (F.col("module_id") == pk["__m"]) & (F.col("anc_dir") == pk["__d"]))
-                     .select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), "file_id",
-                             *extra))
+        n = (d.select("scan_id", "module_id", "n", F.explode(paths.ancestors("dir")).alias("dir"))
+             .join(packages.select("package_id", "module_id", "dir"), ["module_id", "dir"])
+             .groupBy("scan_id", F.col("package_id").alias("entity_id")).agg(F.sum("n").alias("n_files")))
+        every = packages.select(F.col("package_id").alias("entity_id")).join(F.broadcast(scans))
+        parts.append(every.join(n, ["scan_id", "entity_id"], "left").select(
+            F.lit("package").alias("level"), "entity_id", "scan_id", F.coalesce("n_files", zero).alias("n_files"), zero.alias("n_parts")))
     if "module" in levels:
-        parts.append(files.select(F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), "file_id",
-                                  *extra))
+        n = d.groupBy("scan_id", F.col("module_id").alias("entity_id")).agg(F.sum("n").alias("n_files"))
+        k = (packages.where(F.col("parent_package_id").isNull()).groupBy(F.col("module_id").alias("entity_id"))
+             .agg(F.count(F.lit(1)).alias("n_parts")))
+        every = modules.select(F.col("module_id").alias("entity_id")).join(F.broadcast(scans))
+        parts.append(every.join(n, ["scan_id", "entity_id"], "left").join(k, "entity_id", "left").select(
+            F.lit("module").alias("level"), "entity_id", "scan_id", F.coalesce("n_files", zero).alias("n_files"),
+            F.coalesce("n_parts", zero).alias("n_parts")))
     if "project" in levels:
-        parts.append(files.select(F.lit("project").alias("level"), F.col("project_id").alias("entity_id"),
-                                  "file_id", *extra))
+        n = d.groupBy("scan_id", F.col("project_id").alias("entity_id")).agg(F.sum("n").alias("n_files"))
+        k = modules.groupBy(F.col("project_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n_parts"))
+        parts.append(k.join(F.broadcast(scans)).join(n, ["scan_id", "entity_id"], "left").select(
+            F.lit("project").alias("level"), "entity_id", "scan_id", F.coalesce("n_files", zero).alias("n_files"), "n_parts"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-KEY = ["level", "entity_id", "scan_id"]
-
-
-def expected_counts(files: DataFrame, packages: DataFrame, levels=LEVELS) -> DataFrame:
-    """Static side: number of files under each barrier key of each scan (from the scan table).
-
-    ``files`` carries ``scan_id``: a re-scan of a project opens new barrier keys
-    instead of adding to the counts of the previous scan.
-    """
-    return (_keys(files, packages, levels, extra=["scan_id"]).groupBy(*KEY)
-            .agg(F.count(F.lit(1)).alias("expected")))
-
-
-def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages: DataFrame,
-                   expected: DataFrame, sink_dir: str, checkpoint_dir: str, levels=LEVELS,
-                   replay_window: str | None = None):
-    """Start the barrier query over the merged event streams (``availableNow`` trigger).
-
-    With ``replay_window`` (e.g. ``"1 hour"``) replays are dropped with
-    ``dropDuplicatesWithinWatermark`` on the events' time, so the dedup state
-    expires; without it the dedup state is kept for the life of the stream.
-    """
-    timed = file_events.withColumn("__t", F.timestamp_millis("event_ms"))
-    per_key = _keys(timed, packages, levels, extra=["__t", "scan_id"])
-    # discovery events carry no file; they only open the package's key (count 0)
-    opened = discovery_events.select(F.lit("package").alias("level"), F.col("package_id").alias("entity_id"),
-                                     F.lit(None).cast("long").alias("file_id"),
-                                     F.timestamp_millis("event_ms").alias("__t"), "scan_id")
-    merged = per_key.unionByName(opened) if "package" in levels else per_key
-    dedup_key = KEY + ["file_id"]
-    if replay_window:
-        merged = merged.withWatermark("__t", replay_window).dropDuplicatesWithinWatermark(dedup_key)
-    else:
-        merged = merged.dropDuplicates(dedup_key)
-    counts = merged.groupBy(*KEY).agg(F.count("file_id").alias("seen"))
+def barrier_stream(file_events: DataFrame, summary_events: DataFrame, discovery_events: DataFrame, packages: DataFrame,
+                   expected: DataFrame, sink_dir: str, checkpoint_dir: str, levels=LEVELS):
+    """Start the barrier query over the three event streams (``availableNow`` trigger)."""
+    none = F.lit(None).cast("string")
+    merged = (
+        file_events.where("file_id IS NOT NULL AND module_id IS NOT NULL").select(
+            "scan_id", F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("id"), "module_id", "project_id", "dir")
+        .unionByName(summary_events.where("entity_id IS NOT NULL AND parent_id IS NOT NULL").select(
+            "scan_id", F.col("level").alias("kind"), F.col("entity_id").alias("id"), F.col("parent_id").alias("module_id"),
+            none.alias("project_id"), none.alias("dir")))
+        .unionByName(discovery_events.where("package_id IS NOT NULL").select(
+            "scan_id", F.lit("discovery").alias("kind"), F.col("package_id").alias("id"), none.alias("module_id"),
+            none.alias("project_id"), none.alias("dir")))
+        .dropDuplicates(["scan_id", "kind", "id"]))
+    is_file = F.col("kind") == "file"
+    key = lambda level, entity: F.struct(F.lit(level).alias("level"), entity.alias("entity_id"), F.lit(None).cast("string").alias("dir"))
+    up = F.transform(paths.ancestors("dir"), lambda d: F.struct(F.lit("package").alias("level"), F.lit(None).cast("string").alias("entity_id"), d.alias("dir")))
+    keys = (F.when(is_file, F.concat(up, F.array(key("module", F.col("module_id")), key("project", F.col("project_id")))))
+            .when(F.col("kind") == "package", F.array(key("module", F.col("module_id"))))
+            .when(F.col("kind") == "module", F.array(key("project", F.col("module_id"))))
+            .otherwise(F.array(key("package", F.col("id")))))
+    each = merged.select("scan_id", "kind", "module_id", F.explode(keys).alias("k")).where(F.col("k.level").isin(*levels))
+    pk = packages.select("package_id", F.col("module_id").alias("__m"), F.col("dir").alias("__d"))
+    found = each.join(pk, (F.col("module_id") == F.col("__m")) & (F.col("k.dir") == F.col("__d")), "left")
+    counts = (found.select("scan_id", "kind", F.col("k.level").alias("level"), F.coalesce("k.entity_id", "package_id").alias("entity_id"))
+              .where("entity_id IS NOT NULL").groupBy(*KEY)
+              .agg(F.count_if(is_file).alias("files"), F.count_if(F.col("kind").isin("package", "module")).alias("parts"),
+                   F.count_if(F.col("kind") == "discovery").alias("opened")))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         ready = (batch.join(expected, KEY)
-                 .where(F.col("seen") == F.col("expected"))
-                 .select(*KEY, F.col("seen").cast("bigint").alias("done_files"),
-                         F.lit(batch_id).cast("bigint").alias("batch_id")))
+                 .where((F.col("files") == F.col("n_files")) & (F.col("parts") == F.col("n_parts"))
+                        & ((F.col("level") != "package") | (F.col("opened") > 0)))
+                 .select(*KEY, "n_files", "n_parts", F.lit(batch_id).cast("bigint").alias("batch_id")))
         ready.write.mode("append").parquet(sink_dir)
 
     return (counts.writeStream.outputMode("update")
@@ -111,6 +127,6 @@ def barrier_stream(file_events: DataFrame, discovery_events: DataFrame, packages
 
 
 def ready_keys(spark, sink_dir: str) -> DataFrame:
-    """Sink read-back, deduplicated by key (a re-run batch may append twice)."""
+    """Sink read-back, one row per key (a re-run batch may append twice)."""
     return (spark.read.parquet(sink_dir).groupBy(*KEY)
-            .agg(F.min("batch_id").alias("batch_id"), F.max("done_files").alias("done_files")))
+            .agg(F.min("batch_id").alias("batch_id"), F.max("n_files").alias("n_files"), F.max("n_parts").alias("n_parts")))

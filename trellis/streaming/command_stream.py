@@ -1,11 +1,10 @@
 """Import-command stream: JSON text in, parsed commands and a quarantine out.
 
-Commands arrive as text lines in a topic folder. Each micro-batch is
-parsed with the command patterns; replays of the same command (same body
-within the watermark delay) are dropped with
-``dropDuplicatesWithinWatermark``, whose state expires with the watermark.
-Good rows and quarantined rows (with their reason) are written to two
-sinks by one ``foreachBatch``, so a bad row never stops the stream.
+Commands arrive as text lines in a topic folder. Each micro-batch is parsed
+with the command patterns; good rows and quarantined rows (with their reason)
+are appended to two sinks by one ``foreachBatch``, so a bad row never stops the
+stream. The stream keeps no state and drops no row, however late: a replay (the
+same body again) is resolved by the read view, which keeps its first event.
 """
 
 from __future__ import annotations
@@ -13,16 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.session import path_exists
 from trellis.sources.commands import parse_commands
 
-REPLAY_WINDOW = "1 hour"
-
 
 def command_stream(lines: DataFrame, as_of_ms: int, good_dir: str, bad_dir: str, checkpoint_dir: str):
     """``lines`` is a streaming frame with ``event_id``, ``ts`` and ``body``."""
-    deduped = (lines.withWatermark("ts", REPLAY_WINDOW)
-               .dropDuplicatesWithinWatermark(["body"]))
-    parsed = parse_commands(deduped, "body", F.lit(as_of_ms).cast("bigint"))
+    parsed = parse_commands(lines, "body", F.lit(as_of_ms).cast("bigint"))
 
     def route(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -33,15 +29,17 @@ def command_stream(lines: DataFrame, as_of_ms: int, good_dir: str, bad_dir: str,
             .trigger(availableNow=True).foreachBatch(route).start())
 
 
-def read_routed(spark, good_dir: str, bad_dir: str) -> DataFrame:
-    """Both sinks, one row per command (a re-run batch may have appended twice)."""
-    frames = []
-    for d in (good_dir, bad_dir):
-        try:
-            frames.append(spark.read.parquet(d))
-        except Exception:  # noqa: BLE001 - a sink with no rows has no folder
-            continue
+def read_routed(spark, good_dir: str, bad_dir: str) -> DataFrame | None:
+    """Both sinks, one row per command body: replays and re-run batches collapse to the first event.
+
+    A sink without rows has no folder; any other read error is raised. None before the first batch.
+    """
+    frames = [spark.read.parquet(d) for d in (good_dir, bad_dir) if path_exists(spark, d)]
+    if not frames:
+        return None
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.dropDuplicates(["event_id"])
+    rest = [c for c in out.columns if c not in ("body", "event_id")]
+    return (out.groupBy("body").agg(F.min(F.struct("event_id", *rest)).alias("r"))
+            .select("body", "r.*"))

@@ -1,12 +1,13 @@
-"""Event-in / metrics-out: file events → running package metrics → snapshot log + fan-out.
-
-The stream deduplicates file events by id (replays are harmless), keeps a
-running per-package aggregate in Spark's state store (update mode: only
-touched packages are emitted per micro-batch) and, in ``foreachBatch``,
-appends one metrics snapshot per touched package plus a package-analysed
-event to a second topic — one input, two topics, written together by
-``partitionBy("topic")``. The newest snapshot per package equals the batch
-package metrics.
+"""Event-in / metrics-out: file events give running package, module and project metrics.
+
+The stream deduplicates file events by id (replays are harmless), counts each
+file towards its package, module and project, and keeps one running aggregate
+per level and id in Spark's state store (update mode: only touched keys are
+emitted per micro-batch). ``foreachBatch`` appends one metrics snapshot per
+touched key plus an analysed event to a second topic: one input, two topics,
+written together by ``partitionBy("topic")``. The newest snapshot per key equals
+the batch metrics. State: one entry per file and one row per key, released with
+the run.
 """
 
 from __future__ import annotations
@@ -24,29 +25,28 @@ FILE_SCANNED = T.StructType([
     T.StructField("code_token_count", T.LongType()),
     T.StructField("analysis_token_count", T.LongType()),
 ])
+LEVELS = ("package", "module", "project")
+KEY = ["level", "entity_id"]
+SUMS = ["file_count", "lines_of_code", "files_analysis_token_count", "code_token_count"]
 
 
-def metrics_stream(events: DataFrame, out_dir: str, checkpoint_dir: str):
-    running = (events.dropDuplicates(["file_id"])
-               .groupBy("package_id", "module_id", "project_id")
+def metrics_stream(events: DataFrame, out_dir: str, checkpoint_dir: str, levels=LEVELS):
+    keys = F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"{x}_id").alias("entity_id")) for x in levels])
+    running = (events.where(F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
+               .select("*", F.explode(keys).alias("k")).where(F.col("k.entity_id").isNotNull())
+               .groupBy(F.col("k.level").alias("level"), F.col("k.entity_id").alias("entity_id"))
                .agg(F.count(F.lit(1)).alias("file_count"),
                     F.sum("lines_of_code").alias("lines_of_code"),
                     F.sum("analysis_token_count").alias("files_analysis_token_count"),
                     F.sum("code_token_count").alias("code_token_count")))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        snap = F.struct("package_id", "module_id", "project_id", "file_count", "lines_of_code",
-                        "files_analysis_token_count", "code_token_count",
-                        F.lit(batch_id).cast("bigint").alias("batch_id"))
-        event = F.struct("package_id", "module_id", "project_id",
-                         F.lit(None).cast("bigint").alias("file_count"),
-                         F.lit(None).cast("bigint").alias("lines_of_code"),
-                         F.lit(None).cast("bigint").alias("files_analysis_token_count"),
-                         F.lit(None).cast("bigint").alias("code_token_count"),
-                         F.lit(batch_id).cast("bigint").alias("batch_id"))
+        bid = F.lit(batch_id).cast("bigint").alias("batch_id")
+        snap = F.struct(*KEY, *SUMS, bid)
+        event = F.struct(*KEY, *[F.lit(None).cast("bigint").alias(c) for c in SUMS], bid)
         fan = batch.select(F.explode(F.array(
-            F.struct(F.lit("package_metrics").alias("topic"), snap.alias("r")),
-            F.struct(F.lit("package_analyzed_events").alias("topic"), event.alias("r")))).alias("m"))
+            F.struct(F.lit("metrics").alias("topic"), snap.alias("r")),
+            F.struct(F.lit("analyzed_events").alias("topic"), event.alias("r")))).alias("m"))
         (fan.select("m.topic", "m.r.*").write.mode("append").partitionBy("topic").parquet(out_dir))
 
     return (running.writeStream.outputMode("update")
@@ -57,9 +57,7 @@ def metrics_stream(events: DataFrame, out_dir: str, checkpoint_dir: str):
 
 
 def latest_metrics(spark, out_dir: str) -> DataFrame:
-    """Newest snapshot per package from the metrics topic."""
-    snaps = spark.read.parquet(out_dir).where(F.col("topic") == "package_metrics")
-    cols = ["file_count", "lines_of_code", "files_analysis_token_count", "code_token_count"]
-    return (snaps.groupBy("package_id")
-            .agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
-            .select("package_id", *[F.col(f"s.{c}").alias(c) for c in cols]))
+    """Newest snapshot per level and id from the metrics topic."""
+    snaps = spark.read.parquet(out_dir).where(F.col("topic") == "metrics")
+    return (snaps.groupBy(*KEY).agg(F.max_by(F.struct(*SUMS), "batch_id").alias("s"))
+            .select(*KEY, *[F.col(f"s.{c}").alias(c) for c in SUMS]))

@@ -1,62 +1,46 @@
-"""Streaming status feed: forward each import's updates until its first terminal state.
+"""Streaming status feed: each import's updates up to its first terminal state, in any arrival order.
 
-Custom state via ``applyInPandasWithState``: the state per import is one
-boolean ("terminal seen"), so a hot import costs no more state than a quiet
-one. Within a micro-batch an import's rows are handled in (ts, seq) order;
-topics are published in time order, so the stream equals the batch feed.
+Two streams over one topic, both without user state code:
+
+* every update is appended to the feed sink;
+* the earliest terminal update of each import is a running ``min(ts, seq)`` (update mode): one
+  small state row per finished import, and changed rows are appended to the stop sink.
+
+The order lies in the compared ``(ts, seq)``, not in the arrival of files, so an update that comes after a
+later terminal one is still placed rightly. ``read_feed`` joins the two sinks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trellis.operators.status import TERMINAL
+from trellis.session import path_exists
+
 
-FEED_SCHEMA = "import_id string, seq long, status string, progress int"
-STATE_SCHEMA = "terminal boolean"
-
-
-def _feed(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    done = bool(state.get[0]) if state.exists else False
-    if done:
-        for _ in pdfs:  # drain: nothing after a terminal state is forwarded
-            pass
-        return
-    parts = [p for p in pdfs]
-    pdf = pd.concat(parts).sort_values(["ts", "seq"]) if parts else pd.DataFrame()
-    out = []
-    for rec in pdf.itertuples(index=False):
-        out.append((rec.import_id, int(rec.seq), rec.status, int(rec.progress)))
-        if rec.status in TERMINAL:
-            done = True
-            break
-    state.update((done,))
-    if out:
-        yield pd.DataFrame(out, columns=["import_id", "seq", "status", "progress"])
-
-
-def status_feed_stream(updates: DataFrame, sink_dir: str, checkpoint_dir: str):
-    feed = (updates.groupBy("import_id")
-            .applyInPandasWithState(_feed, FEED_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
-    return (feed.writeStream.outputMode("append").format("parquet")
-            .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+def feed_stream(updates: DataFrame, feed_dir: str, checkpoint_dir: str):
+    return (updates.where(F.col("import_id").isNotNull()).writeStream.outputMode("append").format("parquet")
+            .option("path", feed_dir).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
 
 
-def publish_in_time_order(df: DataFrame, topic_dir: str, ts_col: str, n_batches: int) -> None:
-    """Append ``n_batches`` topic files in event-time order (one write per time slice)."""
-    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
-    lo, hi = bounds.lo, bounds.hi
-    if lo is None:
-        return
-    span = (hi - lo) / n_batches
-    for i in range(n_batches):
-        start, end = lo + span * i, lo + span * (i + 1)
-        cond = (F.col(ts_col) >= F.lit(start)) & ((F.col(ts_col) < F.lit(end)) if i < n_batches - 1 else F.lit(True))
-        df.where(cond).coalesce(1).write.mode("append").parquet(topic_dir)
+def stop_stream(updates: DataFrame, stop_dir: str, checkpoint_dir: str):
+    stops = (updates.where(F.col("status").isin(*TERMINAL) & F.col("import_id").isNotNull())
+             .groupBy("import_id").agg(F.min(F.struct("ts", "seq")).alias("stop")))
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("append").parquet(stop_dir)
+
+    return (stops.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True).foreachBatch(emit).start())
+
+
+def read_feed(spark, feed_dir: str, stop_dir: str) -> DataFrame:
+    """Updates up to and with the first terminal one of each import."""
+    feed = spark.read.parquet(feed_dir)
+    if not path_exists(spark, stop_dir):
+        return feed
+    stops = spark.read.parquet(stop_dir).groupBy("import_id").agg(F.min("stop").alias("stop"))
+    j = feed.join(stops, "import_id", "left")
+    return j.where(F.col("stop").isNull() | (F.struct("ts", "seq") <= F.col("stop"))).drop("stop")

@@ -3,7 +3,9 @@
 Topics are directories of parquet files in the shared storage the cluster
 names in ``spark.checkpoint.dir`` (never a machine-local folder). Each run
 gets its own sub-folder, so checkpoints, topics and sinks of different runs
-never collide and a restarted run resumes from its own checkpoint.
+never collide and a restarted run resumes from its own checkpoint. A finished
+run's topics and checkpoints go with ``release``; its sinks stay until
+``release_runs``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from trellis.session import ensure_checkpoint_dir
+from trellis.session import ensure_checkpoint_dir, remove_path
 
 
 @contextmanager
@@ -30,14 +32,31 @@ def state_partitions(spark: SparkSession):
         spark.conf.set(key, old)
 
 
+_RUNS: list[str] = []
+
+
 def run_folder(spark: SparkSession, name: str, run_id: str | None = None) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/trellis-runs/{name}/{run_id or uuid.uuid4().hex}"
+    run = f"{base}/trellis-runs/{name}/{run_id or uuid.uuid4().hex}"
+    _RUNS.append(run)
+    return run
+
+
+def release(spark: SparkSession, run: str) -> None:
+    """Delete the topics and checkpoints of a finished run (its sinks and static sides stay readable)."""
+    for part in ("topics", "checkpoints"):
+        remove_path(spark, f"{run}/{part}")
+
+
+def release_runs(spark: SparkSession) -> None:
+    """Delete every run folder this process made; frames over their sinks can no longer be read."""
+    while _RUNS:
+        remove_path(spark, _RUNS.pop())
 
 
-def publish(df: DataFrame, topic_dir: str, n_files: int) -> None:
-    """Append records to a topic directory as ``n_files`` parquet files (one micro-batch each)."""
-    df.repartition(n_files).write.mode("append").parquet(topic_dir)
+def publish(df: DataFrame, topic_dir: str) -> None:
+    """Append records to a topic directory, one file per task, as the rows are partitioned."""
+    df.write.mode("append").parquet(topic_dir)
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,18 +70,19 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def subscribe(spark: SparkSession, topic_dir: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming read of a topic: explicit schema, bounded files per micro-batch."""
+def subscribe(spark: SparkSession, topic_dir: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of a topic: explicit schema, bounded files per micro-batch (default: two per core)."""
     use_rocksdb_state(spark)
     return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .option("maxFilesPerTrigger", max_files_per_trigger or 2 * max(spark.sparkContext.defaultParallelism, 1))
             .parquet(topic_dir))
 
 
-def drain(query: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an ``availableNow`` query to finish; surface its failure."""
-    finished = query.awaitTermination(timeout_s)
-    if not finished:
+def drain(query: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait for an ``availableNow`` query to finish; surface its failure. No limit unless the caller sets one."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream {query.name} did not finish in {timeout_s}s")
     if query.exception() is not None:
