@@ -32,58 +32,77 @@ def test_apply_patch(spark):
     assert got == {"a": ("new", 1), "b": ("y", 2)}
 
 
-def test_analyze_prompts_covers_every_chunk(spark):
+def test_patch_with_several_rows_per_key(spark):
+    base = spark.createDataFrame([("a", "x", 1)], "id string, s string, n int")
+    patch = spark.createDataFrame([("a", "old", 9, 1), ("a", "new", 2, 2)], "id string, s string, n int, v int")
+    got = apply_patch(base, patch, ["id"], ["s", "n"], newest_by="v").collect()
+    assert [(r.s, r.n) for r in got] == [("new", 2)]
+    assert apply_patch(base, patch, ["id"], ["s", "n"]).count() == 1
+
+
+def test_one_answer_whatever_the_request_size(spark):
     from trellis.operators.analyze import analyze_prompts
     from trellis.operators.summaries import package_prompts
     from trellis.plans.corpus_views import code_corpus
+    from trellis.plans.summary_queries import tally_analyzer
     c = code_corpus(spark, "/root/testdata/sf0.001")
-    prompts = package_prompts(c.files, c.packages, c.contexts, budget_chars=400)
-    assert prompts.where("n_chunks > 1").count() > 0
+    prompts = package_prompts(c.files, c.packages, c.contexts)
+    order = ["section", "file_path", "file_id"]
+    longest = prompts.selectExpr("max(length(text))").first()[0]
+    runs = [sorted(map(tuple, analyze_prompts(prompts, tally_analyzer, ["package_id"], order, parallelism=2, limit=n).collect()))
+            for n in (1 << 20, 2 * longest + 1)]
+    assert runs[0] == runs[1] and all(r[2] == "ok" for r in runs[0])
+    needs = {r.package_id for r in prompts.where("needs_analysis").select("package_id").distinct().collect()}
+    assert {r[0] for r in runs[0]} == needs
+
+
+def _unit(n, text="x" * 30):
+    return [("u1", 0, "head ", "sys")] + [("u1", i + 1, f"{text}{i} ", None) for i in range(n)] + [("u2", 0, "small unit", "sys")]
+
+
+PARTS = "unit string, i long, text string, system_prompt string"
+
+
+def test_long_prompt_is_combined_until_one_answer_is_left(spark):
+    from trellis.operators.analyze import COMBINE_PREFIX, analyze_prompts
+    limit = 200
 
     def fn(system, user):
-        if user.startswith("Combine"):
-            return "combined " + str(user.count("Part "))
-        return "files " + str(user.count("File: "))
-
-    out = {r.package_id: r for r in analyze_prompts(prompts, fn, ["package_id"], parallelism=2).collect()}
-    multi = {r.package_id: r.n_chunks for r in prompts.where("n_chunks > 1").select("package_id", "n_chunks")
-             .distinct().collect()}
-    for pid, n in multi.items():
-        assert out[pid].analysis == f"combined {n}" and out[pid].status == "ok"
-    needs = {r.package_id for r in prompts.where("needs_analysis").select("package_id").distinct().collect()}
-    assert set(out) == needs
+        assert system == "sys" and len(user) <= limit
+        return "c" if user.startswith(COMBINE_PREFIX) else "leaf"
 
+    out = {r.unit: r for r in analyze_prompts(spark.createDataFrame(_unit(400), PARTS), fn, ["unit"], ["i"], parallelism=2, limit=limit).collect()}
+    assert out["u2"].analysis == "leaf" and (out["u1"].analysis, out["u1"].status) == ("c", "ok") and len(out) == 2
 
-def test_analyze_prompts_recursive_combine(spark):
-    from pyspark.sql import functions as F
+
+def test_answers_that_cannot_be_combined_raise(spark):
+    import pytest
+    from trellis.operators.analyze import analyze_prompts
+    with pytest.raises(ValueError, match="do not get fewer"):
+        analyze_prompts(spark.createDataFrame(_unit(50), PARTS), lambda s, u: "y" * 150, ["unit"], ["i"], parallelism=2, limit=200)
+
+
+def test_failed_part_fails_its_unit_only(spark):
     from trellis.operators.analyze import analyze_prompts
-    # one unit with 40 chunks and a budget that fits ~10 chunk summaries per combine prompt
-    rows = [("u1", i, 40, "sys", f"chunk text {i}") for i in range(40)] + [("u2", 0, 1, "sys", "small unit")]
-    prompts = spark.createDataFrame(rows, "unit string, chunk long, n_chunks long, system_prompt string, user_prompt string")
-    seen = []
 
     def fn(system, user):
-        if user.startswith("Combine"):
-            parts = user.count("Part ")
-            seen.append(parts)
-            return f"sum({parts})"
-        return "leaf"
+        if "x7 " in user:
+            raise RuntimeError("down")
+        return "a"
 
-    out = {r.unit: r for r in analyze_prompts(prompts, fn, ["unit"], parallelism=2, budget_chars=120).collect()}
-    assert out["u2"].analysis == "leaf" and out["u1"].status == "ok"
-    assert out["u1"].analysis.startswith("sum(")
+    out = {r.unit: r for r in analyze_prompts(spark.createDataFrame(_unit(40, "x"), PARTS), fn, ["unit"], ["i"], retries=1, parallelism=2, limit=120).collect()}
+    assert out["u1"].status == "failed" and "down" in out["u1"].error and out["u2"].status == "ok"
 
 
 def test_model_called_once_per_prompt(spark):
     from trellis.operators.analyze import analyze_prompts
     acc = spark.sparkContext.accumulator(0)
-    rows = [(f"u{i}", 0, 1, "sys", f"prompt {i}") for i in range(30)]
-    prompts = spark.createDataFrame(rows, "unit string, chunk long, n_chunks long, system_prompt string, user_prompt string")
+    rows = [(f"u{i}", 0, f"prompt {i}", "sys") for i in range(30)]
 
     def fn(system, user):
         acc.add(1)
         return "x"
 
-    out = analyze_prompts(prompts, fn, ["unit"], parallelism=2)
+    out = analyze_prompts(spark.createDataFrame(rows, PARTS), fn, ["unit"], ["i"], parallelism=2)
     assert out.count() == 30 and len(out.collect()) == 30
     assert acc.value == 30

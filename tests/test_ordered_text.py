@@ -1,8 +1,8 @@
-"""Chunked ordered concatenation equals the plain ordered join, and ordinals are exact."""
+"""Packed requests hold all rows in order; ordinals and running totals are exact."""
 
 from pyspark.sql import functions as F
 
-from trellis.operators.ordered_text import ordered_concat, ordinals
+from trellis.operators.ordered_text import ordinals, requests, running_totals
 
 
 def test_ordinals_exact(spark):
@@ -16,20 +16,27 @@ def test_ordinals_exact(spark):
         assert [p[1] for p in pairs] == list(range(len(pairs)))
 
 
-def test_chunked_concat_matches_whole(spark):
-    rows = [("hot" if i % 3 else f"cold{i % 5}", i, f"entry-{i:04d}") for i in range(600)]
+def test_requests_hold_every_row_once_in_order(spark):
+    rows = [("hot" if i % 3 else f"cold{i % 5}", i, f"entry-{i:04d};") for i in range(600)]
     df = spark.createDataFrame(rows, "k string, o long, t string")
-    out = ordered_concat(df, ["k"], ["o"], "t", "\n\n", budget_chars=500).collect()
-    chunks = {}
-    for r in out:
-        chunks.setdefault(r.k, []).append((r.chunk, r.text, r.n_chunks))
-    for k, parts in chunks.items():
-        parts.sort()
-        assert len(parts) == parts[0][2]
-        expected = "\n\n".join(t for kk, o, t in sorted((x for x in rows if x[0] == k), key=lambda x: x[1]))
-        assert "\n\n".join(p[1] for p in parts) == expected
-    assert chunks["hot"][0][2] > 1
-    assert all(len(t) <= 500 for _, t, _ in chunks["hot"])
+    for limit in (100, 500, 1 << 20):
+        by = {}
+        for r in requests(df, ["k"], ["o"], "t", limit).collect():
+            assert len(r.text) <= limit
+            by.setdefault(r.k, []).append((r.piece, r.text, r.n_pieces))
+        for k, parts in by.items():
+            parts.sort()
+            assert len(parts) == parts[0][2]
+            assert "".join(t for _, t, _ in parts) == "".join(t for kk, o, t in sorted(rows, key=lambda x: x[1]) if kk == k)
+        assert (len(by["hot"]) > 1) == (limit <= 500)
+
+
+def test_running_totals(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "id AS o", "id % 7 AS w")
+    want = {}
+    for i in range(500):
+        want[i] = sum(j % 7 for j in range(i % 3, i, 3))
+    assert {r.o: r.before for r in running_totals(df, ["k"], ["o"], "w").collect()} == want
 
 
 def test_ordinals_stable_when_branches_prune_differently(spark):

@@ -92,3 +92,41 @@ def test_direct_module_analysis(spark):
     rows = mods.collect()
     assert len(rows) == 1 and rows[0].analysis.startswith("This module ")
     assert projs.count() == 1
+
+
+def test_export_ignores_empty_cached_copy(spark):
+    from trellis.operators.summaries import digest_rows
+    c = code_corpus(spark, SF001)
+    blocks = digest_rows(c.files, c.packages, c.modules, c.projects, empty_is_missing=True)
+    pid = c.projects.orderBy("project_id").first().project_id
+    cached = spark.createDataFrame([(pid, "")], "project_id string, context string")
+    assert sinks.export_context(blocks, cached).count() == blocks.count()
+
+
+def test_digest_of_one_project_leaves_the_others(spark):
+    from trellis.operators.summaries import digest_rows, write_digest
+    c = code_corpus(spark, SF001)
+    blocks = digest_rows(c.files, c.packages, c.modules, c.projects)
+    out = os.path.join(_dir(), "digest")
+    write_digest(blocks, out, n_files=2)
+    pid = c.projects.orderBy("project_id").first().project_id
+    before = sorted(os.listdir(out))
+    write_digest(blocks.where(F.col("project_id") == pid), out, n_files=2)
+    assert sorted(x for x in os.listdir(out) if x.startswith("project_id")) == [x for x in before if x.startswith("project_id")]
+
+
+def test_format_count_as_the_page_shows_it(spark):
+    from trellis.functions.text import format_count
+    df = spark.createDataFrame([(1234.5, "7", 1234567, None), (1.0, "x", 0, None)], "d double, s string, n long, z long")
+    got = [tuple(r) for r in df.select(*[format_count(c) for c in ("d", "s", "n", "z")]).collect()]
+    assert got == [("1,234.5", "0", "1,234,567", "0"), ("1", "0", "0", "0")]
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+    from trellis.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)

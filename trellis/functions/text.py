@@ -82,9 +82,10 @@ def truncate_text(text) -> Column:
 
 
 def format_count(x) -> Column:
-    """Thousands-separated integer; non-numbers show as ``0``."""
-    v = F.coalesce(_c(x).try_cast("double"), F.lit(0.0))
-    return F.format_number(v, 0)
+    """Number with thousands separators and up to three decimals; NULL and non-numeric types show as ``0``."""
+    c = _c(x)
+    digits = F.regexp_replace(F.format_number(F.round(c.try_cast("double"), 3), 3), r"\.?0+$", "")
+    return F.when(c.isNull() | ~F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$"), F.lit("0")).otherwise(digits)
 
 
 def is_valid_repo_url(url) -> Column:

@@ -2,9 +2,9 @@
 
 * Freshness (per level window) and "already analysed" tests decide what is
   skipped; ``Record`` files get a fixed placeholder and zero tokens.
-* The default analyzer is a native expression (first sentence of the first
-  child, plus a count), so the whole chain stays in whole-stage codegen and
-  tests need no network.
+* The default analyzer is native: a sentence over the whole file text, and per
+  level a sentence over every child (count, tokens, and a sum of the children's
+  digests, which partial aggregation combines), so tests need no network.
 * ``run_analyzer`` runs any user function ``fn(system, user) -> str`` over
   prompt rows with ``mapInPandas`` (Arrow batches), ``parallelism`` tasks
   (the reference's bounded in-flight calls) and bounded retries; failures
@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.text import non_empty, pre_token_count
+from trellis.operators.ordered_text import REQUEST_CHARS, requests
+from trellis.session import cut_lineage
+from trellis.sources.corpus import stored_summary
 
 # Freshness windows per level, the Record rule and its placeholder.
 FRESH_WINDOW_SECONDS = {"package": 24 * 3600, "module": 3600, "project": 3600}
 RECORD_MARKER = "Record"
 NOT_ANALYZED = "not analyzed"
-FIRST_SENTENCE_REGEX = r"^[^.!?]*[.!?]?"
 
 
 def is_fresh(analysis, analysis_date, as_of: Column, level: str) -> Column:
@@ -50,15 +52,23 @@ def is_record_file(path) -> Column:
     return p.contains(RECORD_MARKER)
 
 
-def first_sentence(text) -> Column:
+def text_digest(text) -> Column:
+    """The first eight hex digits of a text's md5 as a number; sums of it identify a set of texts."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.regexp_extract(F.coalesce(t, F.lit("")), FIRST_SENTENCE_REGEX, 0))
+    return F.conv(F.substring(F.md5(F.coalesce(t, F.lit(""))), 1, 8), 16, 10).cast("bigint")
 
 
-def extractive_summary(level: str, name: Column, n_children: Column, first_child: Column) -> Column:
-    """``This <level> <name> has <n> parts. <first sentence of the first child>``."""
-    return F.concat(F.lit(f"This {level} "), name, F.lit(" has "), n_children.cast("string"),
-                    F.lit(" parts. "), first_sentence(first_child))
+def child_sums(children: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Per key: number, tokens and digest sum of all child texts."""
+    return children.groupBy(*key).agg(F.count(F.lit(1)).alias("n_children"), F.sum(pre_token_count(text)).alias("child_tokens"),
+                                      F.sum(text_digest(text)).alias("child_digest"))
+
+
+def level_summary(level: str, name: Column) -> Column:
+    """One sentence over all children of a row joined with ``child_sums`` (none: zeros)."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").cast("string")
+    return F.concat(F.lit(f"This {level} "), name, F.lit(" has "), z("n_children"), F.lit(" parts of "), z("child_tokens"),
+                    F.lit(" tokens, digest "), z("child_digest"), F.lit("."))
 
 
 def analyze_files(files: DataFrame) -> DataFrame:
@@ -67,7 +77,7 @@ def analyze_files(files: DataFrame) -> DataFrame:
     done = is_file_analysed("short_analysis")
     new_short = (F.when(rec, F.lit(NOT_ANALYZED))
                  .when(done, F.col("short_analysis"))
-                 .otherwise(first_sentence("content")))
+                 .otherwise(stored_summary("content")))
     return (files.withColumn("short_analysis", new_short)
             .withColumn("code_token_count", F.when(rec, F.lit(0).cast("bigint")).otherwise(F.col("code_token_count")))
             .withColumn("analysis_token_count",
@@ -75,41 +85,31 @@ def analyze_files(files: DataFrame) -> DataFrame:
             .withColumn("action", F.when(rec, "skip_record").when(done, "skip_fresh").otherwise("analyze")))
 
 
+def _with_summary(df: DataFrame, analysis: Column) -> DataFrame:
+    return (df.withColumn("analysis", analysis).withColumn("analysis_token_count", pre_token_count("analysis"))
+            .drop("n_children", "child_tokens", "child_digest"))
+
+
 def analyze_packages(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """Package stage: ≤1 file by (module, package name) → ''; else extractive over ordered files."""
-    kids = (files.groupBy("module_id", "package_name")
-            .agg(F.count(F.lit(1)).alias("n_files"),
-                 F.min_by("short_analysis", F.struct("file_path", "file_id")).alias("first_child")))
-    p = packages.join(kids, ["module_id", "package_name"], "left").withColumn(
-        "n_files", F.coalesce("n_files", F.lit(0)))
-    a = F.when(F.col("n_files") <= 1, F.lit("")).otherwise(
-        extractive_summary("package", F.col("package_name"), F.col("n_files"), F.col("first_child")))
-    return (p.withColumn("analysis", a).withColumn("analysis_token_count", pre_token_count("analysis"))
-            .drop("first_child"))
+    """Package stage: at most one file by (module, package name) gives ''; else a summary of all files."""
+    kids = child_sums(files, ["module_id", "package_name"], "short_analysis")
+    p = packages.join(kids, ["module_id", "package_name"], "left")
+    n = F.coalesce("n_children", F.lit(0))
+    return _with_summary(p.withColumn("n_files", n), F.when(n <= 1, F.lit("")).otherwise(level_summary("package", F.col("package_name"))))
 
 
 def analyze_modules(packages: DataFrame, modules: DataFrame) -> DataFrame:
-    """Module stage over root packages (ordered by package id)."""
-    roots = packages.where(F.col("parent_package_id").isNull())
-    kids = (roots.groupBy("module_id")
-            .agg(F.count(F.lit(1)).alias("n_roots"),
-                 F.min_by("analysis", "package_id").alias("first_child")))
-    m = modules.drop("analysis", "analysis_token_count").join(kids, "module_id", "left").withColumn(
-        "n_roots", F.coalesce("n_roots", F.lit(0)))
-    a = extractive_summary("module", F.col("module_name"), F.col("n_roots"), F.col("first_child"))
-    return (m.withColumn("analysis", a).withColumn("analysis_token_count", pre_token_count("analysis"))
-            .drop("first_child"))
+    """Module stage over all root packages."""
+    kids = child_sums(packages.where(F.col("parent_package_id").isNull()), ["module_id"], "analysis")
+    m = modules.drop("analysis", "analysis_token_count").join(kids, "module_id", "left")
+    return _with_summary(m.withColumn("n_roots", F.coalesce("n_children", F.lit(0))), level_summary("module", F.col("module_name")))
 
 
 def analyze_projects(modules: DataFrame, projects: DataFrame) -> DataFrame:
-    kids = (modules.groupBy("project_id")
-            .agg(F.count(F.lit(1)).alias("n_modules"),
-                 F.min_by("analysis", "module_id").alias("first_child")))
-    p = projects.drop("analysis", "analysis_token_count").join(kids, "project_id", "left").withColumn(
-        "n_modules", F.coalesce("n_modules", F.lit(0)))
-    a = extractive_summary("project", F.col("project_name"), F.col("n_modules"), F.col("first_child"))
-    return (p.withColumn("analysis", a).withColumn("analysis_token_count", pre_token_count("analysis"))
-            .drop("first_child"))
+    """Project stage over all modules."""
+    kids = child_sums(modules, ["project_id"], "analysis")
+    p = projects.drop("analysis", "analysis_token_count").join(kids, "project_id", "left")
+    return _with_summary(p.withColumn("n_modules", F.coalesce("n_children", F.lit(0))), level_summary("project", F.col("project_name")))
 
 
 def analyze_modules_direct(commands: DataFrame, packages: DataFrame, modules: DataFrame,
@@ -127,9 +127,17 @@ def analyze_modules_direct(commands: DataFrame, packages: DataFrame, modules: Da
     return fresh, analyze_projects(all_mods, touched)
 
 
-def apply_patch(base: DataFrame, patch: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    """Keyed field update: patched columns win where the patch has a row and a value."""
-    p = patch.select(*key, *[F.col(c).alias(f"__p_{c}") for c in cols])
+def apply_patch(base: DataFrame, patch: DataFrame, key: list[str], cols: list[str],
+                newest_by: str | None = None) -> DataFrame:
+    """Keyed field update: patched columns win where the patch has a row and a value.
+
+    A key with several patch rows takes the newest by ``newest_by`` (without it, the
+    greatest row), so a base row is never multiplied.
+    """
+    row = F.struct(*[F.col(c) for c in cols])
+    pick = F.max_by(row, newest_by) if newest_by else F.max(row)
+    p = (patch.groupBy(*key).agg(pick.alias("__p"))
+         .select(*key, *[F.col("__p")[c].alias(f"__p_{c}") for c in cols]))
     out = base.join(p, key, "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(f"__p_{c}"), F.col(c)))
@@ -176,52 +184,44 @@ def run_analyzer(prompts: DataFrame, fn: Callable[[str, str], str], id_col: str,
 COMBINE_PREFIX = "Combine these partial analyses of one unit, in order, into a single analysis:\n\n"
 
 
-def analyze_prompts(prompts: DataFrame, fn: Callable[[str, str], str], key: list[str],
-                    parallelism: int = 5, retries: int = 3, budget_chars: int | None = None,
-                    max_rounds: int = 8) -> DataFrame:
-    """Run the analyzer over level prompts, including groups split into chunks.
+def analyze_prompts(parts: DataFrame, fn: Callable[[str, str], str], key: list[str], order: list[str],
+                    parallelism: int = 5, retries: int = 3, limit: int = REQUEST_CHARS) -> DataFrame:
+    """Run the analyzer over prompts given as long tables (``key, *order, text, system_prompt``).
 
-    ``prompts`` has ``key + [chunk, n_chunks, system_prompt, user_prompt]``.
-    Single-chunk prompts are analysed directly. An oversized group is analysed
-    chunk by chunk; its chunk summaries then become the ordered entries of a
-    combine prompt, itself built with the same size budget, and the round
-    repeats until every group has one summary. Each round divides the number
-    of pieces by roughly budget / summary length, so no combine prompt and
-    no group row ever holds more than the budget.
-    Returns ``key + [analysis, status, error]``.
+    The rows of each prompt are packed into requests under ``limit`` characters. A prompt that fits
+    is one request. The answers of a longer one become the rows of a combine prompt, and so
+    on until it has one answer; a round that does not reduce a prompt's requests raises, for then
+    the answers are too long to combine. Returns ``key + [analysis, status, error]``, one row
+    per prompt.
     """
-    from trellis.operators.ordered_text import DEFAULT_BUDGET_CHARS, ordered_concat
-    from trellis.session import cut_lineage
-    budget = budget_chars or DEFAULT_BUDGET_CHARS
-
     def rid(cols):
         return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in cols])
 
-    rows = prompts.where(F.col("user_prompt").isNotNull()).withColumn("__rid", rid(key + ["chunk"]))
-    # model calls are costly and not repeatable: each round's answers are written
-    # once (reliable checkpoint) and every later step reads them from there
-    cur = cut_lineage(rows.select(*key, "chunk", "n_chunks", "system_prompt", "__rid")
-                      .join(run_analyzer(rows, fn, "__rid", parallelism, retries), "__rid"))
-    done = cur.where(F.col("n_chunks") == 1).select(*key, "analysis", "status", "error")
-    pending = cur.where(F.col("n_chunks") > 1).withColumn("ok", F.col("status") == "ok")
-    system = pending.groupBy(*key).agg(F.first("system_prompt").alias("system_prompt"),
-                                       F.bool_and("ok").alias("parts_ok"))
-    for _ in range(max_rounds):
-        if pending.isEmpty():
-            break
-        entries = pending.select(*key, "chunk", F.concat(F.lit("Part "), (F.col("chunk") + 1).cast("string"),
-                                                         F.lit(":\n"), F.coalesce("analysis", F.lit(""))).alias("e"))
-        combined = ordered_concat(entries, key, ["chunk"], "e", "\n\n", out="joined", budget_chars=budget)
-        combined = (combined.join(system, key)
-                    .withColumn("user_prompt", F.concat(F.lit(COMBINE_PREFIX), F.col("joined")))
-                    .withColumn("__rid", rid(key + ["chunk"])))
-        cur = cut_lineage(combined.select(*key, "chunk", "n_chunks", "parts_ok", "__rid")
-                          .join(run_analyzer(combined, fn, "__rid", parallelism, retries), "__rid"))
-        finished = (cur.where(F.col("n_chunks") == 1)
-                    .select(*key, "analysis",
-                            F.when(F.col("parts_ok"), F.col("status")).otherwise(F.lit("failed")).alias("status"),
-                            F.when(F.col("parts_ok"), F.col("error")).otherwise(F.lit("a chunk failed")).alias("error")))
-        done = done.unionByName(finished)
-        pending = cur.where(F.col("n_chunks") > 1).select(*key, "chunk", "analysis")
-        system = system.join(pending.select(*key).distinct(), key, "left_semi")
-    return done
+    rows = parts.where(F.col("text").isNotNull())
+    system = cut_lineage(rows.where(F.col("system_prompt").isNotNull()).groupBy(*key).agg(F.max("system_prompt").alias("system_prompt")))
+    packed = requests(rows.select(*key, *order, "text"), key, order, "text", limit)
+    done, most, prefix = None, None, ""
+    while True:
+        asked = (packed.join(system, key, "left").withColumn("user_prompt", F.concat(F.lit(prefix), F.col("text")))
+                 .withColumn("__rid", rid(key + ["piece"])))
+        # model calls are costly and not repeatable: each round's answers are written
+        # once (reliable checkpoint) and every later step reads them from there
+        asked = cut_lineage(asked.drop("text"))
+        cur = cut_lineage(asked.select(*key, "piece", "n_pieces", "__rid")
+                          .join(run_analyzer(asked, fn, "__rid", parallelism, retries), "__rid"))
+        if done is not None:
+            cur = cur.join(failed, key, "left").withColumn("error", F.coalesce("error", "part_error")) \
+                .withColumn("status", F.when(F.col("part_error").isNull(), F.col("status")).otherwise("failed")).drop("part_error")
+        finished = cur.where("n_pieces = 1").select(*key, "analysis", "status", "error")
+        done = finished if done is None else done.unionByName(finished)
+        open_ = cur.where("n_pieces > 1")
+        n = open_.agg(F.max("n_pieces")).first()[0]
+        if n is None:
+            return done
+        if most is not None and n >= most:
+            raise ValueError(f"{n} partial answers do not get fewer under a limit of {limit} characters")
+        most, prefix = n, COMBINE_PREFIX
+        failed = cut_lineage(open_.where("status <> 'ok'").groupBy(*key).agg(F.min("error").alias("part_error")))
+        entries = open_.select(*key, "piece", F.concat(F.lit("Part "), (F.col("piece") + 1).cast("string"), F.lit(":\n"),
+                                                       F.coalesce("analysis", F.lit("")), F.lit("\n\n")).alias("text"))
+        packed = requests(entries, key, ["piece"], "text", limit - len(COMBINE_PREFIX))

@@ -1,17 +1,9 @@
-"""Ordered text aggregation with a size bound per output value.
+"""Order over large groups without a window or a list per group.
 
-Prompts and summaries join child texts in a fixed order (path, then id).
-A plain ``collect_list`` per group would pull a hot group (one package with a
-third of all files) into one task and one string. Instead:
-
-1. entry sizes are summed per group (partial aggregate, cheap);
-2. groups within ``budget_chars`` are concatenated directly — the common
-   case, identical to the reference's single prompt;
-3. larger groups get an exact 0-based ordinal per entry from a global range
-   sort (range partitioning splits a hot key across tasks; per-partition
-   counts → offsets is a one-row-per-partition table), and are cut into
-   ``ceil(size / budget)`` contiguous chunks. Every entry lands in exactly
-   one chunk; none is dropped.
+``ordinals`` and ``running_totals`` number the rows of a group, or sum a
+weight over the rows before them, from a global range sort: a hot group is
+split over tasks, and the offsets table has one row per partition.
+``requests`` packs the ordered rows of a group into texts of a bounded size.
 """
 
 from __future__ import annotations
@@ -21,73 +13,66 @@ from pyspark.sql import functions as F
 
 from trellis.session import cut_lineage
 
-DEFAULT_BUDGET_CHARS = 128 * 1024  # ≈ 32k tokens, the analyzer context of the reference
+REQUEST_CHARS = 128 * 1024  # about 32k tokens, the analyzer's input
 
 
-def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
-    """Exact 0-based rank of each row within ``key`` by ``order`` (order must be unique per key).
+def running_totals(df: DataFrame, key: list[str], order: list[str], weight: str | None = None,
+                   out: str = "before") -> DataFrame:
+    """Sum of ``weight`` (1 without) over the rows of the same ``key`` before each row in ``order``.
 
-    No window over the group: rows are range-sorted globally, numbered by
-    partition offset + position, and rebased by the group's minimum.
+    ``order`` must be unique per key. Rows are range-sorted globally, summed by partition
+    offset and place, and rebased by the group's first row.
     """
     spark = df.sparkSession
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cols = key + order
-    s = (df.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
+    w_col = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    s = (df.withColumn("__w", w_col).repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
          .withColumn("__pid", F.spark_partition_id())
-         .withColumn("__mid", F.monotonically_increasing_id()))
-    s = s.withColumn("__pos", F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33))
+         .withColumn("__pos", F.monotonically_increasing_id()))
     # The layout (range bounds are sampled with a per-RDD seed) must be computed
-    # once: the counts, offsets and group minimums below all read the same rows.
+    # once: the sums, offsets and group minimums below all read the same rows.
     # A reliable checkpoint in the shared folder fixes it, also across executor loss.
-    s = cut_lineage(s.drop("__mid"))
-    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    s = cut_lineage(s)
+    sums = s.groupBy("__pid").agg(F.sum("__w").alias("__n"))
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per shuffle partition: a proven size bound for the broadcast
-    offsets = F.broadcast(counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    offsets = F.broadcast(sums.withColumn("__off", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
                           .select("__pid", "__off"))
-    ranked = s.join(offsets, "__pid").withColumn("__rank", F.col("__off") + F.col("__pos"))
+    if weight is None:
+        s = s.withColumn("__in", F.col("__pos") - F.shiftleft(F.col("__pid").cast("bigint"), 33))
+    else:  # a window over one partition of the range sort, whatever its keys
+        place = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+        s = s.withColumn("__in", F.coalesce(F.sum("__w").over(place), F.lit(0)))
+    ranked = s.join(offsets, "__pid").withColumn("__rank", F.col("__off") + F.col("__in"))
     first = ranked.groupBy(*key).agg(F.min("__rank").alias("__first"))
     return (ranked.join(first, key)
             .withColumn(out, F.col("__rank") - F.col("__first"))
-            .drop("__pid", "__pos", "__off", "__rank", "__first"))
+            .drop("__w", "__pid", "__pos", "__off", "__in", "__rank", "__first"))
 
 
-def _concat(df: DataFrame, key: list[str], order: list[str], text_col: str, sep: str,
-            out: str) -> DataFrame:
-    entry = F.struct(*[F.col(c) for c in order], F.col(text_col).alias("__t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["__t"]), sep)
-    return df.groupBy(*key).agg(joined.alias(out), F.count(F.lit(1)).alias("n_entries"))
-
+def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
+    """Exact 0-based rank of each row within ``key`` by ``order`` (unique per key)."""
+    return running_totals(df, key, order, None, out)
 
-def ordered_concat(df: DataFrame, key: list[str], order: list[str], text_col: str, sep: str,
-                   out: str = "text", budget_chars: int = DEFAULT_BUDGET_CHARS,
-                   check_size: bool = True) -> DataFrame:
-    """Concatenate ``text_col`` per ``key`` in ``order`` with ``sep``.
 
-    Returns ``key + [chunk, n_chunks, out, n_entries]``. Groups under the
-    budget have a single chunk 0 holding the whole concatenation.
+def requests(parts: DataFrame, key: list[str], order: list[str], text: str,
+             limit: int = REQUEST_CHARS) -> DataFrame:
+    """``key + [piece, n_pieces, text, n_parts]``: the ordered rows of each key, packed into texts.
 
-    With ``check_size`` the largest group size is measured first (one scalar
-    aggregate, like a broadcast size check); when every group fits, the plan
-    is a single grouped aggregate and the chunking branch is not planned.
+    A piece holds rows until half of ``limit`` is reached, so it stays under ``limit``
+    if no single row is longer than the other half (rows are never cut). Every row is in
+    exactly one piece.
     """
-    sized = df.withColumn("__len", F.length(F.col(text_col)) + F.lit(len(sep)))
-    totals = sized.groupBy(*key).agg(F.sum("__len").alias("__total"), F.count(F.lit(1)).alias("__cnt"))
-    cols = key + ["chunk", "n_chunks", out, "n_entries"]
-    if check_size:
-        largest = totals.agg(F.max("__total")).first()[0]
-        if largest is None or largest <= budget_chars:
-            return (_concat(df, key, order, text_col, sep, out)
-                    .withColumn("chunk", F.lit(0).cast("bigint"))
-                    .withColumn("n_chunks", F.lit(1).cast("bigint")).select(*cols))
-    tagged = sized.join(totals, key)
-    small = tagged.where(F.col("__total") <= budget_chars)
-    big = tagged.where(F.col("__total") > budget_chars)
-    small_out = (_concat(small, key, order, text_col, sep, out)
-                 .withColumn("chunk", F.lit(0).cast("bigint")).withColumn("n_chunks", F.lit(1).cast("bigint")))
-    big = big.withColumn("n_chunks", F.ceil(F.col("__total") / F.lit(budget_chars)).cast("bigint"))
-    big = ordinals(big, key, order)
-    big = big.withColumn("chunk", F.floor(F.col("ordinal") * F.col("n_chunks") / F.col("__cnt")).cast("bigint"))
-    big_out = _concat(big, key + ["chunk", "n_chunks"], order, text_col, sep, out)
-    return small_out.select(*cols).unionByName(big_out.select(*cols))
+    sized = parts.withColumn("__len", F.length(F.coalesce(F.col(text), F.lit(""))))
+    placed = running_totals(sized, key, order, "__len", "__before")
+    half = max(limit // 2, 1)
+    entry = F.struct(*[F.col(c) for c in order], F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["__t"]), "")
+    total = sized.groupBy(*key).agg(F.sum("__len").alias("__total"))
+    # a group that fits is one piece; the size decides only how many requests the analyzer sees
+    piece = F.when(F.col("__total") <= limit, F.lit(0)).otherwise(F.floor(F.col("__before") / half)).cast("bigint")
+    packed = (placed.join(total, key).withColumn("piece", piece).groupBy(*key, "piece")
+              .agg(joined.alias("text"), F.count(F.lit(1)).alias("n_parts")))
+    n = packed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pieces"))
+    return packed.join(n, key).select(*key, "piece", "n_pieces", "text", "n_parts")

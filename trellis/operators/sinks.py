@@ -30,10 +30,10 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 
 
 def keyed_update(spark, base_path: str, patch: DataFrame, key: list[str], cols: list[str],
-                 out_base: str, version: int) -> str:
+                 out_base: str, version: int, newest_by: str | None = None) -> str:
     """``$set`` of ``cols`` by ``key`` as a new table version (the old version stays readable)."""
     base = spark.read.parquet(base_path)
-    return write_version(apply_patch(base, patch, key, cols), out_base, version)
+    return write_version(apply_patch(base, patch, key, cols, newest_by), out_base, version)
 
 
 def replace_upsert(df: DataFrame, path: str, key: str) -> None:
@@ -43,13 +43,14 @@ def replace_upsert(df: DataFrame, path: str, key: str) -> None:
 
 
 def export_context(blocks: DataFrame, cached: DataFrame | None) -> DataFrame:
-    """Digest per project: the cached copy when one exists, else the rendered blocks.
+    """Digest per project: the cached copy when a non-empty one exists, else the rendered blocks.
 
     ``cached`` has ``project_id, context``; the result keeps the block layout,
     a cached project contributing a single block.
     """
     if cached is None:
         return blocks
+    cached = cached.where(F.coalesce(F.col("context"), F.lit("")) != "")
     cached_blocks = cached.select(
         "project_id", F.lit("").alias("module_key"), F.lit("").alias("package_key"),
         F.lit("").alias("file_key"), F.lit(-1).cast("bigint").alias("file_id"), F.col("context").alias("block"))

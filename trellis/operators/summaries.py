@@ -2,8 +2,10 @@
 
 Prompt = level template with sequential placeholder fill + the ordered,
 separator-joined child summaries. Child order is the stated contract
-(path, then id). Child lists go through ``ordered_concat`` so a hot group
-is cut into bounded, contiguous chunks instead of one unbounded string.
+(path, then id). A prompt over children is a long table, one row per child
+between the template's head and tail, at every group size: no task ever
+holds a group. Placeholders inside child texts are filled as in a sequential
+fill of the whole prompt.
 
 The digest is produced as a long table — one row per heading block with a
 composite sort key — so no project is ever assembled into one value; the
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from trellis.functions import paths
 from trellis.functions.prompts import CHILD_SEPARATOR, PROMPTS, SYSTEM_FILL_ORDER, USER_FILL_ORDER
 from trellis.functions.text import fill_template
-from trellis.operators.ordered_text import DEFAULT_BUDGET_CHARS, ordered_concat
 
 NO_ANALYSIS = "No analysis available"  # fixed value: digest placeholder for a missing analysis
 DIGEST_TITLE = "Analysis Context"      # heading suffix of the project digest (configurable)
@@ -41,117 +42,155 @@ def file_prompts(files: DataFrame, contexts: DataFrame, short: bool = True,
                     user.alias("user_prompt"), system.alias("system_prompt"))
 
 
+def _parts(level: str, list_key: str, values: dict, prompts: dict | None = None) -> tuple[F.Column, F.Column, F.Column]:
+    """Text before the child list, text after it, and the system prompt, with all other placeholders filled."""
+    p = (prompts or PROMPTS)[level]
+    before, found, after = p["user"].partition(list_key)
+    if not found or list_key in after:
+        raise ValueError(f"the {level} template needs {list_key} once")
+    pairs = [(k, values[k]) for k in USER_FILL_ORDER[level] if k != list_key]
+    system = fill_template(p["system"], [(k, values[k]) for k in SYSTEM_FILL_ORDER[level]])
+    return fill_template(before, pairs), fill_template(after, pairs), system
+
+
+def _with_later_fills(entries: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The context is filled last, so a child text that holds its placeholder is filled too.
+
+    Only such entries (hardly any) are joined to the long context texts.
+    """
+    key = "{projectContext}"
+    holds = F.col("text").contains(key)
+    filled = (entries.where(holds).join(contexts, "project_id", "left")
+              .withColumn("text", fill_template(F.col("text"), [(key, F.col("context"))])).select(*entries.columns))
+    return entries.where(~holds).unionByName(filled)
+
+
+def _first_of(entries: DataFrame, key: list[str], order: list[str]) -> F.Column:
+    """Whether a row is the first of its key; ``entries`` was joined with ``__first`` by ``_mark_first``."""
+    first = F.lit(True)
+    for c in order:
+        first = first & F.col(f"__first.{c}").eqNullSafe(F.col(c))
+    return first
+
+
+def _mark_first(entries: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    first = entries.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first"))
+    return entries.join(first, key)
+
+
 def package_prompts(files: DataFrame, packages: DataFrame, contexts: DataFrame,
-                    budget_chars: int = DEFAULT_BUDGET_CHARS, prompts: dict | None = None) -> DataFrame:
-    """Package prompts over the files sharing (module, package name).
+                    prompts: dict | None = None) -> DataFrame:
+    """Package prompts as a long table over the files sharing (module, package name).
 
-    Packages whose file set has at most one file need no analysis (their
-    summary is ''); they are returned with ``needs_analysis = false`` and no prompt.
+    Rows ``package_id, section, file_path, file_id, text``: section 0 is the template up to the
+    child list, section 1 one row per file, section 2 the rest. Their texts, joined in
+    (section, file_path, file_id) order, are the prompt, whatever the size of the group.
+    Section 0 also carries ``n_files``, ``needs_analysis`` and ``system_prompt``. Packages with
+    at most one file need no analysis; they have only section 0, with no text.
     """
-    entries = files.select(
-        "module_id", "package_name", "file_path", "file_id",
-        F.concat(F.lit("File: "), F.col("file_path"), F.lit("\nAnalysis: "),
-                 F.coalesce(F.col("short_analysis"), F.lit("null"))).alias("entry"))
-    kids = ordered_concat(entries, ["module_id", "package_name"], ["file_path", "file_id"], "entry",
-                          CHILD_SEPARATOR, out="file_analyses", budget_chars=budget_chars)
-    n_files = (files.groupBy("module_id", "package_name").agg(F.count(F.lit(1)).alias("n_files")))
+    own = files.select("module_id", "package_name", "file_path", "file_id", "short_analysis")
+    key, order = ["module_id", "package_name"], ["file_path", "file_id"]
+    marked = _mark_first(own, key, order)
+    entry = F.concat(F.when(_first_of(marked, key, order), F.lit("")).otherwise(F.lit(CHILD_SEPARATOR)),
+                     F.lit("File: "), F.col("file_path"), F.lit("\nAnalysis: "),
+                     F.coalesce(F.col("short_analysis"), F.lit("null")))
+    n_files = own.groupBy(*key).agg(F.count(F.lit(1)).alias("n_files"))
     pk = (packages.select("package_id", "module_id", "project_id", "package_name")
-          .join(n_files, ["module_id", "package_name"], "left")
-          .withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("bigint"))
-          .join(contexts, "project_id", "left"))
-    out = pk.join(kids, ["module_id", "package_name"], "left")
-    user, system = _fill("package", {"{packageName}": F.col("package_name"),
-                                     "{fileAnalyses}": F.col("file_analyses"),
-                                     "{projectContext}": F.col("context")}, prompts)
-    needs = F.col("n_files") > 1
-    return out.select("package_id", "module_id", "project_id", "package_name", "n_files",
-                      needs.alias("needs_analysis"),
-                      F.coalesce(F.col("chunk"), F.lit(0)).cast("bigint").alias("chunk"),
-                      F.coalesce(F.col("n_chunks"), F.lit(1)).cast("bigint").alias("n_chunks"),
-                      F.when(needs, user).alias("user_prompt"),
-                      F.when(needs, system).alias("system_prompt"))
+          .join(n_files, key, "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("bigint"))
+          .withColumn("needs_analysis", F.col("n_files") > 1))
+    kids = (marked.select(*key, *order, entry.alias("text"))
+            .join(pk.where("needs_analysis").select("package_id", "project_id", *key), key)
+            .select("package_id", "project_id", *order, "text"))
+    kids = _with_later_fills(kids, contexts)
+    head, tail, system = _parts("package", "{fileAnalyses}", {
+        "{packageName}": F.col("package_name"), "{projectContext}": F.col("context")}, prompts)
+    outer = pk.join(contexts, "project_id", "left")
+    path, fid = F.lit("").alias("file_path"), F.lit(None).cast(files.schema["file_id"].dataType).alias("file_id")
+    needs = F.col("needs_analysis")
+    none = F.lit(None)
+    heads = outer.select("package_id", F.lit(0).alias("section"), path, fid, F.when(needs, head).alias("text"), "n_files", "needs_analysis",
+                         F.when(needs, system).alias("system_prompt"))
+    extra = [none.cast("bigint").alias("n_files"), none.cast("boolean").alias("needs_analysis"), none.cast("string").alias("system_prompt")]
+    tails = outer.where(needs).select("package_id", F.lit(2).alias("section"), path, fid, tail.alias("text"), *extra)
+    rows = kids.select("package_id", F.lit(1).alias("section"), *order, "text", *extra)
+    return heads.unionByName(rows).unionByName(tails)
 
 
 def module_prompts(files: DataFrame, packages: DataFrame, modules: DataFrame, projects: DataFrame,
-                   contexts: DataFrame, budget_chars: int = DEFAULT_BUDGET_CHARS,
-                   prompts: dict | None = None) -> DataFrame:
-    """Module prompts over root packages and each root package's own files.
-
-    The nested text (package block, then its files) is flattened into one
-    ordered entry list per module; the separators that a nested join would
-    insert are carried as entry prefixes, decided by two partial aggregates
-    (first package per module, first file per package).
+                   contexts: DataFrame, prompts: dict | None = None) -> DataFrame:
+    """Module prompts as a long table over root packages and each root package's own files.
+
+    Rows ``module_id, section, package_id, kind, file_path, file_id, text`` in that order; kind 0 is
+    the package's block, kind 1 one of its files. Section 0 carries ``system_prompt``.
     """
     roots = packages.where(F.col("parent_package_id").isNull()).select(
-        "module_id", "package_id", "package_name", "analysis")
-    first_pkg = roots.groupBy("module_id").agg(F.min("package_id").alias("__first_pkg"))
-    pkg_entries = (roots.join(first_pkg, "module_id")
-                   .select("module_id", "package_id", F.lit(0).alias("kind"), F.lit("").alias("file_path"),
-                           F.lit(-1).cast("bigint").alias("file_id"),
-                           F.concat(F.when(F.col("package_id") == F.col("__first_pkg"), F.lit(""))
-                                    .otherwise(F.lit(CHILD_SEPARATOR)),
-                                    F.lit("Package: "), F.col("package_name"), F.lit("\nAnalysis: "),
-                                    F.coalesce(F.col("analysis"), F.lit(""))).alias("entry")))
-    rf = files.join(roots.select("package_id"), "package_id", "left_semi").select(
-        "module_id", "package_id", "file_path", F.col("file_id").cast("bigint").alias("file_id"),
-        "short_analysis")
-    first_file = rf.groupBy("package_id").agg(F.min(F.struct("file_path", "file_id")).alias("__ff"))
-    file_entries = (rf.join(first_file, "package_id")
-                    .select("module_id", "package_id", F.lit(1).alias("kind"), "file_path", "file_id",
-                            F.concat(F.when((F.col("__ff.file_path") == F.col("file_path"))
-                                            & (F.col("__ff.file_id") == F.col("file_id")), F.lit(""))
-                                     .otherwise(F.lit("\n")),
-                                     F.lit("\n  File: "), paths.basename("file_path"),
-                                     F.lit("\n  Analysis: "),
-                                     F.coalesce(F.col("short_analysis"), F.lit(""))).alias("entry")))
-    entries = pkg_entries.unionByName(file_entries)
-    kids = ordered_concat(entries, ["module_id"], ["package_id", "kind", "file_path", "file_id"], "entry",
-                          "", out="package_analyses", budget_chars=budget_chars)
-    m = (modules.select("module_id", "project_id", "module_name")
-         .join(projects.select("project_id", "project_name"), "project_id", "left")
-         .join(contexts, "project_id", "left")
-         .join(kids, "module_id", "left"))
-    user, system = _fill("module", {"{moduleName}": F.col("module_name"),
-                                    "{projectName}": F.coalesce(F.col("project_name"), F.lit("unknown-project")),
-                                    "{packageAnalyses}": F.col("package_analyses"),
-                                    "{projectContext}": F.col("context")}, prompts)
-    return m.select("module_id", "project_id", "module_name",
-                    F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"),
-                    F.coalesce(F.col("chunk"), F.lit(0)).cast("bigint").alias("chunk"),
-                    F.coalesce(F.col("n_chunks"), F.lit(1)).cast("bigint").alias("n_chunks"),
-                    user.alias("user_prompt"), system.alias("system_prompt"))
+        "module_id", "project_id", "package_id", "package_name", "analysis")
+    fid = files.schema["file_id"].dataType
+    marked = _mark_first(roots, ["module_id"], ["package_id"])
+    pkg_entries = marked.select(
+        "module_id", "project_id", "package_id", F.lit(0).alias("kind"), F.lit("").alias("file_path"),
+        F.lit(None).cast(fid).alias("file_id"),
+        F.concat(F.when(_first_of(marked, ["module_id"], ["package_id"]), F.lit("")).otherwise(F.lit(CHILD_SEPARATOR)),
+                 F.lit("Package: "), F.col("package_name"), F.lit("\nAnalysis: "),
+                 F.coalesce(F.col("analysis"), F.lit(""))).alias("text"))
+    own = files.select("package_id", "file_path", "file_id", "short_analysis").join(
+        roots.select("package_id", "module_id", "project_id"), "package_id")
+    order = ["file_path", "file_id"]
+    listed = _mark_first(own, ["package_id"], order)
+    file_entries = listed.select(
+        "module_id", "project_id", "package_id", F.lit(1).alias("kind"), *order,
+        F.concat(F.when(_first_of(listed, ["package_id"], order), F.lit("")).otherwise(F.lit("\n")),
+                 F.lit("\n  File: "), paths.basename("file_path"), F.lit("\n  Analysis: "),
+                 F.coalesce(F.col("short_analysis"), F.lit(""))).alias("text"))
+    kids = _with_later_fills(pkg_entries.unionByName(file_entries), contexts)
+    head, tail, system = _parts("module", "{packageAnalyses}", {
+        "{moduleName}": F.col("module_name"), "{projectName}": F.coalesce(F.col("project_name"), F.lit("unknown-project")),
+        "{projectContext}": F.col("context")}, prompts)
+    outer = (modules.select("module_id", "project_id", "module_name")
+             .join(projects.select("project_id", "project_name"), "project_id", "left").join(contexts, "project_id", "left"))
+    blank = [F.lit("").alias("package_id"), F.lit(0).alias("kind"), F.lit("").alias("file_path"), F.lit(None).cast(fid).alias("file_id")]
+    no_system = F.lit(None).cast("string").alias("system_prompt")
+    rows = kids.select("module_id", F.lit(1).alias("section"), "package_id", "kind", *order, "text", no_system)
+    heads = outer.select("module_id", F.lit(0).alias("section"), *blank, head.alias("text"), system.alias("system_prompt"))
+    tails = outer.select("module_id", F.lit(2).alias("section"), *blank, tail.alias("text"), no_system)
+    return heads.unionByName(rows).unionByName(tails)
 
 
 def project_prompts(modules: DataFrame, projects: DataFrame, contexts: DataFrame,
-                    budget_chars: int = DEFAULT_BUDGET_CHARS, parity: bool = False,
-                    prompts: dict | None = None) -> DataFrame:
-    """Project prompts over the modules' summaries (``parity`` leaves the context empty)."""
-    entries = modules.select("project_id", "module_id",
-                             F.concat(F.lit("Module: "), F.col("module_name"), F.lit("\nAnalysis: "),
-                                      F.coalesce(F.col("analysis"), F.lit("null"))).alias("entry"))
-    kids = ordered_concat(entries, ["project_id"], ["module_id"], "entry", CHILD_SEPARATOR,
-                          out="module_analyses", budget_chars=budget_chars)
-    p = projects.select("project_id", "project_name").join(contexts, "project_id", "left").join(
-        kids, "project_id", "left")
-    ctx = F.lit("") if parity else F.col("context")
-    user, system = _fill("project", {"{projectName}": F.col("project_name"),
-                                     "{moduleAnalyses}": F.col("module_analyses"),
-                                     "{projectContext}": ctx}, prompts)
-    return p.select("project_id", "project_name",
-                    F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"),
-                    F.coalesce(F.col("chunk"), F.lit(0)).cast("bigint").alias("chunk"),
-                    F.coalesce(F.col("n_chunks"), F.lit(1)).cast("bigint").alias("n_chunks"),
-                    user.alias("user_prompt"), system.alias("system_prompt"))
+                    parity: bool = False, prompts: dict | None = None) -> DataFrame:
+    """Project prompts as a long table over the modules' summaries (``parity`` leaves the context empty).
+
+    Rows ``project_id, section, module_id, text`` in that order; section 0 carries ``system_prompt``.
+    """
+    if parity:
+        contexts = contexts.withColumn("context", F.lit(""))
+    marked = _mark_first(modules.select("project_id", "module_id", "module_name", "analysis"), ["project_id"], ["module_id"])
+    kids = marked.select("project_id", "module_id", F.concat(
+        F.when(_first_of(marked, ["project_id"], ["module_id"]), F.lit("")).otherwise(F.lit(CHILD_SEPARATOR)),
+        F.lit("Module: "), F.col("module_name"), F.lit("\nAnalysis: "), F.coalesce(F.col("analysis"), F.lit("null"))).alias("text"))
+    kids = _with_later_fills(kids, contexts)
+    head, tail, system = _parts("project", "{moduleAnalyses}", {
+        "{projectName}": F.col("project_name"), "{projectContext}": F.col("context")}, prompts)
+    outer = projects.select("project_id", "project_name").join(contexts, "project_id", "left")
+    no_system = F.lit(None).cast("string").alias("system_prompt")
+    blank = F.lit("").alias("module_id")
+    rows = kids.select("project_id", F.lit(1).alias("section"), "module_id", "text", no_system)
+    heads = outer.select("project_id", F.lit(0).alias("section"), blank, head.alias("text"), system.alias("system_prompt"))
+    tails = outer.select("project_id", F.lit(2).alias("section"), blank, tail.alias("text"), no_system)
+    return heads.unionByName(rows).unionByName(tails)
 
 
 def digest_rows(files: DataFrame, packages: DataFrame, modules: DataFrame, projects: DataFrame,
-                title: str = DIGEST_TITLE) -> DataFrame:
+                title: str = DIGEST_TITLE, empty_is_missing: bool = False) -> DataFrame:
     """Markdown digest as ordered blocks: (project_id, module_key, package_key, file_key, file_id, block).
 
     Concatenating ``block`` per project in key order gives the digest text.
     Files are attached by package id (every file of a package, not just roots).
+    With ``empty_is_missing`` (the export route) an empty analysis shows the placeholder too.
     """
-    na = lambda c: F.coalesce(F.col(c), F.lit(NO_ANALYSIS))
+    def na(c):
+        v = F.nullif(F.col(c), F.lit("")) if empty_is_missing else F.col(c)
+        return F.coalesce(v, F.lit(NO_ANALYSIS))
     empty = F.lit("")
     none_id = F.lit(-1).cast("bigint")
     proj = projects.select(
@@ -171,7 +210,8 @@ def digest_rows(files: DataFrame, packages: DataFrame, modules: DataFrame, proje
                  F.lit("\n\n")).alias("block"))
     fls = files.select(
         "project_id", F.col("module_id").alias("module_key"), F.col("package_id").alias("package_key"),
-        F.col("file_path").alias("file_key"), F.col("file_id").cast("bigint").alias("file_id"),
+        F.col("file_path").alias("file_key"),
+        F.coalesce(F.col("file_id").cast("string").try_cast("bigint"), none_id).alias("file_id"),
         F.concat(F.lit("#### File: "), paths.basename("file_path"), F.lit("\n\n"), na("short_analysis"),
                  F.lit("\n\n")).alias("block"))
     return proj.unionByName(mods).unionByName(pkgs).unionByName(fls)
@@ -192,4 +232,4 @@ def write_digest(blocks: DataFrame, out_dir: str, n_files: int | None = None) ->
         .otherwise(F.col("block"))
     (blocks.repartitionByRange(n, *DIGEST_ORDER).sortWithinPartitions(*DIGEST_ORDER)
      .select("project_id", value.alias("value"))
-     .write.mode("overwrite").option("lineSep", "\n").partitionBy("project_id").text(out_dir))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("project_id").text(out_dir))

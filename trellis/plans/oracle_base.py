@@ -55,7 +55,10 @@ vc0 AS (
       CASE WHEN doc_id % 17 = 0 THEN 'Test' WHEN doc_id % 13 = 0 THEN 'Record' ELSE 'Doc' END,
       cast(doc_id AS varchar), ext) AS file_path,
     text AS content,
-    CASE WHEN doc_id % 50 = 7 THEN NULL ELSE substr(text, 1, 80) END AS short_analysis
+    doc_id % 50 <> 7 AS analysed,
+    CASE WHEN doc_id % 50 = 7 THEN NULL ELSE 'Lines ' || cast({lines_sql("coalesce(text, '')")} AS varchar) ||
+      ', characters ' || cast(length(coalesce(text, '')) AS varchar) || ', digest ' || md5(coalesce(text, '')) || '.'
+    END AS short_analysis
   FROM (SELECT doc_id, text, lang AS project_id, concat(lang, '/', source) AS module_id,
           source AS module_name,
           CASE {_digit(2)} % 4 {dirs} END AS dir,

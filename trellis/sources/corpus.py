@@ -31,6 +31,13 @@ def _hex_digit(h, pos: int):
     return F.conv(F.substring(h, pos, 1), 16, 10).cast("int")
 
 
+def stored_summary(content: str) -> F.Column:
+    """The stored summary of a file: one short sentence over its whole text (NULL text counts as empty)."""
+    t = F.coalesce(F.col(content), F.lit(""))
+    return F.concat(F.lit("Lines "), text.raw_line_count(t).cast("string"), F.lit(", characters "),
+                    F.length(t).cast("string"), F.lit(", digest "), F.md5(t), F.lit("."))
+
+
 def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the virtual code corpus, one row per document (narrow, no shuffle)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -60,8 +67,9 @@ def vc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(fid % 19 == 0, F.lit("/target/")).otherwise(F.lit("/")),
                      F.col("stem"), fid.cast("string"), F.col("ext")).alias("file_path"),
             "content",
+            (fid % 50 != 7).alias("analysed"),
             F.when(fid % 50 == 7, F.lit(None).cast("string"))
-            .otherwise(F.substring("content", 1, 80)).alias("short_analysis")))
+            .otherwise(stored_summary("content")).alias("short_analysis")))
 
 
 def with_file_metrics(files: DataFrame, cache_key: tuple | None = None, spread: bool = False) -> DataFrame:
@@ -130,9 +138,13 @@ def level_analysis(df: DataFrame, level: str) -> DataFrame:
 
 
 def vc_contexts(files: DataFrame) -> DataFrame:
-    """Project context: the whole text of the project's first file (by id), like a README."""
-    return (files.groupBy("project_id")
-            .agg(F.min_by("content", "file_id").alias("context")))
+    """Project context: the whole text of the project's first file (by id), like a README.
+
+    The first ids are found on narrow columns; one row per project is then read back with its
+    text (the id list holds one row per project and the scan is filtered by it).
+    """
+    first = files.groupBy("project_id").agg(F.min("file_id").alias("file_id"))
+    return files.join(first, ["project_id", "file_id"], "left_semi").select("project_id", F.col("content").alias("context"))
 
 
 # ---------------------------------------------------------------- VR corpus
