@@ -160,9 +160,34 @@ def test_repository_corpus_end_to_end(spark, root):
     ctx = {r.project_id: r.context for r in c.contexts.collect()}
     assert ctx["acme"] == "Acme\n"
     prompts = summaries.package_prompts(c.files, c.packages, c.contexts)
-    needs = {r.package_name: r.needs_analysis for r in prompts.where("project_id = 'acme'").collect()}
+    names = {r.package_id: n for n, r in acme_pk.items()}
+    needs = {names[r.package_id]: r.needs_analysis for r in prompts.where("section = 0").collect() if r.package_id in names}
     # files per package by (module, package name): com.acme.core 1 (Empty declares none), util 1, src 2
     assert needs == {"com.acme.core": False, "util": False, "src": True}
     blocks = summaries.digest_rows(c.files, c.packages, c.modules, c.projects).where("project_id = 'acme'")
     text = "".join(r.block for r in blocks.orderBy(*summaries.DIGEST_ORDER).collect())
     assert text.startswith("# acme - ") and "#### File: App.java" in text and "No analysis available" in text
+
+
+def test_scan_finds_hidden_names_and_keeps_paths(spark, tmp_path):
+    from trellis.sources.repo_corpus import repository_corpus
+    base = tmp_path / "repos here"
+    for rel, content in {"p 1/pom.xml": "<project><modules><module>./core</module><module>web/</module></modules></project>",
+                         "p 1/core/__init__.py": "x = 1\n", "p 1/core/_priv/a b.py": "y = 2\n", "p 1/web/_app.tsx": "export {}\n",
+                         "p 1/.hidden/c%20d.py": "z\n", "loose.txt": "no project\n"}.items():
+        f = base / rel
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(content.encode() + b"\xff")
+    for root in (str(base), f"file://{base}", f"{base}/"):
+        got = {(r.project, r.rel_path) for r in T.scan_tree(spark, root).collect()}
+        assert got == {("p 1", "pom.xml"), ("p 1", "core/__init__.py"), ("p 1", "core/_priv/a b.py"), ("p 1", "web/_app.tsx"), ("p 1", ".hidden/c%20d.py")}
+    mods = T.maven_modules(spark.createDataFrame([("p", "pom.xml", "<m><modules><module>./a//b/</module><module>x/../c</module><module>../d</module></modules></m>")],
+                                                 "project string, rel_path string, content string")).collect()[0].modules
+    assert mods == ["a/b", "c", "../d"]
+
+
+def test_no_python_over_file_contents_but_poms(spark):
+    df = spark.createDataFrame([("p", "a.java", "class A {}")], "project string, rel_path string, content string")
+    plan = T.project_types(df)._jdf.queryExecution().executedPlan().toString()
+    udf = plan[plan.index("ArrowEvalPython"):]
+    assert "pom.xml" in udf.split("LocalTableScan")[0].split("Scan")[0]

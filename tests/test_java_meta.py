@@ -1,6 +1,8 @@
-"""Java metadata helper: comment stripping, code lines, package, public method signatures."""
+"""Java metadata expressions: comment stripping, code lines, package, public method signatures."""
 
-from trellis.operators.java_meta import code_lines, declared_package, public_methods, strip_comments
+from pyspark.sql import functions as F
+
+from trellis.operators import java_meta
 
 SRC = '''package a.b.c; // trailing
 import java.util.*;
@@ -22,17 +24,37 @@ public abstract class K<T> {
 '''
 
 
-def test_strip_and_lines():
-    code, bare = strip_comments(SRC)
+
+
+def meta(spark, src):
+    df = spark.createDataFrame([(1, "a/K.java", src), (2, "a/k.py", src)], "file_id long, file_path string, content string")
+    out = {r.file_id: r for r in java_meta.with_java_metadata(df).collect()}
+    assert out[2].code_lines is None and out[2].public_methods is None
+    assert [r.file_id for r in java_meta.java_metadata(df).collect()] == [1]
+    return out[1]
+
+
+def test_strip_and_lines(spark):
+    code = spark.range(1).select(java_meta.without_comments(F.lit(SRC))).first()[0]
     assert "doc with" not in code and "trailing" not in code
     assert '"/* not a comment */"' in code
-    assert code_lines(code) == 16
+    assert meta(spark, SRC).code_lines == 16
+
+
+def test_block_comments_keep_line_breaks(spark):
+    assert meta(spark, "int a; /* x\n y */ int b;\n/** z **/ int c;\n/* q *\n */ // t\n\n  \nint d; /* open").code_lines == 4
+    assert meta(spark, None).code_lines == 0 and meta(spark, "'\"' /* c */ + \"//\"").code_lines == 1
+
+
+def test_long_texts_do_not_recurse(spark):
+    big = "/*" + "* x\n" * 100_000 + "*/ class A { String s = \"" + "ab\\\"" * 50_000 + "\"; }"
+    assert meta(spark, big).code_lines == 1
 
 
-def test_package_and_methods():
-    _, bare = strip_comments(SRC)
-    assert declared_package(bare) == "a.b.c"
-    assert public_methods(bare) == [
+def test_package_and_methods(spark):
+    r = meta(spark, SRC)
+    assert r.declared_package == "a.b.c"
+    assert r.public_methods == [
         "toString()",
         "group(List<? extends T>, int[], String...)",
         "run(String)",
@@ -43,6 +65,6 @@ def test_package_and_methods():
     ]
 
 
-def test_no_package():
-    _, bare = strip_comments("class A {}\n")
-    assert declared_package(bare) is None and public_methods(bare) == []
+def test_no_package(spark):
+    r = meta(spark, "class A {}\n")
+    assert r.declared_package is None and r.public_methods == []

@@ -1,137 +1,93 @@
-"""Java file metadata as a Spark job: code lines, declared package, public methods.
-
-The per-file work is a short regex helper run over Arrow batches with
-``mapInPandas`` (files are partitioned and shuffled by Spark, never pulled
-to the driver). Comments are removed outside string/char literals and
-text blocks; code lines are the non-blank lines that remain. The method
-list is an approximation of a parser's view (documented in the README):
-explicitly ``public`` methods of any nested type, minus getters
-(``get*`` with no parameters) and setters (``set*``, one parameter, void).
+r"""Java file metadata as Column expressions: code lines, declared package, public methods.
+
+Comments go with one ``regexp_replace`` that keeps captured literals (string,
+character, text block), so a comment marker inside a literal stays; a block
+comment over several lines leaves one line break. Code lines are the
+non-blank lines that remain. Package and methods are searched with literals
+emptied. The method list is a parser's view up to the pattern: explicitly
+``public`` methods of any nested type, minus getters (``get*`` without
+parameters) and setters (``set*``, one parameter, void); commas are told apart
+up to ``DEPTH`` levels of type arguments with ``COMMAS`` commas each.
+
+Loops over alternatives are written without backtracking (possessive and
+unrolled), since Java's matcher recurses on them.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import paths
 
-_TOKENS = re.compile(
-    r'"""[\s\S]*?"""'           # text block
-    r'|"(?:\\.|[^"\\\n])*"'     # string literal
-    r"|'(?:\\.|[^'\\\n])*'"     # char literal
-    r"|//[^\n]*"                # line comment
-    r"|/\*[\s\S]*?(?:\*/|$)",   # block comment (unterminated runs to the end)
-)
-_PACKAGE = re.compile(r"(?m)^\s*package\s+([\w.]+)\s*;")
-_METHOD = re.compile(
-    r"\bpublic\s+(?:(?:static|final|synchronized|abstract|native|default|strictfp)\s+)*"
-    r"(?:<[^()]*?>\s+)?"
-    r"([\w$][\w$.]*(?:\s*<[^()]*?>)?(?:\s*\[\s*\])*)\s+([\w$]+)\s*\(([^()]*)\)")
-_NOT_TYPES = {"class", "interface", "enum", "record", "new", "return", "throw", "else"}
-_ANNOTATION = re.compile(r"@[\w$.]+(?:\([^()]*\))?\s*")
-
-
-def strip_comments(src: str) -> tuple[str, str]:
-    """(code without comments, same with literal contents emptied)."""
-    code, bare = [], []
-    pos = 0
-    for m in _TOKENS.finditer(src):
-        code.append(src[pos:m.start()])
-        bare.append(src[pos:m.start()])
-        tok = m.group(0)
-        if tok.startswith("//") or tok.startswith("/*"):
-            blank = "\n" * tok.count("\n")
-            code.append(blank)
-            bare.append(blank)
-        else:
-            code.append(tok)
-            q = tok[0] if not tok.startswith('"""') else '"'
-            bare.append(q + "\n" * tok.count("\n") + q)
-        pos = m.end()
-    code.append(src[pos:])
-    bare.append(src[pos:])
-    return "".join(code), "".join(bare)
-
-
-def code_lines(code: str) -> int:
-    return sum(1 for ln in re.split(r"\r\n|\r|\n", code) if ln.strip())
-
-
-def _split_params(params: str) -> list[str]:
-    out, depth, cur = [], 0, []
-    for ch in params:
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-        if ch == "," and depth == 0:
-            out.append("".join(cur))
-            cur = []
-        else:
-            cur.append(ch)
-    if "".join(cur).strip():
-        out.append("".join(cur))
-    return [p.strip() for p in out if p.strip()]
-
-
-def _param_type(p: str) -> str:
-    p = _ANNOTATION.sub("", p).strip()
-    p = re.sub(r"^(final\s+)+", "", p)
-    m = re.match(r"^(.*?)\s*([\w$]+)\s*((?:\[\s*\])*)$", p, re.S)
-    if not m:
-        return p
-    t = re.sub(r"\s+", " ", m.group(1).strip())
-    t = re.sub(r"\s*([<>,\[\]])\s*", lambda x: x.group(1) + (" " if x.group(1) == "," else ""), t)
-    return t + m.group(3).replace(" ", "")
-
-
-def is_getter_or_setter(name: str, n_params: int, return_type: str) -> bool:
-    return ((name.startswith("get") and n_params == 0)
-            or (name.startswith("set") and n_params == 1 and return_type == "void"))
-
-
-def public_methods(bare: str) -> list[str]:
-    out = []
-    for m in _METHOD.finditer(bare):
-        rtype, name, params = m.group(1).strip(), m.group(2), m.group(3)
-        if rtype in _NOT_TYPES or name in _NOT_TYPES:
-            continue
-        plist = _split_params(params)
-        if is_getter_or_setter(name, len(plist), rtype):
-            continue
-        out.append(f"{name}({', '.join(_param_type(p) for p in plist)})")
-    return out
-
-
-def declared_package(bare: str) -> str | None:
-    m = _PACKAGE.search(bare)
-    return m.group(1) if m else None
-
-
-META_SCHEMA = "file_id long, code_lines long, declared_package string, public_methods array<string>"
-
-
-def _scan(batches):
-    for pdf in batches:
-        lines, pkgs, methods = [], [], []
-        for text in pdf["content"]:
-            code, bare = strip_comments(text or "")
-            lines.append(code_lines(code))
-            pkgs.append(declared_package(bare))
-            methods.append(public_methods(bare))
-        yield pd.DataFrame({"file_id": pdf["file_id"].astype("int64"), "code_lines": lines,
-                            "declared_package": pkgs, "public_methods": methods})
+LITERAL = (r'"""[\s\S]*?"""' r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
+COMMENT = r"//[^\n]*|/\*[^*\n]*+(?:\*+[^*/\n][^*\n]*+)*+(?:\*+(\n)|(\n))?[\s\S]*?(?:\*/|\z)"
+NON_BLANK_LINE = r"[^\r\n]*\S[^\r\n]*"
+PACKAGE = r"(?m)^\s*package\s+([\w.]+)\s*;"
+METHOD = (r"\bpublic\s+(?:(?:static|final|synchronized|abstract|native|default|strictfp)\s+)*"
+          r"(?:<[^()]*?>\s+)?"
+          r"([\w$][\w$.]*(?:\s*<[^()]*?>)?(?:\s*\[\s*\])*)\s+([\w$]+)\s*\(([^()]*)\)")
+NOT_TYPES = ["class", "interface", "enum", "record", "new", "return", "throw", "else"]
+DEPTH, COMMAS = 3, 3
+_COMMA, _OPEN, _CLOSE = "\x01", "\x02", "\x03"
+
+
+def without_comments(src: Column) -> Column:
+    return F.regexp_replace(src, f"({LITERAL})|{COMMENT}", "$1$2$3")
+
+
+def without_literals(code: Column) -> Column:
+    return F.regexp_replace(code, LITERAL, '""')
+
+
+def _param_type(p: Column) -> Column:
+    """The type of one parameter, spaces normalised, array brackets of the name moved to it."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), r"@[\w$.]+\s*", ""))
+    t = F.regexp_replace(t, r"^(?:final\s+)+", "")
+    t = F.regexp_replace(t, r"\s*[\w$]+\s*((?:\[\s*\])*)$", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), rf" ?([{_COMMA}{_OPEN}{_CLOSE}\[\]]) ?", "$1")
+    return F.replace(F.translate(t, _OPEN + _CLOSE, "<>"), F.lit(_COMMA), F.lit(", "))
+
+
+def _param_list(params: Column) -> Column:
+    """Parameters split at commas outside type arguments."""
+    p = params
+    for _ in range(DEPTH):
+        for _ in range(COMMAS):
+            p = F.regexp_replace(p, r"<([^<>,]*),([^<>]*)>", f"<$1{_COMMA}$2>")
+        p = F.regexp_replace(p, r"<([^<>]*)>", f"{_OPEN}$1{_CLOSE}")
+    return F.filter(F.split(p, ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+
+
+def _signature(m: Column) -> Column:
+    """``name(types)`` of one matched declaration, NULL for getters, setters and what is no method."""
+    rtype = F.trim(F.regexp_extract(m, METHOD, 1))
+    name = F.regexp_extract(m, METHOD, 2)
+    params = _param_list(F.regexp_extract(m, METHOD, 3))
+    n = F.size(params)
+    skip = (rtype.isin(*NOT_TYPES) | name.isin(*NOT_TYPES) | (name.startswith("get") & (n == 0))
+            | (name.startswith("set") & (n == 1) & (rtype == "void")))
+    return F.when(~skip, F.concat(name, F.lit("("), F.array_join(F.transform(params, _param_type), ", "), F.lit(")")))
+
+
+def with_java_metadata(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with ``code_lines``, ``declared_package`` and ``public_methods``; NULL where the file is not Java."""
+    is_java = F.col("file_path").endswith(".java")
+    step = files.withColumn("__code", F.when(is_java, without_comments(F.coalesce(F.col(content), F.lit("")))))
+    step = step.withColumn("__bare", without_literals(F.col("__code")))
+    package = F.regexp_extract("__bare", PACKAGE, 1)
+    found = F.transform(F.regexp_extract_all("__bare", F.lit(METHOD), 0), _signature)
+    return (step.withColumns({
+        "code_lines": F.regexp_count("__code", F.lit(NON_BLANK_LINE)).cast("bigint"),
+        "declared_package": F.when(package != "", package),
+        "public_methods": F.filter(found, lambda x: x.isNotNull())})
+        .drop("__code", "__bare"))
 
 
 def java_metadata(files: DataFrame) -> DataFrame:
     """(file_id, code_lines, declared_package, public_methods) for ``.java`` files."""
-    java = files.where(F.col("file_path").endswith(".java")).select(
-        F.col("file_id").cast("long").alias("file_id"), "content")
-    return java.mapInPandas(_scan, META_SCHEMA)
+    java = files.where(F.col("file_path").endswith(".java")).select("file_id", "file_path", "content")
+    return with_java_metadata(java).drop("file_path", "content")
 
 
 def directory_packages(files_meta: DataFrame, dir_key: str = "dir_path") -> DataFrame:

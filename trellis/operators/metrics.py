@@ -106,3 +106,18 @@ def token_distribution(files: DataFrame, key: str = "project_id", col: str = "co
     return (files.groupBy(key)
             .agg(F.count(F.lit(1)).alias("n"), F.sum(col).alias("total"), F.max(col).alias("max"),
                  F.percentile_approx(col, [0.5, 0.9, 0.99], accuracy).alias("p")))
+
+
+def nest_packages(modules: DataFrame, packages: DataFrame, package_metrics: DataFrame) -> DataFrame:
+    """``module_id, module_name, packages``: packages with their metrics as an array ordered by id.
+
+    One array per module: the number of packages of one module, not of files. A module
+    without packages has an empty array.
+    """
+    p = (packages.select("module_id", "package_id", "package_name")
+         .join(package_metrics.select("package_id", "file_count", "lines_of_code"), "package_id", "left"))
+    kids = p.groupBy("module_id").agg(F.array_sort(F.collect_list(
+        F.struct("package_id", "package_name", "file_count", "lines_of_code"))).alias("packages"))
+    j = modules.select("module_id", "module_name").join(kids, "module_id", "left")
+    none = F.array().cast(kids.schema["packages"].dataType)
+    return j.withColumn("packages", F.coalesce("packages", none))

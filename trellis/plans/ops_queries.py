@@ -1,4 +1,4 @@
-"""Operational reports (lag, counters) and string/validation queries over the given tables."""
+"""Operational counters and string/validation queries over the given tables."""
 
 from __future__ import annotations
 
@@ -10,40 +10,6 @@ from trellis.plans.registry import register
 from trellis.sources.commands import FIELD_PATTERNS, parse_commands
 from trellis.sources.tables import read_table
 
-# Lag alert thresholds of the monitoring config.
-LAG_WARNING = 1000
-LAG_CRITICAL = 5000
-LAG_CUTOFF = "2024-01-25 00:00:00"
-N_PARTITIONS = 4
-
-
-@register("lag_report", f"""
-SELECT event_type AS topic, (user_id % {N_PARTITIONS})::INT AS partition,
-  count(*)::BIGINT AS end_offset, (count(*) FILTER (WHERE ts < TIMESTAMP '{LAG_CUTOFF}') - 1)::BIGINT
-    AS committed_offset,
-  (count(*) - count(*) FILTER (WHERE ts < TIMESTAMP '{LAG_CUTOFF}'))::BIGINT AS lag,
-  CASE WHEN count(*) - count(*) FILTER (WHERE ts < TIMESTAMP '{LAG_CUTOFF}') > {LAG_CRITICAL} THEN 'critical'
-       WHEN count(*) - count(*) FILTER (WHERE ts < TIMESTAMP '{LAG_CUTOFF}') > {LAG_WARNING} THEN 'warning'
-       ELSE 'ok' END AS level
-FROM events GROUP BY 1, 2""")
-def lag_report(spark, sf_dir):
-    """Consumer lag per topic partition: end − committed − 1, with warning/critical levels.
-
-    Topic = event type, partition = user id mod 4, consumer position = all
-    events before the cutoff. Offsets are counts, so no per-partition sort.
-    """
-    e = read_table(spark, sf_dir, "events")
-    consumed = F.col("ts") < F.lit(LAG_CUTOFF).cast("timestamp_ntz")
-    agg = (e.groupBy(F.col("event_type").alias("topic"),
-                     (F.col("user_id") % N_PARTITIONS).cast("int").alias("partition"))
-           .agg(F.count(F.lit(1)).alias("end_offset"), F.count_if(consumed).alias("n_consumed")))
-    lag = F.col("end_offset") - F.col("committed_offset") - 1
-    return (agg.withColumn("committed_offset", (F.col("n_consumed") - 1).cast("bigint"))
-            .withColumn("lag", lag.cast("bigint"))
-            .withColumn("level", F.when(F.col("lag") > LAG_CRITICAL, "critical")
-                        .when(F.col("lag") > LAG_WARNING, "warning").otherwise("ok"))
-            .select("topic", "partition", F.col("end_offset").cast("bigint"), "committed_offset", "lag", "level"))
-
 
 @register("event_counters", """
 SELECT 'svc-' || cast(user_id % 5 AS varchar) AS service, strftime(ts, '%Y-%m-%d') AS day,
@@ -125,16 +91,17 @@ def truncate_text(spark, sf_dir):
 
 
 @register("format_numbers", """
-SELECT doc_id, format('{:,}', n_chars) AS n_chars_fmt,
-  format('{:,}', coalesce(try_cast(json_extract_string('{"k": ' || cast(doc_id AS varchar) || '}', '$.k')
-                                  AS BIGINT), 0)) AS id_fmt
+SELECT doc_id, format('{:,}', n_chars) AS n_chars_fmt, format('{:,}', doc_id) AS id_fmt,
+  regexp_replace(format('{:,.3f}', n_chars / 8.0), '[.]?0+$', '') AS eighths_fmt, '0' AS text_fmt
 FROM documents""")
 def format_numbers(spark, sf_dir):
-    """Thousands-separated display numbers; non-numbers show ``0``."""
+    """Display numbers: integers, a JSON number, fractions, and text (shown as ``0``)."""
     d = read_table(spark, sf_dir, "documents")
     js = F.concat(F.lit('{"k": '), F.col("doc_id").cast("string"), F.lit("}"))
     return d.select("doc_id", text.format_count("n_chars").alias("n_chars_fmt"),
-                    text.format_count(F.get_json_object(js, "$.k")).alias("id_fmt"))
+                    text.format_count(F.from_json(js, "k bigint")["k"]).alias("id_fmt"),
+                    text.format_count(F.col("n_chars") / F.lit(8.0)).alias("eighths_fmt"),
+                    text.format_count(F.col("doc_id").cast("string")).alias("text_fmt"))
 
 
 def _command_json_sql() -> str:

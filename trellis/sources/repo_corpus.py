@@ -53,8 +53,10 @@ def repository_corpus(spark: SparkSession, root: str) -> RepoCorpus:
     mods = mods.withColumn("mod_dir", F.when(F.col("module") == T.DEFAULT_MODULE, F.lit(""))
                            .otherwise(F.col("module")))
 
-    src = T.source_files(tree).select("project", "rel_path", "content",
-                                      paths.dirname("rel_path").alias("file_dir"))
+    # metadata comes from one pass over the contents; everything below is narrow, contents are attached last
+    texts = java_meta.with_java_metadata(T.source_files(tree).select(
+        "project", "rel_path", "content", F.col("rel_path").alias("file_path"), paths.dirname("rel_path").alias("file_dir")))
+    src = texts.select("project", "rel_path", "file_path", "file_dir", "declared_package")
     # candidate module dirs of each file: '' plus every ancestor of its directory
     anc = src.select("project", "rel_path", F.explode(
         F.concat(F.array(F.lit("")), F.when(F.col("file_dir") == "", F.array().cast("array<string>"))
@@ -63,35 +65,30 @@ def repository_corpus(spark: SparkSession, root: str) -> RepoCorpus:
              .groupBy("project", "rel_path")
              .agg(F.max_by(F.struct("module", "mod_dir"), F.length("mod_dir")).alias("m")))
     files = (src.join(owner, ["project", "rel_path"])
-             .select("project", "rel_path", "content", "file_dir",
-                     F.col("m.module").alias("module_name"), F.col("m.mod_dir").alias("mod_dir")))
+             .withColumns({"module_name": F.col("m.module"), "mod_dir": F.col("m.mod_dir")}).drop("m"))
     files = files.withColumn(
         "dir", F.when(F.col("mod_dir") == "", F.col("file_dir"))
         .otherwise(F.expr("substr(file_dir, length(mod_dir) + 2)")))
     files = (files.withColumn("project_id", F.col("project"))
              .withColumn("module_id", _id("project", "module_name"))
              .withColumn("package_id", _id("project", "module_name", "dir"))
-             .withColumn("file_id", F.conv(F.substring(F.sha2(F.concat_ws("/", "project", "rel_path"), 256), 1, 15),
-                                           16, 10).cast("bigint"))
-             .withColumn("file_path", F.col("rel_path"))
+             .withColumn("file_id", _id("project", "rel_path"))
              .withColumn("short_analysis", F.lit(None).cast("string")))
 
-    # package name from the first file of each directory (declared package, else directory name)
-    meta = java_meta.java_metadata(files.select("file_id", "file_path", "content"))
-    fm = (files.select("file_id", "package_id", "file_path")
-          .join(meta.select("file_id", "declared_package"), "file_id", "left"))
-    pkg_names = java_meta.directory_packages(fm, dir_key="package_id")
     # a file row carries its own package name (declared package for Java, '' when
     # absent; directory name otherwise) — the (module, package name) file lookup of
-    # the package stage depends on it; the package row carries the directory's name
+    # the package stage depends on it; the package row carries the directory's name,
+    # from its first file (declared package, else directory name)
+    pkg_names = java_meta.directory_packages(files, dir_key="package_id")
     own = F.when(F.col("file_path").endswith(".java"), F.coalesce(F.col("declared_package"), F.lit(""))) \
         .otherwise(paths.parent_dir_name("file_path"))
-    files = (files.join(fm.select("file_id", own.alias("file_package")), "file_id")
-             .join(pkg_names.withColumnRenamed("package_name", "dir_package"), "package_id"))
+    files = files.withColumn("file_package", own).join(pkg_names.withColumnRenamed("package_name", "dir_package"), "package_id")
     pk = files.select("package_id", "module_id", "project_id", "dir",
                       F.col("dir_package").alias("package_name")).distinct()
-    files = files.select("file_id", "project_id", "module_id", "module_name", "dir", "package_id",
-                         F.col("file_package").alias("package_name"), "file_path", "content", "short_analysis")
+    files = (files.join(texts.select("project", "rel_path", "content"), ["project", "rel_path"])
+             .select("file_id", "project_id", "module_id", "module_name", "dir", "package_id",
+                     F.col("file_package").alias("package_name"), "file_path", "content", "short_analysis",
+                     F.lit(False).alias("analysed")))
 
     tree_pk = hierarchy.nearest_ancestor(pk.select("module_id", "dir"), ["module_id"], "dir")
     parents = (tree_pk.where(F.col("parent_dir").isNotNull())

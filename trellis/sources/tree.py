@@ -1,9 +1,9 @@
 """Source-tree scan and build-file rules over a directory of repositories.
 
-Every repository directory under ``root`` is one project. The whole tree is
-read once with the text source (``wholetext``, recursive listing), so the
-listing, content read and all rules below are Spark jobs over one table
-of (project, relative path, content):
+Every repository directory under ``root`` is one project. Listing and content
+read are Spark jobs of their own (Spark's file sources leave out names that
+start with ``_`` or ``.``); all rules below are jobs over one table of (project,
+relative path, absolute path, content):
 
 * project type: maven > gradle (``build.gradle`` or ``.kts``) > ant > sbt >
   any ``.java`` file > error, via ``bool_or`` flags per project;
@@ -19,31 +19,84 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from trellis.functions import paths
 
-# README names in preference order, build files, include pattern.
+# README names in preference order, include pattern, messages.
 README_NAMES = ["README.md", "Readme.md", "readme.md", "README.txt", "Readme.txt", "readme.txt",
                 "README", "Readme", "readme"]
 GRADLE_INCLUDE = r"""include\s*['"](:[^'"]+)['"]"""
 DEFAULT_MODULE = "default"
+INVALID_POM = "Invalid pom.xml file"
+UNKNOWN_TYPE = "Unable to determine project type. No recognized build files found and no Java files detected."
+DETECTED = ("Project detected as ", " project")
+
+
+LISTING = "project string, rel_path string, abs_path string"
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as a URI of its own file system; names in it are as stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    u = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return f"{u.getScheme()}://{u.getAuthority() or ''}{u.getPath()}"
+
+
+def _open(uri: str):
+    """pyarrow's file system of a URI and the path in it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+    if uri.startswith("file://"):
+        return fs.LocalFileSystem(), uri.removeprefix("file://")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(project, rel_path, abs_path) of every file under ``root/<project>/``, hidden names included.
+
+    ``root`` is a path or a URI of any scheme that pyarrow's file systems open; a path is
+    qualified by the cluster's default file system. Project folders are listed by tasks, each
+    its own folder; paths are names as stored, never URI-encoded.
+    """
+    uri = _qualified(spark, root)
+    from pyarrow.fs import FileSelector, FileType
+    system, top = _open(uri)
+    projects = [(f.base_name, f.path) for f in system.get_file_info(FileSelector(top)) if f.type == FileType.Directory]
+
+    def walk(batches):
+        system, _ = _open(uri)
+        for b in batches:
+            for name, folder in zip(*[c.to_pylist() for c in b.columns]):
+                found = [f.path for f in system.get_file_info(FileSelector(folder, recursive=True)) if f.type == FileType.File]
+                yield pa.RecordBatch.from_pydict({
+                    "project": pa.array([name] * len(found), pa.string()),
+                    "rel_path": pa.array([f[len(folder):].lstrip("/") for f in found], pa.string()),
+                    "abs_path": pa.array(found, pa.string())})
+    n = max(1, min(len(projects), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame(projects, "project string, folder string").repartition(n, "project").mapInArrow(walk, LISTING)
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(project, rel_path, abs_path, content) of every file under ``root/<project>/``."""
-    root = root.rstrip("/")
-    raw = (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-           .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("abs_path"),
-                   F.col("value").alias("content")))
-    rel = F.substring(F.col("abs_path"), len(root) + 2, 1 << 30)
-    return raw.select(F.substring_index(rel, "/", 1).alias("project"),
-                      F.expr(f"substr(abs_path, {len(root) + 2})").alias("__rel"),
-                      "abs_path", "content") \
-        .select("project", F.expr("substr(__rel, length(project) + 2)").alias("rel_path"),
-                "abs_path", "content")
+    """(project, rel_path, abs_path, content) of every file; contents are read by path, spread over all tasks."""
+    files = list_tree(spark, root)
+    uri = _qualified(spark, root)
+
+    def read(batches):
+        system, _ = _open(uri)
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                texts = []
+                for path in part.column(2).to_pylist():
+                    with system.open_input_stream(path) as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "content"])
+    return files.repartition(F.xxhash64("abs_path")).mapInArrow(read, LISTING + ", content string")
 
 
 def source_files(tree: DataFrame) -> DataFrame:
@@ -69,26 +122,37 @@ def project_types(tree: DataFrame) -> DataFrame:
     r = F.col("rel_path")
     flags = tree.groupBy("project").agg(
         F.bool_or(r == "pom.xml").alias("maven"),
-        F.bool_or(F.when(r == "pom.xml", well_formed_xml(F.col("content")))).alias("pom_ok"),
         F.bool_or(r.isin("build.gradle", "build.gradle.kts")).alias("gradle"),
         F.bool_or(r == "build.xml").alias("ant"),
         F.bool_or(r == "build.sbt").alias("sbt"),
         F.bool_or(r.endswith(".java")).alias("java"))
+    # only the root poms pass the Python check
+    poms = tree.where(r == "pom.xml").select("project", "content").withColumn("pom_ok", well_formed_xml("content"))
+    flags = flags.join(poms.groupBy("project").agg(F.bool_or("pom_ok").alias("pom_ok")), "project", "left")
     t = (F.when(F.col("maven"), F.lit("maven")).when(F.col("gradle"), F.lit("gradle"))
          .when(F.col("ant"), F.lit("ant")).when(F.col("sbt"), F.lit("sbt"))
          .when(F.col("java"), F.lit("java")))
-    err = (F.when(F.col("maven") & ~F.coalesce(F.col("pom_ok"), F.lit(False)), F.lit("Invalid pom.xml file"))
-           .when(t.isNull(), F.lit("Unable to determine project type. No recognized build files found "
-                                   "and no Java files detected.")))
+    err = (F.when(F.col("maven") & ~F.coalesce(F.col("pom_ok"), F.lit(False)), F.lit(INVALID_POM))
+           .when(t.isNull(), F.lit(UNKNOWN_TYPE)))
     return flags.select("project", F.when(err.isNull(), t).alias("project_type"), err.alias("error"),
-                        F.when(err.isNull(), F.concat(F.lit("Project detected as "), F.upper(t),
-                                                      F.lit(" project"))).alias("message"))
+                        F.when(err.isNull(), F.concat(F.lit(DETECTED[0]), F.upper(t), F.lit(DETECTED[1]))).alias("message"))
+
+
+def normal_path(path) -> F.Column:
+    """A declared module path without ``.`` segments, doubled or trailing slashes, and ``x/..`` pairs."""
+    p = F.regexp_replace(F.concat(F.trim(path), F.lit("/")), "/+", "/")
+    for _ in range(2):
+        p = F.regexp_replace(p, r"(^|/)(?:\./)+", "$1")
+    for _ in range(4):
+        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return F.regexp_replace(p, "/$", "")
 
 
 def maven_modules(tree: DataFrame) -> DataFrame:
     """(project, modules array) from the root pom; malformed or none → NULL array."""
     pom = tree.where(F.col("rel_path") == "pom.xml").withColumn("ok", well_formed_xml("content"))
-    mods = F.when(F.col("ok"), F.array_distinct(F.xpath("content", F.lit("//modules/module/text()"))))
+    found = F.transform(F.xpath("content", F.lit("//modules/module/text()")), normal_path)
+    mods = F.when(F.col("ok"), F.array_distinct(F.filter(found, lambda x: x != "")))
     return pom.select("project", mods.alias("modules"))
 
 
