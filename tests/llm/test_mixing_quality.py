@@ -62,8 +62,9 @@ def test_mix_cases(spark, make_docs):
     out = mixing.draw(make_docs(rows), ["doc_id"]).collect()
     assert len(out) == len(rows)
     assert {(r.doc_id, r.taken) for r in out if r.doc_id in (1, 2)} == {(1, 0), (2, 0)}
-    mixed = mixing.mix_rows(make_docs(rows))
-    assert mixed.columns == make_docs(rows).columns
+    clashing = make_docs(rows).selectExpr("*", "1 AS copies", "2 AS size", "3 AS target")
+    mixed = mixing.mix_rows(clashing)
+    assert mixed.columns == clashing.columns and mixed.where("copies <> 1 OR target <> 3").count() == 0
     assert mixing.draw(make_docs(rows).limit(0), ["doc_id"]).count() == 0
     assert mixing.mix_rows(make_docs(rows[:2])).count() in (0, 1, 2)
 

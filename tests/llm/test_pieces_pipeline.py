@@ -25,7 +25,7 @@ def test_chunked_scan_equals_library(spark, make_docs):
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(BITS) for _ in range(rnd.randint(60, 900))) for _ in range(40)]
     texts += ["aaaa" * 200, "▁" * 500, " " * 333, "inginging" * 90, "the" * 300, "漢" * 150, "ererererer" * 77]
-    docs = make_docs([(i, t) for i, t in enumerate(texts)])
+    docs = make_docs([(i, t) for i, t in enumerate(texts)]).selectExpr("*", "1 AS u", "2 AS v", "3 AS no")
     out = pieces.encode(docs, giant=50, chunk=40, fan=3)
     assert out.columns == [*docs.columns, "token_ids"]
     got = {r.doc_id: r.token_ids for r in out.collect()}

@@ -249,8 +249,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, ids: list[str], url: str = "url", html: str = "html") -> DataFrame:
     """``ids`` and the main ``text`` of every page."""
     prepare(pages.sparkSession)
-    src = pages.select(*ids, F.coalesce(host_of(url), F.lit("")).alias("host"), F.col(html).cast("string").alias("html"))
-    low = cut_lineage(low_nodes(src.select("host", "html")))
-    out = src.join(small_side(low), "host", "left").select(*ids, "html", "nodes")
+    src = pages.select(*ids, F.coalesce(host_of(url), F.lit("")).alias("__host"), F.col(html).cast("string").alias("__html"))
+    low = cut_lineage(low_nodes(src.select(F.col("__host").alias("host"), F.col("__html").alias("html"))))
+    low = low.select(F.col("host").alias("__host"), F.col("nodes").alias("__nodes"))
+    out = src.join(small_side(low), "__host", "left").select(*ids, "__html", "__nodes")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-2])
     return out.mapInArrow(_texts, f"{kept}, text string")

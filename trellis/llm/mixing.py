@@ -185,6 +185,6 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns unchanged."""
     prepare(docs.sparkSession)
     keyed, keys = with_row_key(docs)
-    taken = draw(keyed, keys).where("copies > 0").select(*keys, "copies")
-    return (keyed.join(taken, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    taken = draw(keyed, keys).where("copies > 0").select(*keys, F.col("copies").cast("int").alias("__copies"))
+    return (keyed.join(taken, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
             .select(*docs.columns))

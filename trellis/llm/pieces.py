@@ -407,7 +407,8 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH,
     out = short.mapInArrow(run, _schema(short, "token_ids array<int>"))
     giants = keyed.where(size > giant)
     ids = giant_ids(giants.select(F.col(keys[0]).alias("u"), F.col(keys[1]).alias("v"), F.col(text).cast("string").alias("text")), model, chunk, fan)
-    long = giants.join(ids, (F.col(keys[0]) == F.col("u")) & (F.col(keys[1]) == F.col("v"))).select(*short.columns, "token_ids")
+    ids = ids.select(F.col("u").alias(keys[0]), F.col("v").alias(keys[1]), "token_ids")
+    long = giants.join(ids, keys).select(*short.columns, "token_ids")
     return out.unionByName(long)
 
 
