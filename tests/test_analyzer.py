@@ -106,3 +106,20 @@ def test_model_called_once_per_prompt(spark):
     out = analyze_prompts(spark.createDataFrame(rows, PARTS), fn, ["unit"], ["i"], parallelism=2)
     assert out.count() == 30 and len(out.collect()) == 30
     assert acc.value == 30
+
+
+def test_prompts_from_a_file(spark, tmp_path):
+    import json
+    from trellis.functions.prompts import PROMPTS, as_prompts, load_prompt_table
+    from trellis.operators.summaries import project_prompts
+    own = {k: {"userPrompt": v["user"], "systemPrompt": f"own {k}"} for k, v in PROMPTS.items()}
+    own["project"]["userPrompt"] = "P {projectName} [{moduleAnalyses}] {projectContext}"
+    (tmp_path / "p.json").write_text(json.dumps(own))
+    prompts = as_prompts(load_prompt_table(spark, str(tmp_path / "p.json")))
+    assert as_prompts(load_prompt_table(spark)) == PROMPTS and prompts["file"]["system"] == "own file"
+    modules = spark.createDataFrame([("p", "m1", "one", "a {projectContext}"), ("p", "m2", "two", None)], "project_id string, module_id string, module_name string, analysis string")
+    projects = spark.createDataFrame([("p", "Proj")], "project_id string, project_name string")
+    contexts = spark.createDataFrame([("p", "CTX")], "project_id string, context string")
+    rows = project_prompts(modules, projects, contexts, prompts=prompts).orderBy("section", "module_id").collect()
+    assert "".join(r.text for r in rows) == "P Proj [Module: one\nAnalysis: a CTX\n\nModule: two\nAnalysis: null] CTX"
+    assert rows[0].system_prompt == "own project"

@@ -8,9 +8,8 @@ deployment can supply its own file.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---- fixed values: prompt templates (level -> user prompt, system prompt) ----
@@ -70,18 +69,12 @@ def load_prompt_table(spark: SparkSession, path: str | None = None) -> DataFrame
     """Five-row prompt table; from a JSON file of the reference layout when given."""
     if path is None:
         return spark.createDataFrame(prompt_rows(), PROMPT_SCHEMA)
-    raw = (spark.read.option("multiLine", True).json(path))
-    rows = []
-    for lvl in PROMPTS:
-        rows.append(raw.selectExpr(f"'{lvl}' AS level", f"`{lvl}`.userPrompt AS user_prompt",
-                                   f"`{lvl}`.systemPrompt AS system_prompt"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    raw = spark.read.option("multiLine", True).json(path)
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.col(k)["userPrompt"].alias("user_prompt"),
+                                F.col(k)["systemPrompt"].alias("system_prompt")) for k in PROMPTS])
+    return raw.select(F.explode(levels).alias("p")).select("p.*")
 
 
-def load_prompts_json(path: str) -> dict:
-    with open(path, encoding="utf-8") as fh:
-        src = json.load(fh)
-    return {lvl: {"user": v["userPrompt"], "system": v["systemPrompt"]} for lvl, v in src.items()}
+def as_prompts(table: DataFrame) -> dict:
+    """The five rows of a prompt table in the form of ``PROMPTS``, for the ``prompts`` argument of the builders."""
+    return {r.level: {"user": r.user_prompt, "system": r.system_prompt} for r in table.collect()}

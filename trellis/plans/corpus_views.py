@@ -61,7 +61,14 @@ class CodeCorpus:
                           lambda: corpus.vc_contexts(self._raw.select("project_id", "file_id", "content")))
 
 
-_DIMENSIONS: dict[tuple[str, int, str], dict[str, DataFrame]] = {}
+_DIMENSIONS: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Modification time and size of a table's files, so that a changed folder is not answered from old rows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in fs.listStatus(p)))
 
 
 def _dimension(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -72,7 +79,11 @@ def _dimension(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     them (memory, spilling to disk) lets every branch read one copy instead
     of re-deriving it. They are recomputed from lineage if blocks are lost.
     """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    where = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    key = (*where, _stamp(spark, f"{sf_dir}/documents.parquet"))
+    for old in [k for k in _DIMENSIONS if k[:3] == where and k != key]:  # the folder changed
+        for df in _DIMENSIONS.pop(old).values():
+            df.unpersist()
     memo = _DIMENSIONS.setdefault(key, {})
     if name not in memo:
         memo[name] = build().persist()

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trellis.operators import barrier
 from trellis.plans.corpus_views import code_corpus, file_level
 from trellis.plans.oracle_base import with_vc
 from trellis.plans.ops_queries import AS_OF_MS, _json_commands_sql, command_bodies
 from trellis.plans.registry import register
 from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log, with_failures
 from trellis.sources.tables import read_table
-from trellis.streaming import barrier_stream, command_stream, metrics_stream, status_stream
+from trellis.streaming import barrier_stream, command_stream, metrics_stream, request_stream, status_stream
 from trellis.streaming.topics import drain, publish, release, run_folder, state_partitions, subscribe
 
 
@@ -147,3 +148,30 @@ def stream_json_commands(spark, sf_dir):
     return (command_stream.read_routed(spark, f"{run}/sink/good", f"{run}/sink/quarantine")
             .select("event_id", "cmd_project_name", "cmd_github_url", "cmd_project_context",
                     "cmd_import_id", "cmd_ts_ms", "reason", "status"))
+
+
+@register("stream_project_requests", lambda: with_vc(PAIRS_SQL + """,
+asked AS (
+  SELECT module_id, 'barrier' AS origin FROM mr WHERE ready
+  UNION ALL SELECT CASE WHEN c_custkey % 5 = 0 THEN 'no-such-module' ELSE p.lang || '/src' || cast(c_custkey % 20 AS varchar) END, 'command'
+  FROM customer JOIN (SELECT DISTINCT lang FROM documents WHERE lang IN ('de', 'en')) p ON true)
+SELECT m.project_id, count(DISTINCT m.module_id) AS n_modules, count(DISTINCT CASE WHEN origin = 'command' THEN m.module_id END) AS n_commanded
+FROM asked a JOIN vmod m ON m.module_id = a.module_id GROUP BY 1"""))
+def stream_project_requests(spark, sf_dir):
+    """Project analysis requests from two merged streams (opened module barriers, direct commands),
+    enriched module → project by a stream-static join; unknown modules are set aside."""
+    c = code_corpus(spark, sf_dir)
+    run = run_folder(spark, "requests")
+    pk, md = with_failures(c.packages, c.modules)
+    ready = barrier.module_ready(c.files.select("module_id", "analysed"), pk, md).where("ready").select("module_id")
+    publish(ready, f"{run}/topics/module_ready")
+    k = F.col("c_custkey")
+    cmd = read_table(spark, sf_dir, "customer").select(F.explode(F.array(F.lit("de"), F.lit("en"))).alias("lang"), "c_custkey").select(
+        F.when(k % 5 == 0, F.lit("no-such-module")).otherwise(F.concat("lang", F.lit("/src"), (k % 20).cast("string"))).alias("module_id"))
+    publish(cmd, f"{run}/topics/commands")
+    drain(request_stream.request_stream(
+        subscribe(spark, f"{run}/topics/module_ready", request_stream.MODULE_EVENT),
+        subscribe(spark, f"{run}/topics/commands", request_stream.MODULE_EVENT),
+        c.modules, f"{run}/sink/requests", f"{run}/checkpoints/requests"))
+    release(spark, run)
+    return request_stream.project_requests(spark, f"{run}/sink/requests")

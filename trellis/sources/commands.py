@@ -43,6 +43,3 @@ def parse_commands(df: DataFrame, text_col: str, as_of_ms: Column) -> DataFrame:
             .withColumn("reason", reason)
             .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantined")))
 
-
-def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return parsed.where(F.col("status") == "ok"), parsed.where(F.col("status") != "ok")
