@@ -57,7 +57,7 @@ hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
         FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM hit) GROUP BY doc_id),
 m AS (
-  SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  SELECT c.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
          1000 * word_chars // greatest(n_words, 1) AS m1, 1000 * n_symbols // greatest(word_chars, 1) AS m2,
          1000 * n_dup_lines // greatest(n_lines, 1) AS m3, 1000 * n_upper // greatest(word_chars, 1) AS m4
   FROM c LEFT JOIN rep USING (doc_id)),
@@ -150,9 +150,9 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (SELECT *, length(regexp_replace(role, '([\\<>#])', '_\1', 'g')) + length(regexp_replace(text, '([\\<>#])', '_\1', 'g')) + 15 AS n FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(n) AS formatted_chars
+       sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back from its format."""
