@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from trellis.functions import paths
 from trellis.functions.prompts import CHILD_SEPARATOR, PROMPTS, SYSTEM_FILL_ORDER, USER_FILL_ORDER
 from trellis.functions.text import fill_template
+from trellis.session import cut_lineage
 
 NO_ANALYSIS = "No analysis available"  # fixed value: digest placeholder for a missing analysis
 DIGEST_TITLE = "Analysis Context"      # heading suffix of the project digest (configurable)
@@ -88,7 +89,8 @@ def package_prompts(files: DataFrame, packages: DataFrame, contexts: DataFrame,
     Section 0 also carries ``n_files``, ``needs_analysis`` and ``system_prompt``. Packages with
     at most one file need no analysis; they have only section 0, with no text.
     """
-    own = files.select("module_id", "package_name", "file_path", "file_id", "short_analysis")
+    # narrow rows, written once: the marks, counts and texts below all read them, not the file texts
+    own = cut_lineage(files.select("module_id", "package_name", "file_path", "file_id", "short_analysis"))
     key, order = ["module_id", "package_name"], ["file_path", "file_id"]
     marked = _mark_first(own, key, order)
     entry = F.concat(F.when(_first_of(marked, key, order), F.lit("")).otherwise(F.lit(CHILD_SEPARATOR)),
@@ -133,8 +135,9 @@ def module_prompts(files: DataFrame, packages: DataFrame, modules: DataFrame, pr
         F.concat(F.when(_first_of(marked, ["module_id"], ["package_id"]), F.lit("")).otherwise(F.lit(CHILD_SEPARATOR)),
                  F.lit("Package: "), F.col("package_name"), F.lit("\nAnalysis: "),
                  F.coalesce(F.col("analysis"), F.lit(""))).alias("text"))
-    own = files.select("package_id", "file_path", "file_id", "short_analysis").join(
-        roots.select("package_id", "module_id", "project_id"), "package_id")
+    # narrow rows, written once: the marks and texts below all read them, not the file texts
+    own = cut_lineage(files.select("package_id", "file_path", "file_id", "short_analysis").join(
+        roots.select("package_id", "module_id", "project_id"), "package_id"))
     order = ["file_path", "file_id"]
     listed = _mark_first(own, ["package_id"], order)
     file_entries = listed.select(
