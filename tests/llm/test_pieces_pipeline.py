@@ -30,6 +30,8 @@ def test_chunked_scan_equals_library(spark, make_docs):
     assert out.columns == [*docs.columns, "token_ids"]
     got = {r.doc_id: r.token_ids for r in out.collect()}
     assert got == {i: LIB.encode(t) for i, t in enumerate(texts)}
+    both = pieces.encode(docs, giant=200, chunk=40, fan=3, decoded="back").collect()
+    assert {r.doc_id: r.token_ids for r in both} == got and {r.doc_id: r.back for r in both} == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
     back = {r.doc_id: r.decoded for r in pieces.decode(out).collect()}
     assert back == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
 

@@ -49,23 +49,29 @@ from trellis.session import cut_lineage
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, GIANT, FAN = 16_384, 65_536, 64
-MEMO_WORDS = 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 100_000, 300_000
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, BYTE = 1, 6
 
 
 class Memo(dict):
-    """Word to the bytes of its ids; emptied when full."""
+    """Word to the bytes of its ids, in two generations: when this one is full it becomes the old one, from
+    which words in use come back."""
 
     def __init__(self, fill):
         super().__init__()
         self.fill = fill
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.fill(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.fill(word)
+        self[word] = out
         return out
 
 
@@ -89,6 +95,7 @@ class Pieces:
         self.is_byte = np.zeros(len(m.pieces), bool)
         self.is_byte[list(self.byte_of)] = True
         self.pair: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
         self.memo = Memo(lambda w: self.id_bytes(self.path(w)))
         self.words = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -114,6 +121,7 @@ class Pieces:
         ok = row.get(b)
         if ok is None:
             ok = row[b] = self.merged(a + b) == ([a, b] if a else [b])
+            self.n_pairs += 1
         return ok
 
     def ends(self, s: str, begin: int, length: int, stop: int, starts_before: int) -> list[int]:
@@ -149,14 +157,13 @@ class Pieces:
                 if row is None:
                     continue
                 piece = s[j:i]
-                if piece in ids or j == i - 1:
-                    ok = row.get(piece)
-                    if ok is None:
-                        ok = self.compatible(piece_at[j], piece)
-                    if ok:
-                        piece_at[i] = piece
-                        row_at[i] = pair.get(piece) or self.row(piece)
-                        break
+                ok = row.get(piece)
+                if ok is None and (j == i - 1 or piece in ids):
+                    ok = self.compatible(piece_at[j], piece)
+                if ok:
+                    piece_at[i] = piece
+                    row_at[i] = pair.get(piece) or self.row(piece)
+                    break
         out, end = [], len(s)
         while end > 0:
             out.append(piece_at[end])
@@ -164,8 +171,9 @@ class Pieces:
         return out[::-1]
 
     def row(self, a: str) -> dict[str, bool]:
-        if len(self.pair) > MEMO_WORDS:
+        if self.n_pairs > MEMO_PAIRS:
             self.pair.clear()
+            self.n_pairs = 0
         return self.pair.setdefault(a, {})
 
     @staticmethod
@@ -389,10 +397,13 @@ def giant_ids(texts: DataFrame, model, chunk: int = CHUNK, fan: int = FAN) -> Da
 
 
 def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH,
-           giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``docs`` with ``token_ids``; texts of more than ``giant`` characters go through the chunked scan."""
+           giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN, decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``token_ids``; texts of more than ``giant`` characters go through the chunked scan.
+
+    With ``decoded`` the ids' text is added as a column of that name in the same pass.
+    """
     model = _model(docs, model_path)
-    keyed, keys = with_row_key(docs.drop("token_ids"))
+    keyed, keys = with_row_key(docs.drop("token_ids", *([decoded] if decoded else [])))
     size = F.coalesce(F.length(F.col(text).cast("string")), F.lit(0))
     short = keyed.where(size <= giant).drop(*keys)
     at = short.columns.index(text)
@@ -401,15 +412,16 @@ def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL_PATH,
         p = _pieces(model.value)
         for whole in batches:
             for b in _slices(whole):
-                ids = _id_lists([p.encode(t or "") for t in b.column(at).cast(pa.string()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "token_ids"])
+                blobs = [p.encode(t or "") for t in b.column(at).cast(pa.string()).to_pylist()]
+                more = [pa.array([p.decode(np.frombuffer(x, "<i4")) for x in blobs], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(blobs), *more], [*b.schema.names, "token_ids", *([decoded] if decoded else [])])
 
-    out = short.mapInArrow(run, _schema(short, "token_ids array<int>"))
+    out = short.mapInArrow(run, _schema(short, "token_ids array<int>" + (f", `{decoded}` string" if decoded else "")))
     giants = keyed.where(size > giant)
     ids = giant_ids(giants.select(F.col(keys[0]).alias("u"), F.col(keys[1]).alias("v"), F.col(text).cast("string").alias("text")), model, chunk, fan)
     ids = ids.select(F.col("u").alias(keys[0]), F.col("v").alias(keys[1]), "token_ids")
     long = giants.join(ids, keys).select(*short.columns, "token_ids")
-    return out.unionByName(long)
+    return out.unionByName(decode(long, "token_ids", decoded, model_path) if decoded else long)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:

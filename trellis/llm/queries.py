@@ -95,8 +95,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and whether decoding them gives the text back."""
-    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = pieces.decode(ids)
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.size("token_ids").cast("bigint").alias("n_pieces"),
                       F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"),
