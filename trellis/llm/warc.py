@@ -11,7 +11,8 @@ piece to piece. The table is written as Parquet in the shared folder;
 
 Of rows with equal payloads of at least ``MIN_SHARED`` bytes, the smallest
 ``page_id`` is the response, the others are revisit records without payload
-that name it. Digests are shuffled for that, payloads never.
+that name it. Digests are shuffled for that; the revisits' row keys come back to the
+payloads by a broadcast while they are few (``common.small_side``), by a shuffle join beyond.
 
 ``read_records`` streams the chunk rows: records of one chunk are read where
 they are stored, longer ones are regrouped by record and sorted by chunk.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm.common import prepare, spread_lookup, with_row_key
+from trellis.llm.common import prepare, small_side, spread_lookup, with_row_key
 from trellis.session import cut_lineage, ensure_checkpoint_dir
 
 CHUNK = 1 << 18
@@ -88,7 +89,7 @@ def write_records(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     revisits = cut_lineage(spread_lookup(shared, many, ["sha"], "n", shared.count())
                            .where("NOT (page_id <=> first)").select(*keys, F.col("first").alias("refers_to")))
     src = (keyed.select(*keys, F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-           .join(revisits.withColumn("revisit", F.lit(True)), keys, "left")
+           .join(small_side(revisits.withColumn("revisit", F.lit(True))), keys, "left")
            .select(*keys, "page_id", "url", "body", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
