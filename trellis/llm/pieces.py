@@ -49,7 +49,7 @@ from trellis.session import cut_lineage
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, GIANT, FAN = 16_384, 65_536, 64
-MEMO_WORDS, MEMO_PAIRS = 100_000, 300_000
+MEMO_WORDS, MEMO_PAIRS = 300_000, 400_000
 MARK = "▁"
 #: Piece types of the model format (fixed values).
 NORMAL, BYTE = 1, 6
