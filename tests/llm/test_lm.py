@@ -84,3 +84,19 @@ def test_filter_has_no_misses_and_few_errors():
     other = rng.integers(0, 1 << 63, 60_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     assert (m.probe(other, other) > 0).mean() < 0.03 and m.error_rate < 0.03
     assert lm_score.level_count(lm_score.levels(np.array([1, 2, 3, 4, 7]))).tolist() == [1.0, 2.5, 2.5, 5.5, 5.5]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 16])
+def test_scores_do_not_depend_on_the_broadcast_bound(spark, monkeypatch, make_docs, most):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    rows += [(900_001, None), (900_002, ""), (None, "a b"), (900_003, "a b " * 400), (900_003, "a b " * 400)]
+    frames = [spark.read.parquet(f"{SF001}/documents.parquet"), make_docs(rows)]  # a file scan, and a frame that is none
+    def run():
+        return [sorted(lm_score.score(d).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens)) for d in frames]
+    want = run()
+    monkeypatch.setattr(lm_score, "MAX_BITS", most)
+    monkeypatch.setattr(lm_score, "GROUP", 20_000)  # many groups a task
+    for a, b in zip(want, run()):
+        assert len(a) == len(b) and [r[:5] for r in a] == [r[:5] for r in b]
+        assert [r.base_score for r in b] == pytest.approx([r.base_score for r in a], rel=1e-9)
+        assert [r.score for r in b] == pytest.approx([r.score for r in a], rel=1e-9)

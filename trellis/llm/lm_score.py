@@ -6,16 +6,18 @@ shard merges its own; a frequent n-gram is one entry per task and flush.
 
 Filter (Talbot and Osborne 2007). A count c is quantised to ``q = 1 + floor(log2 c)`` and the n-gram is
 stored ``q`` times, as (n-gram, 1) to (n-gram, q), in the Bloom filter of its shard. A reader probes
-(n-gram, 1), (n-gram, 2), ... until one is missing, and takes the middle of that level's counts. The
-shards' filters together have ``BITS`` bits an entry, at most ``MAX_BITS`` in all (the documented bound of
-the broadcast; past it the filter gets denser, and its error rate, which ``Model.error_rate``
-states, rises).
+(n-gram, 1), (n-gram, 2), ... until one is missing, and takes the middle of that level's counts. Each
+shard's filter has ``BITS`` bits for each of its real entries, at every corpus size, so its error rate stays.
+Filters of at most ``MAX_BITS`` bits in all are broadcast. Larger ones stay in their shards: texts are read
+in groups of about ``GROUP`` bytes, a group sends its distinct n-grams to the shards once, and the levels
+come back to the group's texts. Both ways give the same scores.
 
 Score. ``p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * (c(w) + 0.5) / (N + 0.5 (V + 1))``, all counts
 by probes; L is 0 where v was not seen.
 
 Base score. Exact unigram counts: words with at least ``N / HEAVY`` occurrences (so at most ``HEAVY`` of
 them) are broadcast; the others' counts are looked up in their shards, to which tasks send packed hashes.
+Where the filters stay in their shards, the exact counts come back with the levels.
 
 Defined cases: null text is empty (its end mark is its one token); a null ``doc_id`` is neither
 held out nor learned from; without training texts N = V = 0 and all base scores are 0; a
@@ -33,14 +35,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from trellis.llm.common import prepare
+from trellis.llm.common import prepare, with_row_key
 from trellis.session import cut_lineage
 
 SLICE = 1 << 21
 FLUSH = 1 << 21
+GROUP = 1 << 22
 BITS, HASHES, MAX_BITS = 10, 4, 1 << 31
 LEAST_SHARDS, SHARD_BYTES, MAX_LEVEL = 128, 1 << 24, 40
+SHARD_BITS = (1 << 32) - 8  # what ``positions`` can address; ``SHARD_BYTES`` of text have far fewer entries
 HEAVY = 1_000_000
 MIX_WEIGHT = 0.7
 
@@ -242,7 +247,7 @@ def build_filter(keys: np.ndarray, q: np.ndarray, bits_per_entry: float, most_bi
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _merger(bits_per_entry: float, most_bits: int):
+def _merger():
     """Rows sorted by (shard, kind), kind b before u: merged unigrams (u) and the shard's filter (f)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, {"b": [], "u": []}
@@ -250,7 +255,7 @@ def _merger(bits_per_entry: float, most_bits: int):
 
         def close() -> list[tuple]:
             (bh, bn), (uh, un) = (tally(np.concatenate([p[0] for p in parts[k]]), np.concatenate([p[1] for p in parts[k]])) if parts[k] else none for k in ("b", "u"))
-            f = build_filter(np.concatenate([bh, unigram_key(uh)]), levels(np.concatenate([bn, un])), bits_per_entry, most_bits)
+            f = build_filter(np.concatenate([bh, unigram_key(uh)]), levels(np.concatenate([bn, un])), BITS, SHARD_BITS)
             real = uh != BEGIN
             return [(now, "u", uh[real].tobytes(), un[real].astype("<i8").tobytes()), (now, "f", f, b"")]
 
@@ -291,52 +296,59 @@ class Model:
 
     def probe(self, shard_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Stored level of each key (0: none), by repeated membership probes."""
-        out = np.zeros(len(keys), np.int64)
-        if not len(self.data):
-            return out
         shard = (shard_of >> U(self.shift)).astype(np.int64)
-        alive = np.flatnonzero(self.bits[shard] > 0)
-        for level in range(1, MAX_LEVEL + 1):
-            k, begin, bits = keys[alive], self.begin[shard[alive]], self.bits[shard[alive]]
-            x = k + _level(level)
-            for _ in range(HASHES):
-                x = mix(x + _M1)
-                at = (begin + (((x >> U(32)) * bits) >> U(32))).astype(np.int64)
-                ok = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not ok.all():
-                    alive, x, begin, bits = alive[ok], x[ok], begin[ok], bits[ok]
-            if not len(alive):
-                break
-            out[alive] = level
-        return out
+        return probe_filter(self.data, self.begin[shard], self.bits[shard], keys)
 
     def log_probs(self, prev: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         b = bigrams(prev, tokens)
         words, back = np.unique(np.concatenate([tokens, prev]), return_inverse=True)
-        seen = level_count(self.probe(words, unigram_key(words)))[back]
-        c, cv = seen[:len(tokens)], seen[len(tokens):]
-        cb = level_count(self.probe(b, b))
-        uni = (c + 0.5) / (self.n + 0.5 * (self.v + 1))
-        weight = np.where(cv > 0, MIX_WEIGHT, 0.0)
-        return np.log10(np.minimum(1.0, weight * np.minimum(1.0, cb / np.maximum(cv, 1)) + (1 - weight) * np.minimum(1.0, uni)))
+        seen = self.probe(words, unigram_key(words))[back]
+        return interpolate(seen[:len(tokens)], seen[len(tokens):], self.probe(b, b), self.n, self.v)
+
+
+def probe_filter(data: np.ndarray, begin: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Stored level of each key in the filter of ``bits`` bits that starts at bit ``begin`` of ``data``."""
+    out = np.zeros(len(keys), np.int64)
+    if not len(data):
+        return out
+    alive = np.flatnonzero(bits > 0)
+    for level in range(1, MAX_LEVEL + 1):
+        x, start, size = keys[alive] + _level(level), begin[alive], bits[alive]
+        for _ in range(HASHES):
+            x = mix(x + _M1)
+            at = (start + (((x >> U(32)) * size) >> U(32))).astype(np.int64)
+            ok = (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if not ok.all():
+                alive, x, start, size = alive[ok], x[ok], start[ok], size[ok]
+        if not len(alive):
+            break
+        out[alive] = level
+    return out
+
+
+def interpolate(q: np.ndarray, qv: np.ndarray, qb: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Log probabilities from the levels of the words, of the words before and of the bigrams."""
+    c, cv, cb = level_count(q), level_count(qv), level_count(qb)
+    uni = (c + 0.5) / (n + 0.5 * (v + 1))
+    weight = np.where(cv > 0, MIX_WEIGHT, 0.0)
+    return np.log10(np.minimum(1.0, weight * np.minimum(1.0, cb / np.maximum(cv, 1)) + (1 - weight) * np.minimum(1.0, uni)))
 
 
 def is_training():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``docs (doc_id, text)``'s training rows, and the exact unigram counts by shard."""
+def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int]:
+    """The model of ``docs (doc_id, text)``'s training rows (None: too large to broadcast), the exact unigram
+    counts (u) and filters (f) by shard, the shards' shift, and the numbers of tokens and distinct tokens."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = LEAST_SHARDS
     while shards * SHARD_BYTES < size:
         shards *= 2
     shift = 64 - (shards - 1).bit_length()
-    entries = size / 5 + 1  # a word takes five bytes or more in most texts: an upper estimate of the n-grams
-    per_entry = min(BITS, MAX_BITS / (2 * entries))
     part = docs.where(is_training()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counter(shift), PACKED)
     merged = cut_lineage(part.repartition("shard").sortWithinPartitions("shard", "kind")
-                         .mapInArrow(_merger(per_entry, min((1 << 32) - 8, MAX_BITS // shards)), PACKED))
+                         .mapInArrow(_merger(), PACKED))
     unigrams = merged.where("kind = 'u'")
 
     def sizes(batches):
@@ -346,6 +358,9 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     n, v = unigrams.mapInArrow(sizes, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
     least = n // HEAVY + 1
+    bits = merged.where("kind = 'f'").agg(F.sum(8 * F.octet_length("hashes"))).first()[0] or 0
+    if bits > MAX_BITS:
+        return None, merged, shift, n, v
 
     def frequent(batches):
         for b in batches:
@@ -362,7 +377,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     lens = np.array([len(parts.get(s, b"")) for s in range(shards)], np.int64)
     model = Model(shift, n, v, np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8), (np.cumsum(lens) - lens).astype(U) * U(8),
                   lens.astype(U) * U(8), hh[order], hn[order], least)
-    return model, unigrams
+    return model, merged, shift, n, v
 
 
 _LOCAL = "kind string, key bigint, doc_id {id}, held_out boolean, n_tokens bigint, known bigint, base double, score double, at bigint, pid bigint, hashes binary, places binary"
@@ -427,13 +442,148 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["pid", "places", "sums", "known"])
 
 
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the words (and words before) and of the bigrams of a group's texts."""
+    held: tuple[list, list] = ([], [])
+    for tokens, prev, _ in token_streams(texts):
+        for parts, h in zip(held, (np.concatenate([tokens, prev]), bigrams(prev, tokens))):
+            parts.append(np.unique(h))
+            if sum(map(len, parts)) >= FLUSH:
+                parts[:] = [np.unique(np.concatenate(parts))]
+    return tuple(np.unique(np.concatenate([np.zeros(0, U), *parts])) for parts in held)
+
+
+_ASK = "key bigint, kind string, pid bigint, grp bigint, at bigint, doc_id {id}, held_out boolean, text binary, words binary, pairs binary"
+
+
+def _asker(shift: int, id_type: pa.DataType, group: int):
+    """Groups of texts (kind t), and per group and shard its distinct n-grams (kind q), packed."""
+    schema = pa.schema(list(zip([c.split()[0] for c in _ASK.split(", ")], [
+        pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.binary()])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, grp, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def send() -> pa.RecordBatch:
+            words, pairs = _distinct([t for *_, t in held])
+            asked: dict[int, list[bytes]] = {}
+            for i, h in enumerate((words, pairs)):
+                for s, lo, hi in _by_shard(h, shift):
+                    asked.setdefault(s, [b"", b""])[i] = h[lo:hi].tobytes()
+            spread = (pid * 31 + grp) % (1 << 64 - shift)  # texts pass the shards on their way, evenly dealt
+            rows = [(spread, "t", pid, grp, at, d, out, t, None, None) for at, (d, out, t) in enumerate(held)]
+            rows += [(s, "q", pid, grp, None, None, None, None, w, p) for s, (w, p) in asked.items()]
+            return _pack(rows, schema)
+
+        for b in batches:
+            for d, out, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                held.append((d, out, t.as_py()))
+                size += len(held[-1][2])
+                if size >= group or len(held) >= 1 << 14:
+                    yield send()
+                    grp, held, size = grp + 1, [], 0
+        if held:
+            yield send()
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, kind), counts (c) and filter (f) of a shard before requests (q): the words' levels
+    (words) and exact counts (text), and the bigrams' levels (pairs). Texts pass as they are."""
+    now, h, n, data = None, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for b in batches:
+        out = []
+        for row in zip(*[x.to_pylist() for x in b.columns]):
+            key, kind, pid, grp, at, doc_id, held, text, words, pairs = row
+            if key != now:
+                now, h, n, data = key, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            if kind == "c":
+                h, n = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<i8")
+            elif kind == "f":
+                data = np.frombuffer(words, np.uint8)
+            elif kind == "t":
+                out.append(row)
+            else:
+                w, p = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<u8")
+                q, qb = (probe_filter(data, np.zeros(len(x), U), np.full(len(x), 8 * len(data), U), x).astype(np.uint8) for x in (unigram_key(w), p))
+                i = np.searchsorted(h, w)
+                i[i == len(h)] = 0
+                counts = np.where(h[i] == w, n[i], 0) if len(h) else np.zeros(len(w), np.int64)
+                out.append((key, "a", pid, grp, None, None, None, counts.astype("<i8").tobytes(), q.tobytes(), qb.tobytes()))
+        yield _pack(out, b.schema)
+
+
+def _group_scores(n: int, v: int, id_type: pa.DataType):
+    """Rows sorted by (pid, grp, kind, key, at), a group's answers (a) before its texts (t): the texts' sums."""
+    kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            texts = [t for *_, t in held]
+            words, pairs = _distinct(texts)  # in the order of the shards, as the answers are
+            q, qb = (np.frombuffer(b"".join(a[i] for a in answers), np.uint8).astype(np.int64) for i in (0, 1))
+            exact = np.frombuffer(b"".join(a[2] for a in answers), "<i8")
+            k = len(held)
+            tokens_n, known, base, score = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
+            for tokens, prev, doc in token_streams(texts):
+                i = np.searchsorted(words, tokens)
+                lp = interpolate(q[i], q[np.searchsorted(words, prev)], qb[np.searchsorted(pairs, bigrams(prev, tokens))], n, v)
+                tokens_n += np.bincount(doc, minlength=k)
+                score += np.bincount(doc, lp, minlength=k)
+                base += np.bincount(doc, np.log10(exact[i] + 0.5), minlength=k)
+                known += np.bincount(doc[exact[i] > 0], minlength=k)
+            cols = ([d for d, *_ in held], [o for _, o, _ in held], tokens_n, known, base, score)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+        for b in batches:
+            for key, kind, pid, grp, at, doc_id, out, text, words, pairs in zip(*[c.to_pylist() for c in b.columns]):
+                if (pid, grp) != now:
+                    if held:
+                        yield close()
+                    now, answers, held = (pid, grp), [], []
+                if kind == "a":
+                    answers.append((words, pairs, text))
+                else:
+                    held.append((doc_id, out, text))
+        if held:
+            yield close()
+    return run
+
+
+def _score_in_shards(src: DataFrame, merged: DataFrame, shift: int, n: int, v: int) -> DataFrame:
+    """Sums per row where the filters stay in their shards; one flow through the shards and back to the groups."""
+    fixed, _ = with_row_key(src)  # a file scan, or checkpointed: groups are named by task and place
+    rows = fixed.select("doc_id", F.coalesce(~is_training(), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    arrow_id = to_arrow_type(src.schema["doc_id"].dataType)
+    ask = _ASK.format(id=id_type)
+    names = [c.split()[0] for c in _ASK.split(", ")]
+    asked = rows.mapInArrow(_asker(shift, arrow_id, GROUP), ask)
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema.fields}
+    sides = merged.select(F.col("shard").cast("bigint").alias("key"), F.when(F.col("kind") == "u", "c").otherwise("f").alias("kind"),
+                          *[none[c] for c in names[2:8]], F.col("hashes").alias("words"), F.col("counts").alias("pairs"))
+    back = sides.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_answers, ask)
+    return (back.repartition("pid", "grp").sortWithinPartitions("pid", "grp", "kind", "key", "at")
+            .mapInArrow(_group_scores(n, v, arrow_id), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double"))
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model, unigrams = train(src)
-    shared = spark.sparkContext.broadcast(model)
+    model, merged, shift, n, v = train(src)
+    joined = _score_in_shards(src, merged, shift, n, v) if model is None else _score_by_broadcast(src, model, merged.where("kind = 'u'"))
+    fixed = float(np.log10(n + 0.5 * (v + 1)))
+    return joined.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
+                         (F.col("base") - F.col("n_tokens") * F.lit(fixed)).alias("base_score"), "score")
+
+
+def _score_by_broadcast(src: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
+    """Sums per row with the filters broadcast; the base score's light words go to their shards."""
+    shared = src.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(~is_training(), F.lit(False))
     local = cut_lineage(src.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
                         .mapInArrow(_local(shared, model.shift), _LOCAL.format(id=src.schema["doc_id"].dataType.simpleString())))
@@ -443,10 +593,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sums = (counts.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind")
             .mapInArrow(_lookup, "pid bigint, places binary, sums binary, known binary"))
     docs_ = local.where("kind = 'd'").select("pid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "at")
-    joined = _merge(docs_, sums)
-    fixed = float(np.log10(model.n + 0.5 * (model.v + 1)))
-    return joined.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n).cast("bigint").alias("train_tokens"),
-                         (F.col("base") - F.col("n_tokens") * F.lit(fixed)).alias("base_score"), "score")
+    return _merge(docs_, sums)
 
 
 def _merge(rows: DataFrame, sums: DataFrame) -> DataFrame:
