@@ -58,3 +58,25 @@ def test_importance_values(spark):
     got = sorted((r.m, round(r.importance, 6)) for r in html_text.importances(df).collect())
     # leaf and parent of the same text: content 0, one style; of own texts: content 1
     assert [m for m, _ in got] == [10] * 4 and [v for _, v in got][:2] == [0.0, 0.0] and min(v for _, v in got[2:]) > 0.6
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(pages)], "page_id bigint, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
+
+
+def test_shared_headings_of_articles_stay(spark):
+    recipe = "<h2>Ingredients</h2><table><tr><th>Amount<td>{0} grams of item {0}</table><ul><li>salt<li>item {0}</ul><h2>Method</h2><p>cook item {0} for long</p>"
+    for shell in ("<article>{}</article>", "<div class=story>{}</div>"):
+        got = extracted(spark, [SHELL.format("<div class=box><p>Same words on each page</p></div>" + shell.format(recipe.format(i))) for i in range(12)])
+        assert got == {i: f"Ingredients\nAmount\n{i} grams of item {i}\nsalt\nitem {i}\nMethod\ncook item {i} for long" for i in range(12)}
+
+
+def test_one_article_under_many_urls_stays(spark):
+    text = "<p>The first paragraph of the one article</p><p>The second paragraph of the one article</p>"
+    want = "The first paragraph of the one article\nThe second paragraph of the one article"
+    for shell in ("<article>{}</article>", "<div class=story>{}</div>"):
+        got = extracted(spark, [SHELL.format(f"<script>var id = {i}</script><nav><a>menu {i}</a></nav><div class='ad'>buy {i}</div>" + shell.format(text)) for i in range(12)])
+        assert got == dict.fromkeys(range(12), want)
+    got = extracted(spark, [SHELL.format(f"<div class=story>{text}</div><div class=x1><p>buy {i}</p></div>") for i in range(12)])  # an unmarked advert
+    assert all(t.startswith(want) for t in got.values())

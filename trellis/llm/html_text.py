@@ -15,7 +15,12 @@ pages is template and is removed from every page of the host. Nodes of hosts wit
 on the presentation prior alone: elements and class names that HTML and custom
 reserve for navigation, adverts, forms and comments (``NOT_TEXT``, ``NOISE``) have
 importance 0, and where a page marks its ``<article>`` or ``<main>``, text outside it has too.
-Importance belongs to nodes, so a paragraph that many articles share stays.
+Importance belongs to nodes, so a paragraph that many articles share stays. Nothing is removed inside a marked
+``<article>`` or ``<main>``, and headings and the parts of tables and lists (``PART``) go only with a branch
+above them, so a heading that all articles of a host share stays.
+
+Pages are distinct by their content: those whose longest blocks, outside what the prior drops, agree and hold
+``BULK`` of that text are one page, whatever their scripts, menus or adverts.
 
 Counting is two groupings on (host, node, feature); a host with a third of all pages is combined
 before the shuffle. Only low nodes are kept, and joined back by host.
@@ -40,6 +45,7 @@ from trellis.llm.common import prepare, small_side
 from trellis.session import cut_lineage
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.25, 8
+BULK = 0.8
 
 #: Elements by the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +55,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never part of an article.
 NOT_TEXT = frozenset("head nav footer aside form menu dialog button select option label fieldset header".split())
+#: Elements that are removed with a branch above them only.
+PART = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption thead tbody tfoot tr th td li dt dd".split())
 #: A word of a class or id that marks such a branch.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav\w*|menu|breadcrumbs?|footer|header|masthead|cookies?|consent"
@@ -81,7 +89,8 @@ def _path(parent: int, label: str) -> int:
 class Page:
     """Blocks and styles of one page in one pass over its tokens.
 
-    ``blocks``: ``(text, node path, ancestors' paths, dropped by the prior, inside article or main)``.
+    ``blocks``: ``(text, node path, ancestors' paths, dropped by the prior, inside article or main)``; the
+    paths without styles are those of nodes that may be removed by themselves.
     ``styles``: ``(node path, ancestors' paths, children)`` of every closed node.
     """
 
@@ -174,7 +183,8 @@ class Page:
             s = _SPACE.sub(" ", unescape(s)).strip(" ")
             if s:
                 top = self.stack[-1]
-                self.blocks.append((s, top.path, tuple(n.path for n in self.stack[1:]), top.low, top.main))
+                above = tuple(n.path for n in self.stack[1:] if self.want_styles or n.tag not in PART)
+                self.blocks.append((s, top.path, above, top.low, top.main))
 
 
 def main_text(html: str | None, low: set[int] = frozenset()) -> str:
@@ -182,7 +192,20 @@ def main_text(html: str | None, low: set[int] = frozenset()) -> str:
     blocks = Page(html or "", want_styles=False).blocks
     inside = any(main for *_, main in blocks)
     return "\n".join(s for s, _, path, dropped, main in blocks
-                     if not dropped and (main or not inside) and not (low and any(p in low for p in path)))
+                     if not dropped and (main or not inside and not (low and any(p in low for p in path))))
+
+
+def content_key(p: Page) -> int:
+    """What makes a page distinct on its host: its longest blocks up to ``BULK`` of the text that the prior keeps."""
+    inside = any(main for *_, main in p.blocks)
+    texts = sorted((s for s, _, _, dropped, main in p.blocks if not dropped and (main or not inside)), key=lambda s: (-len(s), s))
+    left, bulk = BULK * sum(map(len, texts)), []
+    for s in texts:
+        if left <= 0:
+            break
+        bulk.append(s)
+        left -= len(s)
+    return _hash("\n".join(sorted(bulk)))
 
 
 def host_of(url: str = "url"):
@@ -199,8 +222,9 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             out = []
-            for host, h, html in zip(*[c.to_pylist() for c in b.slice(lo, 256).columns]):
+            for host, html in zip(*[c.to_pylist() for c in b.slice(lo, 256).columns]):
                 p = Page(html)
+                h = content_key(p)
                 seen = {(host, h, 0, path, _hash(kids), above) for path, above, kids in p.styles}
                 out.extend(seen | {(host, h, 1, path, _hash(text), above) for text, path, above, _, _ in p.blocks})
             cols = list(zip(*out)) or [[]] * 6
@@ -210,7 +234,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def importances(pages: DataFrame) -> DataFrame:
     """Style tree of every host of ``(host, html)``: ``host``, ``node``, ``m`` (distinct pages), ``importance``."""
-    src = pages.where("html IS NOT NULL").select("host", F.xxhash64("html", F.length("html")).alias("h"), "html")
+    src = pages.where("html IS NOT NULL").select("host", "html")
     rows = src.mapInArrow(_tree_rows, "host string, h bigint, kind int, node bigint, feature bigint, above array<bigint>")
     once = cut_lineage(rows.groupBy("host", "h", "kind", "node", "feature").agg(F.any_value("above").alias("above")))
     seen = once.groupBy("host", "node").agg(F.countDistinct("h").alias("m"))
