@@ -80,3 +80,18 @@ def test_one_article_under_many_urls_stays(spark):
         assert got == dict.fromkeys(range(12), want)
     got = extracted(spark, [SHELL.format(f"<div class=story>{text}</div><div class=x1><p>buy {i}</p></div>") for i in range(12)])  # an unmarked advert
     assert all(t.startswith(want) for t in got.values())
+
+
+def test_class_names_of_wrappers():
+    for names in ("class='content-sidebar-wrap'", "class='has-sidebar'", "class=no-sidebar", "class='with-side-nav'", "class='page header-fixed'",
+                  "id='search-engine-history'", "class='has-comments'"):
+        for inner in ("<article><h1>A</h1><p>the text</p></article>", "<main><h1>A</h1><p>the text</p></main>", "<div><h1>A</h1><p>the text</p></div>"):
+            page = f"<div {names}>{inner}<div class=sidebar>s</div><aside>t</aside></div>"
+            assert main_text(SHELL.format(page)) == "A\nthe text", (names, inner)
+            assert main_text(f"<html {names}><body>{inner}</body></html>") == "A\nthe text"
+    assert main_text(SHELL.format("<main><h1>A</h1><div class='has-sidebar'><p>the text of it</p></div></main>")) == "A\nthe text of it"
+    assert main_text(SHELL.format("<main><div class=sidebar>links</div></main><p>the text outside</p>")) == "the text outside"
+    assert main_text(SHELL.format("<p>the text</p><nav><article>menu</article></nav>")) == "the text"
+    # articles among comments and related links are not the page's
+    assert main_text(SHELL.format("<article>own text</article><div id=comments><article>a comment, longer than the text</article></div>")) == "own text"
+    assert main_text(SHELL.format("<article>own text<div id=comments><article>a comment, longer than the text</article></div></article>")) == "own text"

@@ -14,7 +14,9 @@ A branch whose node has composite importance under ``LEAST`` on at least ``MIN_P
 pages is template and is removed from every page of the host. Nodes of hosts with fewer pages rely
 on the presentation prior alone: elements and class names that HTML and custom
 reserve for navigation, adverts, forms and comments (``NOT_TEXT``, ``NOISE``) have
-importance 0, and where a page marks its ``<article>`` or ``<main>``, text outside it has too.
+importance 0, and where a page marks its ``<article>`` or ``<main>``, text outside it has too. A class name is
+a weak sign: an article inside a so named branch stays, and a branch with most of the page's text is no noise
+(``Page.settle``).
 Importance belongs to nodes, so a paragraph that many articles share stays. Nothing is removed inside a marked
 ``<article>`` or ``<main>``, and headings and the parts of tables and lists (``PART``) go only with a branch
 above them, so a heading that all articles of a host share stays.
@@ -57,11 +59,13 @@ BLOCK = frozenset(
 NOT_TEXT = frozenset("head nav footer aside form menu dialog button select option label fieldset header".split())
 #: Elements that are removed with a branch above them only.
 PART = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption thead tbody tfoot tr th td li dt dd".split())
-#: A word of a class or id that marks such a branch.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav\w*|menu|breadcrumbs?|footer|header|masthead|cookies?|consent"
-    r"|notice|popup|modal|overlay|share|sharing|social|related|newsletter|subscribe|signup|login|search|comments?|replies|discuss\w*|disqus|toolbar|pagination)"
-    r"(?:$|[\s_-])", re.I)
+#: A word of a class or id that marks such a branch: by its place on the page, which wrappers name too, or by its matter.
+PLACE = r"banner|sidebar|side|nav\w*|menu|breadcrumbs?|footer|header|masthead|search|toolbar|pagination"
+MATTER = (r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|share|sharing|social|related|newsletter|subscribe"
+          r"|signup|login|comments?|replies|discuss\w*|disqus")
+NOISE, OF_MATTER = (re.compile(rf"(?:^|[\s_-])(?:{w})(?:$|[\s_-])", re.I) for w in (f"{PLACE}|{MATTER}", MATTER))
+#: Share of a page's text from which a branch of either kind is no noise.
+MOST_PLACE, MOST_MATTER = 0.5, 0.9
 _CLOSES_P = BLOCK - {"body", "html", "head"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -73,12 +77,15 @@ _END_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    """An open block element: its path, whether the prior drops it, whether it is article."""
+    """An open block element: its path, whether the elements above drop it, whether it is article.
 
-    __slots__ = ("tag", "path", "low", "main", "kids")
+    ``noise``: the branches by class name around it, ``(number, by matter)``; ``inner``: those inside its article.
+    """
+
+    __slots__ = ("tag", "path", "low", "main", "noise", "inner", "kids")
 
-    def __init__(self, tag: str, path: int, low: bool, main: bool):
-        self.tag, self.path, self.low, self.main = tag, path, low, main
+    def __init__(self, tag: str, path: int, low: bool, main: bool, noise: tuple = (), inner: tuple = ()):
+        self.tag, self.path, self.low, self.main, self.noise, self.inner = tag, path, low, main, noise, inner
         self.kids: list[str] = []
 
 
@@ -99,7 +106,8 @@ class Page:
         self.styles: list[tuple[int, tuple[int, ...], str]] = []
         self.stack = [Node("", 0, False, False)]
         self.text: list[str] = []
-        self.hidden = 0
+        self.branches = 0
+        self.noise: list[tuple[tuple, tuple]] = []  # of each block
         self.want_styles = want_styles
         at, end = 0, len(html)
         paths: dict[tuple[int, str], int] = {}
@@ -132,6 +140,36 @@ class Page:
         while len(self.stack) > 1:
             self.pop()
         self.flush()
+        if self.branches:
+            self.settle()
+
+    def settle(self) -> None:
+        """Which blocks the class names drop, known at the page's end.
+
+        A branch by place with over ``MOST_PLACE`` of the text that elements keep is a wrapper, no noise. If
+        article text outside all branches by matter is left (branches by place count inside the article
+        only), that is the article; else article text in any branch; else a branch by
+        matter is noise up to ``MOST_MATTER`` of the text.
+        """
+        size: dict[tuple, int] = {}
+        total = 0
+        for (s, _, _, low, _), (noise, _) in zip(self.blocks, self.noise):
+            if not low:
+                total += len(s)
+                for b in noise:
+                    size[b] = size.get(b, 0) + len(s)
+        wrap = {b for b, n in size.items() if not b[1] and n > MOST_PLACE * total}
+        most = wrap | {b for b, n in size.items() if b[1] and n > MOST_MATTER * total}
+
+        def clear(branches: tuple, spared: set) -> bool:
+            return all(b in spared for b in branches)
+        marked = [main and not low and clear(inner, wrap) for (*_, low, main), (_, inner) in zip(self.blocks, self.noise)]
+        first = [m and not any(b[1] for b in noise) for m, (noise, _) in zip(marked, self.noise)]
+        if any(first) or any(marked):
+            kept = first if any(first) else marked
+        else:
+            kept = [not low and clear(noise, most) for (*_, low, _), (noise, _) in zip(self.blocks, self.noise)]
+        self.blocks = [(s, node, above, not k, main and k) for (s, node, above, _, main), k in zip(self.blocks, kept)]
 
     def open(self, tag: str, attrs: str, paths: dict) -> None:
         if tag in _CLOSES_P:
@@ -152,9 +190,14 @@ class Page:
             path = paths[key] = _path(*key)
         names = " ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(attrs)) if attrs else ""
         own = tag in ("article", "main")
-        low = top.low or (tag in NOT_TEXT and not (tag == "header" and top.main)) or bool(names and not own and tag != "body" and NOISE.search(names))
+        low = top.low or (tag in NOT_TEXT and not (tag == "header" and top.main))
+        noise, inner = top.noise, () if own else top.inner
+        if names and not low and not own and tag not in ("body", "html") and NOISE.search(names):
+            branch = ((self.branches, bool(OF_MATTER.search(names))),)
+            self.branches += 1
+            noise, inner = noise + branch, inner + branch
         top.kids.append(label)
-        self.stack.append(Node(tag, path, low, top.main or (own and not low)))
+        self.stack.append(Node(tag, path, low, top.main or (own and not low), noise, inner))
 
     def end_within(self, tag: str, scope: frozenset) -> None:
         """Close the nearest open ``tag`` unless an element of ``scope`` is nearer."""
@@ -184,7 +227,8 @@ class Page:
             if s:
                 top = self.stack[-1]
                 above = tuple(n.path for n in self.stack[1:] if self.want_styles or n.tag not in PART)
-                self.blocks.append((s, top.path, above, top.low, top.main))
+                self.blocks.append((s, top.path, above, top.low, top.main and not top.low))
+                self.noise.append((top.noise, top.inner))
 
 
 def main_text(html: str | None, low: set[int] = frozenset()) -> str:
