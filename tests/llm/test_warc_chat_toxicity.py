@@ -158,3 +158,15 @@ def test_toxicity_cases(spark, make_docs):
     assert {r.score for r in none} == {0.0}
     assert toxicity.score(make_docs(rows).limit(0), labels).count() == 0
     assert re.fullmatch("[01]", str(by[1].predicted))
+
+
+def test_terms_of_small_languages_and_short_terms(spark, make_docs):
+    # 20 of 2000 toxic texts are in another language; one of its terms has two characters
+    rows = [(i, f"you nasty fool w{i} of the day") for i in range(2000)] + [(5000 + i, f"ty debil 바보 s{i}") for i in range(20)]
+    rows += [(10_000 + i, f"good day w{i} of the you") for i in range(2000)] + [(15_000 + i, f"ty dobry s{i}") for i in range(20)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 10_000)) for r in rows], "doc_id bigint, toxic int")
+    more = [(20_000, "ty debil q"), (20_001, "ty 바보 q"), (20_002, "ty dobry q")]
+    model = toxicity.learn(make_docs(rows), labels)
+    assert {"nasty", "fool", "debil", "바보"} <= set(model["words"]) and "ty" not in model["words"]
+    by = {r.doc_id: r for r in toxicity.score(make_docs(rows + more), labels).collect()}
+    assert by[20_000].abuse > 0 and by[20_001].abuse > 0 and by[20_002].abuse == 0

@@ -1,11 +1,13 @@
 """Toxicity scores: a lexicon trie intersected with Levenshtein automata, and context windows.
 
 1. Lexicon. Over all labelled training rows (one count per distinct text), words are counted in toxic
-   and clean texts. A word joins the lexicon if it is in at least ``MIN_SHARE`` of the toxic texts
-   (and in ``MIN_TEXTS``) and its share of them is ``ODDS`` times its share of the clean ones. A
+   and clean texts. A word of any length joins the lexicon if it is in ``MIN_TEXTS`` toxic texts, its
+   share of them is ``ODDS`` times its share of the clean ones, and its own counts are significant:
+   by Chernoff's bound, less than one word of all those tested would get such counts by chance. So
+   the size of a language or of the table does not matter. A
    prefix common to ``STEM_WORDS`` such words with odds of ``STEM_ODDS`` becomes a stem, which
-   matches any ending. A share bounds the size of the lexicon: its words are at most the mean
-   number of words of a text divided by ``MIN_SHARE``.
+   matches any ending. The lexicon holds the ``MAX_TERMS`` most significant words, far more than any
+   list of abusive words.
 2. Matching. The trie of the lexicon and the Levenshtein automaton of distance 1 (terms of at least
    ``MIN_FUZZY`` characters) run as one automaton: a state is the set of (trie node, edits) pairs, made
    deterministic as words ask for it. Misspelt forms that clean training texts use are ordinary words
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from trellis.llm.common import prepare, small_side
 from trellis.session import cut_lineage
 
-MIN_TEXTS, MIN_SHARE, ODDS, STEM_ODDS = 3, 0.015, 25.0, 100.0
+MIN_TEXTS, ODDS, STEM_ODDS = 3, 25.0, 100.0
+MAX_TERMS = 50_000
 STEM_WORDS, STEM_LEN = 3, 4
 MIN_FUZZY, CROWD, WINDOW = 5, 3, 8
 FUZZY, NEIGHBOUR, QUOTED = 0.8, 0.25, 0.2
@@ -212,9 +215,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         return {"words": [], "stems": [], "ordinary": [], "rigid": [], "curve": None}
     counts = cut_lineage(texts.mapInArrow(_word_counts, "word string, toxic bigint, clean bigint")
                          .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_toxic))
     odd = (F.col("toxic") / F.lit(float(n_toxic))) >= F.lit(ODDS) * (F.col("clean") / F.lit(float(n_clean)))
-    words = sorted(r.word for r in counts.where((F.length("word") >= STEM_LEN) & (F.col("toxic") >= least) & odd).select("word").collect())
+    often = counts.where(F.col("toxic") >= MIN_TEXTS)
+    tested = often.count()
+    # log of Chernoff's bound on the chance of so many toxic texts among the word's texts
+    n, share = F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
+    sure = (F.col("toxic") * F.log(F.col("toxic") / n / F.lit(share))
+            + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / F.lit(1 - share))).otherwise(0.0))
+    words = sorted(r.word for r in often.where(odd).select("word", sure.alias("sure")).where(F.col("sure") > math.log(max(tested, 1)))
+                   .orderBy(F.desc("sure"), "word").limit(MAX_TERMS).collect())
     # prefixes of lexicon words, with the counts of all words that start with them
     shared = Counter(w[:n] for w in words for n in range(STEM_LEN, len(w) + 1))
     tries = sorted(p for p, n in shared.items() if n >= STEM_WORDS)
