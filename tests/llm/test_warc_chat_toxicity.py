@@ -170,3 +170,12 @@ def test_terms_of_small_languages_and_short_terms(spark, make_docs):
     assert {"nasty", "fool", "debil", "바보"} <= set(model["words"]) and "ty" not in model["words"]
     by = {r.doc_id: r for r in toxicity.score(make_docs(rows + more), labels).collect()}
     assert by[20_000].abuse > 0 and by[20_001].abuse > 0 and by[20_002].abuse == 0
+
+
+def test_misspelt_terms_stay_found_among_ordinary_neighbours(spark, make_docs):
+    near = ["fooly", "foolz", "fooli", "foold"]  # clean words within one edit of the term
+    rows = [(i, f"you foolo w{i}") for i in range(200)] + [(1000 + i, f"good {near[i % 4]} day w{i}") for i in range(200)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows], "doc_id bigint, toxic int")
+    more = [(2000, "a f0olo"), (2001, "a fooly"), (2002, "a foolo")]
+    by = {r.doc_id: r for r in toxicity.score(make_docs(rows + more), labels).collect()}
+    assert by[2000].abuse == toxicity.FUZZY and by[2001].abuse == 0 and by[2002].abuse == 1

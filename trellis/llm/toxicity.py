@@ -10,8 +10,8 @@
    list of abusive words.
 2. Matching. The trie of the lexicon and the Levenshtein automaton of distance 1 (terms of at least
    ``MIN_FUZZY`` characters) run as one automaton: a state is the set of (trie node, edits) pairs, made
-   deterministic as words ask for it. Misspelt forms that clean training texts use are ordinary words
-   and don't count; a term with ``CROWD`` such words around it must be spelt as it is.
+   deterministic as words ask for it. Misspelt forms that clean training texts use, measured by their
+   shares of the clean and the toxic texts, are ordinary words and don't count.
 3. Context. Each hit has a window of ``WINDOW`` words on both sides. Other hits in the window raise
    it; a hit inside a quotation within its window (someone else's words) counts ``QUOTED``.
 4. Calibration. A logistic curve over log(1 + sum of the hits), fitted on the histogram of the
@@ -42,7 +42,7 @@ from trellis.session import cut_lineage
 MIN_TEXTS, ODDS, STEM_ODDS = 3, 25.0, 100.0
 MAX_TERMS = 50_000
 STEM_WORDS, STEM_LEN = 3, 4
-MIN_FUZZY, CROWD, WINDOW = 5, 3, 8
+MIN_FUZZY, WINDOW = 5, 8
 FUZZY, NEIGHBOUR, QUOTED = 0.8, 0.25, 0.2
 BINS, BIN = 400, 0.2
 MEMO_WORDS = 500_000
@@ -212,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     n_toxic, n_clean = alone.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n_toxic, n_clean = n_toxic or 0, n_clean or 0
     if not n_toxic or not n_clean:
-        return {"words": [], "stems": [], "ordinary": [], "rigid": [], "curve": None}
+        return {"words": [], "stems": [], "ordinary": [], "curve": None}
     counts = cut_lineage(texts.mapInArrow(_word_counts, "word string, toxic bigint, clean bigint")
                          .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     odd = (F.col("toxic") / F.lit(float(n_toxic))) >= F.lit(ODDS) * (F.col("clean") / F.lit(float(n_clean)))
@@ -246,20 +246,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
             yield pa.RecordBatch.from_pydict({"word": pa.array(keep, pa.string())})
     usual = F.lit(ODDS) * (F.col("clean") / F.lit(float(n_clean))) > F.col("toxic") / F.lit(float(n_toxic))
     ordinary = sorted(r.word for r in counts.where((F.col("clean") > 0) & usual).select("word").mapInArrow(close, "word string").collect())
-    rigid = [t for t in words + stems if crowded(t, t in stems, ordinary)]
-    model = {"words": words, "stems": stems, "ordinary": ordinary, "rigid": rigid, "curve": None}
+    model = {"words": words, "stems": stems, "ordinary": ordinary, "curve": None}
     sums = _sums(train.select("text", "toxic"), model, ["toxic"])
     bins = sums.groupBy("toxic", F.least(F.round(F.col("abuse") / BIN), F.lit(BINS)).cast("int").alias("bin")).count().collect()
     model["curve"] = fit([(r["bin"] * BIN, r["toxic"], r["count"]) for r in bins])
     return model
 
 
-def crowded(term: str, stem: bool, ordinary: list[str]) -> bool:
-    """Whether ordinary words lie so close around a term that a misspelling of it can't be told from them."""
-    m = Automaton([] if stem else [term], [term] if stem else [])
-    return sum(m.match(w) > 0 for w in ordinary) >= CROWD
-
-
 def fit(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Ridge logistic curve over log(1 + sum) by Newton steps; balanced classes."""
     x = np.log1p(np.array([r[0] for r in rows]))
@@ -282,10 +275,10 @@ _MADE: dict[int, Matcher] = {}
 
 
 def _matcher(model: dict) -> Matcher:
-    parts = [model[k] for k in ("words", "stems", "ordinary", "rigid")]
+    parts = [model[k] for k in ("words", "stems", "ordinary")]
     key = xxhash.xxh64_intdigest("\1".join("\0".join(p) for p in parts).encode())
     if key not in _MADE:
-        _MADE[key] = Matcher(Automaton(*parts[:2], set(parts[2]), set(parts[3])))
+        _MADE[key] = Matcher(Automaton(*parts[:2], set(parts[2])))
     return _MADE[key]
 
 
