@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, html_text, lm_score, mixing, pieces, quality, simhash, toxicity, warc
+from trellis.llm import alignment, chat, exact_dedup, html_text, lm_score, mixing, pieces, quality, simhash, top_k, toxicity, vector_codes, warc
 from trellis.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of both tokenizers in every document."""
+    out = alignment.align(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op12_top_k", f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all other vectors for every vector whose id is divisible by 20."""
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _codes_sql(rounds: int) -> str:
+    """Every round of the codebooks as two steps: assignment, then floors of the means."""
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT r, part, v, n % 16 AS entry, n // 16 AS dist FROM (
+    SELECT p.r, p.part, any_value(p.v) AS v,
+           min(16 * list_sum(list_transform(list_zip(p.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT + b.entry) AS n
+    FROM p JOIN b{i} b USING (part) GROUP BY p.r, p.part)),"""
+    replaced = """
+b{j} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (
+    SELECT part, entry, list(floored ORDER BY pos) AS c FROM (
+      SELECT part, entry, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floored
+      FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS pos FROM a{i}) GROUP BY part, entry, pos)
+    GROUP BY part, entry) m USING (part, entry)),"""
+    steps = "".join((nearest + replaced).format(i=i, j=i + 1) for i in range(rounds)) + nearest.format(i=rounds)
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT r, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS v FROM e, range(8) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS c FROM p WHERE r <= 16),{steps}
+k AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN e USING (r), k"""
+
+
+@query("op13_vector_codes", _codes_sql(vector_codes.ROUNDS))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector, with the digest of the codebooks."""
+    out, book = vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+    digest = vector_codes.book_digest(book, vector_codes.part_bounds(book.shape[1], vector_codes.PARTS))
+    return out.select("vec_id", "code", "error", F.col("group_error").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
