@@ -268,7 +268,7 @@ def build_index(docs: DataFrame, ids: list[str], text: str = "text", a_path: str
     held = [f"__id{i}" for i in range(len(ids))]
     src = docs.select(*[F.col(c).alias(h) for c, h in zip(ids, held)], F.col(text).cast("string").cast("binary").alias("__text"))
     from pyspark.sql.pandas.types import to_arrow_type
-    types = [to_arrow_type(f.dataType, timezone="UTC") for f in src.schema.fields[:-1]]
+    types = [to_arrow_type(f.dataType) for f in src.schema.fields[:-1]]
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
     both = cut_lineage(src.mapInArrow(_index(files, types, held), kept + ROW))
     about = both.where("NOT posting").select("block", "doc", *held, *DOC, "groups_sha256")
@@ -298,5 +298,6 @@ def align(docs: DataFrame, ids: list[str], text: str = "text", a_path: str = A_P
     pairs = pair_counts(postings).drop("docs")
     scored = postings.drop("first").join(pairs, ["a", "b"]).drop("a", "b")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in about.schema.fields if f.name not in ("block", "doc"))
+    about = about.select(*[F.col(c).alias(c) for c in about.columns])  # both sides are of one frame: columns of its own
     out = scored.groupBy("block").cogroup(about.groupBy("block")).applyInArrow(_scores, f"{kinds}, count_sum bigint, n_best bigint")
     return out.withColumnsRenamed({f"__id{i}": c for i, c in enumerate(ids)})
