@@ -68,3 +68,59 @@ def test_package_and_methods(spark):
 def test_no_package(spark):
     r = meta(spark, "class A {}\n")
     assert r.declared_package is None and r.public_methods == []
+
+
+def _type(rnd, depth):
+    """A random type as Java source with odd spacing and annotations, and as it is shown."""
+    name = rnd.choice(["A", "List", "java.util.Map", "Outer$1", "_x"])
+    note = rnd.choice(["", "", "@N ", "@a.b.C(x = {1, (2)}, y = @D(z = \"\")) "])
+    if depth and rnd.random() < 0.8:
+        args = [_type(rnd, depth - 1 if k == 0 else 0) for k in range(rnd.randrange(1, 13))]
+        wild = [rnd.choice(["", "", "? extends ", "? super "]) for _ in args]
+        gap = rnd.choice(["", " ", "\n\t"])
+        name, shown = (f"{name}{gap}<{gap}" + f"{gap},{gap}".join(w + a for w, (a, _) in zip(wild, args)) + f"{gap}>",
+                       f"{name}<" + ", ".join(w + b for w, (_, b) in zip(wild, args)) + ">")
+    else:
+        shown = name
+    array = rnd.choice(["", "", "[]", "[][]"])
+    return note + name + array, shown + array
+
+
+def test_signatures_of_any_depth_and_width():
+    """Generated methods: the signature is known by construction."""
+    import random
+    rnd = random.Random(11)
+    for n in range(300):
+        params, shown = [], []
+        for i in range(rnd.randrange(0, 5)):
+            source, text = _type(rnd, n % 8 + 1 if i == 0 else 1)
+            tail, extra = rnd.choice([(f" p{i}", ""), (f" p{i}", ""), (f" p{i}[]", "[]"), (f"... p{i}", "...")])
+            params.append(rnd.choice(["", "final ", "@Q final ", "@Q(1) "]) + source + tail)
+            shown.append(text + extra)
+        head = rnd.choice(["", " static", " final synchronized", " @Override @S({1})", " <T extends A<? super T> & B>", " abstract <K, V>"])
+        result = rnd.choice(["void", "int[]", "Map<K, List<V[]>>", "a.b.C<?>.D"])
+        name = rnd.choice(["get", "set", "run", "record", "publicly", "$f"])
+        got = java_meta.signature(f"{head} {result} {name} (" + ", ".join(params) + ") throws X { int y = 1")
+        left_out = name == "get" and not params or name == "set" and len(params) == 1 and result == "void"
+        assert got == (None if left_out else f"{name}({', '.join(shown)})")
+
+
+def test_heads_and_what_is_no_method(spark):
+    src = """public class A<T> extends B<C<T>> implements D { public A(Map<String, int[]> m) { this.x = f(m); }
+      static public final Map<String, Function<A, B>> TABLE = make(1); public int a = g(2), b = h(3);
+      public record P(int a, List<int[]> b) { public P { check(a); } public int record(P... ps) { return 0; } }
+      public enum E { X(1), Y(2); public static E of(int i) { return X; } }
+      public @interface N { int value() default 1; }
+      public sealed interface S permits Q { public default <X> void each(Consumer<? super X> c) { run(() -> c); } }
+      publicly void no(int a); private void nor(int b); xpublic void nor2(); public void unclosed(Map<String x) { }
+      @Deprecated(since = "1", forRemoval = (1 < 2)) public strictfp native void last(A this, final @N(1) int... é); }"""
+    assert meta(spark, src).public_methods == ["record(P...)", "of(int)", "each(Consumer<? super X>)", "last(int...)"]
+
+
+def test_hostile_code_takes_linear_time(spark):
+    import time
+    for piece in ("public <", "public void f(@A(", "public A<B<", "public void f(int a, ", "public @A(", "public ("):
+        t = time.time()
+        assert meta(spark, piece * 50_000).public_methods == [] and time.time() - t < 20
+    deep = "public void f(" + "A<" * 20_000 + "B" + ">" * 20_000 + " x);"
+    assert len(meta(spark, deep).public_methods[0]) == 2 * 20_000 + 20_000 + 4

@@ -1,13 +1,19 @@
-r"""Java file metadata as Column expressions: code lines, declared package, public methods.
+r"""Java file metadata: code lines, declared package, public methods.
 
 Comments go with one ``regexp_replace`` that keeps captured literals (string,
 character, text block), so a comment marker inside a literal stays; a block
 comment over several lines leaves one line break. Code lines are the
 non-blank lines that remain. Package and methods are searched with literals
-emptied. The method list is a parser's view up to the pattern: explicitly
-``public`` methods of any nested type, minus getters (``get*`` without
-parameters) and setters (``set*``, one parameter, void); commas are told apart
-up to ``DEPTH`` levels of type arguments with ``COMMAS`` commas each.
+emptied.
+
+The method list holds the explicitly ``public`` methods of any nested type,
+minus getters (``get*`` without parameters) and setters (``set*``, one
+parameter, void). Column expressions cut the code into *heads*, the text from
+each ``public`` to the next ``public`` or ``;``; one Arrow pass reads the tokens of every
+head once, with a stack of open brackets, up to the bracket that closes the
+parameters. So type arguments and annotations may nest to any depth and hold
+any number of arguments, and the time is linear in the text. A head whose brackets do
+not match, like one of a field, a constructor, a class or a record, is no method.
 
 Loops over alternatives are written without backtracking (possessive and
 unrolled), since Java's matcher recurses on them.
@@ -15,8 +21,13 @@ unrolled), since Java's matcher recurses on them.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from trellis.functions import paths
 
@@ -24,12 +35,12 @@ LITERAL = (r'"""[\s\S]*?"""' r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' r"|'[^'\\\n]*+(
 COMMENT = r"//[^\n]*|/\*[^*\n]*+(?:\*+[^*/\n][^*\n]*+)*+(?:\*+(\n)|(\n))?[\s\S]*?(?:\*/|\z)"
 NON_BLANK_LINE = r"[^\r\n]*\S[^\r\n]*"
 PACKAGE = r"(?m)^\s*package\s+([\w.]+)\s*;"
-METHOD = (r"\bpublic\s+(?:(?:static|final|synchronized|abstract|native|default|strictfp)\s+)*"
-          r"(?:<[^()]*?>\s+)?"
-          r"([\w$][\w$.]*(?:\s*<[^()]*?>)?(?:\s*\[\s*\])*)\s+([\w$]+)\s*\(([^()]*)\)")
-NOT_TYPES = ["class", "interface", "enum", "record", "new", "return", "throw", "else"]
-DEPTH, COMMAS = 3, 3
-_COMMA, _OPEN, _CLOSE = "\x01", "\x02", "\x03"
+PUBLIC = r"(?U)(?<![\w$.])public(?![\w$])"
+TOKEN = re.compile(r"[\w$]+|\.\.\.|[^\w\s$]")
+# Fixed values of the Java language.
+MODIFIERS = {"static", "final", "synchronized", "abstract", "native", "default", "strictfp", "transient", "volatile", "sealed"}
+NO_TYPES = {"class", "interface", "enum", "new", "return", "throw", "else"}
+CLOSES = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
 def without_comments(src: Column) -> Column:
@@ -40,34 +51,118 @@ def without_literals(code: Column) -> Column:
     return F.regexp_replace(code, LITERAL, '""')
 
 
-def _param_type(p: Column) -> Column:
-    """The type of one parameter, spaces normalised, array brackets of the name moved to it."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), r"@[\w$.]+\s*", ""))
-    t = F.regexp_replace(t, r"^(?:final\s+)+", "")
-    t = F.regexp_replace(t, r"\s*[\w$]+\s*((?:\[\s*\])*)$", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), rf" ?([{_COMMA}{_OPEN}{_CLOSE}\[\]]) ?", "$1")
-    return F.replace(F.translate(t, _OPEN + _CLOSE, "<>"), F.lit(_COMMA), F.lit(", "))
+def heads(bare: Column) -> Column:
+    """Texts after each ``public`` up to the next one or a ``;``, without those that have no parameters."""
+    parts = F.split(bare, PUBLIC)
+    cut = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda h: F.substring_index(h, ";", 1))
+    return F.filter(cut, lambda h: F.contains(h, F.lit("(")))
 
 
-def _param_list(params: Column) -> Column:
-    """Parameters split at commas outside type arguments."""
-    p = params
-    for _ in range(DEPTH):
-        for _ in range(COMMAS):
-            p = F.regexp_replace(p, r"<([^<>,]*),([^<>]*)>", f"<$1{_COMMA}$2>")
-        p = F.regexp_replace(p, r"<([^<>]*)>", f"{_OPEN}$1{_CLOSE}")
-    return F.filter(F.split(p, ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+def _plain(tokens: Iterator[str]) -> Iterator[tuple[str, int]]:
+    """Tokens outside annotations, each with the number of brackets open before it (a closing one: after it).
 
-
-def _signature(m: Column) -> Column:
-    """``name(types)`` of one matched declaration, NULL for getters, setters and what is no method."""
-    rtype = F.trim(F.regexp_extract(m, METHOD, 1))
-    name = F.regexp_extract(m, METHOD, 2)
-    params = _param_list(F.regexp_extract(m, METHOD, 3))
-    n = F.size(params)
-    skip = (rtype.isin(*NOT_TYPES) | name.isin(*NOT_TYPES) | (name.startswith("get") & (n == 0))
-            | (name.startswith("set") & (n == 1) & (rtype == "void")))
-    return F.when(~skip, F.concat(name, F.lit("("), F.array_join(F.transform(params, _param_type), ", "), F.lit(")")))
+    Ends at a bracket that closes none, or another than the last opened one.
+    """
+    stack: list[str] = []
+    tokens = iter(tokens)
+    token = next(tokens, None)
+    while token is not None:
+        ahead = None
+        if token == "@":
+            token = next(tokens, None)  # its name
+            ahead = next(tokens, None)
+            while ahead == ".":
+                next(tokens, None)
+                ahead = next(tokens, None)
+            if token == "interface":
+                return
+            if ahead == "(":  # its arguments
+                inner = [")"]
+                for ahead in tokens:
+                    if ahead in "([{":
+                        inner.append(CLOSES[ahead])
+                    elif ahead in ")]}" and ahead != inner.pop():
+                        return
+                    if not inner:
+                        break
+                ahead = next(tokens, None)
+        elif token in CLOSES:
+            yield token, len(stack)
+            stack.append(CLOSES[token])
+        elif token in CLOSES.values():
+            if not stack or stack.pop() != token:
+                return
+            yield token, len(stack)
+        else:
+            yield token, len(stack)
+        token = next(tokens, None) if ahead is None else ahead
+
+
+def _spelled(tokens: list[str]) -> str:
+    """Type tokens as text: ``, `` after a comma, a space between words."""
+    out, before = [], ""
+    for t in tokens:
+        if before == "," or t == "&" or before == "&" or (t[0].isalnum() or t[0] in "_$") and (before[-1:].isalnum() or before[-1:] in ("_", "$", "?", "]") and before):
+            out.append(" ")
+        out.append(t)
+        before = t
+    return "".join(out)
+
+
+def _parameter(tokens: list[str]) -> str | None:
+    """Type of one parameter: modifiers and name dropped, brackets after the name moved to the type; None for a receiver."""
+    tokens = [t for t in tokens if t != "final"]
+    end = len(tokens)
+    while end >= 2 and tokens[end - 2:end] == ["[", "]"]:
+        end -= 2
+    if end < 2:
+        return _spelled(tokens)
+    return None if tokens[end - 1] == "this" else _spelled(tokens[:end - 1] + tokens[end:])
+
+
+def signature(head: str) -> str | None:
+    """``name(types)`` of the method declared by a head; None for getters, setters and what is no method."""
+    before: list[str] = []
+    parameters: list[list[str]] = []
+    inside = False
+    for token, depth in _plain(m.group() for m in TOKEN.finditer(head)):
+        if inside:
+            if depth == 0 and token == ")":
+                break
+            if depth == 1 and token == ",":
+                parameters.append([])
+            elif token in "{}=;":
+                return None
+            else:
+                parameters[-1].append(token)
+        elif depth == 0 and token == "(":
+            inside, parameters = True, [[]]
+        elif token in "{}=;()" or token in NO_TYPES:
+            return None
+        elif depth or token not in MODIFIERS:
+            before.append(token)
+    else:
+        return None
+    if before[:1] == ["<"]:  # the method's own type parameters
+        depth = 0
+        for i, t in enumerate(before):
+            depth += (t == "<") - (t == ">")
+            if depth == 0:
+                before = before[i + 1:]
+                break
+    name = before[-1] if before else ""
+    kind = _spelled(before[:-1])
+    if not kind or before[0] == "record" or not (name[0].isalnum() or name[0] in "_$") or before[-2] == ".":
+        return None
+    types = [t for t in map(_parameter, filter(None, parameters)) if t is not None]
+    if name.startswith("get") and not types or name.startswith("set") and len(types) == 1 and kind == "void":
+        return None
+    return f"{name}({', '.join(types)})"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def signatures(found: pd.Series) -> pd.Series:
+    return found.map(lambda hs: None if hs is None else [s for s in map(signature, hs) if s is not None])
 
 
 def with_java_metadata(files: DataFrame, content: str = "content") -> DataFrame:
@@ -76,11 +171,10 @@ def with_java_metadata(files: DataFrame, content: str = "content") -> DataFrame:
     step = files.withColumn("__code", F.when(is_java, without_comments(F.coalesce(F.col(content), F.lit("")))))
     step = step.withColumn("__bare", without_literals(F.col("__code")))
     package = F.regexp_extract("__bare", PACKAGE, 1)
-    found = F.transform(F.regexp_extract_all("__bare", F.lit(METHOD), 0), _signature)
     return (step.withColumns({
         "code_lines": F.regexp_count("__code", F.lit(NON_BLANK_LINE)).cast("bigint"),
         "declared_package": F.when(package != "", package),
-        "public_methods": F.filter(found, lambda x: x.isNotNull())})
+        "public_methods": signatures(heads(F.col("__bare")))})
         .drop("__code", "__bare"))
 
 

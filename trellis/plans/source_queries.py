@@ -31,15 +31,22 @@ public class Doc {
 '''
 
 
+#: A method whose parameters nest 1 to 8 deep and have 1 to 12 type arguments, by the file's id; annotations have arguments.
+DEEP = ("class Deep {\n    public <K extends Comparable<K>> Map<K, int[]> deep(@Size(min = 1, max = {2, (3)}) final ", " a, Tuple<", "> b) { return null; }\n}\n")
+
+
 def java_sources(files):
     """``.java`` files with ``content`` as Java: every third has no package line, every second a text block."""
+    depth, width = (F.col("file_id") % 8 + 1).cast("int"), F.col("file_id") % 12 + 1
+    deep = F.concat(F.lit(DEEP[0]), F.repeat(F.lit("Box<"), depth), F.lit("A"), F.repeat(F.lit(">"), depth), F.lit(DEEP[1]),
+                    F.array_join(F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("T"), i.cast("string"))), ","), F.lit(DEEP[2]))
     t = F.coalesce(F.col("content"), F.lit(""))
     fid = F.col("file_id")
     pkg = F.when(fid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("package x."), "package_name", F.lit(";\n")))
     body = F.when(fid % 2 == 0, F.concat(F.lit('String s = """\n'), t, F.lit('\n""";'))).otherwise(
         F.concat(F.lit("/*\n"), F.replace(t, F.lit("*/"), F.lit("* /")), F.lit("\n*/")))
     return files.where(F.col("file_path").endswith(".java")).withColumn(
-        "content", F.concat(F.lit(JAVA_HEAD), pkg, F.lit(JAVA_BODY), body))
+        "content", F.concat(F.lit(JAVA_HEAD), pkg, F.lit(JAVA_BODY), deep, body))
 
 
 def _java_sql() -> str:
@@ -48,17 +55,18 @@ def _java_sql() -> str:
     head, body = q(JAVA_HEAD), q(JAVA_BODY)
     return with_vc(f""",
 src AS (
-  SELECT file_id, module_id, file_path, {head} || CASE WHEN file_id % 3 = 0 THEN '' ELSE 'package x.' || package_name || ';' || chr(10) END ||
-    {body} || CASE WHEN file_id % 2 = 0 THEN 'String s = \"\"\"' || chr(10) || coalesce(content, '') || chr(10) || '\"\"\";'
+  SELECT file_id, module_id, file_path, 'deep(' || nested || ', Tuple<' || array_to_string(args, ', ') || '>)' AS deep, {head} || CASE WHEN file_id % 3 = 0 THEN '' ELSE 'package x.' || package_name || ';' || chr(10) END ||
+    {body} || {q(DEEP[0])} || nested || {q(DEEP[1])} || array_to_string(args, ',') || {q(DEEP[2])} || CASE WHEN file_id % 2 = 0 THEN 'String s = \"\"\"' || chr(10) || coalesce(content, '') || chr(10) || '\"\"\";'
       ELSE '/*' || chr(10) || replace(coalesce(content, ''), '*/', '* /') || chr(10) || '*/' END AS t
-  FROM vc WHERE file_path LIKE '%.java'),
+  FROM (SELECT *, repeat('Box<', (file_id % 8 + 1)::INT) || 'A' || repeat('>', (file_id % 8 + 1)::INT) AS nested,
+          list_transform(range(1, file_id % 12 + 2), lambda i: 'T' || i) AS args FROM vc WHERE file_path LIKE '%.java')),
 code AS (SELECT *, regexp_replace(t, {q(lit + '|' + comment)}, '\\1\\2\\3', 'g') AS c FROM src),
 meta AS (
   SELECT *, regexp_extract(regexp_replace(c, {q(lit)}, '\"\"', 'g'), '(?m)^\\s*package\\s+([\\w.]+)\\s*;', 1) AS pkg,
     regexp_replace(file_path, '/[^/]*$', '') AS dir_path FROM code),
 dirs AS (SELECT module_id, dir_path, arg_min(CASE WHEN pkg <> '' THEN pkg ELSE string_split(dir_path, '/')[-1] END, file_path) AS dir_package FROM meta GROUP BY 1, 2)
 SELECT m.file_id, len(regexp_extract_all(c, '[^\\r\\n]*\\S[^\\r\\n]*')) AS code_lines, nullif(pkg, '') AS declared_package,
-  'run(Map<String, List<Integer>>, int[]);getAt(int);pick(T, String, long[])' AS public_methods, dir_package
+  'run(Map<String, List<Integer>>, int[]);getAt(int);pick(T, String, long[]);' || deep AS public_methods, dir_package
 FROM meta m JOIN dirs d ON d.module_id = m.module_id AND d.dir_path = m.dir_path""")
 
 
@@ -95,15 +103,13 @@ def build_tree(spark, sf_dir):
         F.struct(F.lit(n).alias("rel_path"), F.lit(c).alias("content")) for n, c in v]))])
     made = d.select("project").distinct().select("project", F.explode(built[kind]).alias("f")).select("project", "f.rel_path", "f.content")
     names = F.array(*[F.lit(n) for n in T.README_NAMES])
-    n = F.col("doc_id") % 40  # one document in forty and more is a README candidate
-    rel = F.when(n < len(T.README_NAMES), F.concat(F.element_at(names, (n + 1).cast("int")))).otherwise(
-        F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".txt")))
-    docs = d.select("project", rel.alias("rel_path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a README name has one file: the project's document with the smallest id
-    first = docs.where(F.col("doc_id") % 40 < len(T.README_NAMES)).groupBy("project", "rel_path").agg(F.min("doc_id").alias("doc_id"))
-    readmes = docs.join(first, ["project", "rel_path", "doc_id"], "left_semi")
-    rest = docs.where(F.col("doc_id") % 40 >= len(T.README_NAMES))
-    files = readmes.unionByName(rest).select("project", "rel_path", F.col("text").alias("content"))
+    n = F.col("doc_id") % 40  # nine of forty documents are README candidates; of those with one name the smallest id has it
+    name = F.when(n < len(T.README_NAMES), F.element_at(names, (n + 1).cast("int")))
+    first = d.select("project", name.alias("name"), "doc_id").where("name IS NOT NULL").groupBy("project", "name").agg(F.min("doc_id").alias("first_id"))
+    files = (d.withColumn("name", name).join(first, ["project", "name"], "left")
+             .select("project", F.when(F.col("doc_id") == F.col("first_id"), F.col("name"))
+                     .otherwise(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("rel_path"),
+                     F.coalesce("text", F.lit("")).alias("content")))
     return made.unionByName(files).withColumn("abs_path", F.concat_ws("/", "project", "rel_path"))
 
 

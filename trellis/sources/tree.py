@@ -1,8 +1,8 @@
 """Source-tree scan and build-file rules over a directory of repositories.
 
-Every repository directory under ``root`` is one project. Listing and content
-read are Spark jobs of their own (Spark's file sources leave out names that
-start with ``_`` or ``.``); all rules below are jobs over one table of (project,
+Every repository directory under ``root`` is one project. Listing (a job per
+level of the tree) and content read (ranges of equal bytes) are Spark jobs of their own (Spark's file sources leave out
+names that start with ``_`` or ``.``); all rules below are jobs over one table of (project,
 relative path, absolute path, content):
 
 * project type: maven > gradle (``build.gradle`` or ``.kts``) > ant > sbt >
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from trellis.functions import paths
+from trellis.operators.ordered_text import running_totals
+from trellis.session import cut_lineage
 
 # README names in preference order, include pattern, messages.
 README_NAMES = ["README.md", "Readme.md", "readme.md", "README.txt", "Readme.txt", "readme.txt",
@@ -37,6 +39,8 @@ DETECTED = ("Project detected as ", " project")
 
 
 LISTING = "project string, rel_path string, abs_path string"
+#: Bytes of the files that one task reads, of a batch of contents, and entries of a batch of listings.
+READ_BYTES, BATCH_BYTES, LIST_ROWS = 64 << 20, 8 << 20, 8192
 
 
 def _qualified(spark: SparkSession, root: str) -> str:
@@ -56,47 +60,83 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
 
 
+def list_folders(folders: DataFrame, uri: str) -> DataFrame:
+    """``(path, is_dir, size)`` of the entries of every folder (column ``path``), a listing call each; links are left out."""
+    def walk(batches):
+        import os
+
+        from pyarrow.fs import FileSelector, FileType, LocalFileSystem
+        system, _ = _open(uri)
+        local = isinstance(system, LocalFileSystem)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = [f for f in system.get_file_info(FileSelector(folder)) if f.type in (FileType.File, FileType.Directory)
+                         and not (local and os.path.islink(f.path))]
+                for lo in range(0, len(found), LIST_ROWS):
+                    part = found[lo:lo + LIST_ROWS]
+                    yield pa.RecordBatch.from_pydict({
+                        "path": pa.array([f.path for f in part], pa.string()), "is_dir": pa.array([f.type == FileType.Directory for f in part], pa.bool_()),
+                        "size": pa.array([f.size or 0 for f in part], pa.int64())})
+    return folders.select("path").mapInArrow(walk, "path string, is_dir boolean, size bigint")
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(project, rel_path, abs_path) of every file under ``root/<project>/``, hidden names included.
+    """(project, rel_path, abs_path, size) of every file under ``root/<project>/``, hidden names included.
 
     ``root`` is a path or a URI of any scheme that pyarrow's file systems open; a path is
-    qualified by the cluster's default file system. Project folders are listed by tasks, each
-    its own folder; paths are names as stored, never URI-encoded.
+    qualified by the cluster's default file system. The tree is listed level by level: the folders found at one
+    level are dealt over all tasks for the next, so a project with a third of all folders
+    is no task's work. One job per level, its rows written to the checkpoint folder. Paths
+    are names as stored, never URI-encoded; symbolic links are not followed.
     """
     uri = _qualified(spark, root)
-    from pyarrow.fs import FileSelector, FileType
-    system, top = _open(uri)
-    projects = [(f.base_name, f.path) for f in system.get_file_info(FileSelector(top)) if f.type == FileType.Directory]
-
-    def walk(batches):
-        system, _ = _open(uri)
-        for b in batches:
-            for name, folder in zip(*[c.to_pylist() for c in b.columns]):
-                found = [f.path for f in system.get_file_info(FileSelector(folder, recursive=True)) if f.type == FileType.File]
-                yield pa.RecordBatch.from_pydict({
-                    "project": pa.array([name] * len(found), pa.string()),
-                    "rel_path": pa.array([f[len(folder):].lstrip("/") for f in found], pa.string()),
-                    "abs_path": pa.array(found, pa.string())})
-    n = max(1, min(len(projects), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(projects, "project string, folder string").repartition(n, "project").mapInArrow(walk, LISTING)
+    top = _open(uri)[1].rstrip("/")
+    most = 4 * spark.sparkContext.defaultParallelism
+    level, files = spark.createDataFrame([(top,)], "path string"), []
+    while True:
+        found = cut_lineage(list_folders(level, uri))
+        files.append(found.where("NOT is_dir"))
+        folders = found.where("is_dir").select("path")
+        n = folders.count()
+        if not n:
+            break
+        level = folders.repartition(min(n, most))
+    every = files[0].limit(0)
+    for f in files[1:]:  # what lies at the root itself is in no project
+        every = every.unionByName(f)
+    below = F.substring("path", len(top) + 2, 1 << 30)
+    return every.select(F.substring_index(below, "/", 1).alias("project"), F.expr(f"substring(path, {len(top) + 2} + instr(substring(path, {len(top) + 2}), '/'))").alias("rel_path"),
+                        F.col("path").alias("abs_path"), "size")
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(project, rel_path, abs_path, content) of every file; contents are read by path, spread over all tasks."""
+    """(project, rel_path, abs_path, content) of every file.
+
+    Files are read in ranges of about ``READ_BYTES`` (less where that gives fewer than two tasks a
+    core), cut by a running total of their sizes in path order; a larger file is a range of its own.
+    """
     files = list_tree(spark, root)
     uri = _qualified(spark, root)
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, files.count()), -(-total // READ_BYTES))
+    each = max(1, -(-total // tasks))
+    placed = running_totals(files.withColumn("__all", F.lit(0)), ["__all"], ["abs_path"], "size", "__before")
+    ranged = placed.withColumn("__range", F.floor(F.col("__before") / each)).repartitionByRange(tasks, "__range", "abs_path")
 
     def read(batches):
         system, _ = _open(uri)
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                texts = []
-                for path in part.column(2).to_pylist():
-                    with system.open_input_stream(path) as f:
-                        texts.append(f.read().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "content"])
-    return files.repartition(F.xxhash64("abs_path")).mapInArrow(read, LISTING + ", content string")
+            low, size, texts = 0, 0, []
+            sizes = b.column(3).to_pylist()
+            for i, path in enumerate(b.column(2).to_pylist()):
+                with system.open_input_stream(path) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+                size += sizes[i]
+                if size >= BATCH_BYTES or i == b.num_rows - 1:
+                    part = b.slice(low, i + 1 - low)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string())], [*part.schema.names[:3], "content"])
+                    low, size, texts = i + 1, 0, []
+    return ranged.select("project", "rel_path", "abs_path", "size").mapInArrow(read, LISTING + ", content string")
 
 
 def source_files(tree: DataFrame) -> DataFrame:
@@ -139,13 +179,17 @@ def project_types(tree: DataFrame) -> DataFrame:
 
 
 def normal_path(path) -> F.Column:
-    """A declared module path without ``.`` segments, doubled or trailing slashes, and ``x/..`` pairs."""
-    p = F.regexp_replace(F.concat(F.trim(path), F.lit("/")), "/+", "/")
-    for _ in range(2):
-        p = F.regexp_replace(p, r"(^|/)(?:\./)+", "$1")
-    for _ in range(4):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return F.regexp_replace(p, "/$", "")
+    """A declared module path without empty and ``.`` segments; ``..`` takes its parent away, however deep.
+
+    One fold over the segments; a ``..`` without a parent stays.
+    """
+    def step(done, part):
+        up = (part == "..") & (F.size(done) > 0) & (F.get(done, F.size(done) - 1) != "..")
+        return (F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1))
+                .otherwise(F.concat(done, F.array(part))))
+    path = F.trim(path)
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step, lambda done: F.array_join(done, "/"))
+    return F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), kept)
 
 
 def maven_modules(tree: DataFrame) -> DataFrame:
