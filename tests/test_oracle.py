@@ -45,11 +45,15 @@ def duck():
     return con
 
 
+#: Queries that SQL cannot express; other tests hold them against brute force.
+NO_SQL = {"bpe_tokens"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - NO_SQL == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     apply_conf(spark)
     got = QUERIES[name](spark, SF01).toPandas()

@@ -1,18 +1,15 @@
-"""Sinks (replace-upsert, versions, export, command batch), BPE counts, direct module analysis."""
+"""Sinks (replace-upsert, versions, export, command batch), direct module analysis."""
 
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
-from trellis.functions.bpe import bpe_token_count
 from trellis.operators import analyze, sinks
 from trellis.plans.corpus_views import code_corpus
 
 from conftest import SF001
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
 
 def _dir():
     return tempfile.mkdtemp(prefix="trellis-sink-", dir="/tmp")
@@ -72,18 +69,6 @@ def test_analyze_commands(spark):
     assert cmds.count() == c.modules.where(F.col("project_id") == pid).count()
 
 
-def test_bpe_counts(spark):
-    import tiktoken
-    from tiktoken.load import load_tiktoken_bpe
-    from trellis.functions.bpe import CL100K_PATTERN
-    enc = tiktoken.Encoding(name="x", pat_str=CL100K_PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS),
-                            special_tokens={})
-    texts = ["hello world", "def f(x):\n    return x + 1\n", "", None]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(bpe_token_count("t", RANKS)).collect()]
-    assert got == [len(enc.encode_ordinary(t)) if t else 0 for t in texts]
-
-
 def test_direct_module_analysis(spark):
     c = code_corpus(spark, SF001)
     mid = c.modules.orderBy("module_id").first().module_id

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions.text import non_empty, pre_token_count
+from trellis.operators.ledger import AnswerLedger
 from trellis.operators.ordered_text import REQUEST_CHARS, requests
 from trellis.session import cut_lineage
 from trellis.sources.corpus import stored_summary
@@ -185,14 +186,14 @@ COMBINE_PREFIX = "Combine these partial analyses of one unit, in order, into a s
 
 
 def analyze_prompts(parts: DataFrame, fn: Callable[[str, str], str], key: list[str], order: list[str],
-                    parallelism: int = 5, retries: int = 3, limit: int = REQUEST_CHARS) -> DataFrame:
+                    parallelism: int = 5, retries: int = 3, limit: int = REQUEST_CHARS, ledger: AnswerLedger | None = None) -> DataFrame:
     """Run the analyzer over prompts given as long tables (``key, *order, text, system_prompt``).
 
     The rows of each prompt are packed into requests under ``limit`` characters. A prompt that fits
     is one request. The answers of a longer one become the rows of a combine prompt, and so
     on until it has one answer; a round that does not reduce a prompt's requests raises, for then
-    the answers are too long to combine. Returns ``key + [analysis, status, error]``, one row
-    per prompt.
+    the answers are too long to combine. With a ``ledger``, requests that it knows are not sent, and answers
+    are kept as they come. Returns ``key + [analysis, status, error]``, one row per prompt.
     """
     def rid(cols):
         return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in cols])
@@ -207,8 +208,8 @@ def analyze_prompts(parts: DataFrame, fn: Callable[[str, str], str], key: list[s
         # model calls are costly and not repeatable: each round's answers are written
         # once (reliable checkpoint) and every later step reads them from there
         asked = cut_lineage(asked.drop("text"))
-        cur = cut_lineage(asked.select(*key, "piece", "n_pieces", "__rid")
-                          .join(run_analyzer(asked, fn, "__rid", parallelism, retries), "__rid"))
+        answers = ledger.ask(asked, fn, "__rid", parallelism, retries) if ledger else run_analyzer(asked, fn, "__rid", parallelism, retries)
+        cur = cut_lineage(asked.select(*key, "piece", "n_pieces", "__rid").join(answers, "__rid"))
         if done is not None:
             cur = cur.join(failed, key, "left").withColumn("error", F.coalesce("error", "part_error")) \
                 .withColumn("status", F.when(F.col("part_error").isNull(), F.col("status")).otherwise("failed")).drop("part_error")

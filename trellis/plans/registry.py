@@ -35,6 +35,7 @@ def load_all() -> None:
         ops_queries,
         stream_queries,
         source_queries,
+        store_queries,
     )
 
 

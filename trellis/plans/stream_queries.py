@@ -14,10 +14,39 @@ from trellis.plans.corpus_views import code_corpus, file_level
 from trellis.plans.oracle_base import with_vc
 from trellis.plans.ops_queries import AS_OF_MS, _json_commands_sql, command_bodies
 from trellis.plans.registry import register
+from trellis.plans.summary_queries import fresh_entities, skip_fresh_sql
 from trellis.plans.state_queries import LOG_SQL, PAIRS_SQL, status_log, with_failures
 from trellis.sources.tables import read_table
-from trellis.streaming import barrier_stream, command_stream, metrics_stream, request_stream, status_stream
-from trellis.streaming.topics import drain, publish, release, run_folder, state_partitions, subscribe
+from trellis.sources import record_log
+from trellis.streaming import barrier_stream, batching, command_stream, metrics_stream, request_stream, skip_stream, status_stream
+from trellis.session import path_exists
+from trellis.streaming.topics import drain, publish, release, run_folder, state_stores, subscribe
+
+
+def barrier_run(spark, run, topics, packages, modules, projects, files, levels, unit_files=barrier_stream.UNIT_FILES, max_files=None):
+    """The barrier stream of one run over its topics, drained; the sink's folder.
+
+    The sides made of the files are written once to the run folder (a lineage cut in shared storage) instead
+    of being recomputed in every micro-batch; a resumed run finds them there.
+    """
+    def kept(name, build):
+        path = f"{run}/static/{name}"
+        if not path_exists(spark, path):
+            build().write.parquet(path)
+        return spark.read.parquet(path)
+    dirs = kept("directories", lambda: barrier_stream.directories(files, unit_files))
+    units = kept("units", lambda: barrier_stream.open_units(files, dirs))
+    waiting = kept("waiting", lambda: barrier_stream.expected(units, packages, modules, projects, levels))
+    with state_stores(spark):
+        read = lambda name, schema: subscribe(spark, f"{topics}/{name}", schema, max_files)
+        drain(barrier_stream.barrier_stream(
+            read("file_analyzed", barrier_stream.FILE_EVENT), read("summary_stored", barrier_stream.SUMMARY_EVENT), read("announced", barrier_stream.ANNOUNCEMENT),
+            dirs, units, packages, waiting, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels))
+    return f"{run}/sink/ready"
+
+
+#: Fixture: an empty module in the first project, and a project that has no module.
+EMPTY_MODULE, EMPTY_PROJECT = "module without files", "project without modules"
 
 
 def _run_barrier(spark, sf_dir, levels):
@@ -25,30 +54,30 @@ def _run_barrier(spark, sf_dir, levels):
     run = run_folder(spark, "barrier")
     scan = F.lit(f"scan:{sf_dir}").alias("scan_id")  # one scan of the corpus per run
     files = c.files.select(scan, "file_id", "project_id", "module_id", "dir", "analysed")
-    publish(files.where("analysed").select("scan_id", F.col("file_id").cast("long").alias("file_id"), "project_id", "module_id", "dir"),
-            f"{run}/topics/file_analyzed")
+    here = files.where("analysed").select("scan_id", F.col("file_id").cast("long").alias("file_id"), "project_id", "module_id", "dir")
+    # per package: an event that the scan doesn't know (another directory, an id without a file) and events without a key
+    nobody = (F.xxhash64("package_id") % 1_000_000 - 2_000_000).alias("file_id")
+    known = c.packages.select(scan, nobody, "project_id", "module_id", "dir")
+    noise = known.unionByName(known.withColumn("dir", F.concat(F.lit("elsewhere/"), F.col("dir"))))
+    noise = noise.unionByName(known.withColumn("module_id", F.lit(None).cast("string"))).unionByName(known.withColumn("file_id", F.lit(None).cast("bigint")))
+    publish(here.unionByName(noise.coalesce(2)), f"{run}/topics/file_analyzed")
     packages, modules = with_failures(c.packages, c.modules)
+    first = c.projects.agg(F.min("project_id").alias("project_id"))
+    modules = modules.select("module_id", "project_id", "analysis").unionByName(
+        first.select(F.lit(EMPTY_MODULE).alias("module_id"), "project_id", F.lit("empty").alias("analysis")))
+    projects = c.projects.select("project_id").unionByName(spark.createDataFrame([(EMPTY_PROJECT,)], "project_id string"))
     done = (packages.where(F.col("parent_package_id").isNull() & F.col("analysis").isNotNull())
             .select(scan, F.lit("package").alias("level"), F.col("package_id").alias("entity_id"), F.col("module_id").alias("parent_id"))
             .unionByName(modules.where(F.coalesce("analysis", F.lit("")) != "").select(
                 scan, F.lit("module").alias("level"), F.col("module_id").alias("entity_id"), F.col("project_id").alias("parent_id"))))
     publish(done, f"{run}/topics/summary_stored")
-    # the static sides are written once to the run folder (a lineage cut in shared
-    # storage) instead of being recomputed in every micro-batch
-    c.packages.select("package_id", "module_id", "dir", "parent_package_id").write.parquet(f"{run}/static/packages")
-    packages = spark.read.parquet(f"{run}/static/packages")
-    barrier_stream.expected_counts(files, packages, c.modules, levels).write.parquet(f"{run}/static/expected")
-    expected = spark.read.parquet(f"{run}/static/expected")
-    publish(packages.select(scan, "package_id"), f"{run}/topics/package_discovery")
-    with state_partitions(spark):
-        q = barrier_stream.barrier_stream(
-            subscribe(spark, f"{run}/topics/file_analyzed", barrier_stream.FILE_EVENT),
-            subscribe(spark, f"{run}/topics/summary_stored", barrier_stream.SUMMARY_EVENT),
-            subscribe(spark, f"{run}/topics/package_discovery", barrier_stream.DISCOVERY_EVENT),
-            packages, expected, f"{run}/sink/ready", f"{run}/checkpoints/ready", levels)
-        drain(q)
+    publish(packages.select(scan, F.lit("package").alias("level"), F.col("package_id").alias("entity_id"))
+            .unionByName(modules.select(scan, F.lit("module").alias("level"), F.col("module_id").alias("entity_id")))
+            .unionByName(projects.select(scan, F.lit("project").alias("level"), F.col("project_id").alias("entity_id"))), f"{run}/topics/announced")
+    sink = barrier_run(spark, run, f"{run}/topics", c.packages.select(scan, "*"), modules.select(scan, "module_id", "project_id"),
+                       projects.select(scan, "project_id"), files, levels)
     release(spark, run)
-    return c, barrier_stream.ready_keys(spark, f"{run}/sink/ready")
+    return c, barrier_stream.ready_keys(spark, sink)
 
 
 @register("stream_package_ready", lambda: with_vc(PAIRS_SQL + """
@@ -65,9 +94,12 @@ def stream_package_ready(spark, sf_dir):
 SELECT 'package' AS level, package_id AS entity_id, subtree_files AS expected, 0 AS parts FROM pr
   WHERE done_files = subtree_files
 UNION ALL SELECT 'module', module_id, n_files, n_roots FROM mr WHERE ready
-UNION ALL SELECT 'project', project_id, n_files, n_modules FROM jr WHERE ready"""))
+UNION ALL SELECT 'project', project_id, n_files, n_modules + extra FROM (
+  SELECT *, (project_id = min(project_id) OVER ())::BIGINT AS extra FROM jr) WHERE ready
+UNION ALL VALUES ('module', 'module without files', 0, 0), ('project', 'project without modules', 0, 0)"""))
 def stream_levels_ready(spark, sf_dir):
-    """Package, module and project barriers from one merged stream of files, summaries and discoveries."""
+    """Package, module and project barriers from files, summaries and announcements; the scan also has a module
+    without files and a project without modules, which open too."""
     _, ready = _run_barrier(spark, sf_dir, barrier_stream.LEVELS)
     return ready.select("level", "entity_id", F.col("n_files").alias("expected"), F.col("n_parts").alias("parts"))
 
@@ -80,7 +112,7 @@ def _run_metrics(spark, sf_dir, levels):
         F.col("lines_of_code").cast("long"), F.col("code_token_count").cast("long"),
         F.col("analysis_token_count").cast("long"))
     publish(ev, f"{run}/topics/module_file_scanned")
-    with state_partitions(spark):
+    with state_stores(spark):
         q = metrics_stream.metrics_stream(
             subscribe(spark, f"{run}/topics/module_file_scanned", metrics_stream.FILE_SCANNED),
             f"{run}/out", f"{run}/checkpoints/metrics", levels)
@@ -126,7 +158,7 @@ def stream_status_feed(spark, sf_dir):
     run = run_folder(spark, "status_feed")
     log = status_log(spark, sf_dir).select("import_id", "seq", "ts", "status", "progress")
     publish(log, f"{run}/topics/status")
-    with state_partitions(spark):
+    with state_stores(spark):
         updates = subscribe(spark, f"{run}/topics/status", log.schema)
         drain(status_stream.feed_stream(updates, f"{run}/sink/feed", f"{run}/checkpoints/feed"))
         drain(status_stream.stop_stream(updates, f"{run}/sink/stops", f"{run}/checkpoints/stops"))
@@ -175,3 +207,82 @@ def stream_project_requests(spark, sf_dir):
         c.modules, f"{run}/sink/requests", f"{run}/checkpoints/requests"))
     release(spark, run)
     return request_stream.project_requests(spark, f"{run}/sink/requests")
+
+
+def _skip_stream_sql() -> str:
+    return f"""WITH decided AS ({skip_fresh_sql()})
+SELECT level, entity_id, CASE WHEN fresh THEN 'analyzed' ELSE 'analyze' END AS topic FROM decided WHERE NOT fresh OR level = 'file'
+UNION ALL VALUES ('package', 'unknown package', 'analyze')"""
+
+
+@register("stream_skip_fresh", _skip_stream_sql)
+def stream_skip_fresh(spark, sf_dir):
+    """What the analysis stages are asked for by a stream of entity events, each sent twice: fresh files still
+    tell that they are analysed, fresh entities of other levels tell nothing."""
+    run = run_folder(spark, "skip")
+    state = fresh_entities(spark, sf_dir)
+    state.where("fresh").select("level", "entity_id").write.parquet(f"{run}/static/fresh")
+    events = state.select("level", "entity_id").unionByName(spark.createDataFrame([("package", "unknown package")], skip_stream.LEVEL_EVENT))
+    publish(events.unionByName(events), f"{run}/topics/entities")
+    with state_stores(spark):
+        drain(skip_stream.skip_stream(subscribe(spark, f"{run}/topics/entities", skip_stream.LEVEL_EVENT), spark.read.parquet(f"{run}/static/fresh"),
+                                      f"{run}/sink/skip", f"{run}/checkpoints/skip"))
+    release(spark, run)
+    return spark.read.parquet(f"{run}/sink/skip").select("level", "entity_id", F.col("topic").cast("string").alias("topic"))
+
+
+#: Fixture: consumers of the batch stream, and the wait of a batch (events come about this far apart).
+SHARDS, BATCH_WAIT_S = 16, 24 * 3600
+
+
+@register("stream_batches", f"""
+WITH RECURSIVE e AS (SELECT event_id, user_id % {SHARDS} AS shard, ts::TIMESTAMP AS ts FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, event_id) AS k,
+        count(*) OVER (PARTITION BY shard ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{BATCH_WAIT_S * 1000000 - 1} microseconds' FOLLOWING) AS within
+      FROM e),
+b AS (SELECT shard, 0::BIGINT AS batch_no, k AS first, least(k + {batching.EVENTS[0]}, within + 1) AS after,
+        CASE WHEN within + 1 < k + {batching.EVENTS[0]} THEN 'time' ELSE 'count' END AS closed_by FROM r WHERE k = 1
+      UNION ALL
+      SELECT b.shard, b.batch_no + 1, r.k, least(r.k + {batching.EVENTS[0]}, r.within + 1),
+        CASE WHEN r.within + 1 < r.k + {batching.EVENTS[0]} THEN 'time' ELSE 'count' END
+      FROM b JOIN r ON r.shard = b.shard AND r.k = b.after)
+SELECT b.shard, b.batch_no, b.closed_by, count(*) AS n, sum(r.event_id)::BIGINT AS event_ids
+FROM b JOIN r ON r.shard = b.shard AND r.k >= b.first AND r.k < b.after GROUP BY 1, 2, 3""")
+def stream_batches(spark, sf_dir):
+    """Count-or-time batches per consumer as a stream: 20 rows or a day after the first, whichever is first."""
+    run = run_folder(spark, "batches")
+    ts = F.col("ts").cast("timestamp")
+    e = read_table(spark, sf_dir, "events").select((F.col("user_id") % SHARDS).alias("shard"), ts.alias("ts"), "event_id")
+    beat = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("shard"), (F.col("ts") + F.expr(f"INTERVAL {10 * BATCH_WAIT_S} SECONDS")).alias("ts"),
+                                                 F.lit(None).cast("bigint").alias("event_id"))
+    e = e.select(F.col("shard").cast("bigint").alias("shard"), "ts", F.col("event_id").cast("bigint").alias("event_id"))
+    publish(e.unionByName(beat), f"{run}/topics/events")  # the last row moves the watermark on, which closes the open batches
+    with state_stores(spark):
+        drain(batching.batch_stream(subscribe(spark, f"{run}/topics/events", e.schema, 1_000_000), "shard", batching.EVENTS[0], BATCH_WAIT_S,
+                                    f"{run}/sink/batches", f"{run}/checkpoints/batches", "ts"))
+    release(spark, run)
+    return (spark.read.parquet(f"{run}/sink/batches").groupBy("shard", "batch_no", "closed_by")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("event_ids")))
+
+
+@register("stream_record_log", """
+SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS event_ids, count(DISTINCT event_type) AS n_types, max(epoch_us(ts::TIMESTAMP))::BIGINT AS last_us, false AS broken
+FROM events GROUP BY user_id
+UNION ALL SELECT NULL, (SELECT count(*) FROM region) * 2, NULL, 0, NULL, true""")
+def stream_record_log(spark, sf_dir):
+    """Typed events from record logs by byte offsets (small ranges, so that records cross them); broken records set aside."""
+    run = run_folder(spark, "log")
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    record_log.append_records(e, f"{run}/topics/log")
+    r = F.col("r_regionkey").cast("string")
+    broken = read_table(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit('{"event_id": "no number ') , r, F.lit('"}')), F.concat(F.lit("no record "), r))).alias("value"))
+    broken.write.mode("append").text(f"{run}/topics/log")
+    raw = record_log.stream_records(spark, f"{run}/topics/log", range_bytes=1 << 16, group="counts")
+    out = record_log.typed(raw, e.schema, ("event_id",))
+    drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{run}/sink/log").option("checkpointLocation", f"{run}/checkpoints/log")
+          .trigger(availableNow=True).start())
+    release(spark, run)
+    got = spark.read.parquet(f"{run}/sink/log").withColumn("broken", F.col("reason").isNotNull())
+    return (got.groupBy(F.when(~F.col("broken"), F.col("user_id")).alias("user_id"), "broken")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("broken"), F.col("event_id"))).alias("event_ids"),
+                 F.countDistinct(F.when(~F.col("broken"), F.col("event_type"))).alias("n_types"), F.max(F.when(~F.col("broken"), F.unix_micros("ts"))).alias("last_us")))

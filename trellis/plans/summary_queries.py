@@ -63,7 +63,7 @@ def _part_digests(p, *cols):
 def package_prompt(spark, sf_dir):
     """Package prompts as long tables: head, one row per file, tail; singletons need none."""
     c = code_corpus(spark, sf_dir)
-    p = summaries.package_prompts(c.files, c.packages, c.contexts).withColumn("system_md5", F.md5("system_prompt"))
+    p = summaries.package_prompts(c.text_files, c.packages, c.contexts).withColumn("system_md5", F.md5("system_prompt"))
     return _part_digests(p, "package_id", "section", "file_path", "file_id", "n_files", "needs_analysis", "system_md5")
 
 
@@ -92,7 +92,7 @@ def package_analysis(spark, sf_dir):
     """Package prompts through the pluggable batch analyzer (packing by size, Arrow batches, retries,
     bounded parallelism) with a deterministic function in place of the remote model."""
     c = code_corpus(spark, sf_dir)
-    p = summaries.package_prompts(c.files, c.packages, c.contexts)
+    p = summaries.package_prompts(c.text_files, c.packages, c.contexts)
     out = analyze.analyze_prompts(p, tally_analyzer, ["package_id"], ["section", "file_path", "file_id"],
                                   parallelism=spark.sparkContext.defaultParallelism)
     return out.select("package_id", "analysis", "status")
@@ -122,7 +122,7 @@ SELECT module_id, section, package_id, kind, file_path, file_id, md5(t) AS text_
 def module_prompt(spark, sf_dir):
     """Module prompts as long tables: root packages (with their own files) in package order."""
     c = code_corpus(spark, sf_dir)
-    m = summaries.module_prompts(c.files, c.packages, c.modules, c.projects, c.contexts).withColumn("system_md5", F.md5("system_prompt"))
+    m = summaries.module_prompts(c.text_files, c.packages, c.modules, c.projects, c.contexts).withColumn("system_md5", F.md5("system_prompt"))
     return _part_digests(m, "module_id", "section", "package_id", "kind", "file_path", "file_id", "system_md5")
 
 
@@ -147,14 +147,23 @@ def project_prompt(spark, sf_dir):
     return _part_digests(p, "project_id", "section", "module_id", "system_md5")
 
 
+def _file_user_sql(level: str) -> str:
+    sql = q(PROMPTS[level]["user"])
+    for key, value in (("{fileContent}", "f.content"), ("{projectContext}", "c.context")):
+        sql = f"replace({sql}, {q(key)}, coalesce({value}, ''))"
+    return sql
+
+
+def file_prompt_ctes(body: str) -> str:
+    """``body`` over ``prompts (file_id, user_prompt)``, the short prompts of all files."""
+    return with_vc(f""", {CTX_SQL},
+prompts AS (SELECT f.file_id, {_file_user_sql('fileShort')} AS user_prompt FROM vc f LEFT JOIN ctx c ON c.project_id = f.project_id)
+{body}""")
+
+
 def _file_prompt_sql() -> str:
-    def full(level):
-        sql = q(PROMPTS[level]["user"])
-        for key, value in (("{fileContent}", "f.content"), ("{projectContext}", "c.context")):
-            sql = f"replace({sql}, {q(key)}, coalesce({value}, ''))"
-        return sql
     return with_vc(f""", {CTX_SQL},
-p AS (SELECT f.file_id, {full('fileShort')} AS short, {full('file')} AS long FROM vc f LEFT JOIN ctx c ON c.project_id = f.project_id)
+p AS (SELECT f.file_id, {_file_user_sql('fileShort')} AS short, {_file_user_sql('file')} AS long FROM vc f LEFT JOIN ctx c ON c.project_id = f.project_id)
 SELECT file_id, md5(short) AS short_md5, md5(long) AS full_md5, length(long) AS full_len,
   md5({q(PROMPTS['fileShort']['system'])}) AS short_system_md5, md5({q(PROMPTS['file']['system'])}) AS full_system_md5 FROM p""")
 
@@ -163,9 +172,9 @@ SELECT file_id, md5(short) AS short_md5, md5(long) AS full_md5, length(long) AS
 def file_prompt(spark, sf_dir):
     """Both prompts of every file (short and full template), with the project context."""
     c = code_corpus(spark, sf_dir)
-    a = summaries.file_prompts(c.files, c.contexts, short=True).select(
+    a = summaries.file_prompts(c.text_files, c.contexts, short=True).select(
         "file_id", F.md5("user_prompt").alias("short_md5"), F.md5("system_prompt").alias("short_system_md5"))
-    b = summaries.file_prompts(c.files, c.contexts, short=False).select(
+    b = summaries.file_prompts(c.text_files, c.contexts, short=False).select(
         "file_id", F.md5("user_prompt").alias("full_md5"), F.length("user_prompt").cast("bigint").alias("full_len"),
         F.md5("system_prompt").alias("full_system_md5"))
     return a.join(b, "file_id")
@@ -196,7 +205,7 @@ blocks AS (
 def digest_markdown(spark, sf_dir):
     """Project digest as ordered markdown blocks (project → module → package → file)."""
     c = code_corpus(spark, sf_dir)
-    return summaries.digest_rows(c.files, c.packages, c.modules, c.projects)
+    return summaries.digest_rows(c.text_files, c.packages, c.modules, c.projects)
 
 
 def _export_sql() -> str:
@@ -222,7 +231,7 @@ def export_context(spark, sf_dir):
     anew, where an empty or missing analysis shows the placeholder."""
     c = code_corpus(spark, sf_dir)
     pk, md = with_failures(c.packages, c.modules)
-    blocks = summaries.digest_rows(c.files, pk, md, c.projects, empty_is_missing=True)
+    blocks = summaries.digest_rows(c.text_files, pk, md, c.projects, empty_is_missing=True)
     cached = (c.projects.where(F.col("project_id").isin("en", "es", "fr")).select(
         "project_id", F.when(F.col("project_id") == "es", F.lit("")).otherwise(F.concat(F.lit("# stored "), "project_id")).alias("context")))
     return sinks.export_context(blocks, cached)
@@ -235,7 +244,7 @@ FROM blocks GROUP BY project_id"""))
 def digest_stats(spark, sf_dir):
     """Per-project digest size and token count (blocks end in a break, so token counts add up)."""
     c = code_corpus(spark, sf_dir)
-    b = summaries.digest_rows(c.files, c.packages, c.modules, c.projects)
+    b = summaries.digest_rows(c.text_files, c.packages, c.modules, c.projects)
     return (b.groupBy("project_id")
             .agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("block")).cast("bigint").alias("digest_len"),
                  F.sum(pre_token_count("block")).cast("bigint").alias("token_count")))
@@ -261,7 +270,7 @@ def _with_dates(df, key: str, unit_s: int, modulo: int):
                         .otherwise(F.col("analysis"))))
 
 
-def _skip_fresh_sql() -> str:
+def skip_fresh_sql() -> str:
     def lvl(name, table, key, unit, modulo, window):
         age = f"(({HOURS_SQL.format(k=key)}) % {modulo})"
         return f"""
@@ -277,9 +286,14 @@ def _skip_fresh_sql() -> str:
 SELECT level, entity_id, fresh, CASE WHEN fresh THEN 'skip' ELSE 'analyze' END AS action FROM ({body}) t""")
 
 
-@register("skip_fresh", _skip_fresh_sql)
+@register("skip_fresh", skip_fresh_sql)
 def skip_fresh(spark, sf_dir):
     """Which entities the analysis stages skip: fresh analysis per level window, analysed files."""
+    return fresh_entities(spark, sf_dir).withColumn("action", F.when(F.col("fresh"), "skip").otherwise("analyze"))
+
+
+def fresh_entities(spark, sf_dir):
+    """``(level, entity_id, fresh)`` of every file, package, module and project, with the fixture's dates."""
     c = code_corpus(spark, sf_dir)
     as_of = as_of_literal(AS_OF)
     parts = []
@@ -294,7 +308,7 @@ def skip_fresh(spark, sf_dir):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("action", F.when(F.col("fresh"), "skip").otherwise("analyze"))
+    return out
 
 
 @register("record_skip", lambda: with_vc(f"""
@@ -353,7 +367,7 @@ def analyze_levels(spark, sf_dir):
     The file stage's narrow rows are written once to shared storage; the upper levels read those.
     """
     c = code_corpus(spark, sf_dir)
-    f = cut_lineage(analyze.analyze_files(c.files).select("file_id", "module_id", "package_name", "short_analysis", "analysis_token_count"))
+    f = cut_lineage(analyze.analyze_files(c.text_files).select("file_id", "module_id", "package_name", "short_analysis", "analysis_token_count"))
     p = analyze.analyze_packages(f, c.packages.drop("analysis", "analysis_token_count"))
     m = analyze.analyze_modules(p, c.modules)
     j = analyze.analyze_projects(m, c.projects)

@@ -114,6 +114,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder and its parents, if missing, through its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of this engine's own runs, through its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

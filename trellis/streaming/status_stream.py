@@ -4,7 +4,7 @@ Two streams over one topic, both without user state code:
 
 * every update is appended to the feed sink;
 * the earliest terminal update of each import is a running ``min(ts, seq)`` (update mode): one
-  small state row per finished import, and changed rows are appended to the stop sink.
+  small state row per finished import, and a batch's changed rows go to its own folder of the stop sink.
 
 The order lies in the compared ``(ts, seq)``, not in the arrival of files, so an update that comes after a
 later terminal one is still placed rightly. ``read_feed`` joins the two sinks.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trellis.operators.status import TERMINAL
 from trellis.session import path_exists
+from trellis.streaming.topics import read_batches, write_batch
 
 
 def feed_stream(updates: DataFrame, feed_dir: str, checkpoint_dir: str):
@@ -30,7 +31,7 @@ def stop_stream(updates: DataFrame, stop_dir: str, checkpoint_dir: str):
              .groupBy("import_id").agg(F.min(F.struct("ts", "seq")).alias("stop")))
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(stop_dir)
+        write_batch(batch, stop_dir, batch_id)
 
     return (stops.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).foreachBatch(emit).start())
@@ -41,6 +42,6 @@ def read_feed(spark, feed_dir: str, stop_dir: str) -> DataFrame:
     feed = spark.read.parquet(feed_dir)
     if not path_exists(spark, stop_dir):
         return feed
-    stops = spark.read.parquet(stop_dir).groupBy("import_id").agg(F.min("stop").alias("stop"))
+    stops = read_batches(spark, stop_dir).groupBy("import_id").agg(F.min("stop").alias("stop"))
     j = feed.join(stops, "import_id", "left")
     return j.where(F.col("stop").isNull() | (F.struct("ts", "seq") <= F.col("stop"))).drop("stop")

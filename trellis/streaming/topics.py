@@ -14,22 +14,31 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trellis.session import ensure_checkpoint_dir, remove_path
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
-def state_partitions(spark: SparkSession):
-    """Stateful streams keep one state store per shuffle partition; size that to the cluster's
-    cores (``defaultParallelism``) for the run, then restore the caller's setting."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(max(spark.sparkContext.defaultParallelism, 1)))
+def state_stores(spark: SparkSession):
+    """Queries started inside keep keyed state in RocksDB (off-heap and spillable), one store per core of the cluster.
+
+    The session's own settings come back afterwards.
+    """
+    ours = {"spark.sql.shuffle.partitions": str(max(spark.sparkContext.defaultParallelism, 1)),
+            "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
+    old = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 _RUNS: list[str] = []
@@ -59,25 +68,27 @@ def publish(df: DataFrame, topic_dir: str) -> None:
     df.write.mode("append").parquet(topic_dir)
 
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Large keyed state (dedup pairs, per-key counts) lives in RocksDB, off-heap and spillable.
-
-    Takes effect for queries started afterwards with a fresh checkpoint.
-    """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-
-
 def subscribe(spark: SparkSession, topic_dir: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of a topic: explicit schema, bounded files per micro-batch (default: two per core)."""
-    use_rocksdb_state(spark)
     return (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", max_files_per_trigger or 2 * max(spark.sparkContext.defaultParallelism, 1))
             .parquet(topic_dir))
 
 
+BATCH = "batch_id"
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
+    """A micro-batch's rows in a folder of its own: a batch that is run again replaces what it wrote before."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/{BATCH}={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that ``write_batch`` wrote, each once, with their ``batch_id``."""
+    return spark.read.option("basePath", path).parquet(path).withColumn(BATCH, F.col(BATCH).cast("bigint"))
+
+
 def drain(query: StreamingQuery, timeout_s: int | None = None) -> None:
     """Wait for an ``availableNow`` query to finish; surface its failure. No limit unless the caller sets one."""
     if timeout_s is None:
@@ -97,14 +108,12 @@ def subscribe_kafka(spark: SparkSession, servers: str, topic: str, schema,
     this installation); the folder-backed ``subscribe`` is the default.
     ``maxOffsetsPerTrigger`` bounds each micro-batch like ``maxFilesPerTrigger``.
     """
-    from pyspark.sql import functions as F
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", servers)
               .option("subscribe", topic)
               .option("startingOffsets", "earliest"))
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
-    use_rocksdb_state(spark)
     raw = reader.load()
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"),
                       F.col("partition"), F.col("offset")).select("e.*", "partition", "offset")
