@@ -95,3 +95,81 @@ def test_class_names_of_wrappers():
     # articles among comments and related links are not the page's
     assert main_text(SHELL.format("<article>own text</article><div id=comments><article>a comment, longer than the text</article></div>")) == "own text"
     assert main_text(SHELL.format("<article>own text<div id=comments><article>a comment, longer than the text</article></div></article>")) == "own text"
+
+
+def stripped(html):
+    """A page whose elements and names tell nothing: sections are divs without class, id and role."""
+    html = re.sub(r"<(/?)(article|main|nav|aside|header|footer)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", html)
+
+
+def test_the_tree_decides_where_names_tell_nothing(spark):
+    """On hosts with enough pages at least 80 % of the pages without telling names give the marked article; without the tree none does."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html", html_text.host_of("url").alias("host"), "url").collect()
+    df = spark.createDataFrame([(p.page_id, p.url, stripped(p.html)) for p in pages], "page_id bigint, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.extract(df, ["page_id"]).collect()}
+    want = {p.page_id: plain_article(p.html) for p in pages}
+    texts = {}
+    for p in pages:
+        texts.setdefault(p.host, set()).add(want[p.page_id])
+    big = [p for p in pages if len(texts[p.host]) >= html_text.MIN_PAGES]
+    assert len(big) > 50 and sum(got[p.page_id] == want[p.page_id] for p in big) >= 0.8 * len(big)
+    assert not any(main_text(stripped(p.html)) == want[p.page_id] for p in big)
+
+
+def test_slots_are_found_by_place(spark):
+    """Menus, adverts and footers with other words on every page, some missing on some pages; titles and short articles stay."""
+    def page(i):
+        menu = "<div><ul>" + "".join(f"<li><a href=/{i}/{k}>menu {i * k}</a>" for k in range(5)) + "</ul></div>"
+        advert = f"<div>buy number {i * 31}</div>" if i % 3 else ""
+        return SHELL.format(f"{menu}{advert}<div><h1>Title {i}</h1>" + "".join(f"<p>paragraph {k} of story {i}</p>" for k in range(2 + i % 4)) + f"</div><div>made by hand {i * 17}</div>")
+    got = extracted(spark, [page(i) for i in range(24)])
+    assert got == {i: "\n".join([f"Title {i}", *(f"paragraph {k} of story {i}" for k in range(2 + i % 4))]) for i in range(24)}
+    few = extracted(spark, [page(i) for i in range(7)])
+    assert all("menu" in t for t in few.values())  # the prior alone knows nothing here
+
+
+def test_the_tree_outvotes_the_prior(spark):
+    """A template box inside marked articles goes; a trunk whose class sounds like an advert's is the article."""
+    box = "<div class=z><p>Read more of our best stories here</p></div>"
+    got = extracted(spark, [SHELL.format(f"<article><h1>T{i}</h1><p>text {i} of it</p>{box}<p>more {i}</p></article>") for i in range(10)])
+    assert got == {i: f"T{i}\ntext {i} of it\nmore {i}" for i in range(10)}
+    def page(i):
+        return SHELL.format("<div class=box><p>Same words on each page of this host, always</p></div><div class='related'>" + "".join(f"<p>story {i} line {k}</p>" for k in range(4 + i % 5))
+                            + f"</div><div class=end>{i} at the end</div>")
+    got = extracted(spark, [page(i) for i in range(20)])
+    assert got == {i: "\n".join(f"story {i} line {k}" for k in range(4 + i % 5)) for i in range(20)}
+    assert "story" not in main_text(page(0))
+
+
+def test_controls_and_fallbacks_are_no_text():
+    assert main_text(SHELL.format("<p>a <button>Go</button> b</p><p><label>Name</label> c <select><option>x<option>y</select>d</p>")) == "a b\nc d"
+    assert main_text(SHELL.format("<p>a</p><video><p>no video</p></video><object>no object</object><canvas>no canvas</canvas><svg><text>t</text></svg><p>b<button>open</p><p>c</p>")) == "a\nb\nc"
+    for name in ("class='cookieBanner'", "id=CommentList", "class=adsbox", "class='x adUnit'", "class=ad-slot"):
+        assert main_text(SHELL.format(f"<p>{'text ' * 20}</p><div {name}>noise</div>")) == ("text " * 20).strip(), name
+    page = SHELL.format("<div><p>" + "long text of the page " * 9 + "</p><div><p>Get our letters</p><input type=email><button>Send</button></div><input type=hidden></div>")
+    assert main_text(page) == ("long text of the page " * 9).strip()
+    assert main_text("<div><p>all there is</p><input></div>") == "all there is"
+
+
+def test_any_markup_takes_linear_time_and_memory():
+    import time
+    import tracemalloc
+    n = 2_000_000
+    for piece in ('<a "', "<a ", "<!--", "</x>", '<a b="', "<p class='", "</script", '<a b=">x', "<table><td>", "<div></p></div>", "<button>x", "<a<", "&amp"):
+        t = time.time()
+        page = html_text.Page(piece * (n // len(piece)))
+        assert sum(1 for _ in html_text.tree_rows(page)) < 1000 and time.time() - t < 5, piece
+    tracemalloc.start()
+    assert main_text("<div>" * 50_000 + "x" + "</div>" * 50_000 + "<p>y") == "x\ny"
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert main_text("<div>" * 5000 + "<p>a" + "<div><td><b>z</td>" * 5000).split("\n")[:2] == ["a", "z"]
+    assert main_text("<p a=\"never closed>x</p><p b='>'>y</p>") == "x\ny" and main_text("<p>x</p><p b='>y") == "x\ny"
+
+
+def test_low_nodes_beyond_the_broadcast_bound(spark, monkeypatch):
+    pages = [SHELL.format(f"<div class=box><p>Same words on each page</p></div><div class=story><p>story {i} of this host</p></div>") for i in range(12)]
+    want = extracted(spark, pages)
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", -1)
+    assert extracted(spark, pages) == want and want[3] == "story 3 of this host"
