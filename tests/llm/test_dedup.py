@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -129,6 +130,45 @@ def test_links_give_the_components_of_all_pairs(spark, n, flips):
     assert {f: got.get(f, f) for f in signed} == {f: find(f) for f in signed}
 
 
+def close_pairs(fps, of):
+    """All links of the fingerprints at ``of`` to others, by comparing them with every one."""
+    every = np.array(fps, np.uint64)
+    return [(fps[i], fps[j]) for i in of for j in np.flatnonzero(np.bitwise_count(every ^ every[i]) <= 3).tolist() if j != i]
+
+
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("mask", [0xFFFFFFFF, 0xFFFFFFFF00000000, 0xFFFF0000])
+def test_crowded_buckets_without_all_pairs(spark, mask):
+    """50,000 fingerprints with one half (or only 16 random bits and a cluster) in common: linear work, and no link is lost."""
+    import time
+    rnd = random.Random(mask)
+    common = rnd.getrandbits(64) & ~mask
+    n = 50_000 if mask != 0xFFFF0000 else 12_000
+    fps = list({common | rnd.getrandbits(64) & mask for _ in range(n)})
+    fps += list({fps[0] ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(1500)} - set(fps))  # near copies of one
+    near = [f ^ (7 << rnd.randrange(60)) for f in fps[1:200]]  # three bits away
+    fps = list(dict.fromkeys(fps + near))
+    t = time.time()
+    got = {r.node: r.root for r in components(simhash.near_links(spark.createDataFrame([(signed(f),) for f in fps], "fp bigint"))).collect()}
+    assert time.time() - t < 120
+    pairs = close_pairs(fps, range(0, len(fps), len(fps) // 300)) + close_pairs(fps, range(1, 200))
+    root = lambda f: got.get(signed(f), signed(f))
+    assert len(pairs) > 200 and all(root(a) == root(b) for a, b in pairs)
+    # and nothing is joined that no chain of links joins
+    if mask != 0xFFFF0000:
+        sizes = {}
+        for f in fps:
+            sizes.setdefault(root(f), []).append(f)
+        for group in [g for g in sizes.values() if 1 < len(g) < 50][:100]:
+            reach, edge = {group[0]}, [group[0]]
+            while edge:
+                edge = [b for a in edge for b in group if b not in reach and (a ^ b).bit_count() <= 3 and not reach.add(b)]
+            assert reach == set(group)
+
+
 def test_simhash_cases(spark, make_docs):
     words = " ".join(f"w{i}" for i in range(70_000))
     rows = [(9, None), (8, " \n"), (7, "one"), (6, "ONE"), (5, "one two"), (4, words), (3, words.upper()), (None, "one"), (4, words)]

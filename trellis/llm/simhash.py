@@ -9,11 +9,11 @@ Of two halves one bit apart, only the one without the bit looks up the other,
 which halves the probes. Equal fingerprints are one node before
 any lookup, so a group of exact copies costs one row.
 
-A half shared by many fingerprints is handled without all its pairs: first all
-fingerprints within one bit of a common value are linked to the smallest of
-them (they are at most 2 bits apart, and at most 65 share a value); then a
-bucket is searched for pairs only between different groups of the first step,
-which is all that components need.
+A half shared by many fingerprints is handled without all its pairs. First its members that are within one bit of a common
+value are linked to the smallest of them (so a cluster of near copies becomes one component). Then a crowded bucket is
+searched by the same method on the other half: its halves, with balls of radius 1, and so on down to 8 bits; pairs
+inside the bucket's largest component are left out, for only links between components are needed. Buckets that are
+not crowded are joined and verified at once.
 
 Defined cases: null text counts as empty; texts without words have
 fingerprint zero, linked like any other; fewer than three words are one
@@ -36,6 +36,8 @@ from trellis.session import cut_lineage
 
 SEED, BITS, RADIUS = 42, 64, 3
 BLOCK = 1 << 16
+#: A bucket with more fingerprints is crowded; bits of the narrowest value that is split; fingerprints of a task that makes balls.
+CROWD, LAST, TASK_ROWS = 64, 16, 50_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -70,11 +72,13 @@ def fingerprints(docs: DataFrame, ids: list[str], text: str = "text") -> DataFra
 
 
 def _shift(value: Column, n: Column, left: bool = True) -> Column:
-    return F.call_function("shiftleft" if left else "shiftright", value, n)
+    return F.call_function("shiftleft" if left else "shiftrightunsigned", value, n)
 
 
-def _half(seg: int) -> Column:
-    return F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)) if seg == 0 else F.shiftrightunsigned("fp", 32)
+def _part(value: str, width: int, seg: int) -> Column:
+    """The lower (0) or upper (1) half of the lowest ``width`` bits."""
+    low = F.lit((1 << width // 2) - 1).cast("bigint")
+    return (F.col(value) if seg == 0 else F.shiftrightunsigned(value, width // 2)).bitwiseAND(low)
 
 
 def _close_stars(fps: DataFrame) -> DataFrame:
@@ -86,33 +90,70 @@ def _close_stars(fps: DataFrame) -> DataFrame:
     return ball.select("fp", least.alias("b")).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored rows and probes, both ``(seg, key, fp, c)``."""
-    def tagged(seg, keys):
-        return F.transform(keys, lambda k: F.struct(F.lit(seg).alias("seg"), k.alias("key")))
-
-    def rows(keys_of):
-        both = F.concat(*[tagged(s, keys_of(_half(s))) for s in (0, 1)])
-        return nodes.select("fp", "c", F.explode(both).alias("k")).select("k.seg", "k.key", "fp", "c")
-    one = F.lit(1).cast("bigint")
-    stored = rows(lambda h: F.array(h))
-    probes = rows(lambda h: F.concat(F.array(h), F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: _shift(h, i, left=False).bitwiseAND(one) == 0),
-        lambda i: h.bitwiseOR(_shift(one, i)))))
-    return stored, probes
+def _halves(rows: DataFrame, width: int) -> DataFrame:
+    """Both halves of ``value`` as ``seg, key``, with the other one as ``rest``."""
+    each = F.array(*[F.struct(F.lit(s).alias("seg"), _part("value", width, s).alias("key"), _part("value", width, 1 - s).alias("rest")) for s in (0, 1)])
+    return rows.select("path", "fp", "c", F.explode(each).alias("k")).select("path", "fp", "c", "k.*")
+
+
+def _balls(rows: DataFrame, width: int, up: bool) -> DataFrame:
+    """Rows of ``_halves`` for every key of at most one bit's difference (``up``: a bit more, not less)."""
+    one, key = F.lit(1).cast("bigint"), F.col("key")
+    bits = F.sequence(F.lit(0), F.lit(width // 2 - 1))
+    if up:
+        bits = F.filter(bits, lambda i: _shift(key, i, left=False).bitwiseAND(one) == 0)
+    ball = F.concat(F.array(key), F.transform(bits, lambda i: key.bitwiseXOR(_shift(one, i))))
+    return _halves(rows, width).withColumn("key", F.explode(ball))
+
+
+BUCKET = ["path", "seg", "key"]
+
+
+def _far_links(nodes: DataFrame) -> list[DataFrame]:
+    """Links ``(a, b)`` between the components ``c`` of ``nodes (fp, c)`` whose fingerprints are within the radius."""
+    out = []
+    asked = stored = nodes.select(F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("value"), "fp", "c")
+    width = BITS
+    while True:
+        probes, held = _balls(asked, width, up=width == BITS), _halves(stored, width)
+        last = width == LAST
+        if not last:
+            of = held.groupBy(*BUCKET, "c").agg(F.count(F.lit(1)).alias("n"))
+            crowded = cut_lineage(of.groupBy(*BUCKET).agg(F.sum("n").alias("n"), F.max_by("c", "n").alias("most")).where(F.col("n") > CROWD).drop("n"))
+            last = crowded.isEmpty()
+        light = held if last else held.join(crowded.select(*BUCKET), BUCKET, "left_anti")
+        out.append(probes.alias("p").join(light.alias("s"), BUCKET).where(f"p.c <> s.c AND bit_count(p.fp ^ s.fp) <= {RADIUS}")
+                   .select(F.least("p.c", "s.c").alias("a"), F.greatest("p.c", "s.c").alias("b")).distinct())
+        if last:
+            return out
+        # the rest of a crowded bucket is searched by its other half, without pairs inside its largest component
+        def lane(rows, no):
+            return rows.select(F.xxhash64(*BUCKET, F.lit(no)).alias("path"), F.col("rest").alias("value"), "fp", "c")
+        p, s = probes.join(crowded, BUCKET), held.join(crowded, BUCKET)
+        asked = cut_lineage(lane(p.where("c = most"), 0).unionByName(lane(p.where("c <> most"), 1)))
+        stored = cut_lineage(lane(s.where("c <> most"), 0).unionByName(lane(s, 1)))
+        width //= 2
 
 
 def near_links(fps: DataFrame) -> DataFrame:
     """Links between distinct fingerprints with the same components as all links of at most 3 bits."""
-    close = cut_lineage(_close_stars(fps))
-    groups = cut_lineage(components(close))
-    nodes = cut_lineage(fps.join(groups.select(F.col("node").alias("fp"), F.col("root").alias("c")), "fp", "left")
-                        .withColumn("c", F.coalesce("c", "fp")))
-    stored, probes = _buckets(nodes)
-    far = (probes.alias("p").join(stored.alias("s"), ["seg", "key"])
-           .where("p.c <> s.c AND bit_count(p.fp ^ s.fp) <= 3")
-           .select(F.least("p.c", "s.c").alias("a"), F.greatest("p.c", "s.c").alias("b")).distinct())
-    return close.unionByName(far)
+    spark = fps.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, fps.count() // TASK_ROWS)
+    whole = fps.select(F.lit(0).cast("bigint").alias("path"), F.col("fp").alias("value"), "fp", F.col("fp").alias("c"))
+    halves = _halves(whole, BITS)
+    crowded = cut_lineage(halves.groupBy("seg", "key").count().where(F.col("count") > CROWD).select("seg", "key"))
+    if crowded.isEmpty():
+        close, nodes = None, whole.select("fp", "c")
+    else:
+        members = halves.join(crowded, ["seg", "key"], "left_semi").select("fp").distinct()
+        close = cut_lineage(_close_stars(members.repartition(tasks)))
+        groups = cut_lineage(components(close))
+        nodes = (fps.join(groups.select(F.col("node").alias("fp"), F.col("root").alias("c")), "fp", "left")
+                 .withColumn("c", F.coalesce("c", "fp")).select("fp", "c"))
+    links = _far_links(cut_lineage(nodes.repartition(tasks)))
+    for more in links[1:] + ([close] if close is not None else []):
+        links[0] = links[0].unionByName(more.select("a", "b"))
+    return links[0]
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ids: list[str] | None = None) -> DataFrame:
