@@ -10,12 +10,15 @@
    list of abusive words.
 2. Matching. The trie of the lexicon and the Levenshtein automaton of distance 1 (terms of at least
    ``MIN_FUZZY`` characters) run as one automaton: a state is the set of (trie node, edits) pairs, made
-   deterministic as words ask for it. Misspelt forms that clean training texts use, measured by their
-   shares of the clean and the toxic texts, are ordinary words and don't count.
+   deterministic as words ask for it, and forgotten when there are ``MAX_STATES``. One pass over all texts gives the hits as
+   rows. Misspelt forms that clean training texts use, measured by their
+   shares of the clean and the toxic texts, are ordinary words and don't count: those hits are taken out by an anti-join
+   with the counted words, which stay a table however many there are.
 3. Context. Each hit has a window of ``WINDOW`` words on both sides. Other hits in the window raise
-   it; a hit inside a quotation within its window (someone else's words) counts ``QUOTED``.
+   it; a hit inside a quotation (someone else's words) counts ``QUOTED``. Quotations run from an opening to a closing
+   mark of a line, however long; single marks, which apostrophes share, within two windows.
 4. Calibration. A logistic curve over log(1 + sum of the hits), fitted on the histogram of the
-   training rows' sums (a bounded number of bins).
+   training rows' logarithms.
 
 Scores use the text alone. Defined cases: null and empty texts have no hits and get the curve's base
 score; rows without a label or with a null ``doc_id`` are scored, not learned from; repeated rows
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trellis.llm.common import prepare, small_side
+from trellis.llm.common import prepare, small_side, with_row_key
 from trellis.session import cut_lineage
 
 MIN_TEXTS, ODDS, STEM_ODDS = 3, 25.0, 100.0
@@ -44,10 +47,13 @@ MAX_TERMS = 50_000
 STEM_WORDS, STEM_LEN = 3, 4
 MIN_FUZZY, WINDOW = 5, 8
 FUZZY, NEIGHBOUR, QUOTED = 0.8, 0.25, 0.2
-BINS, BIN = 400, 0.2
-MEMO_WORDS = 500_000
+BIN = 0.02
+#: States of the automaton, bytes of remembered tokens, and characters of a token that is remembered.
+MAX_STATES, MEMO_BYTES, MEMO_WORD = 20_000, 32 << 20, 64
 THRESHOLD = 0.7
-_OPEN, _CLOSE, _BOTH = "«„“‘‹", "»”’›", "\"'`"
+#: Opening marks and what closes each; those of ``_SHORT`` are apostrophes too.
+_MARKS = {"«": "»", "„": "“”", "“": "”", "‘": "’", "‹": "›", '"': '"', "'": "'", "`": "`'"}
+_SHORT, _BEFORE, _AFTER = "‘'`", "([{", ".,;:!?)]}…"
 
 
 def bare(token: str) -> str:
@@ -66,7 +72,7 @@ class Automaton:
     ``match`` gives 0 (no term), 1 (a term) or 2 (a misspelt term).
     """
 
-    def __init__(self, words: list[str], stems: list[str], ordinary: set[str] = frozenset(), rigid: set[str] = frozenset()):
+    def __init__(self, words: list[str], stems: list[str]):
         self.next: list[dict[str, int]] = [{}]
         self.word: list[int] = [0]  # at a node's end: 0 no term, 1 a term to be spelt as it is, 2 a term that may be misspelt
         self.stem: list[int] = [0]
@@ -79,11 +85,13 @@ class Automaton:
                     self.word.append(0)
                     self.stem.append(0)
                 node = self.next[node][ch]
-            ends[node] = 2 if len(term) >= MIN_FUZZY and term not in rigid else 1
-        self.ordinary = ordinary
+            ends[node] = 2 if len(term) >= MIN_FUZZY else 1
         self.bends = [False] * len(self.next)  # whether a term that may be misspelt is at or below a node
         for node in range(len(self.next) - 1, -1, -1):
             self.bends[node] = 2 in (self.word[node], self.stem[node]) or any(self.bends[k] for k in self.next[node].values())
+        self.forget()
+
+    def forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -121,6 +129,8 @@ class Automaton:
         return new
 
     def match(self, word: str) -> int:
+        if len(self.sets) >= MAX_STATES:
+            self.forget()
         state, stem = self.first, 0
         for ch in word:
             state_ = self.moves[state].get(ch)
@@ -135,51 +145,62 @@ class Automaton:
             found = min((e + 1 for n, e in self.sets[state] if self.word[n] > e), default=0)
         if stem and (not found or stem < found):
             found = stem
-        return 0 if found == 2 and word in self.ordinary else found
+        return found
 
 
 class Matcher(dict):
-    """Raw token to its class, in a bounded memo."""
+    """Raw token to its class, in a memo of bounded bytes."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.size = automaton, 0
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self[token] = self.automaton.match(bare(token))
+        out = self.automaton.match(bare(token))
+        if len(token) <= MEMO_WORD:
+            if self.size >= MEMO_BYTES:
+                self.clear()
+                self.size = 0
+            self[token] = out
+            self.size += 100 + 4 * len(token)
         return out
 
 
-def quoted(tokens: list[str], i: int) -> bool:
-    """Whether the token at ``i`` is inside quotation marks that open and close within its window."""
-    before = any(t[:1] in _OPEN or t[:1] in _BOTH for t in tokens[max(0, i - WINDOW):i + 1])
-    if not before:
-        return False
-    start = max(k for k in range(max(0, i - WINDOW), i + 1) if tokens[k][:1] in _OPEN or tokens[k][:1] in _BOTH)
-    marks = _CLOSE + _BOTH
-
-    def closes(t: str) -> bool:
-        return t.rstrip(".,;:!?")[-1:] in marks and len(t) > 1
-    if any(closes(t) for t in tokens[start:i]):
-        return False
-    return any(closes(t) for t in tokens[i:i + WINDOW + 1])
-
-
-def abuse(text: str | None, matcher: Matcher) -> float:
-    """Sum of the text's hits, weighed by their windows."""
-    tokens = (text or "").lower().split()
+def quotations(lines: list[list[str]]) -> list[tuple[int, int]]:
+    """First and last token of every quotation; the tokens of all lines are numbered on."""
+    spans, at = [], 0
+    for tokens in lines:
+        start, mark = -1, ""
+        for i, t in enumerate(tokens, at):
+            inner = t.lstrip(_BEFORE)
+            opens = inner[:1] if len(inner) > 1 or inner[:1] not in ('"', "'", "`") else ""
+            if mark in _SHORT and start >= 0 and i - start > 2 * WINDOW:
+                start = -1
+            if start < 0 and opens in _MARKS and opens:
+                start, mark = i, opens
+                inner = inner[1:]
+            elif start < 0:
+                continue
+            if inner.rstrip(_AFTER)[-1:] in tuple(_MARKS[mark]):
+                spans.append((start, i))
+                start = -1
+        at += len(tokens)
+    return spans
+
+
+def find_hits(text: str | None, matcher: Matcher) -> tuple[list[int], list[str | None], list[bool]]:
+    """Places of the hits among the text's words, the misspelt word (None where a term stands as it is), and whether each is quoted."""
+    lines = [line.split() for line in (text or "").lower().split("\n")]
+    tokens = [t for line in lines for t in line]
     codes = bytes(map(matcher.__getitem__, tokens))
     if not codes.strip(b"\0"):
-        return 0.0
+        return [], [], []
     at = np.flatnonzero(np.frombuffer(codes, np.uint8))
-    near = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left") - 1
-    total = 0.0
-    for i, n in zip(at.tolist(), near.tolist()):
-        w = (1.0 if codes[i] == 1 else FUZZY) * (1 + NEIGHBOUR * min(n, WINDOW))
-        total += w * (QUOTED if quoted(tokens, i) else 1.0)
-    return total
+    spans = quotations(lines)
+    starts, ends = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+    k = np.searchsorted(starts, at, "right") - 1
+    inside = (ends[k] >= at) & (k >= 0) if len(spans) else np.zeros(len(at), bool)
+    return at.tolist(), [bare(tokens[i]) if codes[i] == 2 else None for i in at], inside.tolist()
 
 
 def is_training(doc_id: str = "doc_id"):
@@ -199,7 +220,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """Lexicon, ordinary misspelt-looking words and the curve, from the training rows of ``labels``."""
+    """From the training rows of ``labels``: the lexicon (``words``, ``stems``), the table ``ordinary (word)`` of misspelt-looking
+    words in ordinary use, and ``marked (doc_id, toxic)``."""
     spark = docs.sparkSession
     prepare(spark)
     marked = cut_lineage(labels.where(is_training() & F.col("toxic").isNotNull()).groupBy("doc_id")
@@ -212,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     n_toxic, n_clean = alone.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     n_toxic, n_clean = n_toxic or 0, n_clean or 0
     if not n_toxic or not n_clean:
-        return {"words": [], "stems": [], "ordinary": [], "curve": None}
+        return {"words": [], "stems": [], "ordinary": None, "marked": None}
     counts = cut_lineage(texts.mapInArrow(_word_counts, "word string, toxic bigint, clean bigint")
                          .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     odd = (F.col("toxic") / F.lit(float(n_toxic))) >= F.lit(ODDS) * (F.col("clean") / F.lit(float(n_clean)))
@@ -245,17 +267,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
             keep = [w for w in b.column(0).to_pylist() if m.match(w) == 2]
             yield pa.RecordBatch.from_pydict({"word": pa.array(keep, pa.string())})
     usual = F.lit(ODDS) * (F.col("clean") / F.lit(float(n_clean))) > F.col("toxic") / F.lit(float(n_toxic))
-    ordinary = sorted(r.word for r in counts.where((F.col("clean") > 0) & usual).select("word").mapInArrow(close, "word string").collect())
-    model = {"words": words, "stems": stems, "ordinary": ordinary, "curve": None}
-    sums = _sums(train.select("text", "toxic"), model, ["toxic"])
-    bins = sums.groupBy("toxic", F.least(F.round(F.col("abuse") / BIN), F.lit(BINS)).cast("int").alias("bin")).count().collect()
-    model["curve"] = fit([(r["bin"] * BIN, r["toxic"], r["count"]) for r in bins])
-    return model
+    ordinary = cut_lineage(counts.where((F.col("clean") > 0) & usual).select("word").mapInArrow(close, "word string"))
+    return {"words": words, "stems": stems, "ordinary": ordinary, "marked": marked}
 
 
 def fit(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Ridge logistic curve over log(1 + sum) by Newton steps; balanced classes."""
-    x = np.log1p(np.array([r[0] for r in rows]))
+    x = np.array([r[0] for r in rows])
     y = np.array([r[1] for r in rows], float)
     n = np.array([r[2] for r in rows], float)
     w = np.where(y > 0, n / max(n[y > 0].sum(), 1), n / max(n[y == 0].sum(), 1)) * 1000
@@ -274,41 +292,57 @@ def fit(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
 _MADE: dict[int, Matcher] = {}
 
 
-def _matcher(model: dict) -> Matcher:
-    parts = [model[k] for k in ("words", "stems", "ordinary")]
+def _matcher(parts: tuple[list[str], list[str]]) -> Matcher:
     key = xxhash.xxh64_intdigest("\1".join("\0".join(p) for p in parts).encode())
     if key not in _MADE:
-        _MADE[key] = Matcher(Automaton(*parts[:2], set(parts[2])))
+        _MADE[key] = Matcher(Automaton(*parts))
     return _MADE[key]
 
 
-def _sums(df: DataFrame, model: dict, ids: list[str]) -> DataFrame:
-    """``ids`` and ``abuse``; ``df`` has the column ``text``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    src = df.select("text", *ids)
+def hit_rows(rows: DataFrame, keys: list[str], words: list[str], stems: list[str]) -> DataFrame:
+    """``keys, pos, word, quoted``: a row per hit of the texts of ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast((words, stems))
+    src = rows.select("text", *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                found = pa.array([abuse(t, m) for t in part.column(0).cast(pa.string()).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*part.schema.names[1:], "abuse"])
+                of, pos, word, quoted = [], [], [], []
+                for i, t in enumerate(part.column(0).cast(pa.string()).to_pylist()):
+                    at, w, inside = find_hits(t, m)
+                    of += [i] * len(at)
+                    pos, word, quoted = pos + at, word + w, quoted + inside
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(of, pa.int64())) for c in part.columns[1:]], pa.array(pos, pa.int64()),
+                                                  pa.array(word, pa.string()), pa.array(quoted, pa.bool_())], [*part.schema.names[1:], "pos", "word", "quoted"])
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
-    return src.mapInArrow(run, ", ".join([*kept, "abuse double"]))
+    return src.mapInArrow(run, ", ".join([*kept, "pos bigint, word string, quoted boolean"]))
+
+
+def weighed(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, abuse``: the sum of every row's hits, each weighed by its window."""
+    near = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("pos").rangeBetween(-WINDOW, WINDOW)) - 1
+    one = F.when(F.col("word").isNull(), 1.0).otherwise(FUZZY) * (1 + NEIGHBOUR * F.least(F.col("near"), F.lit(WINDOW))) * F.when(F.col("quoted"), QUOTED).otherwise(1.0)
+    return hits.withColumn("near", near).groupBy(*keys).agg(F.sum(one).alias("abuse"))
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``abuse``."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs, keys = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")))
     model = learn(docs, labels)
-    out = _sums(docs, model, ["doc_id"])
-    if model["curve"] is None:
-        value = F.lit(0.0)
+    held = F.coalesce(~is_training(), F.lit(False))
+    rows = docs.select(*keys, "doc_id", held.alias("held_out"))
+    if model["marked"] is None:
+        out, value = rows.withColumn("abuse", F.lit(0.0)), F.lit(0.0)
     else:
-        a, b = model["curve"]
+        hits = hit_rows(docs, keys, model["words"], model["stems"])
+        sums = cut_lineage(weighed(hits.join(small_side(model["ordinary"]), "word", "left_anti"), keys))
+        out = rows.join(small_side(sums), keys, "left").withColumn("abuse", F.coalesce("abuse", F.lit(0.0)))
+        bins = (out.join(small_side(model["marked"]), "doc_id")
+                .groupBy("toxic", F.round(F.log1p("abuse") / BIN).cast("int").alias("bin")).count().collect())  # few: the logarithm of a sum
+        a, b = fit([(r["bin"] * BIN, r["toxic"], r["count"]) for r in bins])
         value = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("abuse"))))
-    held = F.coalesce(~is_training(), F.lit(False))
-    return (out.select("doc_id", held.alias("held_out"), value.alias("score"), "abuse")
+    return (out.select("doc_id", "held_out", value.alias("score"), "abuse")
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
             .select("doc_id", "held_out", "score", "predicted", "abuse"))
