@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.common import prepare
@@ -432,7 +432,10 @@ def _node(n: Any) -> Callable[[dict, _Sink], None]:
 
 def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int, int]]]]:
     """A function from an environment to the rendered text and its generation spans."""
-    run = _block(fold_body(parse(source)))
+    try:
+        run = _block(fold_body(parse(source)))
+    except RecursionError:
+        raise TemplateError("the template nests too deeply") from None
 
     def render(env: dict) -> tuple[str, list[tuple[int, int]]]:
         sink = _Sink()
@@ -441,6 +444,25 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
     return render
 
 
+def per_turn(source: str) -> tuple[list, For, list] | None:
+    """The template as what stands before its loop over the messages, the loop, and what stands after it; None if a turn's
+    text may depend on other turns (``loop``, variables set, another loop or use of the messages)."""
+    body = fold_body(parse(source))
+    loops = [i for i, n in enumerate(body) if isinstance(n, For)]
+    if len(loops) != 1 or body[loops[0]].over != Name("messages"):
+        return None
+    at = loops[0]
+
+    def alone(x: Any) -> bool:
+        if isinstance(x, (Set, For)) or isinstance(x, Name) and x.name in ("loop", "messages"):
+            return False
+        if isinstance(x, (list, tuple)):
+            return all(map(alone, x))
+        return all(map(alone, vars(x).values())) if hasattr(x, "__dict__") else True
+    outside = body[:at] + body[at + 1:]
+    return (body[:at], body[at], body[at + 1:]) if alone(body[at].body) and all(isinstance(n, (Text, Out)) for n in outside) and alone(outside) else None
+
+
 def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], str]:
     """Turns ``(role, text)`` and the learnt text of a conversation in the default format."""
     turns, at = [], 0
@@ -457,13 +479,53 @@ def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _sorted_turns(rows: DataFrame) -> DataFrame:
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return rows.select("conv_id", "turn", text("role"), text("text"))
+
+
+def format_turns(rows: DataFrame, template: str = DEFAULT) -> DataFrame:
+    """``rows (conv_id, turn, role, text)`` formatted turn by turn: ``conv_id, turn, role, text, piece, spans``.
+
+    The pieces of a conversation, joined by turn (null first), role and text, are its format; ``spans`` are counted from the
+    piece's start. Every row is rendered where it lies, so a conversation of any length is no task's work. The template
+    must render turns one by one (``per_turn``) and have nothing outside its loop.
+    """
+    prepare(rows.sparkSession)
+    parts = per_turn(template)
+    if parts is None or parts[0] or parts[2]:
+        raise TemplateError("the template does not render turns one by one")
+    src = _sorted_turns(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        render = compile_template(template)
+        for b in batches:
+            done = [render({"messages": [{"role": r, "text": t}]}) for r, t in zip(*[b.column(i).to_pylist() for i in (2, 3)])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t for t, _ in done], pa.string()),
+                                              pa.array([[{"start": x, "end": y} for x, y in s] for _, s in done], SPANS)], [*b.schema.names, "piece", "spans"])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields)
+    return src.mapInArrow(run, f"{kinds}, piece string, spans array<struct<start:bigint,end:bigint>>")
+
+
+def with_offsets(pieces: DataFrame) -> DataFrame:
+    """``format_turns`` rows with ``start``, the piece's place in its conversation, by a running total of lengths; ``spans`` from there."""
+    before = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece").cast("bigint")).over(before), F.lit(0).cast("bigint")))
+    return placed.withColumn("spans", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end"))))
+
+
+def streamed(pieces: DataFrame) -> DataFrame:
+    """``format_turns`` rows, each conversation's in order in one partition: a task that reads them on needs to hold one row."""
+    n = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+
+
 def format_conversations(rows: DataFrame, template: str = DEFAULT) -> DataFrame:
-    """``rows (conv_id, turn, role, text)`` as ``conv_id``, ``n_turns``, ``formatted``, ``spans``."""
+    """``rows (conv_id, turn, role, text)`` as ``conv_id``, ``n_turns``, ``formatted``, ``spans``: each conversation one value,
+    for any template. A task holds a conversation; long ones are better left as the rows of ``format_turns``."""
     prepare(rows.sparkSession)
     compile_template(template)  # errors show here, not in a task
-    src = (rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-           .repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text"))
+    src = _sorted_turns(rows).repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
     kind = src.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,18 +129,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turn_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running digests of the conversations, piece by piece; holds one turn."""
+    now, type_, state = None, pa.int64(), None
+
+    def row():
+        return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+
+    def packed(out):
+        cols = list(zip(*out)) or [[]] * 6
+        kinds = (type_, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
+                                          ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
     for b in batches:
-        out = []
-        for conv, text, spans in zip(*[c.to_pylist() for c in b.columns]):
-            turns, learnt = chat.read_back(text, [(s["start"], s["end"]) for s in spans])
-            h = hashlib.sha256()
+        out, type_ = [], b.column(0).type
+        for conv, piece, spans in zip(*[c.to_pylist() for c in b.columns]):
+            if state is None or conv != now:
+                if state is not None:
+                    out.append(row())
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            turns, learnt = chat.read_back(piece, [(s["start"], s["end"]) for s in spans])
             for role, said in turns:
-                h.update(f"{role}\n{said}\n".encode())
-            out.append((conv, len(turns), h.hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = (b.column(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                                         ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                state[0] += 1
+                state[1].update(f"{role}\n{said}\n".encode())
+            state[2] += len(learnt)
+            state[3].update(learnt.encode())
+            state[4] += len(piece)
+        yield packed(out)
+    if state is not None:
+        yield packed([row()])
 
 
 @query("op7_chat_format", r"""
@@ -154,11 +170,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation formatted, and read back from its format."""
+    """Every conversation formatted turn by turn, and read back from its format as a stream of turns."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    out = chat.format_conversations(rows.unionByName(extra)).select("conv_id", "formatted", "spans")
+    out = chat.streamed(chat.format_turns(rows.unionByName(extra))).select("conv_id", "piece", "spans")
     return out.mapInArrow(_turn_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
