@@ -39,7 +39,7 @@ def _scan(c, scan):
     return c.files.select(F.lit(scan).alias("scan_id"), "file_id", "project_id", "module_id", "dir", "analysed")
 
 
-def _run(spark, c, files, events, discovered, batches=1, unit_files=2):
+def _run(spark, c, files, events, discovered, batches=1, unit_files=2, max_files=None):
     """The package barrier over ``events`` published as several files; with ``batches`` > 1 it is stopped and resumed."""
     run = run_folder(spark, "prop")
     scans = files.select("scan_id").distinct()
@@ -48,7 +48,7 @@ def _run(spark, c, files, events, discovered, batches=1, unit_files=2):
     publish(discovered.select("scan_id", F.lit("package").alias("level"), F.col("package_id").alias("entity_id")), f"{run}/topics/announced")
     for b in range(batches):
         publish(events.where(F.coalesce(F.col("file_id"), F.lit(0)) % batches == b).repartition(3), f"{run}/topics/file_analyzed")
-        sink = barrier_run(spark, run, f"{run}/topics", add(c.packages), add(c.modules), add(c.projects), files, ("package",), unit_files, 1)
+        sink = barrier_run(spark, run, f"{run}/topics", add(c.packages), add(c.modules), add(c.projects), files, ("package",), unit_files, max_files)
     keys = [(r.scan_id, r.entity_id) for r in barrier_stream.ready_keys(spark, sink).collect()]
     assert len(keys) == len(set(keys))
     state = lambda operator, name: (spark.read.format("statestore").option("path", f"{run}/checkpoints/ready").option("operatorId", operator)
@@ -77,7 +77,7 @@ def test_barrier_stream_equals_batch_under_replay_restart_and_missing_keys(spark
     assert waiting == c.packages.count() - len(batch)  # the state holds what is open, and nothing else
     n_open = files.where("NOT analysed").count()
     assert 0 < units <= n_open
-    got, left = _run(spark, c, files, ev.unionByName(ev).unionByName(keyless).unionByName(unknown), disc, batches=2)
+    got, left = _run(spark, c, files, ev.unionByName(ev).unionByName(keyless).unionByName(unknown), disc, batches=2, max_files=2)
     assert got == batch and left == (units, waiting)
     one = sorted(batch)[0][1]
     assert _run(spark, c, files, ev, disc.where(F.col("package_id") != one))[0] == batch - {("s1", one)}
