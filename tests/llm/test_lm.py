@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -83,7 +84,73 @@ def test_filter_has_no_misses_and_few_errors():
     assert (q >= lm_score.levels(counts)).all() and (q > lm_score.levels(counts)).mean() < 0.03
     other = rng.integers(0, 1 << 63, 60_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     assert (m.probe(other, other) > 0).mean() < 0.03 and m.error_rate < 0.03
-    assert lm_score.level_count(lm_score.levels(np.array([1, 2, 3, 4, 7]))).tolist() == [1.0, 2.5, 2.5, 5.5, 5.5]
+
+
+def test_levels():
+    """Exact up to 20, steps of at most a tenth beyond, up to the largest counts."""
+    low = lm_score.LOWS
+    assert low[:21].tolist() == [*range(1, 21), 22] and low[-1] >= 1 << 62 and (low[1:] > low[:-1]).all()
+    assert (low[20:-1] * 1.1 + 1 >= low[21:]).all()
+    counts = np.array([1, 2, 20, 21, 22, 23, 24, 1000, 1 << 40, (1 << 62) - 1])
+    q = lm_score.levels(counts)
+    assert (lm_score._LEAST[q] <= counts).all() and (lm_score._MOST[q] >= counts.astype(float)).all() and (lm_score._MOST[q] <= 1.1 * counts + 1).all()
+
+
+def test_pairs_are_packed_by_shard():
+    rng = np.random.default_rng(1)
+    for shift in (57, 44, 40, 33):
+        h = np.sort(lm_score.bigrams(rng.integers(0, 1 << 63, 999).astype(np.uint64), rng.integers(0, 1 << 63, 999).astype(np.uint64), shift))
+        back = [lm_score.unpack_pairs(lm_score.pack_pairs(h[a:b], shift), s, shift) for s, a, b in lm_score._by_shard(h, shift)]
+        assert (np.concatenate(back) == h).all() and len(np.unique(h)) == 999
+
+
+def exact_model(rows):
+    """Counts of the training rows, and the probability as the filter would give it without errors."""
+    uni, pair = Counter(), Counter()
+    for d, t in rows:
+        if fold(d) not in (None, 1):
+            w = tokens(t)
+            uni.update(w)
+            pair.update(zip(["<begin>", *w[:-1]], w))
+            uni["<begin>"] += 1
+    least = lambda c: float(lm_score._LEAST[lm_score.levels(np.array([c]))[0]])
+    most = lambda c: float(lm_score._MOST[lm_score.levels(np.array([c]))[0]])
+    words = [w for w in uni if w != "<begin>"]
+    total, v = sum(least(uni[w]) for w in words), len(words)
+
+    def p(w, before):
+        cv, c, cb = most(uni[before]), least(uni[w]), least(pair[before, w])
+        weight = lm_score.MIX_WEIGHT if cv else 0.0
+        return weight * min(cb, c, cv) / max(cv, 1) + (1 - weight) * (c + 0.5) / (total + 0.5 * (v + 1))
+    return words, p
+
+
+def test_probabilities_sum_to_one_at_most():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choices([f"w{int(rnd.paretovariate(0.7))}" for _ in range(40)], k=rnd.randrange(0, 60))) for _ in range(400)]
+    words, p = exact_model(list(enumerate(texts)))
+    for before in ["<begin>", "never seen", *rnd.sample([w for w in words if w], 60), "w1", "w2"]:
+        assert 0.29 < sum(p(w, before) for w in [*words, "unknown"]) <= 1 + 1e-6
+
+
+def test_scores_against_exact_counts(spark):
+    """The score is the brute-force one, but for entries that seem present by the filter's error."""
+    frame = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    _, p = exact_model(rows)
+    got = {r.doc_id: r for r in lm_score.score(frame).collect()}
+    model = lm_score.train(frame.select("doc_id", "text"))[0]
+    assert model.error_rate < 0.03
+    off, seen, n = [], 0, 0
+    for d, t in rows:
+        w = tokens(t)
+        want = sum(math.log10(p(a, b)) for a, b in zip(w, ["<begin>", *w[:-1]]))
+        off.append((got[d].score - want) / len(w))
+        n += len(w)
+    # an error makes a level one higher: an unseen pair that of a pair seen once, or the word before more frequent
+    assert abs(np.mean(off)) < 4 * model.error_rate and min(off) > -10 * model.error_rate
+    trained = [o for (d, _), o in zip(rows, off) if fold(d) != 1]
+    assert np.median(trained) < 0.01
 
 
 @pytest.mark.parametrize("most", [0, 1 << 16])

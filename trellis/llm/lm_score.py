@@ -4,16 +4,19 @@ Counting. Training texts give unigrams and bigrams (with a begin mark) as 64-bit
 numpy over whole buffers. Tasks send sorted partial counts, packed by hash range (*shard*), and each
 shard merges its own; a frequent n-gram is one entry per task and flush.
 
-Filter (Talbot and Osborne 2007). A count c is quantised to ``q = 1 + floor(log2 c)`` and the n-gram is
-stored ``q`` times, as (n-gram, 1) to (n-gram, q), in the Bloom filter of its shard. A reader probes
-(n-gram, 1), (n-gram, 2), ... until one is missing, and takes the middle of that level's counts. Each
-shard's filter has ``BITS`` bits for each of its real entries, at every corpus size, so its error rate stays.
+Filter (Talbot and Osborne 2007). A count is quantised to its level q on a scale whose steps are 1 up to 20 and a
+tenth of the count beyond (``LOWS``), and the n-gram is stored ``q`` times, as (n-gram, 1) to (n-gram, q), in the Bloom filter
+of its shard. A reader probes (n-gram, 1), (n-gram, 2), ... until one is missing, and knows the least and the largest
+count of that level. Bigrams are told apart within their shard by 40 bits of their hash, which is what the counting
+sends. Each shard's filter has ``BITS`` bits for each of its real entries, at every corpus size, so its error rate stays.
 Filters of at most ``MAX_BITS`` bits in all are broadcast. Larger ones stay in their shards: texts are read
 in groups of about ``GROUP`` bytes, a group sends its distinct n-grams to the shards once, and the levels
 come back to the group's texts. Both ways give the same scores.
 
-Score. ``p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * (c(w) + 0.5) / (N + 0.5 (V + 1))``, all counts
-by probes; L is 0 where v was not seen.
+Score. ``p(w | v) = L * c(v w) / C(v) + (1 - L) * (c(w) + 0.5) / (S + 0.5 (V + 1))``, all counts
+by probes: c is the least count of a level, C the largest, S the sum of c over the vocabulary; L is 0 where v was not
+seen, and a bigram counts at most as often as its words. So over all words, the end mark and one unknown word the
+probabilities sum to 1 or less; missing entries that seem present (``Model.error_rate``) can only add to that.
 
 Base score. Exact unigram counts: words with at least ``N / HEAVY`` occurrences (so at most ``HEAVY`` of
 them) are broadcast; the others' counts are looked up in their shards, to which tasks send packed hashes.
@@ -44,9 +47,11 @@ SLICE = 1 << 21
 FLUSH = 1 << 21
 GROUP = 1 << 22
 BITS, HASHES, MAX_BITS = 10, 4, 1 << 31
-LEAST_SHARDS, SHARD_BYTES, MAX_LEVEL = 128, 1 << 24, 40
+LEAST_SHARDS, SHARD_BYTES = 128, 1 << 24
+PAIR_BITS = 40
 SHARD_BITS = (1 << 32) - 8  # what ``positions`` can address; ``SHARD_BYTES`` of text have far fewer entries
 HEAVY = 1_000_000
+DEEP, MEMO = 4, 1_000_000
 MIX_WEIGHT = 0.7
 
 U = np.uint64
@@ -149,8 +154,23 @@ def token_streams(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.nd
         yield flush()
 
 
-def bigrams(prev: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(prev * _STEP + (tokens ^ _M2))
+def bigrams(prev: np.ndarray, tokens: np.ndarray, shift: int) -> np.ndarray:
+    """Hashes of bigrams: the bits of the shard and ``PAIR_BITS`` more."""
+    drop = U(max(0, shift - PAIR_BITS))
+    return mix(prev * _STEP + (tokens ^ _M2)) >> drop << drop
+
+
+def pack_pairs(h: np.ndarray, shift: int) -> bytes:
+    """Bigram hashes of one shard, without its bits."""
+    return (h >> U(max(0, shift - PAIR_BITS))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BITS // 8].tobytes()
+
+
+def unpack_pairs(data: bytes, shard: int, shift: int) -> np.ndarray:
+    raw = np.zeros((len(data) // (PAIR_BITS // 8), 8), np.uint8)
+    raw[:, :PAIR_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(raw), -1)
+    low = U(max(0, shift - PAIR_BITS))
+    mask = U((1 << min(shift, PAIR_BITS)) - 1)
+    return (raw.reshape(-1).view("<u8") & mask) << low | U(shard) << U(shift)
 
 
 def tally(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +214,19 @@ def _counter(shift: int):
                 return []
             h, n = tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             n = n.astype("<u4")  # a flush holds far fewer tokens
-            return [(s, kind, h[lo:hi].tobytes(), n[lo:hi].tobytes()) for s, lo, hi in _by_shard(h, shift)]
+            if kind == "u":
+                return [(s, kind, h[lo:hi].tobytes(), n[lo:hi].tobytes()) for s, lo, hi in _by_shard(h, shift)]
+            rows = []
+            for once in (True, False):  # most bigrams of a flush are there once: they go without a count
+                x, c = h[(n == 1) == once], n[(n == 1) == once]
+                rows += [(s, kind, pack_pairs(x[lo:hi], shift), b"" if once else c[lo:hi].tobytes()) for s, lo, hi in _by_shard(x, shift)]
+            return rows
 
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 for tokens, prev, _ in token_streams(b.slice(lo, 1024).column(0).cast(pa.binary()).to_pylist()):
                     held["u"].append(tally(tokens))
-                    held["b"].append(tally(bigrams(prev, tokens)))
+                    held["b"].append(tally(bigrams(prev, tokens, shift)))
                     starts = np.count_nonzero(prev == BEGIN)
                     if starts:
                         held["u"].append((np.array([BEGIN]), np.array([starts])))
@@ -227,13 +253,21 @@ def unigram_key(h: np.ndarray) -> np.ndarray:
     return mix(h ^ _UNIGRAM)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(float))[1]
+def _lows() -> np.ndarray:
+    """Least count of every level from 1 on: steps of 1, then of a tenth, up to what a 64-bit count can be."""
+    out = [1]
+    while out[-1] < 1 << 62:
+        out.append(max(out[-1] + 1, out[-1] * 11 // 10))
+    return np.array(out, np.int64)
 
 
-def level_count(q: np.ndarray) -> np.ndarray:
-    """Middle of the counts of a level; 0 for level 0."""
-    return np.where(q > 0, 1.5 * np.exp2(q.astype(float) - 1) - 0.5, 0.0)
+LOWS = _lows()
+_LEAST = np.concatenate([[0], LOWS]).astype(float)  # by level, 0 for none
+_MOST = np.concatenate([[0], LOWS[1:] - 1, [LOWS[-1]]]).astype(float)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LOWS, counts, "right")
 
 
 def build_filter(keys: np.ndarray, q: np.ndarray, bits_per_entry: float, most_bits: int) -> bytes:
@@ -247,7 +281,7 @@ def build_filter(keys: np.ndarray, q: np.ndarray, bits_per_entry: float, most_bi
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _merger():
+def _merger(shift: int):
     """Rows sorted by (shard, kind), kind b before u: merged unigrams (u) and the shard's filter (f)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, {"b": [], "u": []}
@@ -266,7 +300,8 @@ def _merger():
                         yield _pack(close())
                     now, parts = shard, {"b": [], "u": []}
                 mine = parts[kind]
-                mine.append((np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4").astype(np.int64)))
+                h = unpack_pairs(h, shard, shift) if kind == "b" else np.frombuffer(h, "<u8")
+                mine.append((h, np.frombuffer(n, "<u4").astype(np.int64) if n else np.ones(len(h), np.int64)))
                 if len(mine) >= 64:  # what a shard holds stays near its distinct n-grams
                     mine[:] = [tally(np.concatenate([p[0] for p in mine]), np.concatenate([p[1] for p in mine]))]
         if now is not None:
@@ -279,8 +314,8 @@ class Model:
     """Filter and scalars, of bounded size, as broadcast to the workers."""
 
     shift: int
-    n: int  # training tokens
-    v: int  # distinct
+    total: int  # sum of the least counts of the vocabulary's levels
+    v: int  # distinct training tokens
     data: np.ndarray  # the shards' filters, packed, one after another
     begin: np.ndarray  # first bit of each shard's filter
     bits: np.ndarray
@@ -294,16 +329,36 @@ class Model:
         ones = int(np.bitwise_count(self.data).sum()) if hasattr(np, "bitwise_count") else int(np.unpackbits(self.data).sum())
         return (ones / max(1, 8 * len(self.data))) ** HASHES
 
+    def __post_init__(self):
+        self.known, self.level = np.zeros(0, U), np.zeros(0, np.int64)  # sorted keys of deep levels that a worker has found
+
     def probe(self, shard_of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Stored level of each key (0: none), by repeated membership probes."""
-        shard = (shard_of >> U(self.shift)).astype(np.int64)
-        return probe_filter(self.data, self.begin[shard], self.bits[shard], keys)
+        """Stored level of each distinct key (0: none), by repeated membership probes.
+
+        Keys of a level of ``DEEP`` or more, which take most probes, are remembered up to ``MEMO`` of them.
+        """
+        out = np.zeros(len(keys), np.int64)
+        new = np.ones(len(keys), bool)
+        if len(self.known):
+            i = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            new = self.known[i] != keys
+            out[~new] = self.level[i[~new]]
+        shard = (shard_of[new] >> U(self.shift)).astype(np.int64)
+        found = out[new] = probe_filter(self.data, self.begin[shard], self.bits[shard], keys[new])
+        deep = found >= DEEP
+        if 20 * np.count_nonzero(deep) > len(self.known):
+            old = (self.known, self.level) if len(self.known) + np.count_nonzero(deep) <= MEMO else (self.known[:0], self.level[:0])
+            key, level = np.concatenate([old[0], keys[new][deep]]), np.concatenate([old[1], found[deep]])
+            order = np.argsort(key)
+            self.known, self.level = key[order], level[order]
+        return out
 
     def log_probs(self, prev: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        b = bigrams(prev, tokens)
+        # each distinct n-gram of the group is probed once: frequent ones have many levels
+        pairs, at = np.unique(bigrams(prev, tokens, self.shift), return_inverse=True)
         words, back = np.unique(np.concatenate([tokens, prev]), return_inverse=True)
         seen = self.probe(words, unigram_key(words))[back]
-        return interpolate(seen[:len(tokens)], seen[len(tokens):], self.probe(b, b), self.n, self.v)
+        return interpolate(seen[:len(tokens)], seen[len(tokens):], self.probe(pairs, pairs)[at], self.total, self.v)
 
 
 def probe_filter(data: np.ndarray, begin: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -312,7 +367,7 @@ def probe_filter(data: np.ndarray, begin: np.ndarray, bits: np.ndarray, keys: np
     if not len(data):
         return out
     alive = np.flatnonzero(bits > 0)
-    for level in range(1, MAX_LEVEL + 1):
+    for level in range(1, len(LOWS) + 1):
         x, start, size = keys[alive] + _level(level), begin[alive], bits[alive]
         for _ in range(HASHES):
             x = mix(x + _M1)
@@ -326,21 +381,22 @@ def probe_filter(data: np.ndarray, begin: np.ndarray, bits: np.ndarray, keys: np
     return out
 
 
-def interpolate(q: np.ndarray, qv: np.ndarray, qb: np.ndarray, n: int, v: int) -> np.ndarray:
+def interpolate(q: np.ndarray, qv: np.ndarray, qb: np.ndarray, total: int, v: int) -> np.ndarray:
     """Log probabilities from the levels of the words, of the words before and of the bigrams."""
-    c, cv, cb = level_count(q), level_count(qv), level_count(qb)
-    uni = (c + 0.5) / (n + 0.5 * (v + 1))
+    c, cv, cb = _LEAST[q], _MOST[qv], _LEAST[qb]
+    uni = (c + 0.5) / (total + 0.5 * (v + 1))
     weight = np.where(cv > 0, MIX_WEIGHT, 0.0)
-    return np.log10(np.minimum(1.0, weight * np.minimum(1.0, cb / np.maximum(cv, 1)) + (1 - weight) * np.minimum(1.0, uni)))
+    return np.log10(weight * np.minimum(np.minimum(cb, c), cv) / np.maximum(cv, 1) + (1 - weight) * uni)
 
 
 def is_training():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
 
 
-def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int]:
+def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int, int]:
     """The model of ``docs (doc_id, text)``'s training rows (None: too large to broadcast), the exact unigram
-    counts (u) and filters (f) by shard, the shards' shift, and the numbers of tokens and distinct tokens."""
+    counts (u) and filters (f) by shard, the shards' shift, the numbers of tokens and distinct tokens, and the sum of the
+    levels' least counts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = LEAST_SHARDS
     while shards * SHARD_BYTES < size:
@@ -348,19 +404,19 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int]:
     shift = 64 - (shards - 1).bit_length()
     part = docs.where(is_training()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counter(shift), PACKED)
     merged = cut_lineage(part.repartition("shard").sortWithinPartitions("shard", "kind")
-                         .mapInArrow(_merger(), PACKED))
+                         .mapInArrow(_merger(shift), PACKED))
     unigrams = merged.where("kind = 'u'")
 
     def sizes(batches):
         for b in batches:
             n = [np.frombuffer(x, "<i8") for x in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"n": [int(x.sum()) for x in n], "v": [len(x) for x in n]}, pa.schema([("n", pa.int64()), ("v", pa.int64())]))
-    n, v = unigrams.mapInArrow(sizes, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
-    n, v = n or 0, v or 0
+            yield pa.RecordBatch.from_pydict({"n": [int(x.sum()) for x in n], "v": [len(x) for x in n], "s": [int(LOWS[levels(x) - 1].sum()) for x in n]},
+                                             pa.schema([(c, pa.int64()) for c in "nvs"]))
+    n, v, total = (x or 0 for x in unigrams.mapInArrow(sizes, "n bigint, v bigint, s bigint").agg(F.sum("n"), F.sum("v"), F.sum("s")).first())
     least = n // HEAVY + 1
     bits = merged.where("kind = 'f'").agg(F.sum(8 * F.octet_length("hashes"))).first()[0] or 0
     if bits > MAX_BITS:
-        return None, merged, shift, n, v
+        return None, merged, shift, n, v, total
 
     def frequent(batches):
         for b in batches:
@@ -375,9 +431,9 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int]:
     order = np.argsort(hh)
     parts = {r.shard: r.hashes for r in merged.where("kind = 'f'").select("shard", "hashes").collect()}  # at most MAX_BITS
     lens = np.array([len(parts.get(s, b"")) for s in range(shards)], np.int64)
-    model = Model(shift, n, v, np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8), (np.cumsum(lens) - lens).astype(U) * U(8),
+    model = Model(shift, total, v, np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8), (np.cumsum(lens) - lens).astype(U) * U(8),
                   lens.astype(U) * U(8), hh[order], hn[order], least)
-    return model, merged, shift, n, v
+    return model, merged, shift, n, v, total
 
 
 _LOCAL = "kind string, key bigint, doc_id {id}, held_out boolean, n_tokens bigint, known bigint, base double, score double, at bigint, pid bigint, hashes binary, places binary"
@@ -442,11 +498,11 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["pid", "places", "sums", "known"])
 
 
-def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(texts: list[bytes], shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the words (and words before) and of the bigrams of a group's texts."""
     held: tuple[list, list] = ([], [])
     for tokens, prev, _ in token_streams(texts):
-        for parts, h in zip(held, (np.concatenate([tokens, prev]), bigrams(prev, tokens))):
+        for parts, h in zip(held, (np.concatenate([tokens, prev]), bigrams(prev, tokens, shift))):
             parts.append(np.unique(h))
             if sum(map(len, parts)) >= FLUSH:
                 parts[:] = [np.unique(np.concatenate(parts))]
@@ -465,7 +521,7 @@ def _asker(shift: int, id_type: pa.DataType, group: int):
         pid, grp, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def send() -> pa.RecordBatch:
-            words, pairs = _distinct([t for *_, t in held])
+            words, pairs = _distinct([t for *_, t in held], shift)
             asked: dict[int, list[bytes]] = {}
             for i, h in enumerate((words, pairs)):
                 for s, lo, hi in _by_shard(h, shift):
@@ -505,7 +561,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append(row)
             else:
                 w, p = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<u8")
-                q, qb = (probe_filter(data, np.zeros(len(x), U), np.full(len(x), 8 * len(data), U), x).astype(np.uint8) for x in (unigram_key(w), p))
+                q, qb = (probe_filter(data, np.zeros(len(x), U), np.full(len(x), 8 * len(data), U), x).astype("<u2") for x in (unigram_key(w), p))
                 i = np.searchsorted(h, w)
                 i[i == len(h)] = 0
                 counts = np.where(h[i] == w, n[i], 0) if len(h) else np.zeros(len(w), np.int64)
@@ -513,7 +569,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pack(out, b.schema)
 
 
-def _group_scores(n: int, v: int, id_type: pa.DataType):
+def _group_scores(total: int, v: int, shift: int, id_type: pa.DataType):
     """Rows sorted by (pid, grp, kind, key, at), a group's answers (a) before its texts (t): the texts' sums."""
     kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
@@ -523,14 +579,14 @@ def _group_scores(n: int, v: int, id_type: pa.DataType):
 
         def close() -> pa.RecordBatch:
             texts = [t for *_, t in held]
-            words, pairs = _distinct(texts)  # in the order of the shards, as the answers are
-            q, qb = (np.frombuffer(b"".join(a[i] for a in answers), np.uint8).astype(np.int64) for i in (0, 1))
+            words, pairs = _distinct(texts, shift)  # in the order of the shards, as the answers are
+            q, qb = (np.frombuffer(b"".join(a[i] for a in answers), "<u2").astype(np.int64) for i in (0, 1))
             exact = np.frombuffer(b"".join(a[2] for a in answers), "<i8")
             k = len(held)
             tokens_n, known, base, score = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
             for tokens, prev, doc in token_streams(texts):
                 i = np.searchsorted(words, tokens)
-                lp = interpolate(q[i], q[np.searchsorted(words, prev)], qb[np.searchsorted(pairs, bigrams(prev, tokens))], n, v)
+                lp = interpolate(q[i], q[np.searchsorted(words, prev)], qb[np.searchsorted(pairs, bigrams(prev, tokens, shift))], total, v)
                 tokens_n += np.bincount(doc, minlength=k)
                 score += np.bincount(doc, lp, minlength=k)
                 base += np.bincount(doc, np.log10(exact[i] + 0.5), minlength=k)
@@ -553,7 +609,7 @@ def _group_scores(n: int, v: int, id_type: pa.DataType):
     return run
 
 
-def _score_in_shards(src: DataFrame, merged: DataFrame, shift: int, n: int, v: int) -> DataFrame:
+def _score_in_shards(src: DataFrame, merged: DataFrame, shift: int, total: int, v: int) -> DataFrame:
     """Sums per row where the filters stay in their shards; one flow through the shards and back to the groups."""
     fixed, _ = with_row_key(src)  # a file scan, or checkpointed: groups are named by task and place
     rows = fixed.select("doc_id", F.coalesce(~is_training(), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -567,15 +623,15 @@ def _score_in_shards(src: DataFrame, merged: DataFrame, shift: int, n: int, v: i
                           *[none[c] for c in names[2:8]], F.col("hashes").alias("words"), F.col("counts").alias("pairs"))
     back = sides.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_answers, ask)
     return (back.repartition("pid", "grp").sortWithinPartitions("pid", "grp", "kind", "key", "at")
-            .mapInArrow(_group_scores(n, v, arrow_id), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double"))
+            .mapInArrow(_group_scores(total, v, shift, arrow_id), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double"))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     prepare(docs.sparkSession)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model, merged, shift, n, v = train(src)
-    joined = _score_in_shards(src, merged, shift, n, v) if model is None else _score_by_broadcast(src, model, merged.where("kind = 'u'"))
+    model, merged, shift, n, v, total = train(src)
+    joined = _score_in_shards(src, merged, shift, total, v) if model is None else _score_by_broadcast(src, model, merged.where("kind = 'u'"))
     fixed = float(np.log10(n + 0.5 * (v + 1)))
     return joined.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
                          (F.col("base") - F.col("n_tokens") * F.lit(fixed)).alias("base_score"), "score")
