@@ -167,3 +167,13 @@ def test_scores_do_not_depend_on_the_broadcast_bound(spark, monkeypatch, make_do
         assert len(a) == len(b) and [r[:5] for r in a] == [r[:5] for r in b]
         assert [r.base_score for r in b] == pytest.approx([r.base_score for r in a], rel=1e-9)
         assert [r.score for r in b] == pytest.approx([r.score for r in a], rel=1e-9)
+
+
+def test_filters_do_not_pass_the_driver(spark):
+    """The driver's model names the folder of the filters and is small, whatever their size."""
+    import pickle
+    frame = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = lm_score.train(frame)[0]
+    size = int(model.bits.sum()) // 8
+    assert model.data is None and len(pickle.dumps(model)) < size / 2 + 20_000 + 16 * len(model.heavy)
+    assert len(model.filters) == size and model.filters.any()

@@ -9,7 +9,8 @@ tenth of the count beyond (``LOWS``), and the n-gram is stored ``q`` times, as (
 of its shard. A reader probes (n-gram, 1), (n-gram, 2), ... until one is missing, and knows the least and the largest
 count of that level. Bigrams are told apart within their shard by 40 bits of their hash, which is what the counting
 sends. Each shard's filter has ``BITS`` bits for each of its real entries, at every corpus size, so its error rate stays.
-Filters of at most ``MAX_BITS`` bits in all are broadcast. Larger ones stay in their shards: texts are read
+Filters of at most ``MAX_BITS`` bits in all are written to the shared checkpoint folder, from which each worker reads
+them once; they never pass through the driver. Larger ones stay in their shards: texts are read
 in groups of about ``GROUP`` bytes, a group sends its distinct n-grams to the shards once, and the levels
 come back to the group's texts. Both ways give the same scores.
 
@@ -30,18 +31,21 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trellis.llm.common import prepare, with_row_key
-from trellis.session import cut_lineage
+from trellis.session import cut_lineage, ensure_checkpoint_dir
+from trellis.sources.tree import _open, _qualified
 
 SLICE = 1 << 21
 FLUSH = 1 << 21
@@ -309,25 +313,50 @@ def _merger(shift: int):
     return run
 
 
+def read_filters(uri: str, begin: np.ndarray, size: int) -> np.ndarray:
+    """The shards' filters of a folder of ``(shard, hashes)`` rows, one after another; a row is held at a time."""
+    from pyarrow.fs import FileSelector
+    out = np.zeros(size, np.uint8)
+    system, top = _open(uri)
+    for f in system.get_file_info(FileSelector(top)):
+        if f.base_name.endswith(".parquet"):
+            with system.open_input_file(f.path) as source:
+                for b in pq.ParquetFile(source).iter_batches(1, columns=["shard", "hashes"]):
+                    for shard, data in zip(b.column(0).to_pylist(), b.column(1)):
+                        at = int(begin[shard]) // 8
+                        part = np.frombuffer(data.as_buffer(), np.uint8)
+                        out[at:at + len(part)] = part
+    return out
+
+
 @dataclass
 class Model:
-    """Filter and scalars, of bounded size, as broadcast to the workers."""
+    """Scalars and the place of the filters, of bounded size, as broadcast to the workers."""
 
     shift: int
     total: int  # sum of the least counts of the vocabulary's levels
     v: int  # distinct training tokens
-    data: np.ndarray  # the shards' filters, packed, one after another
+    data: np.ndarray | None  # the shards' filters, packed, one after another (None: not read yet)
     begin: np.ndarray  # first bit of each shard's filter
     bits: np.ndarray
     heavy: np.ndarray  # sorted hashes of frequent words
     heavy_n: np.ndarray
     light_from: int
+    stored: str = ""  # folder of the filters
+
+    @property
+    def filters(self) -> np.ndarray:
+        """The filters, read once in each worker."""
+        if self.data is None:
+            self.data = read_filters(self.stored, self.begin, int(self.bits.sum()) // 8)
+        return self.data
 
     @property
     def error_rate(self) -> float:
         """Chance that a missing entry seems present: share of set bits to the power of the hashes."""
-        ones = int(np.bitwise_count(self.data).sum()) if hasattr(np, "bitwise_count") else int(np.unpackbits(self.data).sum())
-        return (ones / max(1, 8 * len(self.data))) ** HASHES
+        data = self.filters
+        ones = int(np.bitwise_count(data).sum()) if hasattr(np, "bitwise_count") else int(np.unpackbits(data).sum())
+        return (ones / max(1, 8 * len(data))) ** HASHES
 
     def __post_init__(self):
         self.known, self.level = np.zeros(0, U), np.zeros(0, np.int64)  # sorted keys of deep levels that a worker has found
@@ -344,7 +373,7 @@ class Model:
             new = self.known[i] != keys
             out[~new] = self.level[i[~new]]
         shard = (shard_of[new] >> U(self.shift)).astype(np.int64)
-        found = out[new] = probe_filter(self.data, self.begin[shard], self.bits[shard], keys[new])
+        found = out[new] = probe_filter(self.filters, self.begin[shard], self.bits[shard], keys[new])
         deep = found >= DEEP
         if 20 * np.count_nonzero(deep) > len(self.known):
             old = (self.known, self.level) if len(self.known) + np.count_nonzero(deep) <= MEMO else (self.known[:0], self.level[:0])
@@ -394,7 +423,7 @@ def is_training():
 
 
 def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int, int]:
-    """The model of ``docs (doc_id, text)``'s training rows (None: too large to broadcast), the exact unigram
+    """The model of ``docs (doc_id, text)``'s training rows (None: too large for a worker), the exact unigram
     counts (u) and filters (f) by shard, the shards' shift, the numbers of tokens and distinct tokens, and the sum of the
     levels' least counts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -429,10 +458,13 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int, int]
     hh = np.concatenate([np.zeros(0, U), *[np.frombuffer(r.hashes, "<u8") for r in top]])
     hn = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.counts, "<i8") for r in top]])
     order = np.argsort(hh)
-    parts = {r.shard: r.hashes for r in merged.where("kind = 'f'").select("shard", "hashes").collect()}  # at most MAX_BITS
-    lens = np.array([len(parts.get(s, b"")) for s in range(shards)], np.int64)
-    model = Model(shift, total, v, np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8), (np.cumsum(lens) - lens).astype(U) * U(8),
-                  lens.astype(U) * U(8), hh[order], hn[order], least)
+    filters = merged.where("kind = 'f'").select("shard", "hashes")
+    stored = f"{ensure_checkpoint_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    filters.write.parquet(stored)
+    parts = {r.shard: r.n for r in filters.select("shard", F.octet_length("hashes").alias("n")).collect()}
+    lens = np.array([parts.get(s, 0) for s in range(shards)], np.int64)
+    model = Model(shift, total, v, None, (np.cumsum(lens) - lens).astype(U) * U(8),
+                  lens.astype(U) * U(8), hh[order], hn[order], least, _qualified(docs.sparkSession, stored))
     return model, merged, shift, n, v, total
 
 
@@ -638,7 +670,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def _score_by_broadcast(src: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
-    """Sums per row with the filters broadcast; the base score's light words go to their shards."""
+    """Sums per row with the filters in each worker; the base score's light words go to their shards."""
     shared = src.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(~is_training(), F.lit(False))
     local = cut_lineage(src.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
