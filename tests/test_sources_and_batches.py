@@ -245,6 +245,27 @@ def test_batches_under_a_manual_clock():
     assert out[5:] == [(5, "time", ["m"])] and p.held.v is None
 
 
+def test_closed_batches_leave_together():
+    """Many closed batches are few frames, with the rows of a frame a batch; ties go by their text."""
+    rnd = random.Random(5)
+    rows = pd.DataFrame({"at_us": [rnd.randrange(2_000_000_000) for _ in range(9_000)] * 2, "body": [f"é{i % 977}" for i in range(18_000)]})
+    def run(*frame_rows):
+        p = batching.CountOrTime("k", 20, 3.0, True, *frame_rows)
+        p.init(Handle())
+        return list(p.handleInputRows(("a",), iter([rows[:5_000], rows[5_000:]]), Clock()))
+    each, few = run(), run(batching.FRAME_ROWS)
+    assert len(each) > 600 and len(few) == 2 and {len(f.batch_no.unique()) for f in each} == {1}
+    assert pd.concat(each).to_dict("list") == pd.concat(few).to_dict("list")
+    came, want, no, due = sorted(zip(rows.at_us, rows.body)), [], 0, None
+    for at, body in came:
+        if want and want[-1][0] == no and (at >= due or sum(w[0] == no for w in want[-20:]) == 20):
+            no += 1
+        if not want or want[-1][0] != no:
+            due = at + 3_000_000
+        want.append((no, body))
+    assert list(zip(pd.concat(few).batch_no, pd.concat(few).body)) == want[:sum(map(len, few))]
+
+
 def test_batches_by_event_time_in_several_micro_batches(spark):
     """The stream's batches are those of one pass over the rows, however they fall into micro-batches."""
     rnd = random.Random(3)
