@@ -48,3 +48,22 @@ def test_ordinals_stable_when_branches_prune_differently(spark):
         ref.select("event_id", "rn"), "event_id")
     assert j.where(F.col("ordinal") != F.col("rn")).count() == 0
     assert j.agg(F.min("step")).first()[0] == 0
+
+
+def test_file_texts_are_not_gathered_by_project(spark, monkeypatch):
+    """Contexts go to the files, not the files to their project's task; the prompts are those of the join."""
+    from trellis.operators import summaries
+    files = spark.createDataFrame([(i, None if i == 7 else f"p{i % 3}", f"text {i} {{projectContext}}") for i in range(40)], "file_id long, project_id string, content string") \
+        .selectExpr("file_id", "project_id", "'m' AS module_id", "'k' AS package_id", "'f' AS file_path", "content")
+    contexts = spark.createDataFrame([("p0", "first"), ("p1", None)], "project_id string, context string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with sizes that Spark takes for large
+    try:
+        got = summaries.file_prompts(files, contexts)
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(got.collect(), key=lambda r: r.file_id)
+        monkeypatch.setattr(summaries, "BROADCAST_LIMIT_BYTES", 0)
+        joined = summaries.file_prompts(files, contexts)
+        assert "hashpartitioning" in joined._jdf.queryExecution().executedPlan().toString() and sorted(joined.collect(), key=lambda r: r.file_id) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from trellis.functions import paths
 from trellis.functions.prompts import CHILD_SEPARATOR, PROMPTS, SYSTEM_FILL_ORDER, USER_FILL_ORDER
 from trellis.functions.text import fill_template
-from trellis.session import cut_lineage
+from trellis.session import BROADCAST_LIMIT_BYTES, cut_lineage
 
 NO_ANALYSIS = "No analysis available"  # fixed value: digest placeholder for a missing analysis
 DIGEST_TITLE = "Analysis Context"      # heading suffix of the project digest (configurable)
@@ -33,10 +33,18 @@ def _fill(level: str, values: dict, prompts: dict | None = None) -> tuple[F.Colu
     return user, system
 
 
+def _with_context(files: DataFrame, contexts: DataFrame) -> DataFrame:
+    """File rows with their project's context; contexts small enough, as measured, come to the files,
+    so that no task gets the texts of a whole project."""
+    row = F.coalesce(F.octet_length("context"), F.lit(0)) + 100
+    small = (contexts.agg(F.sum(row.cast("long"))).first()[0] or 0) <= BROADCAST_LIMIT_BYTES
+    return files.join(F.broadcast(contexts) if small else contexts, "project_id", "left")
+
+
 def file_prompts(files: DataFrame, contexts: DataFrame, short: bool = True,
                  prompts: dict | None = None) -> DataFrame:
     """Per-file prompt (short or full template) with the project context filled in."""
-    f = files.join(contexts, "project_id", "left")
+    f = _with_context(files, contexts)
     user, system = _fill("fileShort" if short else "file",
                          {"{fileContent}": F.col("content"), "{projectContext}": F.col("context")}, prompts)
     return f.select("file_id", "project_id", "module_id", "package_id", "file_path",
