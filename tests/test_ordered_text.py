@@ -67,3 +67,20 @@ def test_file_texts_are_not_gathered_by_project(spark, monkeypatch):
         assert "hashpartitioning" in joined._jdf.queryExecution().executedPlan().toString() and sorted(joined.collect(), key=lambda r: r.file_id) == rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_that_fit_move_once(spark, monkeypatch):
+    """Keys under the limit are packed by one shuffle of their texts; long ones and null keys are as ever."""
+    from trellis.operators import ordered_text
+    rows = [("a", 1, "x" * 10), ("a", 2, None), ("b", 1, "y" * 30), ("c", 2, "2" * 9), ("c", 1, "1" * 9), (None, 1, "z")]
+    rows += [("d", i, str(i % 10) * 9) for i in range(8)]
+    parts = spark.createDataFrame(rows, "k string, i int, t string")
+    def run(frame):
+        return {(r.k, r.piece): (r.n_pieces, r.text, r.n_parts) for r in ordered_text.requests(frame, ["k"], ["i"], "t", 20).collect()}
+    want = {("a", 0): (1, "x" * 10, 2), ("b", 0): (1, "y" * 30, 1), ("c", 0): (1, "1" * 9 + "2" * 9, 2),
+            **{("d", p): (7, t, n) for p, t, n in [(0, "0" * 9 + "1" * 9, 2), *[(p, str(p + 1) * 9, 1) for p in range(1, 7)]]}}
+    assert run(parts) == want
+    monkeypatch.setattr(ordered_text, "FEW_KEYS", 0)
+    assert run(parts) == want
+    short = ordered_text.requests(parts.where("k <> 'd'"), ["k"], ["i"], "t", 20)
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -199,11 +199,11 @@ def analyze_prompts(parts: DataFrame, fn: Callable[[str, str], str], key: list[s
         return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in cols])
 
     rows = parts.where(F.col("text").isNotNull())
-    system = cut_lineage(rows.where(F.col("system_prompt").isNotNull()).groupBy(*key).agg(F.max("system_prompt").alias("system_prompt")))
-    packed = requests(rows.select(*key, *order, "text"), key, order, "text", limit)
+    system = rows.where(F.col("system_prompt").isNotNull()).groupBy(*key).agg(F.max("system_prompt").alias("system_prompt"))
+    packed = requests(rows.select(*key, *order, "text", "system_prompt"), key, order, "text", limit, "system_prompt")
     done, most, prefix = None, None, ""
     while True:
-        asked = (packed.join(system, key, "left").withColumn("user_prompt", F.concat(F.lit(prefix), F.col("text")))
+        asked = (packed.withColumn("user_prompt", F.concat(F.lit(prefix), F.col("text")))
                  .withColumn("__rid", rid(key + ["piece"])))
         # model calls are costly and not repeatable: each round's answers are written
         # once (reliable checkpoint) and every later step reads them from there
@@ -225,4 +225,4 @@ def analyze_prompts(parts: DataFrame, fn: Callable[[str, str], str], key: list[s
         failed = cut_lineage(open_.where("status <> 'ok'").groupBy(*key).agg(F.min("error").alias("part_error")))
         entries = open_.select(*key, "piece", F.concat(F.lit("Part "), (F.col("piece") + 1).cast("string"), F.lit(":\n"),
                                                        F.coalesce("analysis", F.lit("")), F.lit("\n\n")).alias("text"))
-        packed = requests(entries, key, ["piece"], "text", limit - len(COMBINE_PREFIX))
+        packed = requests(entries, key, ["piece"], "text", limit - len(COMBINE_PREFIX)).join(system, key, "left")

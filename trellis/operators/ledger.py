@@ -73,6 +73,7 @@ def _asker(uri: str, run: str, fn, retries: int, backoff_s: float, flush: int, f
             for digest, system, user in zip(*[c.to_pylist() for c in b.columns]):
                 if digest in known:
                     continue
+                known.add(digest)
                 held.append((digest, *call(fn, system, user, retries, backoff_s)))
                 asked += 1
                 if len(held) >= flush or time.monotonic() - since >= flush_s:
@@ -104,11 +105,14 @@ class AnswerLedger:
         make_folder(self.spark, self.path)
         keyed = requests.select(F.col(id_col), "system_prompt", "user_prompt", request_digest().alias("digest"))
         known = self.answers()
-        todo = (keyed.select("digest", "system_prompt", "user_prompt").dropDuplicates(["digest"])
-                .join((known.where("status = 'ok'") if again else known).select("digest"), "digest", "left_anti"))
-        asker = _asker(_qualified(self.spark, self.path), uuid.uuid4().hex, fn, retries, backoff_s, flush, flush_s)
+        # the request that asks for a digest is picked on narrow rows; the prompts move once, to the task that asks
+        first = (keyed.groupBy("digest").agg(F.min(id_col).alias("__first"))
+                 .join((known.where("status = 'ok'") if again else known).select("digest"), "digest", "left_anti"))
         # by digest, so that a task that is run again gets the requests of its first attempt
-        todo.repartition(parallelism, "digest").select("digest", "system_prompt", "user_prompt").mapInArrow(asker, "asked bigint").agg(F.sum("asked")).collect()
+        todo = (keyed.repartition(parallelism, "digest").join(first.repartition(parallelism, "digest").hint("shuffle_hash"), "digest")
+                .where(F.col(id_col).eqNullSafe(F.col("__first"))))
+        asker = _asker(_qualified(self.spark, self.path), uuid.uuid4().hex, fn, retries, backoff_s, flush, flush_s)
+        todo.select("digest", "system_prompt", "user_prompt").mapInArrow(asker, "asked bigint").agg(F.sum("asked")).collect()
         return keyed.select(id_col, "digest").join(self.answers(), "digest", "left").select(id_col, "analysis", "status", "error", "attempts")
 
     def compact(self, files: int = 1) -> None:

@@ -8,11 +8,15 @@ split over tasks, and the offsets table has one row per partition.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.session import cut_lineage
 
+FEW_KEYS = 100_000  # keys over the limit that are broadcast; more are joined by a shuffle
 REQUEST_CHARS = 128 * 1024  # about 32k tokens, the analyzer's input
 
 
@@ -57,22 +61,37 @@ def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "ordina
 
 
 def requests(parts: DataFrame, key: list[str], order: list[str], text: str,
-             limit: int = REQUEST_CHARS) -> DataFrame:
+             limit: int = REQUEST_CHARS, system: str | None = None) -> DataFrame:
     """``key + [piece, n_pieces, text, n_parts]``: the ordered rows of each key, packed into texts.
 
     A piece holds rows until half of ``limit`` is reached, so it stays under ``limit``
     if no single row is longer than the other half (rows are never cut). Every row is in
-    exactly one piece.
+    exactly one piece. With ``system``, the greatest value of that column per key comes as ``system_prompt``.
+
+    Texts move once, to their group: the sizes are summed on narrow rows, and only rows of keys over ``limit`` need places.
     """
-    sized = parts.withColumn("__len", F.length(F.coalesce(F.col(text), F.lit(""))))
-    placed = running_totals(sized, key, order, "__len", "__before")
+    rows = parts.where(reduce(and_, [F.col(c).isNotNull() for c in key]))
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    carried = ["system_prompt"] if system else []
     half = max(limit // 2, 1)
     entry = F.struct(*[F.col(c) for c in order], F.coalesce(F.col(text), F.lit("")).alias("__t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["__t"]), "")
-    total = sized.groupBy(*key).agg(F.sum("__len").alias("__total"))
+    out = [*key, "piece", "n_pieces", "text", "n_parts", *carried]
     # a group that fits is one piece; the size decides only how many requests the analyzer sees
-    piece = F.when(F.col("__total") <= limit, F.lit(0)).otherwise(F.floor(F.col("__before") / half)).cast("bigint")
-    packed = (placed.join(total, key).withColumn("piece", piece).groupBy(*key, "piece")
+    long_keys = cut_lineage(rows.groupBy(*key).agg(F.sum(size).alias("__total"), F.count(F.lit(1)).alias("__rows"))
+                            .where((F.col("__total") > limit) & (F.col("__rows") > 1)).select(*key))
+    n_long = long_keys.count()
+    few = F.broadcast(long_keys) if n_long <= FEW_KEYS else long_keys
+    whole = ((rows.join(few, key, "left_anti") if n_long else rows).groupBy(*key)
+             .agg(joined.alias("text"), F.count(F.lit(1)).alias("n_parts"), *[F.max(system).alias(c) for c in carried])
+             .withColumn("piece", F.lit(0).cast("bigint")).withColumn("n_pieces", F.lit(1).cast("bigint")).select(*out))
+    if not n_long:
+        return whole
+    long_ = rows.join(few, key, "left_semi")
+    placed = running_totals(long_.withColumn("__len", size), key, order, "__len", "__before")
+    packed = (placed.withColumn("piece", F.floor(F.col("__before") / half).cast("bigint")).groupBy(*key, "piece")
               .agg(joined.alias("text"), F.count(F.lit(1)).alias("n_parts")))
-    n = packed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pieces"))
-    return packed.join(n, key).select(*key, "piece", "n_pieces", "text", "n_parts")
+    of_key = packed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pieces"))
+    if system:
+        of_key = of_key.join(long_.groupBy(*key).agg(F.max(system).alias("system_prompt")), key)
+    return whole.unionByName(packed.join(of_key, key).select(*out))
