@@ -177,3 +177,68 @@ def test_filters_do_not_pass_the_driver(spark):
     size = int(model.bits.sum()) // 8
     assert model.data is None and len(pickle.dumps(model)) < size / 2 + 20_000 + 16 * len(model.heavy)
     assert len(model.filters) == size and model.filters.any()
+
+
+def test_shards_answer_many_groups_together(monkeypatch):
+    """What groups ask of a shard is probed together, each distinct n-gram once, and its answers are those of each group alone."""
+    rng = np.random.default_rng(5)
+    shift, shard = 60, 3
+    def hashes(n):
+        return lm_score.unpack_pairs(lm_score.pack_pairs(rng.integers(0, 1 << 63, n).astype(np.uint64), shift), shard, shift)
+    words, pairs = (np.unique(hashes(400)) for _ in "wp")
+    counts = rng.integers(1, 70_000, len(words))
+    data = lm_score.build_filter(np.concatenate([lm_score.unigram_key(words), pairs]), lm_score.levels(np.concatenate([counts, rng.integers(1, 5000, len(pairs))])), lm_score.BITS, 1 << 30)
+    asks = [[np.sort(np.concatenate([rng.choice(h, 60, replace=False), hashes(5)])) for h in (words, pairs)] for _ in range(200)]
+    rows = [(shard, "c", None, None, words.tobytes(), None, counts.astype("<i8").tobytes()), (shard, "f", None, None, data, None, b"")]
+    rows += [(shard, "q", 1, g, w.tobytes(), lm_score.pack_pairs(p, shift), None) for g, (w, p) in enumerate(asks)]
+    rows += [(shard, "q", 1, 200, words[:3].tobytes(), b"", None), (shard + 1, "q", 1, 201, words[:3].tobytes(), b"", None), (shard + 1, "t", 1, 0, b"cell", None, None)]
+    probed, real = [], lm_score.probe_filter
+    monkeypatch.setattr(lm_score, "probe_filter", lambda data, begin, bits, keys: probed.append(len(keys)) or real(data, begin, bits, keys))
+    out = [r for b in lm_score._answers(shift)(iter([lm_score._pack(rows[:70], lm_score._ASKED), lm_score._pack(rows[70:], lm_score._ASKED)])) for r in b.to_pylist()]
+    assert len(probed) < 10 and sum(probed) < sum(len(h) for a in asks for h in a) / 5
+    assert [(r["kind"], r["words"]) for r in out if r["kind"] == "t"] == [("t", b"cell")]
+    got = {r["grp"]: [lm_score._wide(r[c]).tolist() for c in ("words", "pairs", "counts")] for r in out if r["kind"] == "a"}
+    assert len(got) == 202 and got[201] == [[0, 0, 0], [], [0, 0, 0]] and got[200][2] == counts[:3].tolist()
+    for g, (w, p) in enumerate(asks):
+        alone = [real(np.frombuffer(data, np.uint8), np.zeros(len(x), np.uint64), np.full(len(x), 8 * len(data), np.uint64), x).tolist() for x in (lm_score.unigram_key(w), p)]
+        assert got[g] == [*alone, [dict(zip(words.tolist(), counts.tolist())).get(x, 0) for x in w.tolist()]]
+
+
+def test_a_shard_is_merged_as_it_doubles(monkeypatch):
+    """The work of merging what many tasks send is in proportion to it, not to its square."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(lm_score, "MERGE", 100, raising=False)
+    rows, want, sent = [], Counter(), 0
+    for _ in range(2000):
+        h = np.unique(lm_score.unpack_pairs(lm_score.pack_pairs(rng.integers(0, 1 << 57, 20).astype(np.uint64), 57), 5, 57))
+        rows.append((5, "b", lm_score.pack_pairs(h, 57), np.full(len(h), 2, "<u4").tobytes()))
+        want.update(dict.fromkeys(h.tolist(), 2))
+        sent += len(h)
+    merged, real = [], lm_score.tally
+    monkeypatch.setattr(lm_score, "tally", lambda h, n=None: merged.append(len(h)) or real(h, n))
+    out = [r for b in lm_score._merger(57)(iter([lm_score._pack(rows)])) for r in b.to_pylist()]
+    assert [r["kind"] for r in out] == ["u", "f"] and sum(merged) < 8 * sent
+    keys, counts = np.array([*want], np.uint64), np.array([*want.values()])
+    data = np.frombuffer(out[1]["hashes"], np.uint8)
+    assert (lm_score.probe_filter(data, np.zeros(len(keys), np.uint64), np.full(len(keys), 8 * len(data), np.uint64), keys) >= lm_score.levels(counts)).all()
+
+
+def test_giant_texts_in_shards(spark, monkeypatch, make_docs):
+    """A text of many pieces, beside small ones, scores alike either way; its words are gone through again, not held."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(300)], k=k))) for i, k in enumerate([3, 30_000, 0, 50, 20_000, 7])]
+    monkeypatch.setattr(lm_score, "SLICE", 5_000)
+    def run():
+        return sorted(lm_score.score(make_docs(rows)).collect(), key=lambda r: r.doc_id)
+    want = run()
+    monkeypatch.setattr(lm_score, "MAX_BITS", 0)
+    monkeypatch.setattr(lm_score, "GROUP", 1_000)
+    for a, b in zip(want, run(), strict=True):
+        assert a[:5] == b[:5] and b.score == pytest.approx(a.score, rel=1e-9) and b.base_score == pytest.approx(a.base_score, rel=1e-9)
+    texts = [t.encode() for _, t in rows]
+    streams = lm_score._streams(texts)
+    assert not isinstance(streams, list) and isinstance(lm_score._streams(texts[:1]), list)
+    words, pairs = lm_score._distinct(streams, 57)
+    parts = list(lm_score.token_streams(texts))
+    assert (words == np.unique(np.concatenate([x for t, p, _ in parts for x in (t, p)]))).all()
+    assert (pairs == np.unique(np.concatenate([lm_score.bigrams(p, t, 57) for t, p, _ in parts]))).all()

@@ -12,7 +12,9 @@ sends. Each shard's filter has ``BITS`` bits for each of its real entries, at ev
 Filters of at most ``MAX_BITS`` bits in all are written to the shared checkpoint folder, from which each worker reads
 them once; they never pass through the driver. Larger ones stay in their shards: texts are read
 in groups of about ``GROUP`` bytes, a group sends its distinct n-grams to the shards once, and the levels
-come back to the group's texts. Both ways give the same scores.
+come back to the group's texts, which go along as one compressed cell. A shard probes what its groups ask
+together, up to ``FLUSH`` n-grams at a time, each distinct one once: groups and shards both grow with the corpus, so work
+for each pair of them would grow with its square. Both ways give the same scores.
 
 Score. ``p(w | v) = L * c(v w) / C(v) + (1 - L) * (c(w) + 0.5) / (S + 0.5 (V + 1))``, all counts
 by probes: c is the least count of a level, C the largest, S the sum of c over the vocabulary; L is 0 where v was not
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,13 +52,14 @@ from trellis.sources.tree import _open, _qualified
 
 SLICE = 1 << 21
 FLUSH = 1 << 21
-GROUP = 1 << 22
+GROUP = 1 << 24
 BITS, HASHES, MAX_BITS = 10, 4, 1 << 31
 LEAST_SHARDS, SHARD_BYTES = 128, 1 << 24
 PAIR_BITS = 40
 SHARD_BITS = (1 << 32) - 8  # what ``positions`` can address; ``SHARD_BYTES`` of text have far fewer entries
 HEAVY = 1_000_000
 DEEP, MEMO = 4, 1_000_000
+MERGE = 1 << 17
 MIX_WEIGHT = 0.7
 
 U = np.uint64
@@ -171,7 +175,7 @@ def pack_pairs(h: np.ndarray, shift: int) -> bytes:
 
 def unpack_pairs(data: bytes, shard: int, shift: int) -> np.ndarray:
     raw = np.zeros((len(data) // (PAIR_BITS // 8), 8), np.uint8)
-    raw[:, :PAIR_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(raw), -1)
+    raw[:, :PAIR_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, PAIR_BITS // 8)
     low = U(max(0, shift - PAIR_BITS))
     mask = U((1 << min(shift, PAIR_BITS)) - 1)
     return (raw.reshape(-1).view("<u8") & mask) << low | U(shard) << U(shift)
@@ -288,7 +292,7 @@ def build_filter(keys: np.ndarray, q: np.ndarray, bits_per_entry: float, most_bi
 def _merger(shift: int):
     """Rows sorted by (shard, kind), kind b before u: merged unigrams (u) and the shard's filter (f)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, {"b": [], "u": []}
+        now, parts, fresh = None, {"b": [], "u": []}, {"b": 0, "u": 0}
         none = (np.zeros(0, U), np.zeros(0, np.int64))
 
         def close() -> list[tuple]:
@@ -302,12 +306,15 @@ def _merger(shift: int):
                 if shard != now:
                     if now is not None:
                         yield _pack(close())
-                    now, parts = shard, {"b": [], "u": []}
+                    now, parts, fresh = shard, {"b": [], "u": []}, {"b": 0, "u": 0}
                 mine = parts[kind]
                 h = unpack_pairs(h, shard, shift) if kind == "b" else np.frombuffer(h, "<u8")
                 mine.append((h, np.frombuffer(n, "<u4").astype(np.int64) if n else np.ones(len(h), np.int64)))
-                if len(mine) >= 64:  # what a shard holds stays near its distinct n-grams
+                fresh[kind] += len(h)
+                # what a shard holds stays near its distinct n-grams; it is merged as it doubles, not after so many parts
+                if fresh[kind] >= max(MERGE, sum(len(p[0]) for p in mine) // 2):
                     mine[:] = [tally(np.concatenate([p[0] for p in mine]), np.concatenate([p[1] for p in mine]))]
+                    fresh[kind] = 0
         if now is not None:
             yield _pack(close())
     return run
@@ -390,6 +397,17 @@ class Model:
         return interpolate(seen[:len(tokens)], seen[len(tokens):], self.probe(pairs, pairs)[at], self.total, self.v)
 
 
+def probe_shard(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Stored level of each distinct key in the one filter ``data``; keys may repeat, and are probed once."""
+    order = np.argsort(keys)
+    h = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    found = probe_filter(data, np.zeros(len(at), U), np.full(len(at), 8 * len(data), U), h[at])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(found, np.diff(np.concatenate([at, [len(h)]])))
+    return out
+
+
 def probe_filter(data: np.ndarray, begin: np.ndarray, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Stored level of each key in the filter of ``bits`` bits that starts at bit ``begin`` of ``data``."""
     out = np.zeros(len(keys), np.int64)
@@ -422,6 +440,19 @@ def is_training():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
 
 
+@contextmanager
+def _shuffles_dropped(spark) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect garbage: those of the
+    counts are as large as the input, and of no use beside the checkpoint."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int, int]:
     """The model of ``docs (doc_id, text)``'s training rows (None: too large for a worker), the exact unigram
     counts (u) and filters (f) by shard, the shards' shift, the numbers of tokens and distinct tokens, and the sum of the
@@ -432,8 +463,9 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame, int, int, int, int]
         shards *= 2
     shift = 64 - (shards - 1).bit_length()
     part = docs.where(is_training()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counter(shift), PACKED)
-    merged = cut_lineage(part.repartition("shard").sortWithinPartitions("shard", "kind")
-                         .mapInArrow(_merger(shift), PACKED))
+    with _shuffles_dropped(docs.sparkSession):
+        merged = cut_lineage(part.repartition("shard").sortWithinPartitions("shard", "kind")
+                             .mapInArrow(_merger(shift), PACKED))
     unigrams = merged.where("kind = 'u'")
 
     def sizes(batches):
@@ -530,44 +562,91 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["pid", "places", "sums", "known"])
 
 
-def _distinct(texts: list[bytes], shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the words (and words before) and of the bigrams of a group's texts."""
-    held: tuple[list, list] = ([], [])
-    for tokens, prev, _ in token_streams(texts):
-        for parts, h in zip(held, (np.concatenate([tokens, prev]), bigrams(prev, tokens, shift))):
-            parts.append(np.unique(h))
-            if sum(map(len, parts)) >= FLUSH:
-                parts[:] = [np.unique(np.concatenate(parts))]
-    return tuple(np.unique(np.concatenate([np.zeros(0, U), *parts])) for parts in held)
+def _streams(texts: list[bytes]):
+    """The groups of ``token_streams``, to be gone through more than once; those of a giant text are made again each time."""
+    return list(token_streams(texts)) if sum(map(len, texts)) <= 2 * GROUP else _Again(texts)
 
 
-_ASK = "key bigint, kind string, pid bigint, grp bigint, at bigint, doc_id {id}, held_out boolean, text binary, words binary, pairs binary"
+@dataclass
+class _Again:
+    texts: list[bytes]
+
+    def __iter__(self):
+        return token_streams(self.texts)
+
+
+def _distinct(streams, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the words (and the begin mark) and of the bigrams of a group's texts."""
+    held: tuple[list, list] = ([np.array([BEGIN])], [])
+    fresh = [0, 0]
+    for tokens, prev, _ in streams:
+        for i, h in enumerate((tokens, bigrams(prev, tokens, shift))):
+            held[i].append(tally(h)[0])
+            fresh[i] += len(held[i][-1])
+            if fresh[i] >= max(FLUSH, sum(map(len, held[i])) // 2):
+                held[i][:], fresh[i] = [tally(np.concatenate(held[i]))[0]], 0
+    return tuple(tally(np.concatenate([np.zeros(0, U), *parts]))[0] for parts in held)
+
+
+def _found(h: np.ndarray, known: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of each of ``h`` in sorted ``known``, which has them all."""
+    order = np.argsort(h)
+    x = h[order]
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    i, times = np.searchsorted(known, x[at]), np.diff(np.concatenate([at, [len(x)]]))
+    out = []
+    for v in values:
+        out.append(np.empty(len(h), v.dtype))
+        out[-1][order] = np.repeat(v[i], times)
+    return out
 
 
-def _asker(shift: int, id_type: pa.DataType, group: int):
-    """Groups of texts (kind t), and per group and shard its distinct n-grams (kind q), packed."""
-    schema = pa.schema(list(zip([c.split()[0] for c in _ASK.split(", ")], [
-        pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.binary()])))
+def _thin(a: np.ndarray) -> bytes:
+    """Counts or levels in as few bytes each as the largest needs, and how many these are."""
+    width = next(w for w in (1, 2, 4, 8) if int(a.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
 
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def _to_cell(rows: list[tuple], id_type: pa.DataType) -> bytes:
+    """``(doc_id, held_out, text)`` of a group as one compressed cell."""
+    kinds = [id_type, pa.bool_(), pa.large_binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "held_out", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+_ASK = "key bigint, kind string, pid bigint, grp bigint, words binary, pairs binary, counts binary"
+_ASKED = pa.schema(list(zip([c.split()[0] for c in _ASK.split(", ")], [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])))
+
+
+def _asker(shift: int, id_type: pa.DataType, group: int):
+    """Groups of texts (kind t, the texts in ``words``), and per group and shard its distinct n-grams (kind q), packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, grp, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def send() -> pa.RecordBatch:
-            words, pairs = _distinct([t for *_, t in held], shift)
+            words, pairs = _distinct(token_streams([t for *_, t in held]), shift)
             asked: dict[int, list[bytes]] = {}
-            for i, h in enumerate((words, pairs)):
-                for s, lo, hi in _by_shard(h, shift):
-                    asked.setdefault(s, [b"", b""])[i] = h[lo:hi].tobytes()
+            for s, lo, hi in _by_shard(words, shift):
+                asked.setdefault(s, [b"", b""])[0] = words[lo:hi].tobytes()
+            for s, lo, hi in _by_shard(pairs, shift):
+                asked.setdefault(s, [b"", b""])[1] = pack_pairs(pairs[lo:hi], shift)
             spread = (pid * 31 + grp) % (1 << 64 - shift)  # texts pass the shards on their way, evenly dealt
-            rows = [(spread, "t", pid, grp, at, d, out, t, None, None) for at, (d, out, t) in enumerate(held)]
-            rows += [(s, "q", pid, grp, None, None, None, None, w, p) for s, (w, p) in asked.items()]
-            return _pack(rows, schema)
+            rows = [(spread, "t", pid, grp, _to_cell(held, id_type), None, None)]
+            rows += [(s, "q", pid, grp, w, p, None) for s, (w, p) in asked.items()]
+            return _pack(rows, _ASKED)
 
         for b in batches:
             for d, out, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
                 held.append((d, out, t.as_py()))
                 size += len(held[-1][2])
-                if size >= group or len(held) >= 1 << 14:
+                if size >= group or len(held) >= 1 << 16:
                     yield send()
                     grp, held, size = grp + 1, [], 0
         if held:
@@ -575,69 +654,86 @@ def _asker(shift: int, id_type: pa.DataType, group: int):
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(shift: int):
     """Rows sorted by (key, kind), counts (c) and filter (f) of a shard before requests (q): the words' levels
-    (words) and exact counts (text), and the bigrams' levels (pairs). Texts pass as they are."""
-    now, h, n, data = None, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    for b in batches:
-        out = []
-        for row in zip(*[x.to_pylist() for x in b.columns]):
-            key, kind, pid, grp, at, doc_id, held, text, words, pairs = row
-            if key != now:
-                now, h, n, data = key, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-            if kind == "c":
-                h, n = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<i8")
-            elif kind == "f":
-                data = np.frombuffer(words, np.uint8)
-            elif kind == "t":
-                out.append(row)
-            else:
-                w, p = np.frombuffer(words, "<u8"), np.frombuffer(pairs, "<u8")
-                q, qb = (probe_filter(data, np.zeros(len(x), U), np.full(len(x), 8 * len(data), U), x).astype("<u2") for x in (unigram_key(w), p))
-                i = np.searchsorted(h, w)
-                i[i == len(h)] = 0
-                counts = np.where(h[i] == w, n[i], 0) if len(h) else np.zeros(len(w), np.int64)
-                out.append((key, "a", pid, grp, None, None, None, counts.astype("<i8").tobytes(), q.tobytes(), qb.tobytes()))
-        yield _pack(out, b.schema)
+    (words) and exact counts (counts), and the bigrams' levels (pairs). Texts pass as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, n, data = None, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        asked: list[tuple] = []
+        size = 0
+
+        def reply() -> list[tuple]:
+            w, p = (np.concatenate([a[i] for a in asked]) for i in (2, 3))
+            q, qb = probe_shard(data, unigram_key(w)), probe_shard(data, p)
+            i = np.searchsorted(h, w)
+            i[i == len(h)] = 0
+            counts = np.where(h[i] == w, n[i], 0) if len(h) else np.zeros(len(w), np.int64)
+            rows, a, c = [], 0, 0
+            for pid, grp, x, y in asked:
+                b, d = a + len(x), c + len(y)
+                rows.append((now, "a", pid, grp, _thin(q[a:b]), _thin(qb[c:d]), _thin(counts[a:b])))
+                a, c = b, d
+            asked.clear()
+            return rows
+
+        for b in batches:
+            out = []
+            for row in zip(*[x.to_pylist() for x in b.columns]):
+                key, kind, pid, grp, words, pairs, counts = row
+                if asked and (key != now or size >= FLUSH):
+                    out += reply()
+                    size = 0
+                if key != now:
+                    now, h, n, data = key, np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                if kind == "c":
+                    h, n = np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i8")
+                elif kind == "f":
+                    data = np.frombuffer(words, np.uint8)
+                elif kind == "t":
+                    out.append(row)
+                else:
+                    asked.append((pid, grp, np.frombuffer(words, "<u8"), unpack_pairs(pairs, key, shift)))
+                    size += len(asked[-1][2]) + len(asked[-1][3])
+            yield _pack(out, _ASKED)
+        if asked:
+            yield _pack(reply(), _ASKED)
+    return run
 
 
 def _group_scores(total: int, v: int, shift: int, id_type: pa.DataType):
-    """Rows sorted by (pid, grp, kind, key, at), a group's answers (a) before its texts (t): the texts' sums."""
+    """Rows sorted by (pid, grp, kind, key), a group's answers (a) before its texts (t): the texts' sums."""
     kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers, held = None, [], []
-
-        def close() -> pa.RecordBatch:
-            texts = [t for *_, t in held]
-            words, pairs = _distinct(texts, shift)  # in the order of the shards, as the answers are
-            q, qb = (np.frombuffer(b"".join(a[i] for a in answers), "<u2").astype(np.int64) for i in (0, 1))
-            exact = np.frombuffer(b"".join(a[2] for a in answers), "<i8")
-            k = len(held)
-            tokens_n, known, base, score = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
-            for tokens, prev, doc in token_streams(texts):
-                i = np.searchsorted(words, tokens)
-                lp = interpolate(q[i], q[np.searchsorted(words, prev)], qb[np.searchsorted(pairs, bigrams(prev, tokens, shift))], total, v)
-                tokens_n += np.bincount(doc, minlength=k)
-                score += np.bincount(doc, lp, minlength=k)
-                base += np.bincount(doc, np.log10(exact[i] + 0.5), minlength=k)
-                known += np.bincount(doc[exact[i] > 0], minlength=k)
-            cols = ([d for d, *_ in held], [o for _, o, _ in held], tokens_n, known, base, score)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+    def close(cell: bytes, answers: list[tuple]) -> pa.RecordBatch:
+        group = pa.ipc.open_stream(cell).read_next_batch()
+        streams, k = _streams(group.column(2).to_pylist()), group.num_rows
+        words, pairs = _distinct(streams, shift)  # in the order of the shards, as the answers are
+        q, qb, exact = (np.concatenate([np.zeros(0, np.int64), *[_wide(a[i]) for a in answers]]) for i in range(3))
+        begin = q[np.searchsorted(words, BEGIN)]
+        tokens_n, known, base, score = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
+        for tokens, prev, doc in streams:
+            # the word before is the begin mark, the token before, or (first of a later piece of a giant text) neither
+            level, n = _found(tokens, words, q, exact)
+            before = np.where(prev == BEGIN, begin, np.concatenate([q[np.searchsorted(words, prev[:1])], level[:-1]]))
+            lp = interpolate(level, before, *_found(bigrams(prev, tokens, shift), pairs, qb), total, v)
+            tokens_n += np.bincount(doc, minlength=k)
+            score += np.bincount(doc, lp, minlength=k)
+            base += np.bincount(doc, np.log10(n + 0.5), minlength=k)
+            known += np.bincount(doc[n > 0], minlength=k)
+        cols = (group.column(0), group.column(1), tokens_n, known, base, score)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(cols, kinds)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers = None, []
         for b in batches:
-            for key, kind, pid, grp, at, doc_id, out, text, words, pairs in zip(*[c.to_pylist() for c in b.columns]):
+            for key, kind, pid, grp, words, pairs, counts in zip(*[c.to_pylist() for c in b.columns]):
                 if (pid, grp) != now:
-                    if held:
-                        yield close()
-                    now, answers, held = (pid, grp), [], []
+                    now, answers = (pid, grp), []
                 if kind == "a":
-                    answers.append((words, pairs, text))
+                    answers.append((words, pairs, counts))
                 else:
-                    held.append((doc_id, out, text))
-        if held:
-            yield close()
+                    yield close(words, answers)
     return run
 
 
@@ -647,14 +743,12 @@ def _score_in_shards(src: DataFrame, merged: DataFrame, shift: int, total: int,
     rows = fixed.select("doc_id", F.coalesce(~is_training(), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
     arrow_id = to_arrow_type(src.schema["doc_id"].dataType)
-    ask = _ASK.format(id=id_type)
-    names = [c.split()[0] for c in _ASK.split(", ")]
-    asked = rows.mapInArrow(_asker(shift, arrow_id, GROUP), ask)
-    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema.fields}
+    asked = rows.mapInArrow(_asker(shift, arrow_id, GROUP), _ASK)
+    none = F.lit(None)
     sides = merged.select(F.col("shard").cast("bigint").alias("key"), F.when(F.col("kind") == "u", "c").otherwise("f").alias("kind"),
-                          *[none[c] for c in names[2:8]], F.col("hashes").alias("words"), F.col("counts").alias("pairs"))
-    back = sides.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_answers, ask)
-    return (back.repartition("pid", "grp").sortWithinPartitions("pid", "grp", "kind", "key", "at")
+                          none.cast("bigint").alias("pid"), none.cast("bigint").alias("grp"), F.col("hashes").alias("words"), none.cast("binary").alias("pairs"), "counts")
+    back = sides.unionByName(asked).repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_answers(shift), _ASK)
+    return (back.repartition("pid", "grp").sortWithinPartitions("pid", "grp", "kind", "key")
             .mapInArrow(_group_scores(total, v, shift, arrow_id), f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double"))
 
 
